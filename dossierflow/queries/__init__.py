@@ -1,7 +1,7 @@
 """Bindings of the operators to the given tables, each with its check SQL."""
 from importlib import import_module
 
-FAMILIES = ("pages",)
+FAMILIES = ("pages", "filters", "listings", "intervals")
 
 
 def load_all() -> None:
