@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dossierflow.functions.text import MONTH_WORDS, OPEN_WORDS, col, fold_digits, squeeze
+from dossierflow.functions.text import MONTH_WORDS, OPEN_WORDS, col, fold_digits, let, squeeze
 
 _MONTH = "|".join(sorted((w for ws in MONTH_WORDS.values() for w in ws), key=len, reverse=True))
 _OPEN = "|".join(sorted(OPEN_WORDS, key=len, reverse=True))
@@ -28,44 +28,52 @@ def _side(y: Column, m: Column, fmt: str, is_open: bool = False) -> Column:
     return F.struct(y.alias("y"), m.alias("m"), F.lit(fmt).alias("fmt"), F.lit(is_open).alias("is_open")).cast(SIDE_TYPE)
 
 
+def _open_side() -> Column:
+    null = F.lit(None).cast("int")
+    return _side(null, null, "open", True)
+
+
 def parse_side(c) -> Column:
     """One side of a range: MM/YYYY, ISO, month name and year, year alone, or an open word; NULL when unreadable."""
-    s = F.regexp_replace(squeeze(fold_digits(c)), r"^[\s.,;:()\[\]]+|[\s.,;:()\[\]]+$", "")
-    null = F.lit(None).cast("int")
+    return let(F.regexp_replace(squeeze(fold_digits(c)), r"^[\s.,;:()\[\]]+|[\s.,;:()\[\]]+$", ""), _read_side)
+
+
+def _read_side(s: Column) -> Column:
     numeric, iso, named = r"^([0-9]{1,2})\s*[-/.]\s*([0-9]{4})$", r"^([0-9]{4})\s*[-/.]\s*([0-9]{1,2})$", r"^(\S.*?)[.,]?\s+([0-9]{4})$"
     nm, im = _int(F.regexp_extract(s, numeric, 1)), _int(F.regexp_extract(s, iso, 2))
     word = _month_number(F.regexp_extract(s, named, 1))
     year = _int(F.regexp_extract(s, r"^([0-9]{4})$", 1))
-    return (F.when(F.lower(s).isin(*OPEN_WORDS), _side(null, null, "open", True))
+    return (F.when(F.lower(s).isin(*OPEN_WORDS), _open_side())
             .when(nm.between(1, 12), _side(_int(F.regexp_extract(s, numeric, 2)), nm, "MM/YYYY"))
             .when(im.between(1, 12), _side(_int(F.regexp_extract(s, iso, 1)), im, "MM/YYYY"))
             .when(word.isNotNull(), _side(_int(F.regexp_extract(s, named, 2)), word, "Mon YYYY"))
-            .when(year.between(1950, 2039), _side(year, null, "YYYY")))
+            .when(year.between(1950, 2039), _side(year, F.lit(None).cast("int"), "YYYY")))
 
 
 def parse_range(c) -> Column:
     """``from``/``to`` sides, separator, bracketed note, single and dangling flags; NULL sides when unreadable."""
-    folded = fold_digits(c)
-    note = F.array_join(F.transform(F.regexp_extract_all(folded, F.lit(r"\(([^)]*)\)"), F.lit(1)), F.trim), "; ")
-    s = squeeze(F.regexp_replace(folded, r"\([^)]*\)", " "))
+    return let(fold_digits(c), lambda folded: let(squeeze(F.regexp_replace(folded, r"\([^)]*\)", " ")), lambda s: _read_range(
+        s, F.array_join(F.transform(F.regexp_extract_all(folded, F.lit(r"\(([^)]*)\)"), F.lit(1)), F.trim), "; "))))
+
+
+def _read_range(s: Column, note: Column) -> Column:
     x = lambda pattern, g: F.regexp_extract(s, pattern, g)
-    open_side = _side(F.lit(None).cast("int"), F.lit(None).cast("int"), "open", True)
-    single = parse_side(s)
-    dash_from, dash_to = parse_side(x(DASH_RANGE, 1)), parse_side(x(DASH_RANGE, 3))
-    dangling = s.rlike(DASH_RANGE) & (x(DASH_RANGE, 3) == "")
+    shape = (F.when(s.rlike(SINCE), "since").when(s.rlike(DASH_RANGE), F.when(x(DASH_RANGE, 3) == "", "dangling").otherwise("dash"))
+             .when(s.rlike(WORD_RANGE), "word").otherwise("single"))
+    left = (F.when(shape == "since", x(SINCE, 2)).when(shape.isin("dash", "dangling"), x(DASH_RANGE, 1))
+            .when(shape == "word", x(WORD_RANGE, 1)).otherwise(s))
+    right = F.when(shape == "dash", x(DASH_RANGE, 3)).when(shape == "word", x(WORD_RANGE, 3))
+    sep = (F.when(shape == "since", x(SINCE, 1)).when(shape.isin("dash", "dangling"), x(DASH_RANGE, 2)).when(shape == "word", x(WORD_RANGE, 2)))
+    parts = F.struct(shape.alias("shape"), parse_side(left).alias("a"), parse_side(right).alias("b"), sep.alias("sep"))
 
-    def pack(a, b, sep, one, dang):
-        return F.struct(a.alias("from"), b.alias("to"), sep.alias("sep"), note.alias("note"),
-                        F.lit(one).alias("single"), F.lit(dang).alias("dangling"))
+    def assemble(p: Column) -> Column:
+        one = p["shape"].isin("single", "dangling")
+        end = F.when(p["shape"] == "since", _open_side()).when(one, p["a"]).otherwise(p["b"])
+        ok = p["a"].isNotNull() & ~p["a"]["is_open"] & end.isNotNull()
+        return F.struct(F.when(ok, p["a"]).alias("from"), F.when(ok, end).alias("to"), F.when(ok, p["sep"]).alias("sep"), note.alias("note"),
+                        (ok & one).alias("single"), (ok & (p["shape"] == "dangling")).alias("dangling"))
 
-    none = F.lit(None).cast("string")
-    return (F.when(s.rlike(SINCE), pack(parse_side(x(SINCE, 2)), open_side, x(SINCE, 1), False, False))
-            .when(dangling & dash_from.isNotNull(), pack(dash_from, dash_from, x(DASH_RANGE, 2), True, True))
-            .when(s.rlike(DASH_RANGE) & dash_from.isNotNull() & dash_to.isNotNull(),
-                  pack(dash_from, dash_to, x(DASH_RANGE, 2), False, False))
-            .when(s.rlike(WORD_RANGE), pack(parse_side(x(WORD_RANGE, 1)), parse_side(x(WORD_RANGE, 3)), x(WORD_RANGE, 2), False, False))
-            .when(single.isNotNull() & ~single["is_open"], pack(single, single, none, True, False))
-            .otherwise(pack(F.lit(None).cast(SIDE_TYPE), F.lit(None).cast(SIDE_TYPE), none, False, False)))
+    return let(parts, assemble)
 
 
 def month_ix(y, m) -> Column:
@@ -96,9 +104,12 @@ def latest_past(day_month: Column, read_on: Column) -> Column:
 
 def export_month(c) -> Column:
     """Export dates (``Jan 2019``, ``2019``, ``2019-01``, ``01/2019``, ``Sept 2019``) to ``Mon YYYY`` or ``YYYY``."""
-    side = parse_side(c)
-    stamp = F.make_date(side["y"], F.coalesce(side["m"], F.lit(1)), F.lit(1))
-    return F.when(side.isNull(), F.trim(col(c))).when(side["m"].isNull(), side["y"].cast("string")).otherwise(F.date_format(stamp, "MMM yyyy"))
+    def show(side: Column) -> Column:
+        stamp = F.make_date(side["y"], F.coalesce(side["m"], F.lit(1)), F.lit(1))
+        return (F.when(side.isNull() | side["is_open"], F.trim(col(c))).when(side["m"].isNull(), side["y"].cast("string"))
+                .otherwise(F.date_format(stamp, "MMM yyyy")))
+
+    return let(parse_side(c), show)
 
 
 def end_year(c) -> Column:

@@ -60,6 +60,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(c) -> Column:
     """Collapse whitespace runs to one space and trim."""
     return F.trim(F.regexp_replace(col(c), r"\s+", " "))
@@ -137,11 +142,14 @@ def lang_of(c) -> Column:
     """Arabic by letter share, else the strictly best stopword vote of two or more, else unknown."""
     letters = F.length(F.regexp_replace(col(c), r"[^\p{L}]", ""))
     arabic = F.length(F.regexp_replace(col(c), r"[^\x{0600}-\x{06FF}]", ""))
-    ballots = F.array_sort(F.array(*[
-        F.struct((-votes(c, lang)).alias("v"), F.lit(lang).alias("lang")) for lang in STOPWORDS]))
-    return (F.when((letters > 0) & (arabic * 10 > letters * 3), F.lit("ar"))
-            .when((-ballots[0]["v"] >= 2) & (ballots[0]["v"] < ballots[1]["v"]), ballots[0]["lang"])
-            .otherwise(F.lit("unknown")))
+
+    def best(words: Column) -> Column:
+        count = lambda lang: F.size(F.filter(words, lambda w: w.isin(*STOPWORDS[lang])))
+        ballots = F.array_sort(F.array(*[F.struct((-count(lang)).alias("v"), F.lit(lang).alias("lang")) for lang in STOPWORDS]))
+        return let(ballots, lambda b: F.when((b[0]["v"] <= -2) & (b[0]["v"] < b[1]["v"]), b[0]["lang"]).otherwise(F.lit("unknown")))
+
+    has_arabic = col(c).rlike(r"[\x{0600}-\x{06FF}]")
+    return F.when(has_arabic & (arabic * 10 > letters * 3), F.lit("ar")).otherwise(let(letter_words(c), best))
 
 
 def has_term(c, terms) -> Column:

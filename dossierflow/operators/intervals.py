@@ -114,7 +114,7 @@ def trailing_rate(events: DataFrame, keys: list[str], ts: str, ident: str, n: in
     """Number of earlier events of the key in the trailing window, and whether the event is over the limit.
 
     Each event is also placed in the next time bucket as context, so a window needs one (key, bucket) group only."""
-    sec = F.unix_micros(ts)
+    sec = F.unix_micros(F.col(ts).cast("timestamp"))
     width = seconds * 1_000_000
     rows = events.withColumn("_t", sec).withColumn("_b0", F.floor(sec / width))
     spread = rows.withColumn("_b", F.explode(F.array(F.col("_b0"), F.col("_b0") + 1)))
@@ -139,14 +139,16 @@ def strongest_spans(text: str, patterns: list[str]) -> Column:
     """Non-overlapping pattern hits: longest first, then earliest, then rank. ``patterns`` are lower-case literals.
     The fold runs over the hits of one text."""
     low = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", " "), F.lit(" "))
-    found = []
-    for rank, term in enumerate(patterns):
+    def hits(rank: int, term: str) -> Column:
         parts = F.split(low, f" {term} ")
-        ends = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("s")),
-                           lambda acc, p, term=term: F.struct((acc["at"] + F.length(p) + len(term) + 2).alias("at"),
-                                                              F.concat(acc["s"], F.array(acc["at"] + F.length(p))).alias("s")))["s"]
-        found.append(F.transform(ends, lambda s, term=term, rank=rank: F.struct(
-            F.lit(-len(term)).alias("neg_len"), s.alias("start"), F.lit(rank).alias("rank"), (s + len(term)).alias("end"))))
+        width = len(term)
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("s"))
+        step = lambda acc, p: F.struct((acc["at"] + F.length(p) + width + 2).alias("at"),
+                                       F.concat(acc["s"], F.array(acc["at"] + F.length(p))).alias("s"))
+        starts = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step)["s"]
+        return F.transform(starts, lambda s: F.struct(F.lit(-width).alias("neg_len"), s.alias("start"), F.lit(rank).alias("rank"), (s + width).alias("end")))
+
+    found = [hits(rank, term) for rank, term in enumerate(patterns)]
     ordered = F.array_sort(F.concat(*found))
     empty = F.array().cast("array<struct<neg_len:int,start:int,rank:int,end:int>>")
     kept = F.aggregate(ordered, empty, lambda acc, h: F.when(

@@ -8,16 +8,20 @@ from dossierflow.functions import text as tx
 from dossierflow.operators.scale import join_small, top_k
 
 
+def grams_of(text, n: int):
+    """Array of (pos, form) for every run of exactly ``n`` tokens."""
+    def build(w):
+        runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(
+            i.alias("pos"), F.array_join(F.slice(w, i + 1, n), " ").alias("form")))
+        return F.when(F.size(w) >= n, runs).otherwise(F.array().cast("array<struct<pos:int,form:string>>"))
+
+    return tx.let(tx.words(text), build)
+
+
 def grams(text, max_words: int):
-    """Array of (pos, form): every run of one to ``max_words`` tokens."""
-    w = tx.words(text)
-    sizes = []
-    for n in range(1, max_words + 1):
-        starts = F.sequence(F.lit(0), F.size(w) - n)
-        sizes.append(F.when(F.size(w) >= n, F.transform(starts, lambda i, n=n: F.struct(
-            i.alias("pos"), F.array_join(F.slice(w, i + 1, n), " ").alias("form")))).otherwise(
-                F.array().cast("array<struct<pos:int,form:string>>")))
-    return F.concat(*sizes) if len(sizes) > 1 else sizes[0]
+    """Every run of one to ``max_words`` tokens."""
+    parts = [grams_of(text, n) for n in range(1, max_words + 1)]
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
 def concept_occurrences(texts: DataFrame, keys: list[str], text: str, lexicon: DataFrame, max_words: int = 1,
