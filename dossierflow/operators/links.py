@@ -215,7 +215,8 @@ def trace_source(lines: DataFrame, pool: DataFrame, doc: str) -> DataFrame:
     ``lines``: doc, line_ix, line; ``pool``: doc, pool_ix, pool_line."""
     stems = lambda c: F.array_distinct(F.transform(tx.words(c), tx.stem))
     lt = lines.select(doc, "line_ix", F.explode(F.transform(tx.words("line"), tx.stem)).alias("s"))
-    pt = pool.select(doc, "pool_ix", F.size(stems("pool_line")).alias("n_stems"), F.explode(stems("pool_line")).alias("s"))
+    sized = pool.select(doc, "pool_ix", stems("pool_line").alias("_st"), F.size(stems("pool_line")).alias("n_stems"))
+    pt = sized.select(doc, "pool_ix", "n_stems", F.explode("_st").alias("s"))
     shared = lt.join(pt, [doc, "s"]).groupBy(doc, "line_ix", "pool_ix", "n_stems").agg(F.count(F.lit(1)).cast("int").alias("shared"))
     best = keep_first(shared, [doc, "line_ix"], [-F.col("shared"), F.col("n_stems"), F.col("pool_ix")]).drop("n_stems")
     j = lines.join(best, [doc, "line_ix"], "left").join(pool, [doc, "pool_ix"], "left")

@@ -24,8 +24,10 @@ def propose_swaps(must: DataFrame, profile_lines: DataFrame, forms: DataFrame, d
     ``must``: doc, profile, concept; ``profile_lines``: profile, line_ix, line; ``forms``: concept, other. The printed
     form's capital passes to the new word; a preceding a/an that would no longer agree drops the proposal."""
     raw = F.filter(F.split("line", RAW_WORDS), lambda w: w != "")
-    tok = profile_lines.select(profile, "line_ix", F.col("line").alias("before"), raw.alias("_w"), F.posexplode(raw).alias("pos", "synonym"))
-    tok = tok.withColumn("other", F.lower("synonym")).withColumn("_prev", F.lower(F.get(F.col("_w"), F.col("pos") - 1))).drop("_w")
+    pairs = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), raw).alias("prev"), raw.alias("word"))
+    tok = (profile_lines.select(profile, "line_ix", "line", F.posexplode(pairs).alias("pos", "_p")).where("_p.word IS NOT NULL")
+           .select(profile, "line_ix", F.col("line").alias("before"), "pos", F.col("_p.word").alias("synonym"),
+                   F.lower("_p.word").alias("other"), F.lower("_p.prev").alias("_prev")))
     shown = tok.select(profile, F.col("other").alias("concept")).distinct()
     needed = must.select(doc, profile, "concept").join(shown, [profile, "concept"], "left_anti")
     cand = join_small(needed, forms, "concept").join(tok, [profile, "other"])

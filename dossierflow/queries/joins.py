@@ -65,7 +65,8 @@ kinds AS (SELECT doc_id, line_ix, last_ix, (CASE WHEN line_ix = last_ix AND line
 
 
 def _kinds(t):
-    rows = t.documents.select("doc_id", F.size(tx.lines("text")).alias("n"), F.posexplode(tx.lines("text")).alias("line_ix", "line"))
+    ls = t.documents.select("doc_id", tx.lines("text").alias("ls"), F.size(tx.lines("text")).alias("n"))
+    rows = ls.select("doc_id", "n", F.posexplode("ls").alias("line_ix", "line"))
     last = (F.col("line_ix") == F.col("n") - 1) & (F.col("line_ix") > 0)
     return rows.withColumn("kind_rank", F.when(last, 0).when(F.col("line_ix") == 0, 2).otherwise(1))
 
