@@ -9,9 +9,9 @@ from dossierflow.functions.text import MONTH_WORDS, OPEN_WORDS, col, fold_digits
 _MONTH = "|".join(sorted((w for ws in MONTH_WORDS.values() for w in ws), key=len, reverse=True))
 _OPEN = "|".join(sorted(OPEN_WORDS, key=len, reverse=True))
 SIDE = (rf"(?:[0-9]{{1,2}}\s*[-/.]\s*[0-9]{{4}}|[0-9]{{4}}\s*[-/.]\s*[0-9]{{1,2}}|(?:{_MONTH})\.?,?\s+[0-9]{{4}}|[0-9]{{4}})")
-DASH_RANGE = rf"(?i)^({SIDE})\s*([–—-]+)\s*({SIDE}|{_OPEN})?$"
-WORD_RANGE = rf"(?i)^({SIDE})\s+(to|bis|until|till|à|a|al|au|hasta)\s+({SIDE}|{_OPEN})$"
-SINCE = rf"(?i)^(since|from|seit|depuis|desde|dal)\s+({SIDE})$"
+DASH_RANGE = rf"(?iu)^({SIDE})\s*([–—-]+)\s*({SIDE}|{_OPEN})?$"
+WORD_RANGE = rf"(?iu)^({SIDE})\s+(to|bis|until|till|à|a|al|au|hasta)\s+({SIDE}|{_OPEN})$"
+SINCE = rf"(?iu)^(since|from|seit|depuis|desde|dal)\s+({SIDE})$"
 SIDE_TYPE = "struct<y:int,m:int,fmt:string,is_open:boolean>"
 
 
@@ -53,7 +53,7 @@ def _read_side(s: Column) -> Column:
 def parse_range(c) -> Column:
     """``from``/``to`` sides, separator, bracketed note, single and dangling flags; NULL sides when unreadable."""
     return let(fold_digits(c), lambda folded: let(squeeze(F.regexp_replace(folded, r"\([^)]*\)", " ")), lambda s: _read_range(
-        s, F.array_join(F.transform(F.regexp_extract_all(folded, F.lit(r"\(([^)]*)\)"), F.lit(1)), F.trim), "; "))))
+        s, F.array_join(F.transform(F.regexp_extract_all(folded, F.lit(r"\(([^)]*)\)"), F.lit(1)), lambda x: F.trim(x)), "; "))))
 
 
 def _read_range(s: Column, note: Column) -> Column:

@@ -60,6 +60,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def java_ci(pattern: str) -> str:
+    """Case folding beyond ASCII: the JVM needs the extra flag, the check engine has it by default."""
+    return pattern.replace("(?i)", "(?iu)")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -121,7 +126,7 @@ def fold_digits(c) -> Column:
 
 def figure_runs(c) -> Column:
     """Number runs of a text that are neither glued to a letter nor part of a date nor a year."""
-    body = F.regexp_replace(F.concat(F.lit(" "), fold_digits(c), F.lit(" ")), DATE_RANGE, "$1 $2")
+    body = F.regexp_replace(F.concat(F.lit(" "), fold_digits(c), F.lit(" ")), java_ci(DATE_RANGE), "$1 $2")
     runs = F.regexp_extract_all(body, F.lit(NUMBER_RUN), F.lit(0))
     return F.filter(runs, lambda r: ~r.rlike(r"^\p{L}|\p{L}$") & ~r.rlike(YEAR_RUN))
 
@@ -155,7 +160,7 @@ def lang_of(c) -> Column:
 def has_term(c, terms) -> Column:
     """Whole-word test for any of a fixed list of terms (no ASCII-only word boundary)."""
     alt = "|".join(sorted((t.replace(".", r"\.") for t in terms), key=len, reverse=True))
-    return col(c).rlike(rf"(?i)(?:^|[^\p{{L}}\p{{N}}])(?:{alt})(?:$|[^\p{{L}}\p{{N}}])")
+    return col(c).rlike(rf"(?iu)(?:^|[^\p{{L}}\p{{N}}])(?:{alt})(?:$|[^\p{{L}}\p{{N}}])")
 
 
 # The same expressions as check SQL.

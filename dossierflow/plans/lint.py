@@ -43,7 +43,7 @@ def term_pattern(terms: Iterable[str]) -> str:
 def term_hits(c, terms: Iterable[str]) -> Column:
     """Every whole-word hit of a term list. Separators are doubled first so neighbouring hits do not share one."""
     wide = F.regexp_replace(tx.col(c), r"([^\p{L}\p{N}])", "$1$1")
-    return F.transform(F.regexp_extract_all(wide, F.lit(term_pattern(terms)), F.lit(1)), lambda h: F.regexp_replace(h, r"([^\p{L}\p{N}])\1", "$1"))
+    return F.transform(F.regexp_extract_all(wide, F.lit(tx.java_ci(term_pattern(terms))), F.lit(1)), lambda h: F.regexp_replace(h, r"([^\p{L}\p{N}])\1", "$1"))
 
 
 def term_instances(df: DataFrame, rules: list[tuple[str, str, Column, Iterable[str], Column | None]]) -> DataFrame:
@@ -72,9 +72,6 @@ def is_past(w: Column) -> Column:
     return w.endswith("ed") | w.isin(*cat.IRREGULAR_PAST)
 
 
-LINE_PATH = F.concat_ws
-
-
 def line_path() -> Column:
     return F.concat(F.lit("lines."), F.col("line_ix").cast("string"))
 
@@ -161,7 +158,7 @@ def l3_personal_data(texts: DataFrame, path: Column, text: str, rules=PERSONAL_R
     """Personal details printed in any text: every rule's hits in one pass. ``texts``: doc_id, text."""
     per = []
     for check, kind, pattern in rules:
-        per.append(F.transform(F.regexp_extract_all(tx.fold_digits(text), F.lit(pattern), F.lit(1)), _packer(check, "high", path)))
+        per.append(F.transform(F.regexp_extract_all(tx.fold_digits(text), F.lit(tx.java_ci(pattern)), F.lit(1)), _packer(check, "high", path)))
     return texts.select("doc_id", F.explode(F.concat(*per)).alias("i")).select("doc_id", "i.*")
 
 
@@ -201,7 +198,7 @@ DANGLING = r"^[—–\-|·,/]|[—–\-|·,/]$|[—–\-|·,/]\s*[—–\-|·,/]
 def l4_shapes_roles(roles: DataFrame, places: Iterable[str], today_ix: int) -> DataFrame:
     """EXP-02, EXP-03, EXP-04, EXP-06, EXP-12, ATS-02 over roles with their parsed dates (``pd``)."""
     at = lambda f: F.concat(F.lit("roles."), F.col("role_ix").cast("string"), F.lit("." + f))
-    only_place = lambda c: F.trim(F.regexp_replace(tx.col(c), term_pattern(places), " ")).rlike(r"^[\s,/&|·—–-]*(?:and|und)?[\s,/&|·—–-]*$") & tx.has_term(c, places)
+    only_place = lambda c: F.trim(F.regexp_replace(tx.col(c), tx.java_ci(term_pattern(places)), " ")).rlike(r"^[\s,/&|·—–-]*(?:and|und)?[\s,/&|·—–-]*$") & tx.has_term(c, places)
     pd = F.col("pd")
     e, l = dt.early_ix(pd["from"], today_ix), dt.late_ix(pd["to"], today_ix)
     probe = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r"(\p{L})-(\p{L})", "$1_$2"), r"([0-9])[-/.]([0-9])", "$1_$2")
@@ -247,7 +244,7 @@ def l5_lengths(docs: DataFrame) -> DataFrame:
         rule("HL-04", n_head > 90, "headline", sev=F.when(n_head > 120, "med").otherwise("low")),
         rule("SUM-02", ~blank("summary") & off, "summary", sev=F.when(far, "med").otherwise("low")),
         rule("SUM-09", ~blank("summary") & ~tx.has_figure("summary") & ~tx.has_term("summary", ("staff", "team", "division", "founded", "promoted", "companies")), "summary"),
-        rule("MET-01", (n >= 3) & (F.floor((200 * figs + n) / (2 * n)) < 40), "experience"),
+        rule("MET-01", (n >= 3) & (F.floor((200 * figs + n) / (2 * F.greatest(n, F.lit(1)))) < 40), "experience"),
         rule("SKL-03", (n_skills == 0) | ~n_skills.between(5, 12), "skills", sev=F.when(n_skills == 0, "med").otherwise("low")),
         rule("MKT-04", total > F.when(F.col("career_years") >= 8, 950).otherwise(550), "experience")])
     lines = docs.select("doc_id", F.explode(long_lines).alias("x")).select(
@@ -448,7 +445,7 @@ def quick_review(docs: DataFrame, openers=cat.JD_OPENERS, buzzwords=cat.BUZZWORD
     b = F.col("bullets")
     n = F.size(b)
     figs = F.size(F.filter(b, lambda x: tx.has_figure(x)))
-    pct = F.floor((200 * figs + n) / (2 * n))
+    pct = F.floor((200 * figs + n) / (2 * F.greatest(n, F.lit(1))))
     weak = F.size(F.filter(b, lambda x: tx.norm(x).rlike("^(?:" + "|".join(openers) + ")(?: |$)")))
     hay = tx.padded(F.concat_ws(" ", F.array_join(b, " "), "summary"))
     buzz = sum((F.contains(hay, F.lit(f" {w} ")).cast("int") for w in (t.replace("-", " ") for t in buzzwords)), F.lit(0))
@@ -456,7 +453,7 @@ def quick_review(docs: DataFrame, openers=cat.JD_OPENERS, buzzwords=cat.BUZZWORD
     sw = tx.word_count(F.coalesce("summary", F.lit("")))
     first = F.array_sort(F.filter(F.transform(b, first_word), lambda w: F.length(w) > 3))
     repeated = F.exists(first, lambda w: F.size(F.filter(first, lambda v: v == w)) >= 3)
-    personal = F.col("raw").rlike(_L(cat.NATIONALITY_LABELS + cat.BIRTH_LABELS + cat.MARITAL_LABELS + cat.RELIGION_LABELS))
+    personal = F.col("raw").rlike(tx.java_ci(_L(cat.NATIONALITY_LABELS + cat.BIRTH_LABELS + cat.MARITAL_LABELS + cat.RELIGION_LABELS)))
     sev = {
         "figures": F.when((n > 0) & (pct < 20), "high").when((n > 0) & (pct < 50), "med"),
         "openers": F.when(weak > 2, "high").when(weak > 0, "med"),
