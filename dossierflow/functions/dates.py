@@ -60,11 +60,13 @@ def _read_range(s: Column, note: Column) -> Column:
     x = lambda pattern, g: F.regexp_extract(s, pattern, g)
     shape = (F.when(s.rlike(SINCE), "since").when(s.rlike(DASH_RANGE), F.when(x(DASH_RANGE, 3) == "", "dangling").otherwise("dash"))
              .when(s.rlike(WORD_RANGE), "word").otherwise("single"))
-    left = (F.when(shape == "since", x(SINCE, 2)).when(shape.isin("dash", "dangling"), x(DASH_RANGE, 1))
-            .when(shape == "word", x(WORD_RANGE, 1)).otherwise(s))
-    right = F.when(shape == "dash", x(DASH_RANGE, 3)).when(shape == "word", x(WORD_RANGE, 3))
-    sep = (F.when(shape == "since", x(SINCE, 1)).when(shape.isin("dash", "dangling"), x(DASH_RANGE, 2)).when(shape == "word", x(WORD_RANGE, 2)))
-    parts = F.struct(shape.alias("shape"), parse_side(left).alias("a"), parse_side(right).alias("b"), sep.alias("sep"))
+
+    def cut(shape: Column) -> Column:
+        left = (F.when(shape == "since", x(SINCE, 2)).when(shape.isin("dash", "dangling"), x(DASH_RANGE, 1))
+                .when(shape == "word", x(WORD_RANGE, 1)).otherwise(s))
+        right = F.when(shape == "dash", x(DASH_RANGE, 3)).when(shape == "word", x(WORD_RANGE, 3))
+        sep = (F.when(shape == "since", x(SINCE, 1)).when(shape.isin("dash", "dangling"), x(DASH_RANGE, 2)).when(shape == "word", x(WORD_RANGE, 2)))
+        return F.struct(shape.alias("shape"), parse_side(left).alias("a"), parse_side(right).alias("b"), sep.alias("sep"))
 
     def assemble(p: Column) -> Column:
         one = p["shape"].isin("single", "dangling")
@@ -73,7 +75,7 @@ def _read_range(s: Column, note: Column) -> Column:
         return F.struct(F.when(ok, p["a"]).alias("from"), F.when(ok, end).alias("to"), F.when(ok, p["sep"]).alias("sep"), note.alias("note"),
                         (ok & one).alias("single"), (ok & (p["shape"] == "dangling")).alias("dangling"))
 
-    return let(parts, assemble)
+    return let(let(shape, cut), assemble)
 
 
 def month_ix(y, m) -> Column:

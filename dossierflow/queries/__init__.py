@@ -1,7 +1,7 @@
 """Bindings of the operators to the given tables, each with its check SQL."""
 from importlib import import_module
 
-FAMILIES = ("pages", "filters", "listings", "intervals", "joins", "aggregates", "merges", "messages", "lint", "scalars")
+FAMILIES = ("pages", "filters", "listings", "intervals", "joins", "aggregates", "merges", "scalars", "messages", "lint", "ingest")
 
 
 def load_all() -> None:
