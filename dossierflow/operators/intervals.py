@@ -110,10 +110,11 @@ def count_band(ranked: DataFrame, rank: str, count: str) -> DataFrame:
             .where(F.col("sev").isNotNull()))
 
 
-def trailing_rate(events: DataFrame, keys: list[str], ts: str, ident: str, n: int, seconds: int) -> DataFrame:
+def trailing_rate(events: DataFrame, keys: list[str], ts: str, ident: str, n: int, seconds: int, with_opening: bool = False) -> DataFrame:
     """Number of earlier events of the key in the trailing window, and whether the event is over the limit.
 
-    Each event is also placed in the next time bucket as context, so a window needs one (key, bucket) group only."""
+    Each event is also placed in the next time bucket as context, so a window needs one (key, bucket) group only.
+    ``with_opening`` adds whether no event at an earlier instant lies in the window."""
     sec = F.unix_micros(F.col(ts).cast("timestamp"))
     width = seconds * 1_000_000
     rows = events.withColumn("_t", sec).withColumn("_b0", F.floor(sec / width))
@@ -123,7 +124,11 @@ def trailing_rate(events: DataFrame, keys: list[str], ts: str, ident: str, n: in
     # events at the same instant are ordered by id, so only lower ids count as earlier
     same = W.partitionBy(*keys, "_b", "_t").orderBy(F.col(ident).desc())
     earlier = F.col("_n") - F.row_number().over(same)
-    return counted.select(*events.columns, earlier.cast("int").alias("n_before"), (earlier >= n).alias("rejected"))
+    extra = []
+    if with_opening:
+        instant = F.count(F.lit(1)).over(W.partitionBy(*keys, "_b", "_t"))
+        extra = [(F.col("_n") == instant).alias("opening")]
+    return counted.select(*events.columns, earlier.cast("int").alias("n_before"), (earlier >= n).alias("rejected"), *extra)
 
 
 def weakest_lines(lines: DataFrame, key: str, k: int = 3) -> DataFrame:

@@ -59,3 +59,8 @@ def must_have_top(candidates: DataFrame, key: str, k: int = 3) -> DataFrame:
     ``candidates``: key, concept, must, n_hits, in_title, first_pos, lex_order."""
     return top_k(candidates, [key], [F.col("must").desc(), F.col("n_hits").desc(), F.col("in_title").desc(),
                                      F.col("first_pos"), F.col("lex_order")], k)
+
+
+def custom_tags(df: DataFrame, text: str, tagger, column: str = "tags") -> DataFrame:
+    """Hook for a caller's own tagger: a vectorised ``Series -> Series`` of string lists, run in Arrow batches."""
+    return df.withColumn(column, F.pandas_udf(tagger, "array<string>")(text))

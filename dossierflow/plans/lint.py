@@ -40,10 +40,14 @@ def term_pattern(terms: Iterable[str]) -> str:
     return rf"(?i)(?:^|[^\p{{L}}\p{{N}}])({alt})(?:$|[^\p{{L}}\p{{N}}])"
 
 
+SEPARATORS = r"([\s,;/|·.])"
+
+
 def term_hits(c, terms: Iterable[str]) -> Column:
-    """Every whole-word hit of a term list. Separators are doubled first so neighbouring hits do not share one."""
-    wide = F.regexp_replace(tx.col(c), r"([^\p{L}\p{N}])", "$1$1")
-    return F.transform(F.regexp_extract_all(wide, F.lit(tx.java_ci(term_pattern(terms))), F.lit(1)), lambda h: F.regexp_replace(h, r"([^\p{L}\p{N}])\1", "$1"))
+    """Every whole-word hit of a term list. Separators are doubled first so neighbouring hits do not share one
+    (not ``&`` and ``-``, which are part of terms)."""
+    wide = F.regexp_replace(tx.col(c), SEPARATORS, "$1$1")
+    return F.transform(F.regexp_extract_all(wide, F.lit(tx.java_ci(term_pattern(terms))), F.lit(1)), lambda h: F.regexp_replace(h, SEPARATORS + r"\1", "$1"))
 
 
 def term_instances(df: DataFrame, rules: list[tuple[str, str, Column, Iterable[str], Column | None]]) -> DataFrame:

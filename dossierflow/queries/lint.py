@@ -54,7 +54,7 @@ def q_rules(src: str, rules) -> str:
 
 
 def q_hits(x: str, words) -> str:
-    return rf"regexp_extract_all(regexp_replace({x}, '([^\p{{L}}\p{{N}}])', '\1\1', 'g'), {q_str(li.term_pattern(words))}, 1)"
+    return rf"regexp_extract_all(regexp_replace({x}, {q_str(li.SEPARATORS)}, '\1\1', 'g'), {q_str(li.term_pattern(words))}, 1)"
 
 
 def q_terms(src: str, rules) -> str:

@@ -37,9 +37,9 @@ def admit_batch(events: DataFrame, key: str, ts: str, ident: str, n: int, second
     A pause of a whole window empties the limiter, so a key is cut at its pauses and its segments run on
     different tasks; inside a segment rows stream through in time order and only ``n`` times are held."""
     width = seconds * 1_000_000
-    marked = (trailing_rate(events.select(key, ts, ident), [key], ts, ident, n, seconds)
+    marked = (trailing_rate(events.select(key, ts, ident), [key], ts, ident, n, seconds, with_opening=True)
               .withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))))
-    opening = F.when(F.col("n_before") == 0, F.col("_t"))
+    opening = F.when(F.col("opening"), F.col("_t"))
     seg = bucketed_last(marked, [key], "_t", opening, "_prev", span=width * 64)
     rows = (seg.withColumn("_seg", F.coalesce(opening, F.col("_prev"))).select(key, ident, "_t", "_seg")
             .repartition(F.col(key), F.col("_seg")).sortWithinPartitions(key, "_seg", "_t", ident))
