@@ -47,20 +47,17 @@ def overlap_counts(roles: DataFrame, key: str, role: str, min_months: int = 2) -
     d = min_months - 1
     long = roles.where(F.col("to_ix") - F.col("from_ix") >= d)
     distinct = long.groupBy(key, "from_ix", "to_ix").agg(F.count(F.lit(1)).alias("_n"))
-    starts = distinct.select(key, F.col("from_ix").alias("m"), F.col("_n").alias("s"), F.lit(0).cast("long").alias("e"))
-    ends = distinct.select(key, (F.col("to_ix") + 1).alias("m"), F.lit(0).cast("long").alias("s"), F.col("_n").alias("e"))
-    asks = (distinct.select(key, (F.col("to_ix") - d).alias("m")).unionByName(distinct.select(key, (F.col("from_ix") + d).alias("m")))
-            .distinct().select(key, "m", F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("e")))
-    marks = starts.unionByName(ends).unionByName(asks).groupBy(key, "m").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
-    w = W.partitionBy(key).orderBy("m").rowsBetween(W.unboundedPreceding, 0)
-    totals = marks.select(key, "m", F.sum("s").over(w).alias("started"), F.sum("e").over(w).alias("ended"))
-    a = totals.select(key, F.col("m").alias("_ma"), F.col("started"))
-    b = totals.select(key, F.col("m").alias("_mb"), F.col("ended"))
-    per = (distinct.withColumn("_ma", F.col("to_ix") - d).join(a, [key, "_ma"])
-           .withColumn("_mb", F.col("from_ix") + d).join(b, [key, "_mb"])
-           .select(key, "from_ix", "to_ix", (F.col("started") - F.col("ended") - 1).alias("n_overlaps")))
-    return (long.join(per, [key, "from_ix", "to_ix"]).where("n_overlaps > 0")
-            .select(key, role, "from_ix", "to_ix", "n_overlaps"))
+    zero = F.lit(0).cast("long")
+    mark = lambda m, s, e, ask: F.struct(m.alias("m"), s.alias("s"), e.alias("e"), F.lit(ask).alias("ask"))
+    marks = distinct.select(key, "from_ix", "to_ix", F.explode(F.array(
+        mark(F.col("from_ix"), F.col("_n"), zero, ""), mark(F.col("to_ix") + 1, zero, F.col("_n"), ""),
+        mark(F.col("to_ix") - d, zero, zero, "started"), mark(F.col("from_ix") + d, zero, zero, "ended"))).alias("x"))
+    w = W.partitionBy(key).orderBy("x.m").rangeBetween(W.unboundedPreceding, 0)
+    totals = marks.select(key, "from_ix", "to_ix", "x.ask", F.sum("x.s").over(w).alias("started"), F.sum("x.e").over(w).alias("ended"))
+    per = (totals.where("ask <> ''").groupBy(key, "from_ix", "to_ix")
+           .agg((F.max(F.when(F.col("ask") == "started", F.col("started"))) - F.max(F.when(F.col("ask") == "ended", F.col("ended"))) - 1).alias("n_overlaps"))
+           .where("n_overlaps > 0"))
+    return long.join(per, [key, "from_ix", "to_ix"]).select(key, role, "from_ix", "to_ix", "n_overlaps")
 
 
 def covered_years(roles: DataFrame, key: str, today_ix: int, is_open: Column) -> DataFrame:

@@ -141,12 +141,16 @@ def near_duplicate_lines(lines: DataFrame, doc: str, ix: str, line: str) -> Data
     long = F.array_distinct(F.filter(tx.letter_words("norm"), lambda w: F.length(w) >= 4))
     ordered = F.transform(F.array_sort(F.transform(long, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda x: x["w"])
     sets = first.select(doc, F.col("_first").alias(ix), ordered.alias("s")).where(F.size("s") >= 5)
-    keyed = sets.withColumn("k", F.explode(F.slice("s", F.lit(1), (F.size("s") - F.ceil(F.size("s") * 0.8) + 1).cast("int"))))
-    a = keyed.select(doc, F.col(ix).alias("a"), F.col("s").alias("sa"), "k")
-    b = keyed.select(doc, F.col(ix).alias("b"), F.col("s").alias("sb"), "k")
-    small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
+    n = F.size("s")
+    keyed = sets.select(doc, ix, n.alias("n"), F.slice("s", F.lit(1), (n - F.ceil(n * 0.8) + 1).cast("int")).alias("p")).select(doc, ix, "n", F.explode("p").alias("k"))
+    a = keyed.select(doc, F.col(ix).alias("a"), F.col("n").alias("na"), "k")
+    b = keyed.select(doc, F.col(ix).alias("b"), F.col("n").alias("nb"), "k")
+    # only positions and sizes travel through the candidate join; word sets join the few that remain
+    cand = (a.join(b, [doc, "k"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") * 10 >= F.greatest("na", "nb") * 8))
+            .select(doc, "a", "b").distinct())
     shared = F.size(F.array_intersect("sa", "sb"))
-    near = (a.join(b, [doc, "k"]).where((F.col("a") < F.col("b")) & (small * 10 >= large * 8))
+    near = (cand.join(sets.select(doc, F.col(ix).alias("a"), F.col("s").alias("sa")), [doc, "a"])
+            .join(sets.select(doc, F.col(ix).alias("b"), F.col("s").alias("sb")), [doc, "b"])
             .where(shared * 10 >= (F.size("sa") + F.size("sb") - shared) * 8)
             .groupBy(doc, F.col("b").alias("line_ix")).agg(F.min("a").alias("partner_ix"))
             .withColumn("kind", F.lit("near")))

@@ -5,38 +5,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossierflow.functions import text as tx
-from dossierflow.operators.scale import join_small, keep_first
+from dossierflow.operators.scale import join_small
 
 RAW_WORDS = r"[^\p{L}\p{N}]+"
 
 
-def same_meaning(lexicon: DataFrame, group) -> DataFrame:
-    """(concept, other): forms a swap may exchange, from the group expression; groups are small lexicon rows.
-
-    ``group`` names one form group per concept; a concept meets only the group's members."""
-    g = lexicon.select("concept", group.alias("g"))
-    return g.join(g.select(F.col("concept").alias("other"), "g"), "g").where("concept <> other").select("concept", "other")
-
-
-def propose_swaps(must: DataFrame, profile_lines: DataFrame, forms: DataFrame, doc: str, profile: str) -> DataFrame:
+def propose_swaps(must: DataFrame, profile_lines: DataFrame, groups: DataFrame, doc: str, profile: str) -> DataFrame:
     """First line of the profile that prints a same-meaning form of a must-have it does not print itself.
 
-    ``must``: doc, profile, concept; ``profile_lines``: profile, line_ix, line; ``forms``: concept, other. The printed
-    form's capital passes to the new word; a preceding a/an that would no longer agree drops the proposal."""
+    ``must``: doc, profile, concept; ``profile_lines``: profile, line_ix, line; ``groups``: concept, g (forms of one
+    meaning share ``g``). The printed form's capital passes to the new word; a preceding a/an that would no longer
+    agree drops the proposal. The profile's first printed form per group is found once for words that start with a
+    vowel and once for the others, so no pair of forms is ever made."""
     raw = F.filter(F.split("line", RAW_WORDS), lambda w: w != "")
     pairs = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), raw).alias("prev"), raw.alias("word"))
     tok = (profile_lines.select(profile, "line_ix", "line", F.posexplode(pairs).alias("pos", "_p")).where("_p.word IS NOT NULL")
            .select(profile, "line_ix", F.col("line").alias("before"), "pos", F.col("_p.word").alias("synonym"),
-                   F.lower("_p.word").alias("other"), F.lower("_p.prev").alias("_prev")))
-    shown = tok.select(profile, F.col("other").alias("concept")).distinct()
-    needed = must.select(doc, profile, "concept").join(shown, [profile, "concept"], "left_anti")
-    cand = join_small(needed, forms, "concept").join(tok, [profile, "other"])
-    vowel = F.col("concept").rlike("^[aeiou]")
-    agrees = F.coalesce(~((F.col("_prev") == "a") & vowel) & ~((F.col("_prev") == "an") & ~vowel), F.lit(True))
-    to = F.when(F.col("synonym").rlike(r"^\p{Lu}"), F.initcap("concept")).otherwise(F.col("concept"))
-    rows = cand.where(agrees).select(doc, profile, "concept", "line_ix", "pos", "synonym", to.alias("to"),
-                                     F.md5(F.concat_ws("|", "concept", F.col(profile).cast("string"), "before", F.col("pos").cast("string"), "synonym")).alias("swap_id"))
-    return keep_first(rows, [doc, "concept"], [F.col("line_ix"), F.col("pos"), F.col("synonym")])
+                   F.lower("_p.word").alias("concept"), F.coalesce(F.lower("_p.prev"), F.lit("")).alias("_prev")))
+    shown = tok.select(profile, "concept").distinct()
+    needed = join_small(must.select(doc, profile, "concept").join(shown, [profile, "concept"], "left_anti"), groups, "concept")
+    form = F.struct("line_ix", "pos", "synonym", "before")
+    first = join_small(tok, groups, "concept").groupBy(profile, "g").agg(
+        F.min(F.when(F.col("_prev") != "a", form)).alias("_vowel"), F.min(F.when(F.col("_prev") != "an", form)).alias("_other"))
+    f = F.when(F.col("concept").rlike("^[aeiou]"), F.col("_vowel")).otherwise(F.col("_other"))
+    rows = needed.join(first, [profile, "g"]).withColumn("_f", f).where(F.col("_f").isNotNull())
+    to = F.when(F.col("_f.synonym").rlike(r"^\p{Lu}"), F.initcap("concept")).otherwise(F.col("concept"))
+    key = F.concat_ws("|", "concept", F.col(profile).cast("string"), "_f.before", F.col("_f.pos").cast("string"), "_f.synonym")
+    return rows.select(doc, profile, "concept", "_f.line_ix", "_f.pos", "_f.synonym", to.alias("to"), F.md5(key).alias("swap_id"))
 
 
 def keyword_report(must: DataFrame, profile_tokens: DataFrame, swaps: DataFrame, doc: str, profile: str) -> DataFrame:

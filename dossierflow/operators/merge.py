@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossierflow.functions import text as tx
@@ -25,7 +26,7 @@ def minimal_overlay(base: DataFrame, edited: DataFrame, key: str) -> DataFrame:
     fields = [c for c in base.columns if c != key]
     j = edited.join(base.select(key, *[F.col(f).alias(f"_{f}") for f in fields]), key)
     out = j.select(key, *[F.when(~F.col(f).eqNullSafe(F.col(f"_{f}")), F.col(f)).alias(f) for f in fields])
-    return out.where(F.coalesce(*[F.col(f).isNotNull() & F.lit(True) if False else F.when(F.col(f).isNotNull(), F.lit(True)) for f in fields], F.lit(False)))
+    return out.where(" OR ".join(f"`{f}` IS NOT NULL" for f in fields))
 
 
 def same_duty(x: Column, y: Column, min_chars: int = 40) -> Column:
@@ -71,7 +72,6 @@ def diff_versions(new: DataFrame, old: DataFrame, doc: str) -> DataFrame:
     """Rows removed, added, edited (same place, other text) or moved (same text, other parent).
 
     ``new``/``old``: doc, parent, pos, text; equal texts pair up in order."""
-    from pyspark.sql import Window as W
     key = tx.norm("text")
     nth = lambda df: df.withColumn("_k", key).withColumn("_n", F.row_number().over(W.partitionBy(doc, "_k").orderBy("parent", "pos")))
     n, o = nth(new), nth(old)
@@ -86,7 +86,8 @@ def diff_versions(new: DataFrame, old: DataFrame, doc: str) -> DataFrame:
         rest.select(doc, change.alias("change"), F.col("p").alias("parent"), F.col("q").alias("pos")))
 
 
-def document_text(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """Ordered sections of a record to one text."""
+def document_text(rows: DataFrame, key: str, order: str, text: str, part_rows: int = 1000) -> DataFrame:
+    """Ordered sections of a record to text, in parts of at most ``part_rows`` rows (an ordinary record is one part)."""
     packed = F.array_sort(F.collect_list(F.struct(order, text)))
-    return rows.groupBy(key).agg(F.array_join(F.transform(packed, lambda x: x[text]), "\n").alias("body"))
+    return (rows.groupBy(key, F.floor(F.col(order) / part_rows).alias("part"))
+            .agg(F.array_join(F.transform(packed, lambda x: x[text]), "\n").alias("body")))

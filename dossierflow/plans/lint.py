@@ -17,6 +17,7 @@ from dossierflow.functions import dates as dt
 from dossierflow.functions import text as tx
 from dossierflow.operators import intervals as iv
 from dossierflow.operators import links as lk
+from dossierflow.operators.scale import join_small
 from dossierflow.plans import catalogue as cat
 
 Rule = tuple[str, Column, Column, Column]  # check id, severity (NULL = passes), path, hit
@@ -544,5 +545,5 @@ def title_mismatch(headlines: DataFrame, targets: DataFrame, near: DataFrame) ->
     pairs = near.select(F.col("a").alias("family"), F.col("b").alias("target")).unionByName(
         near.select(F.col("b").alias("family"), F.col("a").alias("target"))).unionByName(
         near.select(F.col("a").alias("family"), F.col("a").alias("target"))).unionByName(near.select(F.col("b").alias("family"), F.col("b").alias("target"))).distinct()
-    ok = headlines.join(F.broadcast(pairs), "family").select("doc_id", F.col("target").alias("family")).distinct()
+    ok = join_small(headlines, pairs, "family").select("doc_id", F.col("target").alias("family")).distinct()
     return targets.join(ok, ["doc_id", "family"], "left_anti")

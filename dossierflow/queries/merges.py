@@ -139,6 +139,6 @@ def _(t):
     return msgs.join(forget, "key", "left_anti").select("conv_id", "turn")
 
 
-@query("h12_document_text", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1")
+@query("h12_document_text", "SELECT conv_id, turn // 1000 AS part, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1, 2")
 def _(t):
     return mg.document_text(t.conversations, "conv_id", "turn", "text")

@@ -12,6 +12,21 @@ TABLE_NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "li
                "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+SPREAD_ABOVE, SPREAD_BELOW = 1 << 20, 256 << 20
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give a small table read from a few files one partition per core.
+
+    A table of one row group would put all text work on one task. Tables of 256 MB or more have enough files and
+    row groups of their own and are read as they are, without a shuffle."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if SPREAD_ABOVE <= size < SPREAD_BELOW and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
+
+
 class Tables:
     """Lazy access to one directory of parquet tables."""
 
@@ -22,7 +37,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLE_NAMES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread_small(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
 
     @cached_property
     def lexicon(self) -> DataFrame:
