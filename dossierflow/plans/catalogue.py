@@ -87,6 +87,30 @@ NEAR_PAIRS = (("exec", "vp"), ("exec", "owner"), ("exec", "director"), ("exec",
               ("officer", "advisor"), ("officer", "staff"), ("staff", "entry"))
 
 
+# Title classes of one rank across languages, and the classes a held one supports in a headline.
+RANK_CLASSES = (
+    ("md", ("managing director", "geschäftsführer", "geschäftsführerin", "directeur général", "director general")), ("gm", ("general manager",)),
+    ("ceo", ("ceo", "chief executive officer", "chief executive")), ("cfo", ("cfo", "chief financial officer")), ("coo", ("coo", "chief operating officer")),
+    ("cto", ("cto", "chief technology officer")), ("cmo", ("cmo", "chief marketing officer")), ("cio", ("cio", "chief information officer")),
+    ("mp", ("managing partner",)), ("vp", ("vice president", "vp", "vizepräsident")), ("president", ("president", "präsident", "président", "presidente")),
+    ("chairman", ("chairman", "chairwoman", "chairperson", "vorsitzender", "vorsitzende")), ("chair", ("chair",)),
+    ("founder", ("founder", "gründer", "gründerin", "fondateur", "fundador")), ("owner", ("owner", "inhaber", "inhaberin", "propriétaire")),
+    ("partner", ("partner", "gesellschafter")), ("director", ("director", "direktor", "direktorin", "directeur", "directora")),
+    ("manager", ("manager", "managerin", "leiter", "leiterin", "gérant", "gerente")), ("head", ("head",)), ("chief", ("chief",)), ("officer", ("officer",)),
+    ("advisor", ("advisor", "adviser", "advisory", "berater", "conseiller", "asesor")), ("consultant", ("consultant", "berater")),
+    ("principal", ("principal",)), ("lead", ("lead",)), ("supervisor", ("supervisor",)))
+COVERS = (("md", ("director",)), ("ceo", ("md", "gm", "director", "chief", "officer")), ("cfo", ("chief", "officer", "director")), ("coo", ("chief", "officer", "director")),
+          ("cto", ("chief", "officer", "director")), ("cmo", ("chief", "officer", "director")), ("cio", ("chief", "officer", "director")), ("mp", ("partner",)),
+          ("president", ("vp",)), ("chairman", ("chair",)), ("gm", ("manager",)))
+BINDING = ("deputy", "assistant", "associate", "acting", "junior", "trainee", "stellvertretend", "stellvertretender", "stellvertretende", "kommissarisch")
+NOT_GERMAN_DATES = ("present", "current", "today", "since", "mar", "may", "oct", "dec", "march", "october", "december")
+NOT_ENGLISH_DATES = ("heute", "aktuell", "seit", "mrz", "mär", "märz", "mai", "okt", "dez", "janvier", "février", "mars", "avril", "juin", "juillet", "août",
+                     "septembre", "octobre", "novembre", "décembre", "aujourd'hui", "depuis", "enero", "febrero", "marzo", "abril", "mayo", "junio", "julio",
+                     "agosto", "septiembre", "octubre", "noviembre", "diciembre", "actualidad", "desde", "hasta")
+HONORIFIC = r"(?:^|[^\p{L}])((?:Mr|Mrs|Ms|Dr|Herr|Frau|Prof)\.?\s+\p{Lu}\p{L}*)"
+NAME_PAIR = r"[\p{L}\p{N},;:]\s+((?!References?|Referenzen|Written|Available|Request)\p{Lu}\p{Ll}+\s+\p{Lu}\p{Ll}+)"
+
+
 def checks() -> list[tuple[str, str, str, str, bool, bool]]:
     """(check_id, part, section, severity, gate, deferred) for every check."""
     rows = []

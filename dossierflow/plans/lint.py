@@ -303,6 +303,64 @@ def l6_consistency_docs(docs: DataFrame, dial: dict[str, str], place_country: di
         rule("SUM-06", F.coalesce(years > F.col("career_years"), F.lit(False)), "summary", years.cast("string"))])
 
 
+def title_classes(text) -> Column:
+    """Rank classes a title names."""
+    return F.array_compact(F.array(*[F.when(tx.has_term(text, terms), F.lit(c)) for c, terms in cat.RANK_CLASSES]))
+
+
+def l6_titles_never_held(docs: DataFrame, roles: DataFrame) -> DataFrame:
+    """HL-02: a rank in the headline that no held title carries or covers. A held "Deputy ..." supports only a headline that says so too."""
+    covers = F.create_map(*[x for c, _ in cat.RANK_CLASSES for x in (
+        F.lit(c), F.array(F.lit(c), *[F.lit(k) for k in dict(cat.COVERS).get(c, ())]))])
+    bound = tx.has_term("title", cat.BINDING)
+    per = roles.select("doc_id", bound.alias("_b"), F.explode(title_classes("title")).alias("_c")).select(
+        "doc_id", "_b", F.explode(F.try_element_at(covers, F.col("_c"))).alias("_c"))
+    held = per.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("_b"), F.col("_c"))).alias("_free"), F.collect_set("_c").alias("_any"))
+    j = docs.select("doc_id", "headline", title_classes("headline").alias("_h")).join(held, "doc_id", "left")
+    empty = F.array().cast("array<string>")
+    have = F.when(tx.has_term("headline", cat.BINDING), F.coalesce("_any", empty)).otherwise(F.coalesce("_free", empty))
+    claims = j.select("doc_id", F.array_except("_h", have).alias("_x"))
+    return claims.select("doc_id", F.lit("HL-02").alias("check_id"), F.lit("high").alias("sev"), F.lit("headline").alias("path"), F.explode("_x").alias("hit"))
+
+
+def l6_orphan_places(docs: DataFrame, lines: DataFrame, alias: DataFrame, members: DataFrame, places: Iterable[str]) -> DataFrame:
+    """SUM-08: a place of the summary whose country (or any country of its region) no line names.
+
+    ``alias``: place, country, meta (lower case); ``places``: the aliases to look for."""
+    names = lambda c: F.array_distinct(F.transform(term_hits(c, places), F.lower))
+    claims = docs.select("doc_id", F.explode(names("summary")).alias("place")).withColumn("claim_id", F.concat_ws("|", F.col("doc_id").cast("string"), "place"))
+    named = lines.select("doc_id", F.explode(names("text")).alias("place"))
+    out = lk.orphan_places(claims, named, alias, members, "doc_id")
+    return out.select("doc_id", F.lit("SUM-08").alias("check_id"), F.lit("med").alias("sev"), F.lit("summary").alias("path"), F.col("place").alias("hit"))
+
+
+def l2_date_words(docs: DataFrame, roles: DataFrame) -> DataFrame:
+    """DOC-03: date words, or levels in the languages line, of another language than the document's. ``roles`` carry ``doc_lang``."""
+    at = F.concat(F.lit("roles."), F.col("role_ix").cast("string"), F.lit(".dates"))
+    wrong = F.when(F.col("doc_lang") == "de", F.get(term_hits("dates", cat.NOT_GERMAN_DATES), F.lit(0))).when(
+        F.col("doc_lang") == "en", F.get(term_hits("dates", cat.NOT_ENGLISH_DATES), F.lit(0)))
+    level = F.when(F.col("doc_lang") == "de", tx.has_term("langs", ("native", "fluent", "mother tongue"))).when(
+        F.col("doc_lang") == "en", tx.has_term("langs", ("muttersprache", "verhandlungssicher", "fließend")))
+    return instances(roles, [rule("DOC-03", wrong.isNotNull(), at, wrong)]).unionByName(
+        instances(docs, [rule("DOC-03", F.coalesce(level, F.lit(False)), "langs", F.col("langs"))]))
+
+
+def l3_references(docs: DataFrame) -> DataFrame:
+    """REF-01 (contact details of a referee) and REF-03 (a referee is named) in the references line."""
+    refs = F.coalesce("refs", F.lit(""))
+    contact = (F.size(ct.emails(refs)) > 0) | F.regexp_replace(refs, r"[\s-]", "").rlike("[0-9]{7,}") | tx.has_term(refs, ("tel", "phone", "mobile", "telefon", "handy", "whatsapp"))
+    name = F.coalesce(F.nullif(F.regexp_extract(refs, cat.HONORIFIC, 1), F.lit("")), F.nullif(F.regexp_extract(refs, cat.NAME_PAIR, 1), F.lit("")))
+    return instances(docs, [rule("REF-01", contact, "refs", refs), rule("REF-03", name.isNotNull(), "refs", name)])
+
+
+def recent_roles_without_figure(lines: DataFrame) -> DataFrame:
+    """MET-02: the three newest roles with lines but no figure in any; each becomes a question. ``lines``: doc_id, role_ix, recency, text, is_template."""
+    own = lines.where((F.col("recency") <= 2) & ~F.col("is_template"))
+    return (own.groupBy("doc_id", "role_ix", "recency").agg(F.bool_or(tx.has_figure("text")).alias("_f")).where("NOT _f")
+            .select("doc_id", F.concat(F.lit("MET-02|"), F.col("role_ix").cast("string")).alias("key"), F.lit(False).alias("gate"), "recency",
+                    F.lit(True).alias("is_figure"), F.col("role_ix").alias("role"), F.col("role_ix").alias("pos")))
+
+
 def l7_pairs(roles: DataFrame, key: str, role: str) -> DataFrame:
     """EXP-07 (stored order) and EXP-08 (overlap of two months or more) over roles with month bounds."""
     over = iv.overlap_counts(roles, key, role)

@@ -110,6 +110,17 @@ def _(t):
     return li.l3_contact_patterns(t.documents.select("doc_id", "text"), F.lit("text"), "text")
 
 
+@query("s30_personal_data", rf"""WITH h AS (SELECT doc_id, 'email' AS kind, unnest({ct.q_emails('text')}) AS hit, lower(text) AS t FROM documents UNION ALL SELECT doc_id, 'phone', unnest(list_distinct(regexp_extract_all(text, '(\+[0-9][0-9().\x2f \t-]*[0-9])', 1))), lower(text) FROM documents)
+SELECT doc_id, kind, hit, (strpos(t, hit) - 1)::INT AS start, (strpos(t, hit) - 1 + length(hit))::INT AS "end" FROM h""")
+def _(t):
+    """Addresses and phones with their place in the text; the label and statement kinds run in ``l3_personal_data``."""
+    low = F.lower("text")
+    rows = t.documents.select("doc_id", low.alias("_t"), F.concat(F.transform(ct.emails("text"), lambda h: F.struct(F.lit("email").alias("kind"), h.alias("hit"))),
+                              F.transform(ct.phones("text"), lambda h: F.struct(F.lit("phone").alias("kind"), h.alias("hit")))).alias("_h"))
+    spans = rows.select("doc_id", F.explode(F.transform("_h", lambda h: F.struct(h["kind"].alias("kind"), h["hit"].alias("hit"), (F.instr(F.col("_t"), h["hit"]) - 1).cast("int").alias("start")))).alias("h"))
+    return spans.select("doc_id", "h.kind", "h.hit", "h.start", (F.col("h.start") + F.length("h.hit")).alias("end"))
+
+
 def _l4_sql():
     t_, fwq = "trim(text)", FW
     noun = "(regexp_matches(fw, '(?:tion|sion|ment|ance|ence|ship|ity|ness)$') OR fw IN ('the', 'a', 'an'))"
@@ -182,6 +193,25 @@ def _(t):
     return li.l6_consistency_docs(profile(t), {"+1(1": "A", "+1": "B"}, {"src1": "A", "src2": "B", "src3": "C", "src14": "A"})
 
 
+@query("l6_titles_never_held", """SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 4 = 1 THEN 'ceo' ELSE 'director' END AS hit FROM customer WHERE c_custkey % 4 = 1 OR (c_custkey % 4 = 2 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority <> '1-URGENT') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'))
+OR (c_custkey % 4 = 2 AND c_custkey NOT IN (SELECT o_custkey FROM orders))""")
+def _(t):
+    """Customers as profiles, orders as held titles: urgent ones are directors, the others deputy directors."""
+    k = F.col("c_custkey")
+    docs = t.customer.select(k.alias("doc_id"), F.when(k % 4 == 0, "Retail").when(k % 4 == 1, "CEO, Retail").when(k % 4 == 2, "Director, Retail").otherwise("Retail and more").alias("headline"))
+    roles = t.orders.select(F.col("o_custkey").alias("doc_id"), F.when(F.col("o_orderpriority") == "1-URGENT", "Sales Director").otherwise("Deputy Sales Director").alias("title"))
+    return li.l6_titles_never_held(docs, roles).select("doc_id", "hit")
+
+
+@query("met02_recent_roles_without_figure", Q_RECENCY + """ SELECT r.o_custkey AS doc_id, 'MET-02|' || r.o_orderkey::VARCHAR AS key, r.recency FROM ranked r JOIN lineitem ON l_orderkey = r.o_orderkey WHERE recency <= 2 GROUP BY ALL HAVING NOT bool_or(l_quantity >= 25)""")
+def _(t):
+    """Line items as lines: a large quantity is printed as a figure, a small one is not."""
+    lines = _ranked(t).join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("role_ix"), "recency", F.when(F.col("l_quantity") >= 25, F.concat(F.lit("moved "), F.col("l_quantity").cast("int").cast("string"), F.lit(" units"))).otherwise("moved goods").alias("text"),
+        F.lit(False).alias("is_template"))
+    return li.recent_roles_without_figure(lines).select("doc_id", "key", "recency")
+
+
 @query("l7_role_pairs", f"""WITH {Q_ORDER_ROLES}, l AS (SELECT * FROM order_roles WHERE to_ix - from_ix >= 1)
 SELECT a.o_custkey AS doc_id, 'EXP-08' AS check_id, 'med' AS sev, 'roles.' || a.o_orderkey::VARCHAR AS path, count(*)::VARCHAR AS hit FROM l a JOIN l b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey
 WHERE least(a.to_ix, b.to_ix) - greatest(a.from_ix, b.from_ix) + 1 >= 2 GROUP BY a.o_custkey, a.o_orderkey

@@ -18,7 +18,7 @@ def _(t):
     return mg.merge_overlay(base, changed, base.where("s_suppkey % 7 = 0").select("s_suppkey"), added, "s_suppkey")
 
 
-@query("h2_minimal_overlay", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name || '!' END AS s_name, CASE WHEN s_suppkey % 4 = 0 AND s_acctbal <> 1.5 THEN 1.5 END AS s_acctbal FROM supplier WHERE s_suppkey % 3 = 0 OR (s_suppkey % 4 = 0 AND s_acctbal <> 1.5)")
+@query("h2_minimal_overlay", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name || '!' END AS s_name, CASE WHEN s_suppkey % 4 = 0 AND s_acctbal <> 1.5 THEN 1.5::DOUBLE END AS s_acctbal FROM supplier WHERE s_suppkey % 3 = 0 OR (s_suppkey % 4 = 0 AND s_acctbal <> 1.5)")
 def _(t):
     base = t.supplier.select("s_suppkey", "s_name", "s_acctbal")
     edited = base.select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.concat("s_name", F.lit("!"))).otherwise(F.col("s_name")).alias("s_name"),

@@ -17,6 +17,9 @@ REQ = r"(?i)^(?:the|der|le|la)(?:[^\p{L}]|$)"
 OTHER = r"(?i)^(?:of|und|les|de)(?:[^\p{L}]|$)"
 
 
+_UNBULLET = r"regexp_replace(l, '^[\s•–—*·▪●◦-]+', '')"
+
+
 @query("s1_normalize", f"SELECT doc_id, md5({tx.q_norm('text')}) AS norm_key, md5(' ' || {tx.q_norm('text')} || ' ') AS padded_key FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.md5(tx.norm("text")).alias("norm_key"), F.md5(tx.padded("text")).alias("padded_key"))
@@ -37,7 +40,7 @@ def _(t):
     return t.sentences.select("doc_id", "sent_ix", "sentence")
 
 
-@query("s5_prepared_lines", rf"""WITH r AS (SELECT doc_id, ix, {tx.q_squeeze("regexp_replace(l, '^[\s•–—*·▪●◦-]+', '')")} AS l FROM documents, unnest(string_split(replace(text, chr(13), ''), chr(10))) WITH ORDINALITY AS u(l, ix)),
+@query("s5_prepared_lines", rf"""WITH r AS (SELECT doc_id, ix, {tx.q_squeeze(_UNBULLET)} AS l FROM documents, unnest(string_split(replace(text, chr(13), ''), chr(10))) WITH ORDINALITY AS u(l, ix)),
 k AS (SELECT doc_id, ix, CASE WHEN regexp_matches(l, {q_str(po.NOISE_LINE)}) OR regexp_matches(l, {q_str(po.AGE_LINE)}) THEN '' ELSE l END AS l FROM r),
 g AS (SELECT *, lag(l) OVER (PARTITION BY doc_id ORDER BY ix) AS p FROM k),
 f AS (SELECT *, CASE WHEN coalesce(p, '') <> '' AND NOT regexp_matches(p, '[.!?:;]$') AND NOT regexp_matches(p, {q_str(REQ)}) AND (regexp_matches(l, '^[a-zäöüß(]') OR regexp_matches(p, {q_str(po.CONTINUES)})) THEN 0 ELSE 1 END AS st FROM g WHERE l <> ''),

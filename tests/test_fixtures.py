@@ -256,6 +256,18 @@ def test_lint_roles_and_lines(spark):
     assert ids(li.l3_personal_data(pers, F.lit("h"), "text")) == ["HDR-06", "HDR-07", "HDR-08", "HDR-09", "HDR-10", "HDR-12"]
 
 
+def test_lint_titles_places_references(spark):
+    docs = profile_docs(spark, headline="CEO and Managing Director", summary="Led Qatar, the GCC and Germany", refs="Contact Mr. Smith, tel 0501234567", langs="Deutsch (Muttersprache)")
+    roles = spark.createDataFrame([(1, 0, "Managing Director", "Jan 2019 – heute", "en"), (1, 1, "Deputy General Manager", "2015 – 2018", "en")], "doc_id bigint, role_ix int, title string, dates string, doc_lang string")
+    lines = spark.createDataFrame([(1, 0, "Opened the Dubai site")], "doc_id bigint, line_ix int, text string")
+    assert [r["hit"] for r in li.l6_titles_never_held(docs, roles).collect()] == ["ceo"]
+    alias = spark.createDataFrame([("dubai", "UAE", None), ("qatar", "QA", None), ("germany", "DE", None), ("gcc", None, "GCC")], "place string, country string, meta string")
+    members = spark.createDataFrame([("GCC", "UAE"), ("GCC", "QA")], "meta string, country string")
+    assert sorted(r["hit"] for r in li.l6_orphan_places(docs, lines, alias, members, ["dubai", "qatar", "germany", "gcc"]).collect()) == ["germany", "qatar"]
+    assert ids(li.l3_references(docs)) == ["REF-01", "REF-03"]
+    assert [r["path"] for r in li.l2_date_words(docs, roles).orderBy("path").collect()] == ["langs", "roles.0.dates"]
+
+
 def test_acknowledged_instances_leave_the_score(spark):
     found = spark.createDataFrame([(1, "HL-05", "med", "headline", "dynamic"), (1, "SUM-04", "high", "summary", "focus for"), (1, "EXP-06", "low", "roles.0", "-")], "doc_id bigint, check_id string, sev string, path string, hit string")
     acks = found.where("check_id <> 'EXP-06'").select(li.instance_key().alias("key"))
