@@ -23,7 +23,8 @@ PHONE_RUN = r"(?:tel:)?(?:\+|(?:^|[^0-9])00)[0-9](?:[0-9().\x2f \t-]*[0-9])?"
 def emails(c) -> Column:
     """Distinct lower-case addresses in order of appearance."""
     found = F.regexp_extract_all(col(c), F.lit(EMAIL), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda e: F.regexp_replace(F.lower(e), r"[.,;:)\]]+$", "")))
+    clean = F.array_distinct(F.transform(found, lambda e: F.regexp_replace(F.lower(e), r"[.,;:)\]]+$", "")))
+    return F.when(F.contains(col(c), F.lit("@")), clean).otherwise(F.array().cast("array<string>"))
 
 
 def is_usable_email(e: Column, junk_host: str = JUNK_HOST, junk_local: str = JUNK_LOCAL) -> Column:
@@ -54,7 +55,9 @@ def phones(c) -> Column:
     good = F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))),
                     lambda p: p.rlike(r"^(?:\+|00)[0-9]") & F.length(_digits(p)).between(8, 15))
     keys = F.transform(good, _digits)
-    return F.filter(good, lambda p, i: F.array_position(keys, _digits(p)) == i + 1)
+    once = F.filter(good, lambda p, i: F.array_position(keys, _digits(p)) == i + 1)
+    possible = F.contains(col(c), F.lit("+")) | F.contains(col(c), F.lit("00"))
+    return F.when(possible, once).otherwise(F.array().cast("array<string>"))
 
 
 # Check SQL twins.

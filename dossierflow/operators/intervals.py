@@ -70,10 +70,9 @@ def covered_years(roles: DataFrame, key: str, today_ix: int, is_open: Column) ->
 def bucketed_last(df: DataFrame, keys: list[str], pos: str, value: Column, name: str, span: int = SPAN) -> DataFrame:
     """Last non-null ``value`` strictly before each row in stored order, carried over bucket edges."""
     rows = df.withColumn("_b", F.floor(F.col(pos) / span)).withColumn("_v", value)
-    edge = (rows.where(F.col("_v").isNotNull()).groupBy(*keys, "_b").agg(F.max_by("_v", pos).alias("_edge")))
-    grid = rows.select(*keys, "_b").distinct().join(edge, keys + ["_b"], "left")
+    edge = rows.groupBy(*keys, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(pos))).alias("_edge"))
     wb = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    carried = grid.select(*keys, "_b", F.last("_edge", ignorenulls=True).over(wb).alias("_carry"))
+    carried = edge.select(*keys, "_b", F.last("_edge", ignorenulls=True).over(wb).alias("_carry"))
     wl = W.partitionBy(*keys, "_b").orderBy(pos).rowsBetween(W.unboundedPreceding, -1)
     return (rows.withColumn("_l", F.last("_v", ignorenulls=True).over(wl))
             .join(carried, keys + ["_b"])

@@ -18,6 +18,15 @@ def grams_of(text, n: int):
     return tx.let(tx.words(text), build)
 
 
+def gram_hashes(text, n: int):
+    """Distinct 64-bit hashes of every run of ``n`` tokens: a narrow blocking key, verified on the words afterwards."""
+    def build(w):
+        runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.slice(w, i + 1, n)))
+        return F.when(F.size(w) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+    return tx.let(tx.words(text), build)
+
+
 def grams(text, max_words: int):
     """Every run of one to ``max_words`` tokens."""
     parts = [grams_of(text, n) for n in range(1, max_words + 1)]

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossierflow.functions import text as tx
-from dossierflow.operators.lexicon import concept_occurrences, grams, grams_of
+from dossierflow.operators.lexicon import concept_occurrences, gram_hashes
 from dossierflow.operators.scale import bucketed_rank, is_small, join_small, keep_first, top_k
 
 # Function words left out when words follow a figure or a line is traced.
@@ -20,13 +20,13 @@ def whole_phrase(texts: DataFrame, text_id: str, text: str, phrases: DataFrame,
 
     Block on the phrase's first ``key_words`` words as an n-gram (shorter phrases on all of theirs), verify after."""
     p = phrases.select(phrase_id, tx.words(phrase).alias("_w")).where(F.size("_w") > 0).select(
-        phrase_id, F.array_join("_w", " ").alias("_p"), F.array_join(F.slice("_w", 1, key_words), " ").alias("form"),
+        phrase_id, F.array_join("_w", " ").alias("_p"), F.xxhash64(F.slice("_w", 1, key_words)).alias("form"),
         F.least(F.size("_w"), F.lit(key_words)).alias("_n"))
     body = texts.select(text_id, tx.norm(text).alias("_t"))
     out = None
     lengths = [key_words] + [n for n in range(1, key_words) if not p.where(F.col("_n") == n).isEmpty()]
     for n in lengths:
-        spread = texts.select(text_id, F.explode(F.array_distinct(F.transform(grams_of(text, n), lambda g: g["form"]))).alias("form"))
+        spread = texts.select(text_id, F.explode(gram_hashes(text, n)).alias("form"))
         hit = join_small(spread, p.where(F.col("_n") == n), "form").select(text_id, phrase_id, "_p")
         out = hit if out is None else out.unionByName(hit)
     inside = F.contains(F.concat(F.lit(" "), "_t", F.lit(" ")), F.concat(F.lit(" "), "_p", F.lit(" ")))
@@ -170,10 +170,10 @@ def contained_lines(long: DataFrame, long_id: list[str], text: str, short: DataF
         outer = outer.where(F.length(oc) >= min_chars)
         inner = inner.where(F.length(ic) >= min_chars)
         n = F.least(F.size(F.split(ic, " ")), F.lit(key_words))
-        key = inner.withColumn("form", F.array_join(F.slice(F.split(ic, " "), 1, key_words), " ")).withColumn("_n", n)
+        key = inner.withColumn("form", F.xxhash64(F.slice(F.split(ic, " "), 1, key_words))).withColumn("_n", n)
         out = None
         for size in [key_words] + [k for k in range(1, key_words) if not key.where(F.col("_n") == k).isEmpty()]:
-            spread = outer.select(*outer_id, oc, F.explode(F.array_distinct(F.transform(grams_of(oc, size), lambda g: g["form"]))).alias("form"))
+            spread = outer.select(*outer_id, oc, F.explode(gram_hashes(oc, size)).alias("form"))
             hit = join_small(spread, key.where(F.col("_n") == size), "form").where(
                 F.contains(F.concat(F.lit(" "), F.col(oc), F.lit(" ")), F.concat(F.lit(" "), F.col(ic), F.lit(" "))))
             part = hit.select(*long_id, *short_id)
@@ -189,9 +189,9 @@ def contained_lines(long: DataFrame, long_id: list[str], text: str, short: DataF
 def inside_small(a: DataFrame, a_id: list[str], b: DataFrame, b_id: list[str], min_chars: int, key_words: int) -> DataFrame:
     """Lines of ``a`` inside lines of ``b``: n-grams of the small side meet the first words of the big side's lines."""
     big = a.where(F.length("a") >= min_chars).withColumn(
-        "form", F.array_join(F.slice(F.split("a", " "), 1, key_words), " "))
-    grams_b = b.where(F.length("b") >= min_chars).select(
-        *b_id, "b", F.explode(F.array_distinct(F.transform(grams("b", key_words), lambda g: g["form"]))).alias("form"))
+        "form", F.xxhash64(F.slice(F.split("a", " "), 1, key_words)))
+    runs = F.array_distinct(F.concat(*[gram_hashes("b", n) for n in range(1, key_words + 1)]))
+    grams_b = b.where(F.length("b") >= min_chars).select(*b_id, "b", F.explode(runs).alias("form"))
     return join_small(big, grams_b, "form").where(
         F.contains(F.concat(F.lit(" "), F.col("b"), F.lit(" ")), F.concat(F.lit(" "), F.col("a"), F.lit(" ")))).select(*a_id, *b_id)
 

@@ -6,11 +6,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Bounded count: reads at most ``max_rows + 1`` rows of the side."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Exact rows and printed bytes of a side, by one distributed aggregation (no row reaches the driver)."""
+    size = F.length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    n, width = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+    return n <= max_rows and (width or 0) <= max_bytes
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:

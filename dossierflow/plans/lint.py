@@ -44,19 +44,30 @@ def term_pattern(terms: Iterable[str]) -> str:
 SEPARATORS = r"([\s,;/|·.])"
 
 
-def term_hits(c, terms: Iterable[str]) -> Column:
-    """Every whole-word hit of a term list. Separators are doubled first so neighbouring hits do not share one
-    (not ``&`` and ``-``, which are part of terms)."""
-    wide = F.regexp_replace(tx.col(c), SEPARATORS, "$1$1")
+def widened(c) -> Column:
+    """Text with its separators doubled, so neighbouring whole-word hits do not share one (not ``&`` and ``-``, which
+    are part of terms)."""
+    return F.regexp_replace(tx.col(c), SEPARATORS, "$1$1")
+
+
+def term_hits(c, terms: Iterable[str], is_wide: bool = False) -> Column:
+    """Every whole-word hit of a term list."""
+    wide = tx.col(c) if is_wide else widened(c)
     return F.transform(F.regexp_extract_all(wide, F.lit(tx.java_ci(term_pattern(terms))), F.lit(1)), lambda h: F.regexp_replace(h, SEPARATORS + r"\1", "$1"))
 
 
-def term_instances(df: DataFrame, rules: list[tuple[str, str, Column, Iterable[str], Column | None]]) -> DataFrame:
-    """One instance per hit: (check, severity, path, terms, condition) over ``text``-valued columns given as path/column."""
-    per = [F.transform(F.when(F.lit(True) if cond is None else cond, term_hits(col, terms)).otherwise(F.array().cast("array<string>")),
+def term_instances(df: DataFrame, rules: list[tuple[str, str, tuple, Iterable[str], Column | None]], extra: Column | None = None) -> DataFrame:
+    """One instance per hit: (check, severity, (path, text column), terms, condition). Each text is widened once.
+    ``extra`` is an array of further instances of the same row."""
+    texts = {str(col): col for _, _, (_, col), _, _ in rules}
+    name = {k: f"_w{i}" for i, k in enumerate(texts)}
+    wide = df.select("*", *[widened(col).alias(name[k]) for k, col in texts.items()])
+    per = [F.transform(F.when(F.lit(True) if cond is None else cond, term_hits(name[str(col)], terms, True)).otherwise(F.array().cast("array<string>")),
                        _packer(check, sev, path))
            for check, sev, (path, col), terms, cond in rules]
-    return df.select("doc_id", F.explode(F.concat(*per)).alias("i")).select("doc_id", "i.*")
+    if extra is not None:
+        per.append(extra)
+    return wide.select("doc_id", F.explode(F.concat(*per)).alias("i")).select("doc_id", "i.*")
 
 
 def _packer(check: str, sev: str, path):
@@ -126,9 +137,11 @@ def l2_terms_lines(lines: DataFrame, words: dict[str, Iterable[str]]) -> DataFra
     """Qualifiers with no figure behind them, job-description openers and German wording in lines."""
     openers = tuple(words.get("BUL-04", cat.JD_OPENERS))
     opens = tx.norm("text").rlike("^(?:" + "|".join(openers) + ")(?: |$)")
-    quals = term_instances(lines, [("BUL-05", "low", (line_path(), F.col("text")), words.get("BUL-05", cat.QUALIFIERS), ~F.col("is_template") & ~tx.has_figure("text")),
-                                   ("DOC-05", "low", (line_path(), F.col("text")), words.get("DOC-05", ("inklusive",)), F.col("doc_lang") == "de")])
-    return quals.unionByName(instances(lines, [rule("BUL-04", opens, line_path())]))
+    opener = F.when(opens, F.array(_packer("BUL-04", "low", line_path())(F.lit("")))).otherwise(
+        F.array().cast("array<struct<check_id:string,sev:string,path:string,hit:string>>"))
+    return term_instances(lines, [
+        ("BUL-05", "low", (line_path(), F.col("text")), words.get("BUL-05", cat.QUALIFIERS), ~F.col("is_template") & ~tx.has_figure("text")),
+        ("DOC-05", "low", (line_path(), F.col("text")), words.get("DOC-05", ("inklusive",)), F.col("doc_lang") == "de")], opener)
 
 
 def l2_employers_in_summary(docs: DataFrame, roles: DataFrame) -> DataFrame:

@@ -167,7 +167,7 @@ SELECT o_custkey AS doc_id, 'BUL-01' AS check_id, 'low' AS sev, 'roles.' || o_or
 UNION ALL SELECT o_custkey, 'EXP-11', 'low', 'roles.' || o_orderkey::VARCHAR, '' FROM c WHERE n >= 5 AND recency >= 4 AND o_orderkey % 2 = 0 AND to_ix // 12 <= 2012 - 15""")
 def _(t):
     r = _ranked(t)
-    n = r.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_roles"))
+    n = t.order_roles.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_roles"))
     j = r.join(n, "o_custkey").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("role_ix"), "recency", "n_lines", "n_roles", "to_ix", (F.col("o_orderkey") % 2 != 0).alias("is_current"))
     return li.l5_roles(j, 2012)
 
