@@ -16,12 +16,3 @@ def local_session(cores: int | str = 8, app: str = "dossierflow") -> SparkSessio
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """The shared folder the cluster names; ``fallback`` only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    spark.sparkContext.setCheckpointDir(fallback)
-    return fallback

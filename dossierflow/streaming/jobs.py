@@ -82,10 +82,12 @@ def admit_stream(events: DataFrame, key: str, ts: str, ident: str, n: int, secon
         GroupStateTimeout.EventTimeTimeout)
 
 
-def refresh_available(spark: SparkSession, landed: str, schema, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Scheduled collection: everything that landed since the last run goes to ``sink`` once, then the job ends."""
+def refresh_available(spark: SparkSession, landed: str, schema, sink: Callable[[DataFrame, int], None], checkpoint: str | None = None):
+    """Scheduled collection: everything that landed since the last run goes to ``sink`` once, then the job ends.
+    Progress is kept in ``checkpoint``, by default in the shared folder the cluster names."""
+    where = checkpoint or f"{spark.conf.get('spark.checkpoint.dir')}/refresh"
     return (spark.readStream.schema(schema).parquet(landed).writeStream.foreachBatch(sink)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+            .option("checkpointLocation", where).trigger(availableNow=True).start())
 
 
 def incremental_since(messages: DataFrame, ts: str, since, key: str) -> DataFrame:
