@@ -62,8 +62,10 @@ def term_instances(df: DataFrame, rules: list[tuple[str, str, tuple, Iterable[st
     texts = {str(col): col for _, _, (_, col), _, _ in rules}
     name = {k: f"_w{i}" for i, k in enumerate(texts)}
     wide = df.select("*", *[widened(col).alias(name[k]) for k, col in texts.items()])
-    per = [F.transform(F.when(F.lit(True) if cond is None else cond, term_hits(name[str(col)], terms, True)).otherwise(F.array().cast("array<string>")),
-                       _packer(check, sev, path))
+    # the cheap test for any hit comes first; a condition such as "no figure" is read only where a term stands
+    any_hit = lambda col, terms: tx.col(col).rlike(tx.java_ci(term_pattern(terms)))
+    per = [F.transform(F.when(any_hit(col, terms) if cond is None else any_hit(col, terms) & cond, term_hits(name[str(col)], terms, True))
+                       .otherwise(F.array().cast("array<string>")), _packer(check, sev, path))
            for check, sev, (path, col), terms, cond in rules]
     if extra is not None:
         per.append(extra)
