@@ -5,9 +5,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from dossierflow.llm import decontamination as op1
 from dossierflow.llm import id_files as op8
+from dossierflow.llm import language_id as op10
+from dossierflow.llm import line_dedup as op4
 from dossierflow.llm import packing as op2
+from dossierflow.llm import quality as op5
+from dossierflow.llm import secrets_scan as op6
+from dossierflow.llm import simhash as op7
 from dossierflow.llm import token_counts as op3
 from dossierflow.llm import warc as op9
 from dossierflow.llm.shared import table
@@ -16,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(fn):
@@ -47,3 +55,56 @@ ORACLES["op9_web_archives"] = """SELECT p.page_id, strlen(coalesce(html, ''))::B
   CASE WHEN largest IS NOT NULL AND largest <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN largest <> p.page_id THEN largest END AS refers_to
 FROM pages p LEFT JOIN (SELECT html AS h, max(page_id) AS largest FROM pages WHERE strlen(html) >= 1000 GROUP BY html) g ON p.html = g.h"""
+
+
+@query
+def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least 0.8 of an item's five-word shingles, with the item."""
+    return op1.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op1_benchmark_leaks"] = r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM d WHERE len(w) > 0),
+bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM b WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY 1)
+SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
+FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY 1, 2 HAVING 5 * count(*) >= 4 * any_value(n_item)"""
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without later occurrences of three-line windows."""
+    found = op4.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed_lines").cast("long").alias("n_removed"),
+                        F.array_join("removed_lines", ",").alias("removed_lines"))
+
+
+ORACLES["op4_line_dedup"] = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+c AS (SELECT doc_id, pos, regexp_replace(line, '^[ \t-\r]+|[ \t-\r]+$', '', 'g') AS t FROM l WHERE regexp_matches(line, '[^ \t-\r]')),
+w AS (SELECT doc_id, pos, lead(pos, 1) OVER o AS p1, lead(pos, 2) OVER o AS p2, [t, lead(t, 1) OVER o, lead(t, 2) OVER o] AS k FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS nth FROM w WHERE p2 IS NOT NULL),
+x AS (SELECT DISTINCT doc_id, unnest([pos, p1, p2]) AS pos FROM r WHERE nth > 1)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (x.pos IS NULL), '') AS text, count(*) AS n_lines, count(x.pos) AS n_removed,
+  coalesce(string_agg(x.pos::VARCHAR, ',' ORDER BY x.pos), '') AS removed_lines
+FROM l LEFT JOIN x USING (doc_id, pos) GROUP BY doc_id"""
+
+
+@query
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5.quality(table(spark, sf_dir, "documents")).drop("digest")
+
+
+@query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6.secret_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10.languages(table(spark, sf_dir, "documents"), PIECE_BPE)
