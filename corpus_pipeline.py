@@ -1,11 +1,60 @@
-"""Documents to packed training sequences."""
+"""Documents to packed training sequences, stage by stage. Each stage's result is written as Parquet and read again by the next."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dossierflow.llm import decontamination, line_dedup, packing, quality, simhash
+from dossierflow.llm.shared import stored, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source (operator 5)."""
+    return quality.kept_documents(docs)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that three-line windows repeat (operator 4). A document may be empty then; ``n_chars`` follows
+    the text."""
+    found = line_dedup.line_dedup(docs)
+    if "n_chars" in docs.columns:
+        changed = F.when(F.size("removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        found = found.withColumn("n_chars", changed)
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component (operator 7)."""
+    return simhash.one_of_each(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item (operator 1)."""
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their sequence and offset (operator 2)."""
+    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", repeated_lines),
+    ("simhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", benchmark_leaks),
+    ("best_fit_packing", packed_sequences),
+]
 
-STAGES: list = []
-ORACLE_SQL = None
+#: The covariance estimates of the first stage and the tokens of the last are beyond SQL; tests/llm holds a brute-force version.
+ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs
