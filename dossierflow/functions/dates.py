@@ -117,7 +117,7 @@ def export_month(c) -> Column:
 def end_year(c) -> Column:
     """Last year printed; 9999 for a present-day end; 0 for none."""
     years = F.transform(F.regexp_extract_all(col(c), F.lit(r"(?:19|20)[0-9]{2}"), F.lit(0)), lambda y: y.cast("int"))
-    return F.when(F.lower(col(c)).rlike("present|heute|current|today|now|aktuell|laufend"), F.lit(9999)).otherwise(
+    return F.when(F.lower(col(c)).rlike(r"(?U)\b(?:present|heute|current|today|now|aktuell|laufend)\b"), F.lit(9999)).otherwise(
         F.coalesce(F.array_max(years), F.lit(0)))
 
 

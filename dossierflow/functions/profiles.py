@@ -66,10 +66,10 @@ def localized(key, table: dict[tuple[str, str], str], lang, fallback: str = "en"
 
 def term_at(text, term) -> Column:
     """0-based position of a posting's term: at a word start, and also at a word end when it is short or an acronym; -1 if none.
-    ``term`` is a column of literals; its words are matched as they are."""
+    A hyphen joins words, so none begins or ends beside it. ``term`` is a column of literals; its words are matched as they are."""
     t, q = F.lower(col(text)), F.lower(col(term))
     short = (F.length(col(term)) <= 3) | col(term).rlike(r"^\p{Lu}{2,}$")
-    folded = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}&]", " "), F.lit(" "))
+    folded = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}&-]", " "), F.lit(" "))
     at = F.when(short, F.instr(folded, F.concat(F.lit(" "), q, F.lit(" ")))).otherwise(F.instr(folded, F.concat(F.lit(" "), q)))
     return (at - 1).cast("int")
 

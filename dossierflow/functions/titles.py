@@ -108,7 +108,8 @@ def clean_role(c) -> Column:
     return squeeze(F.regexp_replace(F.lower(col(c)), r"[^\p{L}\p{N}&/ -]+", " "))
 
 
-def role_queries(roles: Column, place: Column, most: int = 4) -> Column:
-    """Search strings ``"role" jobs in place``: distinct, at most four."""
-    named = F.slice(F.array_distinct(F.filter(F.transform(roles, clean_role), lambda r: F.length(r) >= 2)), 1, most)
+def role_queries(roles: Column, place: Column, most: int | None = None) -> Column:
+    """Search strings ``"role" jobs in place``: distinct, the first ``most`` where the caller asks for so many."""
+    named = F.array_distinct(F.filter(F.transform(roles, clean_role), lambda r: F.length(r) >= 2))
+    named = named if most is None else F.slice(named, 1, most)
     return F.transform(named, lambda r: F.concat(F.lit('"'), r, F.lit('" jobs'), F.when(place != "", F.concat(F.lit(" in "), place)).otherwise("")))

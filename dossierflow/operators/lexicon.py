@@ -27,6 +27,15 @@ def gram_hashes(text, n: int):
     return tx.let(tx.words(text), build)
 
 
+def gram_keys(text, max_words: int):
+    """Distinct hashes of (length, run) for every run of one to ``max_words`` tokens."""
+    def runs(w, n):
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.lit(n), F.slice(w, i + 1, n)))
+
+    return tx.let(tx.words(text), lambda w: F.array_distinct(F.concat(*[runs(w, n) for n in range(1, max_words + 1)])))
+
+
 def grams(text, max_words: int):
     """Every run of one to ``max_words`` tokens."""
     parts = [grams_of(text, n) for n in range(1, max_words + 1)]

@@ -5,8 +5,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossierflow.functions import text as tx
-from dossierflow.operators.lexicon import concept_occurrences, gram_hashes
-from dossierflow.operators.scale import bucketed_rank, is_small, join_small, keep_first, top_k
+from dossierflow.operators.lexicon import concept_occurrences, gram_keys
+from dossierflow.operators.scale import bucketed_rank, join_small, keep_first, top_k
 
 # Function words left out when words follow a figure or a line is traced.
 FIGURE_STOP = ("the", "a", "an", "and", "of", "in", "for", "to", "with", "und", "der", "die", "das", "mit", "von", "für", "im",
@@ -18,17 +18,13 @@ TRACE_FREE = ("the", "a", "an", "and", "of", "in", "for", "to", "with", "on", "a
 def whole_phrase(texts: DataFrame, text_id: str, text: str, phrases: DataFrame, phrase_id: str, phrase: str, key_words: int = 5) -> DataFrame:
     """(text_id, phrase_id) where the phrase's words occur in the text in one run.
 
-    Block on the phrase's first ``key_words`` words as an n-gram (shorter phrases on all of theirs), verify after."""
+    Block on the phrase's first ``key_words`` words as an n-gram (shorter phrases on all of theirs), verify after. One pass over
+    the texts makes the n-grams of every length, keyed by length and hash."""
     p = phrases.select(phrase_id, tx.words(phrase).alias("_w")).where(F.size("_w") > 0).select(
-        phrase_id, F.array_join("_w", " ").alias("_p"), F.xxhash64(F.slice("_w", 1, key_words)).alias("form"),
-        F.least(F.size("_w"), F.lit(key_words)).alias("_n"))
+        phrase_id, F.array_join("_w", " ").alias("_p"), F.xxhash64(F.least(F.size("_w"), F.lit(key_words)), F.slice("_w", 1, key_words)).alias("form"))
     body = texts.select(text_id, tx.norm(text).alias("_t"))
-    out = None
-    lengths = [key_words] + [n for n in range(1, key_words) if not p.where(F.col("_n") == n).isEmpty()]
-    for n in lengths:
-        spread = texts.select(text_id, F.explode(gram_hashes(text, n)).alias("form"))
-        hit = join_small(spread, p.where(F.col("_n") == n), "form").select(text_id, phrase_id, "_p")
-        out = hit if out is None else out.unionByName(hit)
+    spread = texts.select(text_id, F.explode(gram_keys(text, key_words)).alias("form"))
+    out = join_small(spread, p, "form").select(text_id, phrase_id, "_p")
     inside = F.contains(F.concat(F.lit(" "), "_t", F.lit(" ")), F.concat(F.lit(" "), "_p", F.lit(" ")))
     return out.join(body, text_id).where(inside).select(text_id, phrase_id)
 
@@ -161,39 +157,22 @@ def contained_lines(long: DataFrame, long_id: list[str], text: str, short: DataF
                     key_words: int = 4, min_chars: int = 40) -> DataFrame:
     """Pairs of lines that are the same duty: equal, or one wholly inside the other (both of 40 characters or more).
 
-    Blocks on the contained line's first words as an n-gram of the other; both directions."""
-    a = long.select(*long_id, tx.norm(text).alias("a")).where(F.col("a") != "")
-    b = short.select(*short_id, tx.norm(other).alias("b")).where(F.col("b") != "")
-    equal = join_small(a, b, a["a"] == b["b"]).select(*long_id, *short_id)
-
-    def inside(outer, outer_id, oc, inner, inner_id, ic):
-        outer = outer.where(F.length(oc) >= min_chars)
-        inner = inner.where(F.length(ic) >= min_chars)
-        n = F.least(F.size(F.split(ic, " ")), F.lit(key_words))
-        key = inner.withColumn("form", F.xxhash64(F.slice(F.split(ic, " "), 1, key_words))).withColumn("_n", n)
-        out = None
-        for size in [key_words] + [k for k in range(1, key_words) if not key.where(F.col("_n") == k).isEmpty()]:
-            spread = outer.select(*outer_id, oc, F.explode(gram_hashes(oc, size)).alias("form"))
-            hit = join_small(spread, key.where(F.col("_n") == size), "form").where(
-                F.contains(F.concat(F.lit(" "), F.col(oc), F.lit(" ")), F.concat(F.lit(" "), F.col(ic), F.lit(" "))))
-            part = hit.select(*long_id, *short_id)
-            out = part if out is None else out.unionByName(part)
-        return out
-
-    if not is_small(b):
-        raise ValueError("contained_lines: the second side must be the checked small one; swap the sides")
-    return (equal.unionByName(inside(a, long_id, "a", b, short_id, "b"))
-            .unionByName(inside_small(a, long_id, b, short_id, min_chars, key_words))).distinct()
-
-
-def inside_small(a: DataFrame, a_id: list[str], b: DataFrame, b_id: list[str], min_chars: int, key_words: int) -> DataFrame:
-    """Lines of ``a`` inside lines of ``b``: n-grams of the small side meet the first words of the big side's lines."""
-    big = a.where(F.length("a") >= min_chars).withColumn(
-        "form", F.xxhash64(F.slice(F.split("a", " "), 1, key_words)))
-    runs = F.array_distinct(F.concat(*[gram_hashes("b", n) for n in range(1, key_words + 1)]))
-    grams_b = b.where(F.length("b") >= min_chars).select(*b_id, "b", F.explode(runs).alias("form"))
-    return join_small(big, grams_b, "form").where(
-        F.contains(F.concat(F.lit(" "), F.col("b"), F.lit(" ")), F.concat(F.lit(" "), F.col("a"), F.lit(" ")))).select(*a_id, *b_id)
+    Blocks on the contained line's first words as an n-gram of the other, by length and hash; both directions are the same shuffle
+    join, whatever the sizes of the sides."""
+    a = long.select(*long_id, tx.norm(text).alias("_a")).where(F.col("_a") != "")
+    b = short.select(*short_id, tx.norm(other).alias("_b")).where(F.col("_b") != "")
+    equal = a.join(b, a["_a"] == b["_b"]).select(*long_id, *short_id)
+
+    def inside(outer: DataFrame, oc: str, inner: DataFrame, ic: str) -> DataFrame:
+        words = F.split(ic, " ")
+        key = inner.where(F.length(ic) >= min_chars).withColumn(
+            "_form", F.xxhash64(F.least(F.size(words), F.lit(key_words)), F.slice(words, 1, key_words)))
+        ids = [c for c in outer.columns if c != oc]
+        spread = outer.where(F.length(oc) >= min_chars).select(*ids, oc, F.explode(gram_keys(oc, key_words)).alias("_form"))
+        return spread.join(key, "_form").where(
+            F.contains(F.concat(F.lit(" "), F.col(oc), F.lit(" ")), F.concat(F.lit(" "), F.col(ic), F.lit(" ")))).select(*long_id, *short_id)
+
+    return equal.unionByName(inside(a, "_a", b, "_b")).unionByName(inside(b, "_b", a, "_a")).distinct()
 
 
 def resolve_same_role(a: DataFrame, b: DataFrame, keys: list[str], title: str) -> DataFrame:

@@ -113,7 +113,7 @@ def score_web_hits(hits: DataFrame, role: Column, skills: list[str], place: str,
     why = F.array_compact(F.array(role, *[F.when(f, F.lit(s)) for f, s in zip(found, skills)],
                                   F.when(F.contains(hay, F.lit(place)), F.lit(place))))
     return (hits.withColumn("score", F.least(F.lit(99), F.greatest(F.lit(40), raw)).cast("int"))
-            .withColumn("why", F.slice(F.array_distinct(why), 1, 6)))
+            .withColumn("why", F.array_distinct(why)))
 
 
 def per_source_cap(df: DataFrame, source: str, order: list[Column], n: int) -> DataFrame:

@@ -35,21 +35,29 @@ def same_duty(x: Column, y: Column, min_chars: int = 40) -> Column:
 
 
 def merge_profiles(base: DataFrame, add: DataFrame, key: str, fill: list[str], longest: list[str], skills: str, lines: str,
-                   skill_cap: int = 48, line_cap: int = 12) -> DataFrame:
+                   skill_cap: int | None = None, line_cap: int | None = None) -> DataFrame:
     """Two profiles per key: the base wins filled fields, the longer text wins, skills and lines append what is new.
 
-    ``skills`` and ``lines`` are arrays bounded by their documents; counts of what was gained come along."""
+    ``skills`` and ``lines`` are arrays bounded by their documents; counts of what was gained come along. Everything is kept unless
+    the caller asks for a cap. Lines are normalised once per side; only pairs of long ones are searched in each other."""
     j = base.join(add.select(key, *[F.col(c).alias(f"_{c}") for c in [*fill, *longest, skills, lines]]), key, "full_outer")
     empty = F.array().cast("array<string>")
     some = lambda c: F.coalesce(F.col(c), empty)
     cols = [F.coalesce(F.nullif(F.trim(f), F.lit("")), F.nullif(F.trim(f"_{f}"), F.lit("")), F.lit("")).alias(f) for f in fill]
     cols += [F.when(F.length(F.coalesce(f"_{f}", F.lit(""))) > F.length(F.coalesce(f, F.lit(""))), F.col(f"_{f}"))
              .otherwise(F.coalesce(f, F.lit(""))).alias(f) for f in longest]
-    merged_skills = F.slice(F.array_distinct(F.concat(some(skills), some(f"_{skills}"))), 1, skill_cap)
-    own = F.transform(some(lines), tx.norm)
-    fresh = tx.let(own, lambda o: F.filter(some(f"_{lines}"), lambda a: (tx.norm(a) != "") & ~F.exists(
-        o, lambda b: same_duty(b, tx.norm(a)))))
-    merged_lines = F.slice(F.concat(some(lines), fresh), F.lit(1), F.greatest(F.size(some(lines)), F.lit(line_cap)))
+    merged_skills = F.array_distinct(F.concat(some(skills), some(f"_{skills}")))
+    merged_skills = merged_skills if skill_cap is None else F.slice(merged_skills, 1, skill_cap)
+    normal = lambda c: F.transform(c, lambda x: F.struct(tx.norm(x).alias("k"), x.alias("x")))
+    j = j.withColumn("_own", normal(some(lines))).withColumn("_new", normal(some(f"_{lines}")))
+    j = j.withColumn("_keys", F.transform("_own", lambda o: o["k"]))
+    # equal lines go by a hash set; what is left of the added lines is searched in the long ones only
+    j = (j.withColumn("_left", F.array_except(F.transform("_new", lambda n: n["k"]), F.array_union("_keys", F.array(F.lit("")))))
+         .withColumn("_long", F.filter("_keys", lambda k: F.length(k) >= 40)))
+    j = j.withColumn("_left", F.filter("_left", lambda k: ~F.exists("_long", lambda o: same_duty(o, k))))
+    fresh = F.transform(F.filter("_new", lambda n: F.array_contains("_left", n["k"])), lambda n: n["x"])
+    merged_lines = F.concat(some(lines), fresh)
+    merged_lines = merged_lines if line_cap is None else F.slice(merged_lines, F.lit(1), F.greatest(F.size(some(lines)), F.lit(line_cap)))
     out = j.select(key, *cols, merged_skills.alias(skills), merged_lines.alias(lines), F.size(some(skills)).alias("_ns"), F.size(some(lines)).alias("_nl"))
     return (out.withColumn("gained_skills", F.greatest(F.lit(0), F.size(skills) - F.col("_ns")))
             .withColumn("gained_lines", F.size(lines) - F.col("_nl")).drop("_ns", "_nl"))
@@ -86,8 +94,7 @@ def diff_versions(new: DataFrame, old: DataFrame, doc: str) -> DataFrame:
         rest.select(doc, change.alias("change"), F.col("p").alias("parent"), F.col("q").alias("pos")))
 
 
-def document_text(rows: DataFrame, key: str, order: str, text: str, part_rows: int = 1000) -> DataFrame:
-    """Ordered sections of a record to text, in parts of at most ``part_rows`` rows (an ordinary record is one part)."""
+def document_text(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """Ordered sections of a record to one text, however many rows it has. A record's text must fit in a row, as any text does."""
     packed = F.array_sort(F.collect_list(F.struct(order, text)))
-    return (rows.groupBy(key, F.floor(F.col(order) / part_rows).alias("part"))
-            .agg(F.array_join(F.transform(packed, lambda x: x[text]), "\n").alias("body")))
+    return rows.groupBy(key).agg(F.array_join(F.transform(packed, lambda x: x[text]), "\n").alias("body"))

@@ -5,21 +5,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 << 20
 
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Exact rows and printed bytes of a side, by one distributed aggregation (no row reaches the driver)."""
-    size = F.length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
-    n, width = df.agg(F.count(F.lit(1)), F.sum(size)).first()
-    return n <= max_rows and (width or 0) <= max_bytes
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a side expected to be small: broadcast once its size is checked, else a shuffle join
-    whose hot keys are split by adaptive skew handling."""
-    return big.join(F.broadcast(small) if is_small(small, max_rows) else small, on, how)
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join with a side expected to be small, without a hint: adaptive execution broadcasts it when its measured size is below
+    the session's threshold, and splits hot keys of the big side when it is not. Nothing runs while the plan is built."""
+    return big.join(small, on, how)
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: Column, salts: int = 32,

@@ -498,17 +498,17 @@ def rule_coverage(checks: DataFrame, mapping: DataFrame, parts: list[str]) -> Da
     return j.select("check_id", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def open_questions(questions: DataFrame, per_role: int = 2, total: int = 12) -> DataFrame:
-    """Order of a document's open questions: gate-linked, then by recency, then the rest; at most two figure questions
-    per role and twelve in all. ``questions``: doc_id, key, gate, recency, is_figure, role, pos (bounded per document)."""
+def open_questions(questions: DataFrame, per_role: int | None = None, total: int | None = None) -> DataFrame:
+    """Order of a document's open questions: gate-linked, then by recency, then the rest. A caller may ask for the first ``per_role``
+    figure questions of a role and the first ``total`` in all. ``questions``: doc_id, key, gate, recency, is_figure, role, pos (bounded per document)."""
     weight = F.when(F.col("gate"), 0).when(F.col("recency").isNotNull(), 1).otherwise(2)
     w = W.partitionBy("doc_id").orderBy("_w", F.coalesce("recency", F.lit(99)), "pos")
     q = questions.withColumn("_w", weight).withColumn("_o", F.row_number().over(w))
     fig = F.col("is_figure") & F.col("role").isNotNull()
     q = q.withColumn("_f", F.sum(fig.cast("int")).over(W.partitionBy("doc_id", "role").orderBy("_o")))
-    q = q.withColumn("_ok", ~(fig & (F.col("_f") > per_role)))
+    q = q.withColumn("_ok", F.lit(True) if per_role is None else ~(fig & (F.col("_f") > per_role)))
     q = q.withColumn("_n", F.sum(F.col("_ok").cast("int")).over(W.partitionBy("doc_id").orderBy("_o")))
-    return q.where(F.col("_ok") & (F.col("_n") <= total)).select("doc_id", "key", F.col("_n").cast("int").alias("place"))
+    return q.where(F.col("_ok") if total is None else F.col("_ok") & (F.col("_n") <= total)).select("doc_id", "key", F.col("_n").cast("int").alias("place"))
 
 
 # ---- second linter, hints, screening -------------------------------------------------------------------------

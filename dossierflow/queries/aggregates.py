@@ -13,7 +13,12 @@ from dossierflow.queries.joins import Q_KINDS, lex
 from dossierflow.queries.listings import Q_MUST, must_candidates
 from dossierflow.tables import Q_LEXICON, Q_PARAGRAPHS
 
-N_PROFILES = 40
+Q_PROFILE = "doc_id % (SELECT count(*) FROM benchmark)"
+
+
+def profile_of(t):
+    """The benchmark item that a document is held against: all items take part in turn."""
+    return F.col("doc_id") % t.benchmark.select(F.count(F.lit(1))).scalar()
 
 
 @query("e1_phrase_counts", rf"""SELECT lang, phrase, count(*) AS n FROM (SELECT lang, {tx.q_squeeze('p')} AS phrase FROM (SELECT lang, unnest(regexp_extract_all(text, {q_str(ag.TITLE_PHRASE)}, 1)) AS p FROM documents)) WHERE length(phrase) BETWEEN 6 AND 60 GROUP BY ALL""")
@@ -58,7 +63,7 @@ def _(t):
 
 
 def must_with_profile(t):
-    return lx.must_have_top(must_candidates(t), "doc_id").select("doc_id", (F.col("doc_id") % N_PROFILES).alias("item_id"), "concept", "must", "rk")
+    return lx.must_have_top(must_candidates(t), "doc_id").select("doc_id", profile_of(t).alias("item_id"), "concept", "must", "rk")
 
 
 def profile_lines(t):
@@ -78,7 +83,7 @@ def report_rows(t):
     return mt.keyword_report(must, profile_tokens(t), swap_rows(t, must), "doc_id", "item_id")
 
 
-Q_SWAPS = Q_MUST + rf""", must AS (SELECT doc_id, doc_id % {N_PROFILES} AS item_id, concept, must, rk::INT AS rk FROM ranked WHERE rk <= 3),
+Q_SWAPS = Q_MUST + rf""", must AS (SELECT doc_id, {Q_PROFILE} AS item_id, concept, must, rk::INT AS rk FROM ranked WHERE rk <= 3),
 pl AS (SELECT item_id, (ix - 1)::INT AS line_ix, line FROM benchmark, unnest({tx.q_lines('text')}) WITH ORDINALITY AS u(line, ix)),
 pt AS (SELECT item_id, line_ix, line, ws, (p - 1)::INT AS pos, w AS synonym, lower(w) AS token FROM (SELECT *, list_filter(regexp_split_to_array(line, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM pl) x, unnest(x.ws) WITH ORDINALITY AS v(w, p)),
 need AS (SELECT * FROM must m WHERE NOT EXISTS (SELECT 1 FROM pt WHERE pt.item_id = m.item_id AND pt.token = m.concept)),
@@ -112,14 +117,14 @@ def _(t):
 
 @query("e13_fit_score", Q_MUST + rf""", p AS (SELECT DISTINCT item_id, unnest({tx.q_words('text')}) AS w FROM benchmark),
 s AS (SELECT doc_id, CASE WHEN must THEN 'must' ELSE 'nice' END AS strength, length(concept) >= 9 AS own, CASE WHEN ends_with(concept, 'wh') AND must THEN 'blocker' WHEN w IS NOT NULL THEN 'proven' WHEN length(concept) = 4 THEN 'unchecked' ELSE 'unproven' END AS state
-  FROM cand LEFT JOIN p ON p.item_id = doc_id % {N_PROFILES} AND p.w = concept),
+  FROM cand LEFT JOIN p ON p.item_id = {Q_PROFILE} AND p.w = concept),
 a AS (SELECT doc_id, sum(CASE WHEN state IN ('proven', 'unproven') THEN CASE WHEN strength = 'nice' THEN 1 WHEN own THEN 3 ELSE 2 END ELSE 0 END)::INT AS total, sum(CASE WHEN state = 'proven' THEN CASE WHEN strength = 'nice' THEN 1 WHEN own THEN 3 ELSE 2 END ELSE 0 END)::INT AS got,
   bool_or(state = 'blocker') AS blocked, bool_or(state = 'unproven' AND strength = 'must') AS must_open FROM s GROUP BY 1),
 b AS (SELECT *, CASE WHEN total > 0 THEN ((200 * got + total) // (2 * total))::INT END AS score FROM a)
 SELECT doc_id, score, CASE WHEN blocked OR coalesce(score < 40, false) THEN 'skip' WHEN score IS NULL OR must_open THEN 'gap' ELSE 'apply' END AS verdict FROM b""")
 def _(t):
     """Every lexicon concept of a document is a requirement; the last line's are musts; the profile proves what it prints."""
-    req = must_candidates(t).select("doc_id", (F.col("doc_id") % N_PROFILES).alias("item_id"), "concept", "must")
+    req = must_candidates(t).select("doc_id", profile_of(t).alias("item_id"), "concept", "must")
     have = profile_tokens(t).select("item_id", F.col("token").alias("concept")).distinct().withColumn("have", F.lit(True))
     state = (F.when(F.col("concept").endswith("wh") & F.col("must"), "blocker").when(F.col("have"), "proven")
              .when(F.length("concept") == 4, "unchecked").otherwise("unproven"))
@@ -173,10 +178,10 @@ def _(t):
 
 @query("e23_language_readiness", f"""WITH {Q_PARAGRAPHS}, {Q_LINE_LANG}, a AS (SELECT source, unnest(['de', 'en', 'es', 'fr']) AS target, l FROM line_lang WHERE l <> 'unknown'),
 b AS (SELECT source, target, count(*) FILTER (WHERE l = target) AS n_target, count(*) AS n FROM a GROUP BY ALL)
-SELECT source, target, n_target, n_target > 0 AND NOT (n >= 3 AND n_target * 5 < n) AS ready FROM b""")
+SELECT source, target, n_target, n_target * 2 >= n AS ready FROM b""")
 def _(t):
-    """Ready when some line is in the language and at least a fifth of the known lines are."""
+    """Ready when at least half of the lines whose language is known are in the language."""
     known = t.paragraphs.withColumn("l", tx.lang_of("line")).where("l <> 'unknown'").groupBy("source", "l").agg(F.count(F.lit(1)).alias("n"))
     spread = known.select("source", "l", "n", F.explode(F.array(*[F.lit(k) for k in sorted(tx.STOPWORDS)])).alias("target"))
     agg = spread.groupBy("source", "target").agg(F.sum(F.when(F.col("l") == F.col("target"), F.col("n")).otherwise(0)).alias("n_target"), F.sum("n").alias("_n"))
-    return agg.select("source", "target", "n_target", ((F.col("n_target") > 0) & ~((F.col("_n") >= 3) & (F.col("n_target") * 5 < F.col("_n")))).alias("ready"))
+    return agg.select("source", "target", "n_target", (F.col("n_target") * 2 >= F.col("_n")).alias("ready"))

@@ -69,18 +69,18 @@ def _(t):
     return fd.extract_json_ld_jobs(t.pages.select("page_id", html.alias("html")))
 
 
-@query("a7_rss_items", rf"""SELECT conv_id, (row_number() OVER (PARTITION BY conv_id, turn // 1000 ORDER BY turn) - 1)::INT AS pos, role AS title, 'https://site.test/' || conv_id::VARCHAR || '/' || turn::VARCHAR AS url, {hx.q_to_text('text')} AS content FROM conversations QUALIFY role <> 'system'""")
+@query("a7_rss_items", rf"""SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS pos, role AS title, 'https://site.test/' || conv_id::VARCHAR || '/' || turn::VARCHAR AS url, {hx.q_to_text('text')} AS content FROM conversations QUALIFY role <> 'system'""")
 def _(t):
     """Turns written as RSS items per conversation; system turns point at a skipped host."""
     link = F.concat(F.when(F.col("role") == "system", "https://www.bing.com/").otherwise("https://site.test/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
     item = F.concat(F.lit("<item><title>"), "role", F.lit("</title><link>"), link, F.lit("</link><description>"), "text", F.lit("</description></item>"))
-    xml = t.conversations.groupBy("conv_id", F.floor(F.col("turn") / 1000).alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("x")))), lambda r: r["x"]), "").alias("xml"))
-    return fd.extract_rss_items(xml, "xml").drop("part")
+    xml = t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("x")))), lambda r: r["x"]), "").alias("xml"))
+    return fd.extract_rss_items(xml, "xml")
 
 
-@query("a8_message_headers", f"""SELECT conv_id, turn, role || '@mail.test' AS "from", 'a@x.test, b@x.test' AS "to", 'Turn ' || turn::VARCHAR AS subject, '2026-11-' || lpad((turn + 1)::VARCHAR, 2, '0') AS "date", {tx.q_strip('text')} AS body FROM conversations""")
+@query("a8_message_headers", f"""SELECT conv_id, turn, role || '@mail.test' AS "from", 'a@x.test, b@x.test' AS "to", 'c@x.test' AS cc, 'Turn ' || turn::VARCHAR AS subject, '2026-11-' || lpad((turn + 1)::VARCHAR, 2, '0') AS "date", {tx.q_strip('text')} AS body FROM conversations""")
 def _(t):
-    raw = F.concat(F.lit("Von: "), "role", F.lit("@mail.test\nGesendet: 2026-11-"), F.lpad((F.col("turn") + 1).cast("string"), 2, "0"), F.lit("\nTo: a@x.test\nTo: b@x.test\nBetreff: Turn "),
+    raw = F.concat(F.lit("\nVon: "), "role", F.lit("@mail.test\nGesendet: 2026-11-"), F.lpad((F.col("turn") + 1).cast("string"), 2, "0"), F.lit("\nTo: a@x.test\nCc: c@x.test\nTo: b@x.test\nBetreff: Turn "),
                    F.col("turn").cast("string"), F.lit("\n\n"), "text")
     return fd.read_message_headers(t.conversations.select("conv_id", "turn", raw.alias("raw")), "raw").drop("raw")
 

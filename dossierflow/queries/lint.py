@@ -323,8 +323,8 @@ Q_QUEST = f"""q AS (SELECT doc_id, line_ix AS pos, doc_id::VARCHAR || '-' || lin
 
 
 @query("e19_open_questions", f"""WITH {Q_PROFILE}, {Q_QUEST}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN gate THEN 0 WHEN recency IS NOT NULL THEN 1 ELSE 2 END, coalesce(recency, 99), pos) AS o FROM q),
-f AS (SELECT *, sum(is_figure::INT) OVER (PARTITION BY doc_id, role ORDER BY o) AS f FROM o), k AS (SELECT *, NOT (is_figure AND f > 2) AS ok FROM f), n AS (SELECT *, sum(ok::INT) OVER (PARTITION BY doc_id ORDER BY o) AS n FROM k)
-SELECT doc_id, key, n::INT AS place FROM n WHERE ok AND n <= 12""")
+f AS (SELECT *, sum(is_figure::INT) OVER (PARTITION BY doc_id, role ORDER BY o) AS f FROM o), k AS (SELECT *, true AS ok FROM f), n AS (SELECT *, sum(ok::INT) OVER (PARTITION BY doc_id ORDER BY o) AS n FROM k)
+SELECT doc_id, key, n::INT AS place FROM n WHERE ok""")
 def _(t):
     """Every line asks one question; five lines make a role."""
     ix = F.col("line_ix")

@@ -44,20 +44,21 @@ Q_MUST = f"""WITH {Q_LEXICON},
 tok AS (SELECT doc_id, line_ix, n_lines, w AS concept, (pos - 1)::INT AS pos FROM (
     SELECT doc_id, (li - 1)::INT AS line_ix, len(ls) AS n_lines, {tx.q_words('line')} AS ws FROM (SELECT doc_id, {tx.q_lines('text')} AS ls FROM documents) d, unnest(d.ls) WITH ORDINALITY AS u(line, li)) x,
   unnest(x.ws) WITH ORDINALITY AS v(w, pos)),
-cand AS (SELECT doc_id, concept, count(*) AS n_hits, bool_or(line_ix = 0) AS in_title, bool_or(line_ix > 0 AND line_ix = n_lines - 1) AS must, min(line_ix * 100000 + pos)::INT AS first_pos
+cand AS (SELECT doc_id, concept, count(*) AS n_hits, bool_or(line_ix = 0) AS in_title, bool_or(line_ix > 0 AND line_ix = n_lines - 1) AS must, min(line_ix::BIGINT * 4294967296 + pos) AS first_pos
   FROM tok JOIN bench_lex USING (concept) GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY must DESC, n_hits DESC, in_title DESC, first_pos, concept) AS rk FROM cand)"""
 
 
 def must_candidates(t):
-    """Lexicon concepts per document: title is the first line, the last line states what is demanded."""
+    """Lexicon concepts per document: title is the first line, the last line states what is demanded. ``first_pos`` holds the line in its
+    upper and the place in the line in its lower 32 bits."""
     ls = t.documents.select("doc_id", tx.lines("text").alias("ls"), F.size(tx.lines("text")).alias("n_lines"))
     rows = ls.select("doc_id", "n_lines", F.posexplode("ls").alias("line_ix", "line"))
     occ = lx.concept_occurrences(rows, ["doc_id", "n_lines", "line_ix"], "line", t.lexicon.select("concept", F.col("concept").alias("form")))
     return occ.groupBy("doc_id", "concept").agg(
         F.count(F.lit(1)).alias("n_hits"), F.bool_or(F.col("line_ix") == 0).alias("in_title"),
         F.bool_or((F.col("line_ix") > 0) & (F.col("line_ix") == F.col("n_lines") - 1)).alias("must"),
-        F.min(F.col("line_ix") * 100000 + F.col("pos")).cast("int").alias("first_pos")).withColumn("lex_order", F.col("concept"))
+        F.min(F.shiftleft(F.col("line_ix").cast("long"), 32) + F.col("pos")).alias("first_pos")).withColumn("lex_order", F.col("concept"))
 
 
 @query("f3_must_have_top3", Q_MUST + " SELECT doc_id, concept, must, n_hits, in_title, first_pos, rk::INT AS rk FROM ranked WHERE rk <= 3")
@@ -73,13 +74,14 @@ def _(t):
 
 def _calendar(t):
     per_day = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    days = F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"))
+    day = t.events.select(F.to_date("ts").alias("day"))
+    days = F.sequence(day.select(F.min("day")).scalar(), day.select(F.max("day")).scalar())
     grid = t.events.select("user_id").distinct().select("user_id", F.explode(days).alias("day"))
     return grid.join(per_day, ["user_id", "day"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @query("f9_carry_forward", """WITH per_day AS (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL),
-cells AS (SELECT g.user_id, g.day, coalesce(n, 0) AS n FROM (SELECT user_id, unnest(range(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY))::DATE AS day FROM (SELECT DISTINCT user_id FROM events)) g LEFT JOIN per_day p ON g.user_id = p.user_id AND g.day = p.day),
+cells AS (SELECT g.user_id, g.day, coalesce(n, 0) AS n FROM (SELECT user_id, unnest(range((SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE + 1 FROM events), INTERVAL 1 DAY))::DATE AS day FROM (SELECT DISTINCT user_id FROM events)) g LEFT JOIN per_day p ON g.user_id = p.user_id AND g.day = p.day),
 w AS (SELECT *, last_value(CASE WHEN n > 0 THEN n END IGNORE NULLS) OVER o AS ln, last_value(CASE WHEN n > 0 THEN day END IGNORE NULLS) OVER o AS ld FROM cells
   WINDOW o AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING))
 SELECT user_id, day, CASE WHEN n = 0 AND ln IS NOT NULL THEN ln ELSE n END AS n_rows, n = 0 AND ln IS NOT NULL AS stale, CASE WHEN n = 0 THEN ld END AS stale_since FROM w""")
@@ -116,7 +118,7 @@ def _web_sql():
     arms = ", ".join(f"CASE WHEN contains({hay}, '{s}') THEN '{s}' END" for s in _SKILLS)
     return f"""SELECT page_id, least(99, greatest(40, 45 + CASE WHEN role IS NOT NULL THEN 32 ELSE 0 END + {sk} + CASE WHEN contains({hay}, 'stadt') THEN 10 ELSE 0 END
   + CASE WHEN regexp_matches(url, 'example\\.org') THEN 8 ELSE 0 END - CASE WHEN regexp_matches(title, '(?:^|[^0-9])20(?:1[0-9]|2[0-4])(?:$|[^0-9])') THEN 12 ELSE 0 END))::INT AS score,
-  array_to_string(list_filter([role, {arms}, CASE WHEN contains({hay}, 'stadt') THEN 'stadt' END], lambda x: x IS NOT NULL)[1:6], ',') AS why
+  array_to_string(list_filter([role, {arms}, CASE WHEN contains({hay}, 'stadt') THEN 'stadt' END], lambda x: x IS NOT NULL), ',') AS why
 FROM (SELECT page_id, url, coalesce({title}, '') || ' ' || (2010 + page_id % 20)::VARCHAR AS title, {hx.q_to_text('html')} AS content, CASE WHEN contains(coalesce({title}, ''), 'the') THEN 'the' END AS role FROM pages)"""
 
 
@@ -174,11 +176,11 @@ def _(t):
     return ls.hydrate_top(ranked, details, "page_id", F.length("url") < 45, [F.col("n").desc(), F.col("page_id")]).select("page_id", hx.to_text("html").alias("detail"))
 
 
-@query("e4_source_health", """WITH f AS (SELECT source, count(*) AS n_found, bool_or(n_chars < 60) AS failed FROM documents WHERE source <> 'src7' GROUP BY 1),
+@query("e4_source_health", """WITH f AS (SELECT source, count(*) AS n_found, bool_or(n_chars < 60) AS failed FROM documents WHERE n_chars % 7 <> 0 GROUP BY 1),
 m AS (SELECT source, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 1 GROUP BY 1)
 SELECT coalesce(f.source, m.source) AS source, coalesce(n_found, 0)::BIGINT AS n_found, coalesce(n, 0) AS n_matched, CASE WHEN coalesce(n, 0) > 0 THEN 'ok' WHEN coalesce(failed, false) THEN 'error' ELSE 'empty' END AS status FROM f FULL JOIN m ON f.source = m.source""")
 def _(t):
-    log = t.documents.where("source <> 'src7'").select("source", F.lit(1).alias("n_found"), (F.col("n_chars") < 60).alias("failed"))
+    log = t.documents.where("n_chars % 7 <> 0").select("source", F.lit(1).alias("n_found"), (F.col("n_chars") < 60).alias("failed"))
     kept = t.documents.join(t.labels.where("quality = 1 AND toxic = 1"), "doc_id", "left_semi").select("source")
     return ls.source_health(log, kept)
 

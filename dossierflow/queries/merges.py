@@ -45,9 +45,9 @@ f AS (SELECT profile, w, min(odd) AS odd FROM w GROUP BY ALL), sk AS (SELECT pro
 j AS (SELECT coalesce(a.profile, b.profile) AS profile, coalesce(nullif(a.headline, ''), b.headline, '') AS headline, CASE WHEN length(coalesce(b.text, '')) > length(coalesce(a.text, '')) THEN b.text ELSE coalesce(a.text, '') END AS summary,
     coalesce(a.ls, []) AS al, list_transform(coalesce(a.ls, []), lambda z: {tx.q_norm('z')}) AS an, coalesce(b.ls, []) AS bl FROM (SELECT * FROM d WHERE odd = 0) a FULL JOIN (SELECT * FROM d WHERE odd = 1) b ON a.profile = b.profile),
 g AS (SELECT *, list_filter(bl, lambda a_: {tx.q_norm('a_')} <> '' AND len(list_filter(an, lambda b_: {_SAME})) = 0) AS fresh FROM j),
-m AS (SELECT profile, headline, summary, list_concat(al, fresh)[1:greatest(len(al), 12)] AS ls, len(al) AS nl FROM g),
-merged AS (SELECT m.profile, headline, md5(summary) AS summary_key, least(coalesce(n, 0), 48)::INT AS n_skills, len(ls)::INT AS n_lines, md5(array_to_string(ls, chr(10))) AS lines_key,
-  greatest(0, least(coalesce(n, 0), 48) - coalesce(base_n, 0))::INT AS gained_skills, (len(ls) - nl)::INT AS gained_lines FROM m LEFT JOIN sk USING (profile))"""
+m AS (SELECT profile, headline, summary, list_concat(al, fresh) AS ls, len(al) AS nl FROM g),
+merged AS (SELECT m.profile, headline, md5(summary) AS summary_key, coalesce(n, 0)::INT AS n_skills, len(ls)::INT AS n_lines, md5(array_to_string(ls, chr(10))) AS lines_key,
+  greatest(0, coalesce(n, 0) - coalesce(base_n, 0))::INT AS gained_skills, (len(ls) - nl)::INT AS gained_lines FROM m LEFT JOIN sk USING (profile))"""
 
 
 @query("h3_merge_profiles", Q_MERGED + " SELECT * FROM merged")
@@ -65,10 +65,10 @@ def _(t):
 
 @query("h4_combine_multi_source", rf"""WITH d AS (SELECT doc_id // 2 AS profile, doc_id % 2 AS odd, {tx.q_sentences('text')} AS ss, source FROM documents)
 SELECT profile, CASE WHEN a.source = b.source OR b.source IS NULL THEN a.source WHEN a.source IS NULL THEN b.source ELSE a.source || ' | ' || b.source END AS headline,
-  md5(array_to_string(list_concat(coalesce(a.ss, []), list_filter(coalesce(b.ss, []), lambda s: NOT list_contains(coalesce(a.ss, []), s)))[1:3], ' ')) AS summary_key
+  md5(array_to_string(list_concat(coalesce(a.ss, []), list_filter(coalesce(b.ss, []), lambda s: NOT list_contains(coalesce(a.ss, []), s))), ' ')) AS summary_key
 FROM (SELECT * FROM d WHERE odd = 0) a FULL JOIN (SELECT * FROM d WHERE odd = 1) b USING (profile)""")
 def _(t):
-    """Looser merge: headline segments of both sources, a summary of at most three distinct sentences."""
+    """Looser merge: headline segments of both sources, a summary of all distinct sentences."""
     side = lambda odd, p: t.documents.where(F.col("doc_id") % 2 == odd).select(
         F.floor(F.col("doc_id") / 2).alias("profile"), F.col("source").alias(f"{p}_source"), tx.sentences("text").alias(f"{p}_ss"))
     j = side(0, "a").join(side(1, "b"), "profile", "full_outer")
@@ -76,7 +76,7 @@ def _(t):
     a, b = F.coalesce("a_ss", empty), F.coalesce("b_ss", empty)
     fresh = tx.let(a, lambda own: F.filter(b, lambda s: ~F.array_contains(own, s)))
     head = F.array_join(F.array_distinct(F.array_compact(F.array("a_source", "b_source"))), " | ")
-    return j.select("profile", head.alias("headline"), F.md5(F.array_join(F.slice(F.concat(a, fresh), 1, 3), " ")).alias("summary_key"))
+    return j.select("profile", head.alias("headline"), F.md5(F.array_join(F.concat(a, fresh), " ")).alias("summary_key"))
 
 
 @query("h5_upsert_listings", """WITH d AS (SELECT doc_id, md5(text) AS k, source FROM documents), tg AS (SELECT * FROM d WHERE doc_id % 2 = 0 OR doc_id % 10 = 5), bt AS (SELECT * FROM d WHERE doc_id % 2 = 1),
@@ -125,9 +125,9 @@ def _(t):
     return mt.apply_swaps(lines, one.unionByName(two).unionByName(stale), cols, "line").select("doc_id", "line_ix", "after")
 
 
-@query("h10_orphan_rows", "SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+@query("h10_orphan_rows", "SELECT l.doc_id, quality FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.n_chars >= 400)")
 def _(t):
-    return t.labels.join(t.documents.where("lang = 'en'").select("doc_id"), "doc_id", "left_anti").select("doc_id", "quality")
+    return t.labels.join(t.documents.where("n_chars >= 400").select("doc_id"), "doc_id", "left_anti").select("doc_id", "quality")
 
 
 @query("h11_drop_unmatched", "SELECT conv_id, turn FROM conversations WHERE md5(role || text) NOT IN (SELECT md5(role || text) FROM conversations WHERE role = 'system' OR turn % 5 = 3)")
@@ -139,6 +139,6 @@ def _(t):
     return msgs.join(forget, "key", "left_anti").select("conv_id", "turn")
 
 
-@query("h12_document_text", "SELECT conv_id, turn // 1000 AS part, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1, 2")
+@query("h12_document_text", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1")
 def _(t):
     return mg.document_text(t.conversations, "conv_id", "turn", "text")

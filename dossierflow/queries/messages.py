@@ -26,10 +26,13 @@ def _user_day(t):
 
 
 def _sent(cue):
-    pre = f"regexp_extract(s, {q_str(f'^(.*?)(?:{cue.pattern})')}, 1)"
-    post = f"regexp_extract(s, {q_str(f'(?:{cue.pattern})(.*)$')}, 1)"
-    vetoes = "".join(f" AND NOT regexp_matches({x}, {q_str(v)})" for x, v in ((pre, cue.veto_before), (post, cue.veto_after)) if v != "(?!)")
-    return f"list_filter(ss, lambda s: regexp_matches(s, {q_str(cue.pattern)}){vetoes})[1]"
+    """First sentence with a hit that no veto rules out: hits are marked, and each is judged by what stands before and after it."""
+    parts = f"string_split(regexp_replace(s, {q_str(f'({cue.pattern})')}, chr(1) || '\\1' || chr(2), 'g'), chr(1))"
+    pre = "replace(array_to_string(list_slice(ps, 1, k), ''), chr(2), '')"
+    post = "array_to_string(list_slice(string_split(array_to_string(list_slice(ps, k + 1, len(ps)), ''), chr(2)), 2, NULL), '')"
+    vetoes = " AND ".join(f"NOT regexp_matches({x}, {q_str(v)})" for x, v in ((pre, cue.veto_before), (post, cue.veto_after)) if v != "(?!)") or "true"
+    free = f"len(list_filter(list_transform([{parts}], lambda ps: len(list_filter(range(1, len(ps)), lambda k: {vetoes})) > 0), lambda x: x)) > 0"
+    return f"list_filter(ss, lambda s: regexp_matches(s, {q_str(cue.pattern)}) AND {free})[1]"
 
 
 def _classify_sql():
@@ -90,16 +93,16 @@ def _(t):
 def _(t):
     """Every tenth event is undated and comes last."""
     items = t.events.select("user_id", "event_id", F.when(F.col("event_id") % 10 != 0, F.col("ts")).alias("d"))
-    bucket = F.coalesce(F.to_date("d"), F.lit("9999-12-31").cast("date"))
+    bucket = F.coalesce(F.unix_date(F.to_date("d")).cast("long"), F.floor(F.col("event_id") / 4096))
     return ms.ordered_replay(items, ["user_id"], "d", "event_id", bucket).select("user_id", "event_id", "seq")
 
 
 @query("k8_merge_back", Q_ITEMS + """, f AS (SELECT user_id, CASE WHEN bool_or(cls = 'rejection') THEN 'rejected' WHEN bool_or(cls = 'offer') THEN 'offer' WHEN bool_or(cls = 'info') THEN 'info' WHEN bool_or(cls = 'ack') THEN 'ack' WHEN bool_or(cls = 'bounce') THEN 'bounced' ELSE 'applied' END AS stage,
-  max(CASE WHEN cls <> 'read' THEN day END) AS last_inbound FROM items WHERE day >= DATE '2024-01-28' GROUP BY 1), r AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'rejected' ELSE 'ack' END AS stage, CASE WHEN user_id % 3 = 0 THEN DATE '2024-01-30' ELSE DATE '2024-01-02' END AS last_inbound FROM (SELECT DISTINCT user_id FROM events)),
+  max(CASE WHEN cls <> 'read' THEN day END) AS last_inbound FROM items GROUP BY 1), r AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'rejected' ELSE 'ack' END AS stage, CASE WHEN user_id % 3 = 0 THEN DATE '2024-01-30' ELSE DATE '2024-01-02' END AS last_inbound FROM (SELECT DISTINCT user_id FROM events)),
 j AS (SELECT r.user_id, CASE WHEN f.stage IS DISTINCT FROM r.stage THEN f.stage END AS stage, CASE WHEN f.last_inbound IS NOT NULL AND f.last_inbound IS DISTINCT FROM r.last_inbound THEN f.last_inbound END AS last_inbound FROM r JOIN f ON r.user_id = f.user_id)
 SELECT * FROM j WHERE stage IS NOT NULL OR last_inbound IS NOT NULL""")
 def _(t):
-    items = _user_day(t).where(F.col("day") >= F.lit("2024-01-28").cast("date"))
+    items = _user_day(t)
     dates = ms.fold_dates(items, ["user_id"], "cls", F.lit("in"), F.col("day")).select("user_id", "last_inbound")
     folded = ms.fold_stage(items, ["user_id"], "cls", "ts", F.lit("applied")).join(dates, "user_id")
     records = t.events.select("user_id").distinct().select("user_id", F.when(F.col("user_id") % 2 == 0, "rejected").otherwise("ack").alias("stage"), F.when(
@@ -107,20 +110,21 @@ def _(t):
     return ms.merge_back(records, folded, "user_id", ["stage", "last_inbound"])
 
 
-@query("k9_daily_refresh", """WITH per_day AS (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL), u AS (SELECT DISTINCT user_id FROM events), today AS (SELECT user_id, n FROM per_day WHERE day = DATE '2024-01-30'),
-prev AS (SELECT user_id, n, day, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS rk FROM per_day WHERE day BETWEEN DATE '2024-01-23' AND DATE '2024-01-29')
+@query("k9_daily_refresh", """WITH per_day AS (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL), u AS (SELECT DISTINCT user_id FROM events), l AS (SELECT max(ts)::DATE AS d FROM events), today AS (SELECT user_id, n FROM per_day WHERE day = (SELECT d FROM l)),
+prev AS (SELECT user_id, n, day, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS rk FROM per_day WHERE day BETWEEN (SELECT d - 7 FROM l) AND (SELECT d - 1 FROM l))
 SELECT u.user_id, coalesce(t.n, p.n, 0) AS n_rows, t.n IS NULL AND p.n IS NOT NULL AS stale, CASE WHEN t.n IS NULL THEN p.day END AS stale_since FROM u LEFT JOIN today t ON u.user_id = t.user_id LEFT JOIN prev p ON u.user_id = p.user_id AND p.rk = 1""")
 def _(t):
     """The last day's collection over the snapshots before it."""
-    return ls.carry_forward(_calendar(t), "user_id", "day", "n").where(F.col("day") == F.lit("2024-01-30").cast("date")).drop("day")
+    return ls.carry_forward(_calendar(t), "user_id", "day", "n").where(
+        F.col("day") == t.events.select(F.max(F.to_date("ts"))).scalar()).drop("day")
 
 
-@query("k10_incremental_since", """SELECT count(*) AS n_messages, min(event_id) AS first_event, max(event_id) AS last_event FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 2 DAY""")
+@query("k10_incremental_since", """SELECT event_id, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 2 DAY""")
 def _(t):
     """Last check on 20 January with two days of overlap, read twice and deduplicated."""
     twice = t.events.unionByName(t.events)
     got = jobs.incremental_since(twice, "ts", F.lit("2024-01-18 00:00:00").cast("timestamp_ntz"), "event_id")
-    return got.agg(F.count(F.lit(1)).alias("n_messages"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
+    return got.select("event_id", "user_id", "event_type")
 
 
 @query("k11_pending_followups", "SELECT o_orderkey, o_orderdate::DATE + 4 AS due FROM orders WHERE o_orderdate::DATE + 4 <= DATE '1999-06-01' AND o_orderstatus = 'O'")
@@ -136,9 +140,9 @@ def _(t):
     return t.conversations.select("conv_id", "turn", ms.strip_quoted(quoted).alias("reply"))
 
 
-@query("s24_normal_subject", r"SELECT conv_id, turn, trim(regexp_replace(lower(left(text, 60)), '[\s—–-]+', ' ', 'g')) AS subject FROM conversations")
+@query("s24_normal_subject", r"SELECT conv_id, turn, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[\s—–-]+', ' ', 'g')) AS subject FROM conversations")
 def _(t):
-    raw = F.concat(F.lit("RE: AW: [ext] Fwd: "), F.left("text", F.lit(60)))
+    raw = F.concat(F.lit("RE: AW: [ext] Fwd: "), F.substring_index("text", "\n", 1))
     return t.conversations.select("conv_id", "turn", ms.normal_subject(raw).alias("subject"))
 
 
@@ -147,6 +151,6 @@ def _(t):
     return t.conversations.select("conv_id", "turn", ms.snippet(F.col("text"), "lyand|tion|lich").alias("evidence"))
 
 
-@query("s26_content_key", r"""SELECT conv_id, turn, 'c:' || md5(role || '|' || trim(regexp_replace(lower(left(text, 60)), '[\s—–-]+', ' ', 'g')) || '|' || left(trim(regexp_replace(""" + tx.q_strip("text") + r""", '\s+', ' ', 'g')), 300)) AS key FROM conversations""")
+@query("s26_content_key", r"""SELECT conv_id, turn, 'c:' || md5(role || '|' || trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[\s—–-]+', ' ', 'g')) || '|' || trim(regexp_replace(""" + tx.q_strip("text") + r""", '\s+', ' ', 'g'))) AS key FROM conversations""")
 def _(t):
-    return t.conversations.select("conv_id", "turn", ms.content_key("role", F.concat(F.lit("Re: "), F.left("text", F.lit(60))), "text").alias("key"))
+    return t.conversations.select("conv_id", "turn", ms.content_key("role", F.concat(F.lit("Re: "), F.substring_index("text", "\n", 1)), "text").alias("key"))

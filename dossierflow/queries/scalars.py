@@ -209,7 +209,7 @@ def _(t):
     return values.join(asked, ["doc_id", "path"])
 
 
-@query("s29_term_at", r"""SELECT doc_id, (strpos(f, ' thou') - 1)::INT AS word_start, (strpos(f, ' an ') - 1)::INT AS whole FROM (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^\p{L}\p{N}&]', ' ', 'g') || ' ' AS f FROM documents)""")
+@query("s29_term_at", r"""SELECT doc_id, (strpos(f, ' thou') - 1)::INT AS word_start, (strpos(f, ' an ') - 1)::INT AS whole FROM (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^\p{L}\p{N}&-]', ' ', 'g') || ' ' AS f FROM documents)""")
 def _(t):
     return t.documents.select("doc_id", pf.term_at("text", F.lit("thou")).alias("word_start"), pf.term_at("text", F.lit("an")).alias("whole"))
 

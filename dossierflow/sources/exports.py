@@ -73,12 +73,18 @@ def classify_export_files(files: DataFrame) -> DataFrame:
     return rows.join(won, "path", "left").select("path", "kind", "never", F.coalesce("claims", F.lit(False)).alias("claims"))
 
 
-def read_export(spark: SparkSession, path: str, kind: str, width: int = 40) -> DataFrame:
-    """Records of one kind from RFC 4180 files (quoted line breaks, doubled quotes, byte-order mark).
+def export_width(spark: SparkSession, path: str) -> int:
+    """Columns that the files need: the most separators of any line, which a header row reaches. One number comes back."""
+    return (spark.read.text(path).agg(F.max(F.size(F.split("value", ",")))).first()[0]) or 1
+
+
+def read_export(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Records of one kind from RFC 4180 files (quoted line breaks, doubled quotes, byte-order mark), of any width.
 
     The header is the first of a file's first 15 rows that names two known columns (one for single-column kinds); columns
     resolve by alias. Every file is one split, so row order inside it is the reading order."""
-    raw = (spark.read.option("multiLine", True).option("quote", '"').option("escape", '"').option("header", False)
+    width = export_width(spark, path)
+    raw = (spark.read.option("multiLine", True).option("maxColumns", width + 1).option("quote", '"').option("escape", '"').option("header", False)
            .schema(", ".join(f"c{i} string" for i in range(width))).csv(path)
            .withColumn("file", F.col("_metadata.file_path")).withColumn("row", F.monotonically_increasing_id()))
     cells = F.transform(F.array(*[F.col(f"c{i}") for i in range(width)]), lambda c: F.regexp_replace(c, "^﻿", ""))

@@ -90,19 +90,19 @@ def extract_rss_items(feeds: DataFrame, xml: str, skip_host: str = SEARCH_HOSTS)
 
 
 # Header names per field in four languages.
-HEADER_NAMES = (("from", "from|von|de"), ("date", "sent|gesendet|date|datum|envoyé"), ("to", "to|an|à"), ("subject", "subject|betreff|objet"))
+HEADER_NAMES = (("from", "from|von|de"), ("date", "sent|gesendet|date|datum|envoyé"), ("to", "to|an|à"), ("cc", "cc|kopie|copie"), ("subject", "subject|betreff|objet"))
 
 
 def read_message_headers(messages: DataFrame, text: str) -> DataFrame:
-    """Leading header lines of a pasted message to columns; a repeated ``to`` is joined, others keep the first; the rest is the body."""
+    """Leading header lines of a pasted message to columns; a repeated ``to`` or ``cc`` is joined, blank lines before them are passed over, others keep the first; the rest is the body."""
     names = "|".join(n for _, n in HEADER_NAMES)
-    block = rf"(?iu)^((?:[ \t]*(?:{names})[ \t]*:[^\n]*(?:\n|$))+)"
+    block = rf"(?iu)^(?:[ \t]*\n)*((?:[ \t]*(?:{names})[ \t]*:[^\n]*(?:\n|$))+)"
     head = F.regexp_extract(F.regexp_replace(text, r"\r\n?", "\n"), block, 1)
     rows = F.split(head, "\n")
     out = messages.withColumn("_rows", rows)
     for col, pattern in HEADER_NAMES:
         got = _header_values("_rows", pattern)
-        out = out.withColumn(col, F.array_join(got, ", ") if col == "to" else F.coalesce(F.get(got, F.lit(0)), F.lit("")))
+        out = out.withColumn(col, F.array_join(got, ", ") if col in ("to", "cc") else F.coalesce(F.get(got, F.lit(0)), F.lit("")))
     return out.withColumn("body", tx.strip(F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), block, ""))).drop("_rows")
 
 
@@ -117,6 +117,8 @@ def snapshot_summary(listings: DataFrame, at: str, stale: Column) -> DataFrame:
 
 
 def write_snapshot(listings: DataFrame, path: str, at: str, files_per_source_rows: int = 5_000_000) -> None:
-    """Listings partitioned by date and source. The writer keeps incoming partitions, so a hot source is written by many tasks."""
-    (listings.withColumn("snapshot_date", F.lit(at)).write.mode("append").option("maxRecordsPerFile", files_per_source_rows)
+    """Listings partitioned by date and source; a day that is written again replaces its own partitions and no others. The writer
+    keeps incoming partitions, so a hot source is written by many tasks."""
+    (listings.withColumn("snapshot_date", F.lit(at)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("maxRecordsPerFile", files_per_source_rows)
      .partitionBy("snapshot_date", "source").parquet(path))
