@@ -7,18 +7,88 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# part -> "check:severity" in catalogue order
-PARTS = {
-    "ats": ("HDR-01:high HDR-02:high HDR-03:low HDR-04:med HDR-05:med HDR-06:high HDR-07:high HDR-08:high HDR-09:high HDR-10:high HDR-11:high "
-            "HDR-12:high EXP-01:high EXP-02:high EXP-03:high EXP-04:high EXP-10:low BUL-08:high REF-01:high REF-03:med MKT-03:low ATS-01:low ATS-02:low"),
-    "summary": ("HL-01:high HL-02:high HL-03:high HL-04:low HL-05:med SUM-01:high SUM-02:low SUM-03:med SUM-04:high SUM-05:low SUM-06:high "
-                "SUM-07:high SUM-08:med SUM-09:low SUM-10:low DOC-02:high"),
-    "format": ("EXP-05:med EXP-06:low EXP-07:med EXP-08:med EXP-09:low EXP-12:med BUL-07:med EDU-02:low EDU-03:low REF-02:low DOC-01:high "
-               "DOC-03:med DOC-04:low DOC-05:low MKT-01:low MKT-02:low"),
-    "length": "EXP-11:low BUL-01:low BUL-02:low BUL-06:med MKT-04:low",
-    "achievements": "BUL-03:low BUL-04:low BUL-05:low BUL-09:med ACH-01:high MET-01:med MET-02:low",
-    "skills": "MET-03:med SKL-01:med SKL-02:med SKL-03:med SKL-04:low SKL-05:low LNG-01:med LNG-02:high LNG-03:low LNG-04:low EDU-01:med EDU-04:low",
-}
+# Every check with its part and usual severity.
+CHECKS = (
+    ("HDR-01", "ats", "high"),
+    ("HDR-02", "ats", "high"),
+    ("HDR-03", "ats", "low"),
+    ("HDR-04", "ats", "med"),
+    ("HDR-05", "ats", "med"),
+    ("HDR-06", "ats", "high"),
+    ("HDR-07", "ats", "high"),
+    ("HDR-08", "ats", "high"),
+    ("HDR-09", "ats", "high"),
+    ("HDR-10", "ats", "high"),
+    ("HDR-11", "ats", "high"),
+    ("HDR-12", "ats", "high"),
+    ("EXP-01", "ats", "high"),
+    ("EXP-02", "ats", "high"),
+    ("EXP-03", "ats", "high"),
+    ("EXP-04", "ats", "high"),
+    ("EXP-10", "ats", "low"),
+    ("BUL-08", "ats", "high"),
+    ("REF-01", "ats", "high"),
+    ("REF-03", "ats", "med"),
+    ("MKT-03", "ats", "low"),
+    ("ATS-01", "ats", "low"),
+    ("ATS-02", "ats", "low"),
+    ("HL-01", "summary", "high"),
+    ("HL-02", "summary", "high"),
+    ("HL-03", "summary", "high"),
+    ("HL-04", "summary", "low"),
+    ("HL-05", "summary", "med"),
+    ("SUM-01", "summary", "high"),
+    ("SUM-02", "summary", "low"),
+    ("SUM-03", "summary", "med"),
+    ("SUM-04", "summary", "high"),
+    ("SUM-05", "summary", "low"),
+    ("SUM-06", "summary", "high"),
+    ("SUM-07", "summary", "high"),
+    ("SUM-08", "summary", "med"),
+    ("SUM-09", "summary", "low"),
+    ("SUM-10", "summary", "low"),
+    ("DOC-02", "summary", "high"),
+    ("EXP-05", "format", "med"),
+    ("EXP-06", "format", "low"),
+    ("EXP-07", "format", "med"),
+    ("EXP-08", "format", "med"),
+    ("EXP-09", "format", "low"),
+    ("EXP-12", "format", "med"),
+    ("BUL-07", "format", "med"),
+    ("EDU-02", "format", "low"),
+    ("EDU-03", "format", "low"),
+    ("REF-02", "format", "low"),
+    ("DOC-01", "format", "high"),
+    ("DOC-03", "format", "med"),
+    ("DOC-04", "format", "low"),
+    ("DOC-05", "format", "low"),
+    ("MKT-01", "format", "low"),
+    ("MKT-02", "format", "low"),
+    ("EXP-11", "length", "low"),
+    ("BUL-01", "length", "low"),
+    ("BUL-02", "length", "low"),
+    ("BUL-06", "length", "med"),
+    ("MKT-04", "length", "low"),
+    ("BUL-03", "achievements", "low"),
+    ("BUL-04", "achievements", "low"),
+    ("BUL-05", "achievements", "low"),
+    ("BUL-09", "achievements", "med"),
+    ("ACH-01", "achievements", "high"),
+    ("MET-01", "achievements", "med"),
+    ("MET-02", "achievements", "low"),
+    ("MET-03", "skills", "med"),
+    ("SKL-01", "skills", "med"),
+    ("SKL-02", "skills", "med"),
+    ("SKL-03", "skills", "med"),
+    ("SKL-04", "skills", "low"),
+    ("SKL-05", "skills", "low"),
+    ("LNG-01", "skills", "med"),
+    ("LNG-02", "skills", "high"),
+    ("LNG-03", "skills", "low"),
+    ("LNG-04", "skills", "low"),
+    ("EDU-01", "skills", "med"),
+    ("EDU-04", "skills", "low"),
+)
 PART_ORDER = ("ats", "summary", "format", "length", "achievements", "skills")
 GATES = ("HDR-01", "HDR-02", "HDR-06", "HDR-07", "HDR-08", "HDR-09", "HDR-10", "HDR-11", "HDR-12", "HL-01", "HL-02", "HL-03", "SUM-01",
          "SUM-04", "SUM-06", "SUM-07", "EXP-01", "EXP-02", "EXP-03", "EXP-04", "BUL-08", "LNG-02", "REF-01", "DOC-01", "DOC-02", "ACH-01")
@@ -102,6 +172,22 @@ RANK_CLASSES = (
 COVERS = (("md", ("director",)), ("ceo", ("md", "gm", "director", "chief", "officer")), ("cfo", ("chief", "officer", "director")), ("coo", ("chief", "officer", "director")),
           ("cto", ("chief", "officer", "director")), ("cmo", ("chief", "officer", "director")), ("cio", ("chief", "officer", "director")), ("mp", ("partner",)),
           ("president", ("vp",)), ("chairman", ("chair",)), ("gm", ("manager",)))
+# Languages by group, and the words that state a level of one.
+LANGUAGE_GROUPS = (
+    ("german", ("german", "deutsch", "allemand", "alemán", "tedesco", "الألمانية")), ("arabic", ("arabic", "arabisch", "arabe", "árabe", "arabo", "العربية")),
+    ("english", ("english", "englisch", "anglais", "inglés", "inglese", "الإنجليزية", "الانجليزية")), ("french", ("french", "französisch", "français", "francés", "francese", "الفرنسية")),
+    ("spanish", ("spanish", "spanisch", "espagnol", "español", "spagnolo")), ("italian", ("italian", "italienisch", "italien", "italiano")),
+    ("russian", ("russian", "russisch", "russe", "ruso")), ("turkish", ("turkish", "türkisch", "turc", "turco")), ("urdu", ("urdu",)), ("hindi", ("hindi",)),
+    ("persian", ("farsi", "persian", "persisch")), ("chinese", ("chinese", "mandarin", "chinesisch")), ("portuguese", ("portuguese", "portugiesisch", "portugais")),
+    ("dutch", ("dutch", "niederländisch")))
+NATIVE_LEVELS = ("native", "natively", "mother tongue", "muttersprache", "muttersprachlich", "muttersprachniveau", "langue maternelle", "nativo", "nativa", "lengua materna",
+                 "لغة أم", "اللغة الأم", "native or bilingual proficiency")
+LEARNT_LEVELS = ("fluent", "fluently", "fließend", "verhandlungssicher", "business fluent", "business level", "advanced", "proficient", "courant", "couramment", "fluido", "بطلاقة")
+OTHER_LEVELS = ("basic", "conversational", "grundkenntnisse", "gut", "good", "intermediate", "working knowledge", "bilingual", "a1", "a2", "b1", "b2", "c1", "c2",
+                "full professional proficiency", "professional working proficiency", "limited working proficiency", "elementary proficiency")
+LIST_WORDS = ("and", "und", "et", "y", "sowie")
+# Names that begin in lower case by right.
+BRANDS = ("ebay", "iphone", "ipad", "ios", "npm", "macos", "jquery", "iot", "etoro")
 BINDING = ("deputy", "assistant", "associate", "acting", "junior", "trainee", "stellvertretend", "stellvertretender", "stellvertretende", "kommissarisch")
 NOT_GERMAN_DATES = ("present", "current", "today", "since", "mar", "may", "oct", "dec", "march", "october", "december")
 NOT_ENGLISH_DATES = ("heute", "aktuell", "seit", "mrz", "mär", "märz", "mai", "okt", "dez", "janvier", "février", "mars", "avril", "juin", "juillet", "août",
@@ -113,12 +199,7 @@ NAME_PAIR = r"[\p{L}\p{N},;:]\s+((?!References?|Referenzen|Written|Available|Req
 
 def checks() -> list[tuple[str, str, str, str, bool, bool]]:
     """(check_id, part, section, severity, gate, deferred) for every check."""
-    rows = []
-    for part, text in PARTS.items():
-        for item in text.split():
-            cid, sev = item.split(":")
-            rows.append((cid, part, SECTIONS[cid.split("-")[0]], sev, cid in GATES, cid in DEFERRED))
-    return rows
+    return [(cid, part, SECTIONS[cid.split("-")[0]], sev, cid in GATES, cid in DEFERRED) for cid, part, sev in CHECKS]
 
 
 def check_table(spark: SparkSession) -> DataFrame:

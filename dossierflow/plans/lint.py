@@ -392,6 +392,80 @@ def l7_lines(lines: DataFrame) -> DataFrame:
                     F.concat(F.lit("lines."), F.col("line_ix").cast("string")).alias("path"), F.col("partner_ix").cast("string").alias("hit"))
 
 
+def skill_words(skill: Column) -> Column:
+    return F.array_distinct(F.filter(tx.letter_words(skill), lambda w: (F.length(w) >= 3) & ~w.isin("and", "und")))
+
+
+def l7_skills(docs: DataFrame) -> DataFrame:
+    """SKL-05: a skill whose words all stand in another skill of the document (the first such is named; of equal ones the later), and a
+    skill that begins in lower case. A skill meets others only under its rarest word of the document."""
+    skills = docs.select("doc_id", F.posexplode("skills").alias("ix", "skill")).withColumn("s", skill_words(F.col("skill")))
+    path = F.concat(F.lit("skills."), F.col("ix").cast("string"))
+    shape = lambda df, hit: df.select("doc_id", F.lit("SKL-05").alias("check_id"), F.lit("low").alias("sev"), path.alias("path"), hit.alias("hit"))
+    words = skills.select("doc_id", "ix", "s", F.explode("s").alias("w"))
+    seen = words.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))
+    rare = (words.join(seen, ["doc_id", "w"]).groupBy("doc_id", "ix").agg(F.min(F.struct("n", "w")).alias("r"), F.first("s").alias("s"))
+            .where("r.n > 1").select("doc_id", "ix", "s", F.col("r.w").alias("w")))
+    other = words.select("doc_id", F.col("ix").alias("other"), F.col("s").alias("o"), "w")
+    inside = (rare.join(other, ["doc_id", "w"]).where((F.col("ix") != F.col("other")) & (F.size(F.array_except("s", "o")) == 0) & (
+        (F.size("s") < F.size("o")) | (F.col("ix") < F.col("other")))).groupBy("doc_id", "ix").agg(F.min("other").alias("other")))
+    first = F.lower(F.coalesce(F.get(tx.letter_words("skill"), F.lit(0)), F.lit("")))
+    lower = skills.where(F.trim("skill").rlike(r"^\p{Ll}") & ~first.isin(*cat.BRANDS))
+    return shape(inside, F.concat(F.lit("skills."), F.col("other").cast("string"))).unionByName(shape(lower, F.col("skill")))
+
+
+def l6_language_levels(docs: DataFrame) -> DataFrame:
+    """LNG-02: a language that is called native in one place and learnt in another, in the languages line or the summary. German is a
+    gate, other languages are a question.
+
+    In the languages line a level holds for its part of the line. In the summary it stands next to the language or to a list that the
+    language is in, before it (also with ``in``) or after it (also in brackets, after a colon, ``auf``, ``at``)."""
+    word = lambda terms: "(?:" + "|".join(sorted((t.replace(" ", r"\s+") for t in terms), key=len, reverse=True)) + ")"
+    edge, end = r"(?iu)(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+    names = word(n for _, own in cat.LANGUAGE_GROUPS for n in own)
+    comma = rf"\s*(?:,|&|(?:{'|'.join(cat.LIST_WORDS)}){end})\s*"
+    summary, parts = F.coalesce("summary", F.lit("")), F.split(F.coalesce("langs", F.lit("")), r"[·,;|/]")
+    rules = []
+    for group, own in cat.LANGUAGE_GROUPS:
+        language = word(own) + end + r"(?![-‐]\p{L})"
+
+        def stated(levels, language=language, own=own):
+            level = word(levels) + end
+            after = rf"{edge}{language}(?:{comma}{names}{end})*\s*(?:\(|:|auf|au niveau|at)?\s*{level}"
+            before = rf"{edge}{level}\s*(?:(?:in|en)\s+)?(?:{names}{end}{comma})*{language}"
+            in_line = F.exists(parts, lambda x: x.rlike(edge + word(own) + end) & x.rlike(edge + level))
+            return in_line | summary.rlike(after) | summary.rlike(before)
+
+        both = stated(cat.NATIVE_LEVELS) & stated(cat.LEARNT_LEVELS)
+        rules.append(rule("LNG-02", both, "langs", F.lit(group), sev="high" if group == "german" else "med"))
+    return instances(docs, rules)
+
+
+def lint_all(docs: DataFrame, lines: DataFrame, roles: DataFrame | None = None, words: dict[str, Iterable[str]] | None = None, title_words=cat.TITLE_WORDS,
+             company_openers=cat.COMPANY_OPENERS, dial: dict[str, str] | None = None, place_country: dict[str, str] | None = None, places: Iterable[str] = (),
+             alias: DataFrame | None = None, members: DataFrame | None = None, today_ix: int | None = None) -> DataFrame:
+    """Instances of every check with a data rule: ``doc_id, check_id, sev, path, hit``.
+
+    ``docs`` and ``lines`` as in the families above; ``docs.raw`` is the whole text for personal data. Checks over roles run where
+    ``roles`` are given (``role_ix, title, employer, dates, pd, doc_lang, langs, recency, n_lines, n_roles, from_ix, to_ix, is_current,
+    fmt``), those over places where ``alias`` and ``members`` are."""
+    words, raw = words or {}, docs.select("doc_id", F.col("raw").alias("text"))
+    parts = [l1_blank_fields(docs), l2_terms_docs(docs, words), l2_terms_lines(lines, words), l3_personal_data(raw, F.lit("text"), "text"),
+             l3_contact_patterns(raw, F.lit("text"), "text"), l3_references(docs), l4_shapes_lines(lines, title_words, company_openers), l4_shapes_docs(docs),
+             l5_lengths(docs), l6_orphan_figures(docs, lines), l6_skills_without_evidence(docs, lines), l6_consistency_docs(docs, dial or {}, place_country or {}),
+             l6_language_levels(docs), l7_lines(lines), l7_skills(docs), l9_languages(docs), l10_templates(lines)]
+    if alias is not None:
+        parts.append(l6_orphan_places(docs, lines, alias, members, places))
+    if roles is not None:
+        parts += [l1_blank_roles(roles, places), l2_employers_in_summary(docs, roles), l2_date_words(docs, roles), l4_shapes_roles(roles, places, today_ix),
+                  l5_roles(roles, today_ix // 12), l6_titles_never_held(docs, roles), l7_pairs(roles, "doc_id", "role_ix"),
+                  l8_timeline(roles, "doc_id", today_ix, F.col("is_current"), F.col("fmt"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def l8_timeline(roles: DataFrame, key: str, today_ix: int, is_open: Column, fmt: Column) -> DataFrame:
     """EXP-09 (gaps), EXP-05 and MKT-02 (date styles): ``fmt`` is the printed style of a role's dates."""
     gaps = iv.timeline_gaps(roles, key, today_ix, is_open=is_open).select(

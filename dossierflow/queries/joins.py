@@ -121,7 +121,9 @@ def _(t):
     return lk.orphan_places(claims, lines, alias, members, "owner").select("owner", "claim_id", "place")
 
 
-Q_NEAR = rf"""WITH {Q_PARAGRAPHS}, r AS (SELECT doc_id, line_ix, {tx.q_norm('line')} AS n FROM paragraphs), r1 AS (SELECT * FROM r WHERE n <> ''),
+def q_near(tables: str, lines: str, line: str) -> str:
+    """Check SQL of the near-duplicate lines of ``lines`` (doc_id, line_ix and the text ``line``)."""
+    return rf"""WITH {tables}, r AS (SELECT doc_id, line_ix, {tx.q_norm(line)} AS n FROM {lines}), r1 AS (SELECT * FROM r WHERE n <> ''),
 f AS (SELECT doc_id, n, min(line_ix) AS ix FROM r1 GROUP BY ALL),
 s AS (SELECT doc_id, ix, list_distinct(list_filter({tx.q_letter_words('n')}, lambda x: length(x) >= 4)) AS s FROM f)
 SELECT r1.doc_id, line_ix, ix AS partner_ix, 'exact' AS kind FROM r1 JOIN f ON r1.doc_id = f.doc_id AND r1.n = f.n WHERE line_ix > ix
@@ -130,6 +132,9 @@ WHERE len(a.s) >= 5 AND len(b.s) >= 5 AND least(len(a.s), len(b.s)) * 10 >= grea
   AND len(list_intersect(a.s, b.s)) * 10 >= (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) * 8 GROUP BY a.doc_id, b.ix"""
 
 
+Q_NEAR = q_near(Q_PARAGRAPHS, "paragraphs", "line")
+
+
 @query("d9_near_duplicate_lines", Q_NEAR)
 def _(t):
     return lk.near_duplicate_lines(t.paragraphs, "doc_id", "line_ix", "line")
