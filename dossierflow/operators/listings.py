@@ -44,6 +44,14 @@ def round_robin(df: DataFrame, source: str, newest_first: Column, bucket: Column
     return join_small(ranked, first, source)
 
 
+def carry_rows(rows: DataFrame, cells: DataFrame, source: str, day: str, max_days: int = 7) -> DataFrame:
+    """The listings of every (source, day): the day's own, or where it has none those of the last good day at most ``max_days``
+    back, flagged ``stale`` with the day they come from. ``cells`` counts the rows of each (source, day)."""
+    carried = carry_forward(cells, source, day, "n", max_days).where("n_rows > 0")
+    shown = carried.select(source, F.col(day).alias("_shown"), "stale", "stale_since", F.coalesce("stale_since", F.col(day)).alias(day))
+    return rows.join(shown, [source, day]).drop(day).withColumnRenamed("_shown", day)
+
+
 def carry_forward(cells: DataFrame, source: str, day: str, count: str, max_days: int = 7) -> DataFrame:
     """Empty cells take the last good count of the same source at most ``max_days`` back, flagged stale.
 

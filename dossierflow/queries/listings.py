@@ -84,9 +84,14 @@ def _calendar(t):
 cells AS (SELECT g.user_id, g.day, coalesce(n, 0) AS n FROM (SELECT user_id, unnest(range((SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE + 1 FROM events), INTERVAL 1 DAY))::DATE AS day FROM (SELECT DISTINCT user_id FROM events)) g LEFT JOIN per_day p ON g.user_id = p.user_id AND g.day = p.day),
 w AS (SELECT *, last_value(CASE WHEN n > 0 THEN n END IGNORE NULLS) OVER o AS ln, last_value(CASE WHEN n > 0 THEN day END IGNORE NULLS) OVER o AS ld FROM cells
   WINDOW o AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING))
-SELECT user_id, day, CASE WHEN n = 0 AND ln IS NOT NULL THEN ln ELSE n END AS n_rows, n = 0 AND ln IS NOT NULL AS stale, CASE WHEN n = 0 THEN ld END AS stale_since FROM w""")
+SELECT w.user_id, w.day, e.event_id, n = 0 AS stale, CASE WHEN n = 0 THEN ld END AS stale_since FROM w JOIN events e ON e.user_id = w.user_id AND e.ts::DATE = CASE WHEN n = 0 THEN ld ELSE w.day END""")
 def _(t):
-    return ls.carry_forward(_calendar(t), "user_id", "day", "n")
+    """Events as listings, users as sources: each day's listings, its own or carried."""
+    return ls.carry_rows(_event_rows(t), _calendar(t), "user_id", "day")
+
+
+def _event_rows(t):
+    return t.events.select("user_id", F.to_date("ts").alias("day"), "event_id")
 
 
 @query("f10_round_robin", """SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC)::INT AS turn, min(doc_id) OVER (PARTITION BY source) AS source_order FROM documents""")

@@ -7,7 +7,7 @@ from dossierflow.functions import text as tx
 from dossierflow.functions.text import q_str
 from dossierflow.operators import listings as ls
 from dossierflow.operators import messages as ms
-from dossierflow.queries.listings import _calendar
+from dossierflow.queries.listings import _calendar, _event_rows
 from dossierflow.streaming import jobs
 
 CLS = """CASE WHEN event_type = 'error' AND value >= 50 THEN 'rejection' WHEN event_type = 'error' THEN 'bounce' WHEN event_type = 'view' THEN 'read' WHEN event_type = 'click' THEN 'ack' WHEN event_type = 'signup' THEN 'info' ELSE 'offer' END"""
@@ -83,9 +83,15 @@ def _(t):
     return ms.fold_stage(ms.replay(items, items.where("event_id % 9 = 0"), "event_id"), ["user_id", "day"], "cls", "ts", F.lit("applied"))
 
 
-@query("k6_admit_requests")
+_IN_WINDOW = "list_filter(r.times, lambda x: e.t - x < 86400000000)"
+
+
+@query("k6_admit_requests", f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, i, true AS accepted, [t] AS times FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.i, len({_IN_WINDOW}) < 3, CASE WHEN len({_IN_WINDOW}) < 3 THEN list_append({_IN_WINDOW}, e.t) ELSE {_IN_WINDOW} END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id, event_id, accepted FROM r""")
 def _(t):
-    """Accepted-only limiter; no SQL twin. A test compares it with a plain loop."""
+    """Accepted-only limiter; a test also compares it with a plain loop."""
     return jobs.admit_batch(t.events, "user_id", "ts", "event_id", 3, 86400)
 
 
@@ -112,10 +118,11 @@ def _(t):
 
 @query("k9_daily_refresh", """WITH per_day AS (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL), u AS (SELECT DISTINCT user_id FROM events), l AS (SELECT max(ts)::DATE AS d FROM events), today AS (SELECT user_id, n FROM per_day WHERE day = (SELECT d FROM l)),
 prev AS (SELECT user_id, n, day, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS rk FROM per_day WHERE day BETWEEN (SELECT d - 7 FROM l) AND (SELECT d - 1 FROM l))
-SELECT u.user_id, coalesce(t.n, p.n, 0) AS n_rows, t.n IS NULL AND p.n IS NOT NULL AS stale, CASE WHEN t.n IS NULL THEN p.day END AS stale_since FROM u LEFT JOIN today t ON u.user_id = t.user_id LEFT JOIN prev p ON u.user_id = p.user_id AND p.rk = 1""")
+SELECT u.user_id, e.event_id, t.n IS NULL AS stale, CASE WHEN t.n IS NULL THEN p.day END AS stale_since FROM u LEFT JOIN today t ON u.user_id = t.user_id LEFT JOIN prev p ON u.user_id = p.user_id AND p.rk = 1
+JOIN events e ON e.user_id = u.user_id AND e.ts::DATE = CASE WHEN t.n IS NULL THEN p.day ELSE (SELECT d FROM l) END""")
 def _(t):
     """The last day's collection over the snapshots before it."""
-    return ls.carry_forward(_calendar(t), "user_id", "day", "n").where(
+    return ls.carry_rows(_event_rows(t), _calendar(t), "user_id", "day").where(
         F.col("day") == t.events.select(F.max(F.to_date("ts"))).scalar()).drop("day")
 
 

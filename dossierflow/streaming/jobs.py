@@ -1,6 +1,7 @@
 """Structured Streaming jobs over messages and events."""
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -69,9 +70,9 @@ def admit_stream(events: DataFrame, key: str, ts: str, ident: str, n: int, secon
             state.remove()
             return
         window = _Window(n, width, list(state.get[0]) if state.exists else None)
-        for pdf in batches:
-            pdf = pdf.sort_values(["_t", ident])
-            yield pd.DataFrame({key: pdf[key], ident: pdf[ident], "accepted": [window.admit(int(t)) for t in pdf["_t"]]})
+        # a key's rows of one trigger come in several Arrow chunks; order is over all of them
+        pdf = pd.concat(list(batches)).sort_values(["_t", ident])
+        yield pd.DataFrame({key: pdf[key], ident: pdf[ident], "accepted": [window.admit(int(t)) for t in pdf["_t"]]})
         state.update((window.times,))
         last = max(window.times, default=0) + width
         state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs() + 1))
@@ -84,8 +85,8 @@ def admit_stream(events: DataFrame, key: str, ts: str, ident: str, n: int, secon
 
 def refresh_available(spark: SparkSession, landed: str, schema, sink: Callable[[DataFrame, int], None], checkpoint: str | None = None):
     """Scheduled collection: everything that landed since the last run goes to ``sink`` once, then the job ends.
-    Progress is kept in ``checkpoint``, by default in the shared folder the cluster names."""
-    where = checkpoint or f"{spark.conf.get('spark.checkpoint.dir')}/refresh"
+    Progress is kept in ``checkpoint``, by default in the shared folder the cluster names (a temporary one where it names none)."""
+    where = checkpoint or f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/refresh"
     return (spark.readStream.schema(schema).parquet(landed).writeStream.foreachBatch(sink)
             .option("checkpointLocation", where).trigger(availableNow=True).start())
 

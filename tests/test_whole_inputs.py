@@ -136,3 +136,35 @@ def test_a_day_written_again_replaces_itself(spark, tmp_path):
 def test_gram_keys_tell_lengths_apart(spark):
     keys = one(spark, lx.gram_keys(F.lit("a b c"), 3))
     assert len(set(keys)) == 6
+
+
+def test_sql_sentences_agree_with_the_function(spark):
+    from dossierflow.functions import text as tx
+    from dossierflow.functions.sql import register
+
+    register(spark)
+    for text in ("One. Two! Three", "He met Dr. Smith. They left.", "z. B. das. Und mehr.", "It's e.g. This one. Yes?"):
+        a, b = spark.createDataFrame([(text,)], "t string").select(F.expr("df_sentence_count(t)").alias("a"), F.size(tx.sentences("t")).alias("b")).first()
+        assert a == b, text
+
+
+def test_limiter_orders_all_chunks_of_a_key(spark):
+    import datetime as d
+
+    from dossierflow.streaming import jobs
+
+    start = d.datetime(2024, 1, 1)
+    rows = [("k", i, start + d.timedelta(seconds=i)) for i in range(400)]
+    events = spark.createDataFrame(rows[::-1], "user string, id long, ts timestamp")
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/limiter-{d.datetime.now().timestamp()}"
+    events.coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        stream = jobs.admit_stream(spark.readStream.schema(events.schema).parquet(path), "user", "ts", "id", 3, 100)
+        q = stream.writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = {r["id"] for r in spark.table("limited").where("accepted").collect()}
+    assert got == {i for i in range(400) if i % 100 < 3}
