@@ -48,6 +48,88 @@ def words_overlap(texts: DataFrame, text_id: str, text: str, records: DataFrame,
     return full.where(F.size(F.array_intersect(words, "_tw")) >= F.col("_need")).select(text_id, record_id)
 
 
+# Words that are no part of a firm's name, words that name no one firm, words that are no part of a role, and the domains
+# of free mail and of recruiting systems, which say nothing of the firm.
+COMPANY_NOISE = ("llc", "l l c", "fz llc", "fzllc", "fze", "fzco", "dmcc", "gmbh", "ag", "kg", "se", "ltd", "limited", "plc", "inc", "co", "company", "group", "holding", "holdings",
+                 "international", "the", "and", "of", "uae", "dubai", "middle east", "mena")
+GENERIC_COMPANY = ("emirates", "emirati", "gulf", "arabian", "arabia", "arab", "national", "global", "united", "general", "properties", "property", "services", "solutions",
+                   "trading", "investments", "investment", "capital", "partners", "consulting", "consultants", "development", "developments", "real", "estate", "bank", "hotels",
+                   "hotel", "resorts", "retail", "energy", "media", "technology", "technologies", "industries", "industrial", "logistics", "construction")
+ROLE_STOP = ("senior", "junior", "head", "lead", "manager", "director", "officer", "assistant", "associate", "executive", "specialist", "application", "speculative",
+             "bewerbung", "initiativbewerbung", "with", "and", "for", "the")
+SIGNAL_POINTS = {"ref": 100, "thread": 90, "subject": 70, "shared subject": 20, "domain": 40, "recruiting system": 30, "company": 25, "role": 20}
+
+
+def company_key(name) -> Column:
+    """A firm's name without legal forms and words that any firm may carry."""
+    plain = F.regexp_replace(F.lower(tx.col(name)), r"[^\p{L}\p{N} ]+", " ")
+    noise = "|".join(sorted(COMPANY_NOISE, key=len, reverse=True))
+    return tx.squeeze(F.regexp_replace(plain, rf"\b(?:{noise})\b", " "))
+
+
+def own_words(key: Column) -> Column:
+    """Words of a company key that are its own: three letters or more, not generic."""
+    return F.filter(F.split(key, " "), lambda w: (F.length(w) >= 3) & ~w.isin(*GENERIC_COMPANY))
+
+
+def company_hits(messages: DataFrame, message: str, text: str, domain: str, records: DataFrame, record: str, company: str) -> DataFrame:
+    """(message, record) where the firm stands in the text as whole words, or as a label of the sender's domain. Firms with generic words
+    only prove nothing. A single own word counts in the text from five letters on."""
+    named = records.select(record, company_key(company).alias("_k")).withColumn("_own", own_words(F.col("_k"))).where(F.size("_own") > 0)
+    joined = F.array_join("_own", " ")
+    whole = F.array_distinct(F.array_compact(F.array("_k", F.when((F.size("_own") >= 2) | (F.length(F.get("_own", F.lit(0))) >= 5), joined))))
+    phrases = named.select(record, F.explode(whole).alias("_p")).withColumn("_id", F.concat_ws("|", F.col(record).cast("string"), "_p"))
+    inside = whole_phrase(messages, message, text, phrases, "_id", "_p").join(phrases, "_id").select(message, record)
+    labels = messages.select(message, F.explode(F.array_distinct(F.split(F.lower(domain), "[.-]"))).alias("_l")).where("_l <> ''")
+    own = F.array_union(F.array(F.regexp_replace("_k", " ", ""), F.array_join("_own", "")), F.filter("_own", lambda w: F.length(w) >= 5))
+    by_label = labels.join(named.select(record, F.explode(F.array_distinct(own)).alias("_l")), "_l").select(message, record)
+    return inside.unionByName(by_label).distinct()
+
+
+def same_organisation(messages: DataFrame, message: str, domain: str, records: DataFrame, record: str, record_domain: str) -> DataFrame:
+    """(message, record) where one domain is the other or lies below it: each side's parents meet the other side by equality."""
+    def parents(c) -> Column:
+        parts = F.split(F.lower(tx.col(c)), r"\.")
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+
+    m = messages.where(F.coalesce(domain, F.lit("")) != "").select(message, F.lower(domain).alias("_d"), parents(domain).alias("_up"))
+    r = records.where(F.coalesce(record_domain, F.lit("")) != "").select(record, F.lower(record_domain).alias("_e"), parents(record_domain).alias("_rup"))
+    down = m.select(message, F.explode("_up").alias("_e")).join(r.select(record, "_e"), "_e").select(message, record)
+    up = m.select(message, "_d").join(r.select(record, F.explode("_rup").alias("_d")), "_d").select(message, record)
+    return down.unionByName(up).distinct()
+
+
+def message_signals(messages: DataFrame, records: DataFrame, shared_domain: str, recruiting: str) -> DataFrame:
+    """Score and reasons of every (message_id, record_id) with a signal.
+
+    ``messages``: message_id, subject, text, from_domain, threads (ids it answers), at; ``records``: record_id, ref, subject, domain, company,
+    role, msg_ids, since. A record begun more than a day after the message is never its match. ``shared_domain`` and ``recruiting`` are
+    patterns of domains that many firms share."""
+    m, r = "message_id", "record_id"
+    body = messages.select(m, F.concat_ws("\n", "subject", "text").alias("_body"), "from_domain")
+    refs = whole_phrase(body, m, "_body", records.where(F.trim(F.coalesce("ref", F.lit(""))) != "").select(r, "ref"), r, "ref")
+    threads = messages.select(m, F.explode("threads").alias("_t")).join(records.select(r, F.explode("msg_ids").alias("_t")), "_t").select(m, r).distinct()
+    subject = tx.squeeze(F.lower(F.regexp_replace("subject", r"[\s—–-]+", " ")))
+    sent = records.select(r, subject.alias("_s")).where("_s <> ''")
+    counts = sent.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
+    words = F.split(subject, " ")
+    # the message's subject is the record's, or ends in it after a blank
+    tails = messages.select(m, F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, F.size(words)), " "))).alias("_s"))
+    same = tails.join(sent.join(counts, "_s"), "_s").select(m, r, "_n").distinct()
+    company = company_hits(body, m, "_body", "from_domain", records, r, "company")
+    orgs = same_organisation(messages.where(~F.lower("from_domain").rlike(shared_domain) & ~F.lower("from_domain").rlike(recruiting)), m, "from_domain", records, r, "domain")
+    systems = company.join(messages.where(F.lower("from_domain").rlike(recruiting)).select(m), m).join(orgs, [m, r], "left_anti")
+    role = F.array_distinct(F.filter(tx.words("role"), lambda w: (F.length(w) >= 4) & ~w.isin(*ROLE_STOP)))
+    roles = words_overlap(body, m, "_body", records.select(r, role.alias("role_words")).where(F.size("role_words") > 0), r, "role_words", 60)
+    p = {k: F.lit(v) for k, v in SIGNAL_POINTS.items()}
+    scored = evidence_scores([("ref", refs, p["ref"]), ("thread", threads, p["thread"]), ("subject", same.where("_n = 1"), p["subject"]),
+                              ("shared subject", same.where("_n > 1"), p["shared subject"]), ("domain", orgs, p["domain"]),
+                              ("recruiting system", systems, p["recruiting system"]), ("company", company, p["company"]), ("role", roles, p["role"])], m, r)
+    dated = scored.join(messages.select(m, "at"), m).join(records.select(r, "since"), r)
+    late = F.coalesce(F.col("at") < F.col("since") - F.expr("INTERVAL 1 DAY"), F.lit(False))
+    return dated.where(~late).select(m, r, "score", "signals")
+
+
 def evidence_scores(signals: list[tuple[str, DataFrame, Column]], message: str, record: str) -> DataFrame:
     """Union of signals (name, pairs, points) to one scored row per (message, record)."""
     rows = None

@@ -45,6 +45,27 @@ def _(t):
     return _scored(t)
 
 
+@query("d1_message_signals", """WITH m AS (SELECT o_orderkey AS message_id, 'Re: Order ' || (o_orderkey % 40)::VARCHAR AS subject, CASE WHEN o_orderkey % 3 = 0 THEN 'from Supplier#' || lpad((o_orderkey % 100 + 1)::VARCHAR, 9, '0') || ' today' ELSE 'ref S' || (o_orderkey % 90)::VARCHAR END AS text,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'gmail.example' WHEN o_orderkey % 4 = 1 THEN 'ats.example' ELSE 'x.mail' || (o_orderkey % 60)::VARCHAR || '.example.com' END AS dom, o_orderkey - 1 AS thread, o_orderdate::DATE AS day FROM orders),
+r AS (SELECT s_suppkey AS record_id, 'S' || s_suppkey::VARCHAR AS ref, 'order ' || (s_suppkey % 50)::VARCHAR AS subject, 'mail' || (s_suppkey % 60)::VARCHAR || '.example.com' AS dom, lower(replace(s_name, '#', ' ')) AS company, s_suppkey * 7 AS mid, DATE '1994-01-01' + s_suppkey::INT AS since FROM supplier),
+s AS (SELECT message_id, record_id, 100 AS points, 'ref' AS signal FROM m JOIN r ON m.text = 'ref ' || r.ref UNION ALL SELECT message_id, record_id, 90, 'thread' FROM m JOIN r ON thread = mid
+  UNION ALL SELECT message_id, record_id, CASE WHEN n = 1 THEN 70 ELSE 20 END, CASE WHEN n = 1 THEN 'subject' ELSE 'shared subject' END FROM m JOIN (SELECT *, count(*) OVER (PARTITION BY subject) AS n FROM r) r ON lower(m.subject) = 're: ' || r.subject
+  UNION ALL SELECT message_id, record_id, 40, 'domain' FROM m JOIN r ON m.dom = 'x.' || r.dom
+  UNION ALL SELECT message_id, record_id, unnest([25, 30]), unnest(['company', CASE WHEN m.dom = 'ats.example' THEN 'recruiting system' END]) FROM m JOIN r ON m.text = 'from Supplier#' || lpad(r.record_id::VARCHAR, 9, '0') || ' today')
+SELECT message_id, record_id, sum(points)::INT AS score, string_agg(DISTINCT signal, '+' ORDER BY signal) AS signals FROM s JOIN m USING (message_id) JOIN r USING (record_id) WHERE signal IS NOT NULL AND day >= since - 1 GROUP BY ALL""")
+def _(t):
+    """Orders as messages, suppliers as records: references, threads, subjects, domains below the record's, firms, shared mail systems."""
+    k, n = F.col("o_orderkey"), F.col("s_suppkey")
+    text = F.when(k % 3 == 0, F.concat(F.lit("from Supplier#"), F.lpad((k % 100 + 1).cast("string"), 9, "0"), F.lit(" today"))).otherwise(F.concat(F.lit("ref S"), (k % 90).cast("string")))
+    domain = F.when(k % 4 == 0, "gmail.example").when(k % 4 == 1, "ats.example").otherwise(F.concat(F.lit("x.mail"), (k % 60).cast("string"), F.lit(".example.com")))
+    messages = t.orders.select(k.alias("message_id"), F.concat(F.lit("Re: Order "), (k % 40).cast("string")).alias("subject"), text.alias("text"), domain.alias("from_domain"),
+                               F.array((k - 1).cast("string")).alias("threads"), F.to_date("o_orderdate").alias("at"))
+    records = t.supplier.select(n.alias("record_id"), F.concat(F.lit("S"), n.cast("string")).alias("ref"), F.concat(F.lit("order "), (n % 50).cast("string")).alias("subject"),
+                                F.concat(F.lit("mail"), (n % 60).cast("string"), F.lit(".example.com")).alias("domain"), F.col("s_name").alias("company"), F.lit("").alias("role"),
+                                F.array((n * 7).cast("string")).alias("msg_ids"), F.date_add(F.lit("1994-01-01").cast("date"), n.cast("int")).alias("since"))
+    return lk.message_signals(messages, records, r"^gmail\.", r"^ats\.")
+
+
 @query("f12_top_two_margin", Q_SCORED + """, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS rk FROM scored),
 m AS (SELECT doc_id, max(CASE WHEN rk = 1 THEN item_id END) AS item_id, max(CASE WHEN rk = 1 THEN score END) AS score, max(CASE WHEN rk = 1 THEN signals END) AS signals,
   max(CASE WHEN rk = 1 THEN score END) - coalesce(max(CASE WHEN rk = 2 THEN score END), 0) AS lead FROM r WHERE rk <= 2 GROUP BY 1)
