@@ -131,3 +131,13 @@ def read_horizon(oldest_open: Column, today: Column) -> Column:
     """From one day before the oldest open record or 30 days back, whichever is earlier, at most 120 days back."""
     base = F.date_sub(today, 30)
     return F.greatest(F.least(F.coalesce(F.date_sub(oldest_open, 1), base), base), F.date_sub(today, 120))
+
+
+def follow_up_due(sent: Column, days: int = 4) -> Column:
+    """Day on which an unanswered record is due for a follow-up."""
+    return F.date_add(F.to_date(sent), days)
+
+
+def range_flag(frm: Column, to: Column, today: Column) -> Column:
+    """``unreadable`` where a side is missing, ``reversed`` where the end lies before the start, ``future`` where the start lies after today."""
+    return (F.when(frm.isNull() | to.isNull(), "unreadable").when(to < frm, "reversed").when(frm > today, "future"))

@@ -155,3 +155,8 @@ def strongest_spans(text: str, patterns: list[str]) -> Column:
     kept = F.aggregate(ordered, empty, lambda acc, h: F.when(
         F.exists(acc, lambda k: (h["start"] < k["end"]) & (k["start"] < h["end"])), acc).otherwise(F.concat(acc, F.array(h))))
     return F.array_sort(F.transform(kept, lambda k: F.struct(k["start"].alias("start"), k["end"].alias("end"), k["rank"].alias("rank"))))
+
+
+def older_roles(ranked: DataFrame, year: int, from_rank: int = 4, years: int = 15) -> DataFrame:
+    """Roles past the newest ``from_rank`` that ended ``years`` or more years before ``year``. ``ranked``: recency, to_ix."""
+    return ranked.where((F.col("recency") >= from_rank) & (F.floor(F.col("to_ix") / 12) <= year - years))

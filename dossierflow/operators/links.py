@@ -316,3 +316,22 @@ def contradictions(claims: DataFrame, keys: list[str], kind: str, a: str, b: str
 def suggest_missing_tags(hits: DataFrame, tags: DataFrame, doc: str) -> DataFrame:
     """Concepts a document's lines prove that its own tags lack. ``hits``: doc, concept, n_hits; ``tags``: doc, concept."""
     return hits.join(tags, [doc, "concept"], "left_anti")
+
+
+def apply_alias(rows: DataFrame, place: str, alias: DataFrame, alias_place: str, country: str, meta: str) -> DataFrame:
+    """Rows with the country and the region that the alias table gives for their place."""
+    return join_small(rows, alias.select(F.col(alias_place).alias(place), F.col(country).alias("country"), F.col(meta).alias("meta")), place)
+
+
+def restriction_gate(requirements: DataFrame, admits: DataFrame, restriction: str, group: str, restricted: Column) -> DataFrame:
+    """``state``: blocker where a restricted requirement does not admit the candidate's group, else info.
+
+    ``requirements``: restriction, group, ...; ``admits``: the (restriction, group) pairs that are let in."""
+    ok = join_small(requirements, admits.select(restriction, group).distinct().withColumn("_ok", F.lit(True)), [restriction, group], "left")
+    return ok.withColumn("state", F.when(restricted & F.col("_ok").isNull(), "blocker").otherwise("info")).drop("_ok")
+
+
+def language_level(requirements: DataFrame, held: DataFrame, language: str, need: str, level: str) -> DataFrame:
+    """``proven``: the highest level held in the language reaches the one needed; unknown languages are not proven."""
+    best = held.groupBy(language).agg(F.max(level).alias("_best"))
+    return join_small(requirements, best, language, "left").withColumn("proven", F.coalesce(F.col("_best") >= F.col(need), F.lit(False))).drop("_best")

@@ -166,3 +166,11 @@ def visible_with_reserve(df: DataFrame, group: str, approved: Column, order: Col
 def hydrate_top(ranked: DataFrame, details: DataFrame, key: str, short: Column, order: list[Column], k: int = 5) -> DataFrame:
     """Only the first k short rows fetch their detail: the limit comes before the join."""
     return F.broadcast(ranked.where(short).orderBy(*order).limit(k)).join(details, key)
+
+
+def funnel_counts(rows: DataFrame, source: str, key: str, ranked: Column, level: Column) -> DataFrame:
+    """Per source: rows, different keys, ranked rows and their two tracks. Counted per (source, key) first, so a hot source spreads."""
+    n = lambda c: F.sum(c.cast("int")).cast("long")
+    part = rows.groupBy(source, key).agg(F.count(F.lit(1)).alias("raw"), n(ranked).alias("ranked"), n(ranked & level).alias("level_track"))
+    return part.groupBy(source).agg(F.sum("raw").alias("raw"), F.count(F.lit(1)).alias("uniq"), F.sum("ranked").alias("ranked"),
+                                    F.sum("level_track").alias("level_track"), F.sum(F.col("ranked") - F.col("level_track")).alias("step_track"))

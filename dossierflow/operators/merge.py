@@ -98,3 +98,23 @@ def document_text(rows: DataFrame, key: str, order: str, text: str) -> DataFrame
     """Ordered sections of a record to one text, however many rows it has. A record's text must fit in a row, as any text does."""
     packed = F.array_sort(F.collect_list(F.struct(order, text)))
     return rows.groupBy(key).agg(F.array_join(F.transform(packed, lambda x: x[text]), "\n").alias("body"))
+
+
+def combine_sources(a: DataFrame, b: DataFrame, key: str, headline: str, parts: str) -> DataFrame:
+    """The looser merge of two tellings: the different headlines joined by a bar, and the first one's parts followed by the second
+    one's that are new."""
+    j = a.select(key, F.col(headline).alias("_ah"), F.col(parts).alias("_ap")).join(b.select(key, F.col(headline).alias("_bh"), F.col(parts).alias("_bp")), key, "full_outer")
+    empty = F.array().cast("array<string>")
+    first, second = F.coalesce("_ap", empty), F.coalesce("_bp", empty)
+    fresh = tx.let(first, lambda own: F.filter(second, lambda s: ~F.array_contains(own, s)))
+    return j.select(key, F.array_join(F.array_distinct(F.array_compact(F.array("_ah", "_bh"))), " | ").alias(headline), F.concat(first, fresh).alias(parts))
+
+
+def orphan_rows(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Rows whose parent is gone."""
+    return rows.join(parents.select(key).distinct(), key, "left_anti")
+
+
+def forget_unmatched(items: DataFrame, key: str, unmatched: Column) -> DataFrame:
+    """Items without the keys of unmatched ones, so that their messages may match again."""
+    return items.join(items.where(unmatched).select(key).distinct(), key, "left_anti")

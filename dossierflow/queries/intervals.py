@@ -168,7 +168,7 @@ def _(t):
 
 @query("t8_follow_up_due", "SELECT o_orderkey, o_orderdate::DATE + 4 AS due FROM orders")
 def _(t):
-    return t.orders.select("o_orderkey", F.date_add(F.to_date("o_orderdate"), 4).alias("due"))
+    return t.orders.select("o_orderkey", dt.follow_up_due(F.col("o_orderdate")).alias("due"))
 
 
 @query("t9_market_display", """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%m/%Y') || ' – ' || strftime(o_orderdate + INTERVAL 14 MONTH, '%m/%Y') ELSE strftime(o_orderdate, '%b %Y') || ' – ' || strftime(o_orderdate + INTERVAL 14 MONTH, '%b %Y') END AS shown FROM orders""")
@@ -177,14 +177,15 @@ def _(t):
     return t.orders.select("o_orderkey", dt.display_range(F.col("o_orderdate"), F.add_months("o_orderdate", 14), market).alias("shown"))
 
 
-@query("t10_range_flags", """SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate < o_orderdate THEN 'reversed' WHEN o_orderdate > TIMESTAMP '2001-01-01' THEN 'future' END AS flag FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate OR o_orderdate > TIMESTAMP '2001-01-01'""")
+@query("t10_range_flags", """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN 'unreadable' WHEN l_shipdate < o_orderdate THEN 'reversed' WHEN o_orderdate > TIMESTAMP '2001-01-01' THEN 'future' END AS flag FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 7 OR l_shipdate < o_orderdate OR o_orderdate > TIMESTAMP '2001-01-01'""")
 def _(t):
     j = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    flag = F.when(F.col("l_shipdate") < F.col("o_orderdate"), "reversed").when(F.col("o_orderdate") > F.lit("2001-01-01").cast("timestamp"), "future")
+    shipped = F.when(F.col("l_linenumber") != 7, F.col("l_shipdate"))
+    flag = dt.range_flag(F.col("o_orderdate"), shipped, F.lit("2001-01-01").cast("timestamp"))
     return j.select("l_orderkey", "l_linenumber", flag.alias("flag")).where("flag IS NOT NULL")
 
 
 @query("t11_older_roles", Q_RECENCY + " SELECT o_custkey, o_orderkey, recency FROM ranked WHERE recency >= 4 AND to_ix // 12 <= 2012 - 15")
 def _(t):
     """Roles past the fourth newest that ended 15 or more years before the given year."""
-    return _ranked(t).where((F.col("recency") >= 4) & (F.floor(F.col("to_ix") / 12) <= 2012 - 15)).select("o_custkey", "o_orderkey", "recency")
+    return iv.older_roles(_ranked(t), 2012).select("o_custkey", "o_orderkey", "recency")

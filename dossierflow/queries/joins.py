@@ -212,7 +212,7 @@ def _(t):
 @query("d14_apply_alias_dimension", "SELECT c_custkey, n_name AS country, r_name AS meta FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def _(t):
     dim = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return join_small(t.customer, dim, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("country"), F.col("r_name").alias("meta"))
+    return lk.apply_alias(t.customer, "c_nationkey", dim, "n_nationkey", "n_name", "r_name").select("c_custkey", "country", "meta")
 
 
 @query("d15_restriction_gate", """SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' AND n_regionkey <> 4 THEN 'blocker' WHEN o_orderpriority = '2-HIGH' AND c_nationkey NOT IN (3, 7) THEN 'blocker' ELSE 'info' END AS state
@@ -222,18 +222,16 @@ def _(t):
     admits = t.nation.select(F.col("n_nationkey").alias("nation"), F.explode(F.array_compact(F.array(
         F.when(F.col("n_regionkey") == 4, "1-URGENT"), F.when(F.col("n_nationkey").isin(3, 7), "2-HIGH")))).alias("restriction"))
     req = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("o_orderpriority").alias("restriction"), F.col("c_nationkey").alias("nation"))
-    ok = join_small(req, admits.withColumn("ok", F.lit(True)), ["restriction", "nation"], "left")
-    restricted = F.col("restriction").isin("1-URGENT", "2-HIGH")
-    return ok.select("o_orderkey", F.when(restricted & F.col("ok").isNull(), "blocker").otherwise("info").alias("state"))
+    return lk.restriction_gate(req, admits, "restriction", "nation", F.col("restriction").isin("1-URGENT", "2-HIGH")).select("o_orderkey", "state")
 
 
 @query("d16_language_level_join", """WITH have AS (SELECT p_brand, max(p_size % 5 + 1) AS lvl FROM part WHERE p_type = 'PROMO' GROUP BY 1)
-SELECT p_partkey, coalesce(lvl >= p_size % 5 + 1, false) AS proven FROM part LEFT JOIN have USING (p_brand) WHERE p_type = 'SMALL'""")
+SELECT p_partkey, coalesce(lvl >= p_size % 7 + 1, false) AS proven FROM part LEFT JOIN have USING (p_brand)""")
 def _(t):
-    """Brand as the language, size as the level: required by SMALL parts, held by PROMO parts."""
-    have = t.part.where("p_type = 'PROMO'").groupBy("p_brand").agg(F.max(F.col("p_size") % 5 + 1).alias("lvl"))
-    req = t.part.where("p_type = 'SMALL'").select("p_partkey", "p_brand", (F.col("p_size") % 5 + 1).alias("need"))
-    return join_small(req, have, "p_brand", "left").select("p_partkey", F.coalesce(F.col("lvl") >= F.col("need"), F.lit(False)).alias("proven"))
+    """Brand as the language, size as the level: required by every part, held by PROMO parts."""
+    have = t.part.where("p_type = 'PROMO'").select("p_brand", (F.col("p_size") % 5 + 1).alias("level"))
+    req = t.part.select("p_partkey", "p_brand", (F.col("p_size") % 7 + 1).alias("need"))
+    return lk.language_level(req, have, "p_brand", "need", "level").select("p_partkey", "proven")
 
 
 @query("d17_contradictions", """SELECT user_id, day, first_a, first_b FROM (SELECT user_id, ts::DATE AS day, min(CASE WHEN event_type = 'click' THEN event_id END) AS first_a, min(CASE WHEN event_type = 'error' THEN event_id END) AS first_b

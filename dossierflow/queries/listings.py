@@ -194,11 +194,8 @@ def _(t):
   count(*) FILTER (WHERE n_chars >= 400 AND lang <> 'en') AS step_track FROM documents GROUP BY source""")
 def _(t):
     """Distinct counts in two steps: per (source, key) first, so a hot source spreads over many tasks."""
-    rows = t.documents.select("source", F.md5("text").alias("key"), (F.col("n_chars") >= 400).alias("r"), (F.col("lang") == "en").alias("e"))
-    n = lambda c: F.sum(c.cast("int")).cast("long")
-    part = rows.groupBy("source", "key").agg(F.count(F.lit(1)).alias("raw"), n(F.col("r")).alias("ranked"), n(F.col("r") & F.col("e")).alias("level_track"))
-    return part.groupBy("source").agg(F.sum("raw").alias("raw"), F.count(F.lit(1)).alias("uniq"), F.sum("ranked").alias("ranked"),
-                                      F.sum("level_track").alias("level_track"), F.sum(F.col("ranked") - F.col("level_track")).alias("step_track"))
+    rows = t.documents.select("source", F.md5("text").alias("key"), "n_chars", "lang")
+    return ls.funnel_counts(rows, "source", "key", F.col("n_chars") >= 400, F.col("lang") == "en")
 
 
 @query("a1_flatten_feed", "SELECT source, doc_id, 'https://' || source || '.test/' || doc_id::VARCHAR AS url FROM documents WHERE n_chars % 10 <> 0 AND lang <> 'es'")

@@ -69,14 +69,10 @@ SELECT profile, CASE WHEN a.source = b.source OR b.source IS NULL THEN a.source
 FROM (SELECT * FROM d WHERE odd = 0) a FULL JOIN (SELECT * FROM d WHERE odd = 1) b USING (profile)""")
 def _(t):
     """Looser merge: headline segments of both sources, a summary of all distinct sentences."""
-    side = lambda odd, p: t.documents.where(F.col("doc_id") % 2 == odd).select(
-        F.floor(F.col("doc_id") / 2).alias("profile"), F.col("source").alias(f"{p}_source"), tx.sentences("text").alias(f"{p}_ss"))
-    j = side(0, "a").join(side(1, "b"), "profile", "full_outer")
-    empty = F.array().cast("array<string>")
-    a, b = F.coalesce("a_ss", empty), F.coalesce("b_ss", empty)
-    fresh = tx.let(a, lambda own: F.filter(b, lambda s: ~F.array_contains(own, s)))
-    head = F.array_join(F.array_distinct(F.array_compact(F.array("a_source", "b_source"))), " | ")
-    return j.select("profile", head.alias("headline"), F.md5(F.array_join(F.concat(a, fresh), " ")).alias("summary_key"))
+    side = lambda odd: t.documents.where(F.col("doc_id") % 2 == odd).select(
+        F.floor(F.col("doc_id") / 2).alias("profile"), F.col("source").alias("headline"), tx.sentences("text").alias("summary"))
+    both = mg.combine_sources(side(0), side(1), "profile", "headline", "summary")
+    return both.select("profile", "headline", F.md5(F.array_join("summary", " ")).alias("summary_key"))
 
 
 @query("h5_upsert_listings", """WITH d AS (SELECT doc_id, md5(text) AS k, source FROM documents), tg AS (SELECT * FROM d WHERE doc_id % 2 = 0 OR doc_id % 10 = 5), bt AS (SELECT * FROM d WHERE doc_id % 2 = 1),
@@ -127,7 +123,7 @@ def _(t):
 
 @query("h10_orphan_rows", "SELECT l.doc_id, quality FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.n_chars >= 400)")
 def _(t):
-    return t.labels.join(t.documents.where("n_chars >= 400").select("doc_id"), "doc_id", "left_anti").select("doc_id", "quality")
+    return mg.orphan_rows(t.labels, t.documents.where("n_chars >= 400"), "doc_id").select("doc_id", "quality")
 
 
 @query("h11_drop_unmatched", "SELECT conv_id, turn FROM conversations WHERE md5(role || text) NOT IN (SELECT md5(role || text) FROM conversations WHERE role = 'system' OR turn % 5 = 3)")
@@ -135,8 +131,7 @@ def _(t):
     """Keys of unmatched items are forgotten, so their messages may match again."""
     key = F.md5(F.concat("role", "text"))
     msgs = t.conversations.select("conv_id", "turn", key.alias("key"), ((F.col("role") == "system") | (F.col("turn") % 5 == 3)).alias("unmatched"))
-    forget = msgs.where("unmatched").select(F.explode(F.array("key")).alias("key")).distinct()
-    return msgs.join(forget, "key", "left_anti").select("conv_id", "turn")
+    return mg.forget_unmatched(msgs, "key", F.col("unmatched")).select("conv_id", "turn")
 
 
 @query("h12_document_text", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1")

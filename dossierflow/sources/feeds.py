@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossierflow.functions import html as hx
@@ -35,6 +35,27 @@ class FeedMapping:
     defaults: dict = field(default_factory=dict)
 
 
+# The fields of four public JSON feeds, by the array that holds their records.
+SLUG_FEED = FeedMapping("slug-feed", "title string, company_name string, location string, remote boolean, url string, slug string, created_at long, description string",
+                        company="company_name", location="coalesce(nullif(location, ''), CASE WHEN remote THEN 'Remote / Europe' ELSE 'Germany' END)", ref="slug", posted="created_at",
+                        posted_epoch=True)
+SALARY_FEED = FeedMapping("salary-feed", "id string, title string, company struct<display_name:string>, location struct<display_name:string>, redirect_url string, created string, "
+                          "salary_min double, salary_max double, salary_is_predicted string, description string", company="company.display_name", location="location.display_name",
+                          url="redirect_url", ref_prefix="ADZ-", salary_min="salary_min", salary_max="salary_max", salary_predicted="salary_is_predicted")
+SNIPPET_FEED = FeedMapping("snippet-feed", "id string, title string, company string, location string, link string, updated string, salary string, snippet string", url="link",
+                           ref_prefix="JOOBLE-", posted="updated", text="snippet", salary="salary")
+REMOTE_FEED = FeedMapping("remote-feed", "id string, title string, company_name string, candidate_required_location string, url string, publication_date string, description string",
+                          company="company_name", location="candidate_required_location", posted="publication_date", defaults={"location": "Remote"})
+FEED_RECORDS = {"slug-feed": "data", "salary-feed": "results", "snippet-feed": "jobs", "remote-feed": "jobs"}
+
+
+def read_feed(spark: SparkSession, path: str, records: str) -> DataFrame:
+    """Landed JSON bodies, one file each, to one row per record: ``file, pos, record`` (JSON). ``records`` is the field that holds them."""
+    body = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    rows = F.from_json(F.get_json_object("value", f"$.{records}"), "array<string>")
+    return body.select("file", F.posexplode(rows).alias("pos", "record"))
+
+
 def _salary(m: FeedMapping) -> Column:
     """Stated salaries only: ``min – max / year`` with thousands separators, the estimate of a feed never."""
     if m.salary:

@@ -168,3 +168,26 @@ def test_limiter_orders_all_chunks_of_a_key(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     got = {r["id"] for r in spark.table("limited").where("accepted").collect()}
     assert got == {i for i in range(400) if i % 100 < 3}
+
+
+def test_feed_files_and_mappings(spark, tmp_path):
+    import json
+
+    bodies = {
+        "slug-feed": {"data": [{"title": " Lead ", "company_name": "Acme", "location": "", "remote": True, "url": "https://x.test/1", "slug": "lead-1", "created_at": 1700000000, "description": "<p>Run it</p>"}]},
+        "salary-feed": {"results": [{"id": "7", "title": "GM", "company": {"display_name": "B"}, "location": {"display_name": "Bern"}, "redirect_url": "https://x.test/2",
+                                     "created": "2026-01-02T10:00:00Z", "salary_min": 100000, "salary_max": 120000, "salary_is_predicted": "0", "description": "d"}]},
+        "snippet-feed": {"jobs": [{"id": 9, "title": "MD", "company": "C", "location": "Dubai", "link": "ae.x.test/9", "updated": "2026-02-03T00:00:00", "salary": "10k", "snippet": "<b>s</b>"}]},
+        "remote-feed": {"jobs": [{"id": 4, "title": "T", "company_name": "D", "candidate_required_location": None, "url": "https://x.test/4", "publication_date": "2026-03-04", "description": "x"}]},
+    }
+    got = {}
+    for m in (fd.SLUG_FEED, fd.SALARY_FEED, fd.SNIPPET_FEED, fd.REMOTE_FEED):
+        path = tmp_path / f"{m.source}.json"
+        path.write_text(json.dumps(bodies[m.source]))
+        rows = fd.read_feed(spark, str(path), fd.FEED_RECORDS[m.source])
+        got[m.source] = fd.normalize_feed(rows.select("pos", "record"), "record", m).first()
+    a, b, c, d = got.values()
+    assert (a["title"], a["location"], a["ref"], a["posted"], a["text"]) == ("Lead", "Remote / Europe", "lead-1", "2023-11-14", "Run it")
+    assert (b["company"], b["ref"], b["salary"], b["posted"]) == ("B", "ADZ-7", "100,000 – 120,000 / year", "2026-01-02")
+    assert (c["url"], c["ref"], c["salary"], c["text"]) == ("https://ae.x.test/9", "JOOBLE-9", "10k", "s")
+    assert (d["location"], d["ref"], d["posted"]) == ("Remote", "4", "2026-03-04")
