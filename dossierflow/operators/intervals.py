@@ -87,7 +87,8 @@ def recency_rank(roles: DataFrame, key: str, pos: str, rank: str = "recency") ->
     a = withprev.withColumn("_a", F.coalesce(readable, F.col("_prev")))
     odd = F.col("from_ix").isNull()
     order = [F.col("_a").isNotNull(), -F.col("_a.t"), -F.col("_a.f"), F.col("_a.p"), odd, F.when(odd, -F.col(pos))]
-    bucket = F.struct(F.col("_a").isNotNull().alias("h"), (-F.col("_a.t")).alias("t"), (-F.col("_a.f")).alias("f"), F.floor(F.col("_a.p") / SPAN).alias("p"))
+    # one bucket per end month: the counts of a key are as many as its months, not as its rows
+    bucket = F.struct(F.col("_a").isNotNull().alias("h"), (-F.col("_a.t")).alias("t"))
     return bucketed_rank(a, [key], bucket, order, "_rk").withColumn(rank, F.col("_rk") - 1).drop("_rk", "_a", "_prev")
 
 

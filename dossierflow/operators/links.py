@@ -210,15 +210,19 @@ def orphan_places(claims: DataFrame, lines: DataFrame, alias: DataFrame, members
 def near_duplicate_lines(lines: DataFrame, doc: str, ix: str, line: str) -> DataFrame:
     """Per line, the first earlier line of the document that is the same (``exact``) or shares 80% of its long words (``near``).
 
-    Same lines are folded first; near ones meet through a prefix filter on the hashed word order, and each line
+    Same lines are folded first; near ones meet through a prefix filter on the document's rarest words, and each line
     reports one partner, so a document of copies stays linear."""
     rows = lines.select(doc, ix, tx.norm(line).alias("norm")).where(F.col("norm") != "")
     first = rows.groupBy(doc, "norm").agg(F.min(ix).alias("_first"))
     exact = (rows.join(first, [doc, "norm"]).where(F.col(ix) > F.col("_first"))
              .select(doc, F.col(ix).alias("line_ix"), F.col("_first").alias("partner_ix"), F.lit("exact").alias("kind")))
     long = F.array_distinct(F.filter(tx.letter_words("norm"), lambda w: F.length(w) >= 4))
-    ordered = F.transform(F.array_sort(F.transform(long, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda x: x["w"])
-    sets = first.select(doc, F.col("_first").alias(ix), ordered.alias("s")).where(F.size("s") >= 5)
+    folded = first.select(doc, F.col("_first").alias(ix), long.alias("w")).where(F.size("w") >= 5)
+    # rarest words of the document first: a word that many lines share is in no prefix while rarer ones are there
+    each = folded.select(doc, ix, F.explode("w").alias("w"))
+    common = each.groupBy(doc, "w").agg(F.count(F.lit(1)).alias("f"))
+    sets = (each.join(common, [doc, "w"]).groupBy(doc, ix).agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("s"))
+            .select(doc, ix, F.transform("s", lambda x: x["w"]).alias("s")))
     n = F.size("s")
     keyed = sets.select(doc, ix, n.alias("n"), F.slice("s", F.lit(1), (n - F.ceil(n * 0.8) + 1).cast("int")).alias("p")).select(doc, ix, "n", F.explode("p").alias("k"))
     a = keyed.select(doc, F.col(ix).alias("a"), F.col("n").alias("na"), "k")
