@@ -191,3 +191,20 @@ def test_feed_files_and_mappings(spark, tmp_path):
     assert (b["company"], b["ref"], b["salary"], b["posted"]) == ("B", "ADZ-7", "100,000 – 120,000 / year", "2026-01-02")
     assert (c["url"], c["ref"], c["salary"], c["text"]) == ("https://ae.x.test/9", "JOOBLE-9", "10k", "s")
     assert (d["location"], d["ref"], d["posted"]) == ("Remote", "4", "2026-03-04")
+
+
+def test_titles_with_city_parts_and_single_demands(spark):
+    from dossierflow.functions import titles as tt
+
+    r = one(spark, tt.clean_role_title(F.lit("Finance Director | Dubai, United Arab Emirates"), None, F.lit("Dubai, United Arab Emirates, x")))
+    assert r["title"] == "Finance Director"
+    r = one(spark, tt.clean_role_title(F.lit("HR Officer - Emirati")))
+    assert (r["title"], r["qualifiers"]) == ("HR Officer", ["Emirati national"])
+
+
+def test_files_that_are_never_read(spark):
+    names = ["Positions.csv", "Saved Items.csv", "private_identity.csv", "Causes You Care About.csv", "Logins.csv", "Hashtag_Follows.csv", "Jobs/Positions.csv", "Skills.csv"]
+    files = spark.createDataFrame([(n, ["a"], 1) for n in names], "path string, header array<string>, n_records int")
+    got = {r["path"]: (r["kind"], r["never"]) for r in ex.classify_export_files(files).collect()}
+    assert got["Positions.csv"] == ("positions", False) and got["Skills.csv"] == ("skills", False)
+    assert all(got[n] == (None, True) for n in names if n not in ("Positions.csv", "Skills.csv"))
