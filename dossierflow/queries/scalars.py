@@ -76,6 +76,25 @@ def _(t):
     return rows.select("o_orderkey", "item_ix", "type", "strength", F.coalesce("field", F.lit("")).alias("field"), "years", "language", "level")
 
 
+@query("s9_posting_to_verdict", """WITH p AS (SELECT o_orderkey, o_orderkey % 12 + 1 AS asked, c_custkey % 10 + 1 AS held, c_custkey % 5 AS german, c_custkey % 2 AS arabic, c_custkey % 3 <> 0 AS degree, c_mktsegment <> 'BUILDING' AS segment, o_orderkey % 50 = 0 AND c_custkey % 4 <> 1 AS other_nation, o_orderkey % 50 = 0 AS nation
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+s AS (SELECT *, 3 + 2 + 3 + 1 + 2 + CASE WHEN nation AND NOT other_nation THEN 2 ELSE 0 END AS total, CASE WHEN held >= asked THEN 3 ELSE 0 END + CASE WHEN german >= 4 THEN 2 ELSE 0 END + CASE WHEN degree THEN 3 ELSE 0 END + CASE WHEN arabic >= 1 THEN 1 ELSE 0 END
+  + CASE WHEN segment THEN 2 ELSE 0 END + CASE WHEN nation AND NOT other_nation THEN 2 ELSE 0 END AS got, held < asked OR german < 4 OR NOT degree OR NOT segment AS open FROM p),
+f AS (SELECT *, ((200 * got + total) // (2 * total))::INT AS score FROM s)
+SELECT o_orderkey, score, CASE WHEN other_nation OR score < 40 THEN 'skip' WHEN open THEN 'gap' ELSE 'apply' END AS verdict FROM f""")
+def _(t):
+    """Orders printed as whole postings, customers as persons: from the raw text to the verdict."""
+    j = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    k, n = F.col("o_orderkey"), F.col("c_custkey")
+    text = F.concat(F.lit("Like\nYour responsibilities\nLead the team.\nRequirements:\n• "), (k % 12 + 1).cast("string"), F.lit(" years of experience in trade\n• Fluent German\n• Degree in logistics\n• Basic Arabic skills would be a plus\n• Planning of "),
+                    F.lower("c_mktsegment"), F.when(k % 50 == 0, "\n• Omani nationals").otherwise(""), F.lit("\nWhat we offer\nA desk and German lessons."))
+    items = po.parse_posting(j.select("o_orderkey", text.alias("text")), "o_orderkey", "text")
+    people = j.select("o_orderkey", (n % 10 + 1).cast("int").alias("years_held"), F.when(n % 4 == 1, "Omani").otherwise("Other").alias("nationality"), (n % 3 != 0).alias("has_degree"))
+    tokens = j.select("o_orderkey", F.explode(F.array(F.lit("planned"), F.lit("planning"), F.when(F.col("c_mktsegment") != "BUILDING", F.lower("c_mktsegment")).otherwise("none"))).alias("token"))
+    langs = j.select("o_orderkey", F.explode(F.array(F.struct(F.lit("german").alias("language"), (n % 5).cast("int").alias("held")), F.struct(F.lit("arabic").alias("language"), (n % 2).cast("int").alias("held")))).alias("l")).select("o_orderkey", "l.*")
+    return po.assess_fit(items, "o_orderkey", people, tokens, langs)
+
+
 @query("s8_instructions", f"""WITH s AS (SELECT doc_id, ix, s FROM documents, unnest({tx.q_sentences('text')}) WITH ORDINALITY AS u(s, ix)),
 k AS (SELECT doc_id, 'salary' AS kind, min(ix) AS ix FROM s WHERE regexp_matches(s, 'tion') AND regexp_matches(s, 'the') GROUP BY 1 UNION ALL SELECT doc_id, 'reference', min(ix) FROM s WHERE regexp_matches(s, 'ment') GROUP BY 1)
 SELECT doc_id, kind, (ix - 1)::INT AS sent_ix FROM k""")
