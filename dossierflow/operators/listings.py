@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dossierflow.functions import contacts as ct
 from dossierflow.functions import text as tx
 from dossierflow.functions import urls as ux
+from dossierflow.operators.lexicon import grams
 from dossierflow.operators.scale import bucketed_rank, join_small, keep_first, top_k
 
 STALE_YEAR = r"(?:^|[^0-9])20(?:1[0-9]|2[0-4])(?:$|[^0-9])"
@@ -79,12 +80,13 @@ def source_health(log: DataFrame, results: DataFrame) -> DataFrame:
                        F.when(n > 0, "ok").when(F.coalesce("failed", F.lit(False)), "error").otherwise("empty").alias("status"))
 
 
-def profile_hits(listings: DataFrame, key: str, title: str, text: str, terms: DataFrame) -> DataFrame:
+def profile_hits(listings: DataFrame, key: str, title: str, text: str, terms: DataFrame, max_words: int = 1) -> DataFrame:
     """Role, step and skill terms of a profile found in each listing (roles and steps in the title only).
 
-    ``terms``: kind (role/step/skill), term (single lower-case token)."""
-    in_title = F.array_distinct(tx.words(title))
-    rest = F.array_except(tx.words(text), in_title)
+    ``terms``: kind (role/step/skill), term (lower-case tokens, up to ``max_words`` of them with one blank between)."""
+    runs = lambda c: tx.words(c) if max_words == 1 else F.transform(grams(c, max_words), lambda g: g["form"])
+    in_title = F.array_distinct(runs(title))
+    rest = F.array_except(runs(text), in_title)
     tokens = listings.select(key, F.explode(F.concat(
         F.transform(in_title, lambda w: F.struct(w.alias("term"), F.lit(True).alias("head"))),
         F.transform(rest, lambda w: F.struct(w.alias("term"), F.lit(False).alias("head"))))).alias("_t"))
@@ -95,10 +97,10 @@ def profile_hits(listings: DataFrame, key: str, title: str, text: str, terms: Da
                                  n(F.col("kind") == "skill").alias("skill_hits"))
 
 
-def rank_listings(listings: DataFrame, hits: DataFrame, key: str, exact: Column, region: Column, limit: int = 45) -> DataFrame:
+def rank_listings(listings: DataFrame, hits: DataFrame, key: str, exact: Column, region: Column, limit: int = 45, strict: bool = False) -> DataFrame:
     """68 + 14 per role hit + 4 per skill + 10 exact place or 6 region - 3 for a step-up, at most 99; best first.
-    A listing needs a role hit, a step hit or two skills."""
-    j = hits.where("role_hits > 0 OR step_hits > 0 OR skill_hits >= 2").join(listings, key)
+    A listing needs a role hit, a step hit or two skills; in strict mode only a role or step hit in its title will do."""
+    j = hits.where("role_hits > 0 OR step_hits > 0" + ("" if strict else " OR skill_hits >= 2")).join(listings, key)
     step = (F.col("role_hits") == 0) & (F.col("step_hits") > 0)
     roles = F.when(F.col("role_hits") > 0, F.col("role_hits")).otherwise(F.col("step_hits"))
     score = F.least(F.lit(99), 68 + 14 * roles + 4 * F.col("skill_hits")

@@ -208,3 +208,24 @@ def test_files_that_are_never_read(spark):
     got = {r["path"]: (r["kind"], r["never"]) for r in ex.classify_export_files(files).collect()}
     assert got["Positions.csv"] == ("positions", False) and got["Skills.csv"] == ("skills", False)
     assert all(got[n] == (None, True) for n in names if n not in ("Positions.csv", "Skills.csv"))
+
+
+def test_roles_of_several_words_rank(spark):
+    from dossierflow.operators import listings as ls
+
+    rows = spark.createDataFrame([(1, "Managing Director GCC", "we run a plant"), (2, "Director", "managing a plant and a fleet"), (3, "Clerk", "plant fleet")], "id int, title string, text string")
+    terms = spark.createDataFrame([("managing director", "role"), ("plant", "skill"), ("fleet", "skill")], "term string, kind string")
+    hits = ls.profile_hits(rows, "id", "title", "text", terms, max_words=2)
+    assert {(r["id"], r["role_hits"], r["skill_hits"]) for r in hits.collect()} == {(1, 1, 1), (2, 0, 2), (3, 0, 2)}
+    ranked = ls.rank_listings(rows, hits, "id", F.lit(False), F.lit(False))
+    assert [r["id"] for r in ranked.collect()] == [1, 3, 2]
+    assert [r["id"] for r in ls.rank_listings(rows, hits, "id", F.lit(False), F.lit(False), strict=True).collect()] == [1]
+
+
+def test_items_with_several_languages_and_nationality(spark):
+    from dossierflow.operators import postings as po
+
+    text = "Requirements\n- Fluent English and Arabic language skills\n- UAE nationals preferred\nWe offer\nGerman courses"
+    items = po.parse_posting(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t").collect()
+    assert {(r["type"], r["language"], r["field"], r["strength"]) for r in items} == {
+        ("language", "english", "", "must"), ("language", "arabic", "", "must"), ("nationality", None, "uae", "nice")}
