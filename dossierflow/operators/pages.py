@@ -230,6 +230,22 @@ def extract_entity_ids(df: DataFrame, url: str, id_param: str, id_path: str, red
                 F.url_decode(ux.query_value(url, redirect_param)), r"(?i)^(https?://[^/?#]+)", 1)))
 
 
+def company_slug(html: Column, base: str, own: str, top: str) -> Column:
+    """The employer's slug on a page: of the links to ``base`` + slug that are not the board's ``own``, the first whose rest matches
+    ``top`` (the top card), else the first; empty if there is none. Entities and percent codes in a slug are read."""
+    slug = r"((?:&#?\w+;|[^/?#&\"'\s<>)\]])+)"
+    found = F.regexp_extract_all(html, F.lit(rf"{base}{slug}([^\"'\s<>]*)"), F.lit(0))
+
+    def read(link: Column) -> Column:
+        raw = hx.to_text(F.regexp_extract(link, rf"{base}{slug}", 1))
+        rest = F.regexp_extract(link, rf"{base}{slug}(.*)$", 2)
+        return F.struct(F.coalesce(F.try_url_decode(raw), raw).alias("slug"), rest.rlike(top).alias("top"))
+
+    kept = F.filter(F.transform(found, read), lambda x: (x["slug"] != "") & (F.lower(x["slug"]) != own))
+    best = F.coalesce(F.get(F.filter(kept, lambda x: x["top"]), F.lit(0)), F.get(kept, F.lit(0)))
+    return F.coalesce(best["slug"], F.lit(""))
+
+
 def redirect_target(text: Column, skip_host: str) -> Column:
     """First link of a page whose host is not in the skip pattern."""
     kept = F.filter(ux.links(text), lambda u: (ux.host(u) != "") & ~ux.host(u).rlike(skip_host))

@@ -275,6 +275,16 @@ def _(t):
     return pg.extract_entity_ids(t.pages.select("page_id", u.alias("u")), "u", "page", r"/([0-9]+)(?:\.html)?/?$", "to").drop("u")
 
 
+@query("b23_company_slug", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'acme ' || page_id::VARCHAR WHEN 1 THEN 'sons-&-co' ELSE '' END AS slug FROM pages""")
+def _(t):
+    """Pages with the board's own link, a plain employer link and, on some, a top-card link."""
+    k = F.col("page_id")
+    own, plain = F.lit('<a href="https://board.test/company/Board?x=topcard">b</a>'), F.lit('<a href="https://board.test/company/sons-&amp;-co/about">s</a>')
+    card = F.concat(F.lit('<a href="https://board.test/company/acme%20'), k.cast("string"), F.lit('?trk=topcard-name">a</a>'))
+    html = F.concat("html", own, F.when(k % 3 < 2, plain).otherwise(""), F.when(k % 3 == 0, card).otherwise(""))
+    return t.pages.select("page_id", pg.company_slug(html, r"board\.test/company/", "board", "(?i)topcard").alias("slug"))
+
+
 @query("b24_redirect_target", f"""SELECT page_id, coalesce(list_filter(list_distinct_keep, lambda u: NOT regexp_matches({ux.q_host('u')}, '(?:^|\\.)example\\.(?:org|net)$'))[1], '') AS target
 FROM (SELECT page_id, list_transform(regexp_extract_all(url || ' http://other.test/' || page_id::VARCHAR || '. ' || html, {q_str(ux.LINK)}), lambda u: regexp_replace(u, '[.,;:]+$', '')) AS list_distinct_keep FROM pages)""")
 def _(t):
