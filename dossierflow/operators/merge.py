@@ -118,3 +118,8 @@ def orphan_rows(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
 def forget_unmatched(items: DataFrame, key: str, unmatched: Column) -> DataFrame:
     """Items without the keys of unmatched ones, so that their messages may match again."""
     return items.join(items.where(unmatched).select(key).distinct(), key, "left_anti")
+
+
+def values_at(values: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Values of the stored paths that are asked for; both sides keyed by record and path."""
+    return values.join(asked.select(*keys).distinct(), keys)

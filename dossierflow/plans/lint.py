@@ -673,8 +673,21 @@ def evidence_zone(report: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def family_hits(text) -> Column:
-    """Array of (rank, family) for every family word in a text."""
-    return F.array_compact(F.array(*[F.when(tx.has_term(text, terms), F.struct(F.lit(r).alias("rank"), F.lit(f).alias("family"))) for f, r, terms in cat.FAMILIES]))
+    """Array of (rank, family) for every family word in a text. The longer name counts: a vice president is no president."""
+    own = F.regexp_replace(tx.col(text), r"(?i)\bvice[\s-]+president", "VP")
+    return F.array_compact(F.array(*[F.when(tx.has_term(own, terms), F.struct(F.lit(r).alias("rank"), F.lit(f).alias("family"))) for f, r, terms in cat.FAMILIES]))
+
+
+def title_family(text) -> Column:
+    """Highest-ranked family that a title names; null if none."""
+    return F.array_max(family_hits(text))["family"]
+
+
+def family_relation(a: Column, b: Column) -> Column:
+    """``same``, ``near`` (a pair of the fixed table, either way round), ``far``, or null where a family is missing."""
+    pair = F.concat_ws("|", F.least(a, b), F.greatest(a, b))
+    near = pair.isin(*["|".join(sorted(p)) for p in cat.NEAR_PAIRS])
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("string")).when(a == b, "same").when(near, "near").otherwise("far")
 
 
 def zone_catches(zone: DataFrame, families=None) -> DataFrame:

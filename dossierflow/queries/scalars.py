@@ -8,8 +8,11 @@ from dossierflow.functions import profiles as pf
 from dossierflow.functions import text as tx
 from dossierflow.functions import titles as tt
 from dossierflow.functions.text import q_has_term, q_str
+from dossierflow.operators import merge as mg
 from dossierflow.operators import postings as po
 from dossierflow.operators.scale import join_small
+from dossierflow.plans import catalogue as cat
+from dossierflow.plans import lint as li
 from dossierflow.tables import Q_PARAGRAPHS
 
 # Headings and cues made of words that occur in the given documents.
@@ -169,15 +172,22 @@ def _(t):
     return t.part.select("p_partkey", tt.seniority("p_name", "p_size", LADDER).alias("level"))
 
 
-@query("s17_title_family", """SELECT a.p_name AS title, count(*) AS n_near FROM (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) AS f FROM part) a JOIN (SELECT DISTINCT p_partkey, split_part(p_name, ' ', 1) AS f FROM part) b
-  ON (a.f = b.f OR (a.f, b.f) IN (('red', 'blue'), ('blue', 'red'), ('hot', 'cold'), ('cold', 'hot'))) GROUP BY 1""")
+_HELD = ("Group Managing Director", "Vice President Sales", "Head of Retail", "Account Manager", "Senior Analyst", "Legal Counsel")
+_HELD_FAMILY = ("exec", "vp", "head", "manager", "staff", None)
+_WANTED = ("Sales Director", "Team Lead", "Trainee", "Co-Founder", "Compliance Officer")
+_WANTED_FAMILY = ("director", "manager", "entry", "owner", "officer")
+_PAIRS = [(k, a, b, "NULL" if a is None else "'same'" if a == b else "'near'" if (a, b) in cat.NEAR_PAIRS or (b, a) in cat.NEAR_PAIRS else "'far'")
+          for k in range(30) for a, b in [(_HELD_FAMILY[k % 6], _WANTED_FAMILY[k // 6])]]
+
+
+@query("s17_title_family", "SELECT o_orderkey, CASE o_orderkey % 30 " + " ".join(f"WHEN {k} THEN {'NULL' if a is None else q_str(a)}" for k, a, _, _ in _PAIRS) + " END AS held, CASE o_orderkey % 30 "
+       + " ".join(f"WHEN {k} THEN {q_str(b)}" for k, _, b, _ in _PAIRS) + " END AS wanted, CASE o_orderkey % 30 " + " ".join(f"WHEN {k} THEN {r}" for k, _, _, r in _PAIRS) + " END AS relation FROM orders")
 def _(t):
-    """First word as the family; a fixed symmetric table says which families are near. Counts per family first."""
-    fam = t.part.select(F.split("p_name", " ")[0].alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    near = t.spark.createDataFrame([("red", "blue"), ("blue", "red"), ("hot", "cold"), ("cold", "hot")], "a string, f string")
-    reach = fam.select(F.col("f").alias("a"), "n").unionByName(fam.join(near, "f").select("a", "n")).groupBy("a").agg(F.sum("n").alias("n_near"))
-    titles = t.part.select(F.col("p_name").alias("title"), F.split("p_name", " ")[0].alias("a")).distinct()
-    return join_small(titles, reach, "a").select("title", "n_near")
+    """Held and wanted titles in all combinations, by order."""
+    k = F.col("o_orderkey") % 30
+    pick = lambda names, i: F.element_at(F.array(*[F.lit(n) for n in names]), (i + 1).cast("int"))
+    rows = t.orders.select("o_orderkey", li.title_family(pick(_HELD, k % 6)).alias("held"), li.title_family(pick(_WANTED, F.floor(k / 6))).alias("wanted"))
+    return rows.withColumn("relation", li.family_relation(F.col("held"), F.col("wanted")))
 
 
 @query("s18_mailbox_kind", """SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'apply' WHEN 1 THEN 'never' WHEN 2 THEN 'general' WHEN 3 THEN 'apply' WHEN 4 THEN 'general' ELSE 'apply' END AS kind FROM supplier""")
@@ -225,7 +235,7 @@ def _(t):
     """Values of stored paths: the paths of a document joined to its exploded (path, value) rows."""
     values = t.paragraphs.select("doc_id", F.concat(F.lit("lines."), F.col("line_ix").cast("string")).alias("path"), F.md5("line").alias("value_key"))
     asked = t.documents.select("doc_id", F.concat(F.lit("lines."), (F.col("doc_id") % 5).cast("string")).alias("path"))
-    return values.join(asked, ["doc_id", "path"])
+    return mg.values_at(values, asked, ["doc_id", "path"])
 
 
 @query("s29_term_at", r"""SELECT doc_id, (strpos(f, ' thou') - 1)::INT AS word_start, (strpos(f, ' an ') - 1)::INT AS whole FROM (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^\p{L}\p{N}&-]', ' ', 'g') || ' ' AS f FROM documents)""")
