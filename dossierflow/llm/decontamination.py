@@ -62,6 +62,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     once; null ids are ids like others. An empty table on either side gives no pair; further columns are left out."""
     spark = docs.sparkSession
     ready = stored(prepared_items(items, item_id, item_text, size, threshold), "benchmark-items")
+    kind = ready.schema["item"].dataType.simpleString()
     total = ready.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one number
     blocks = max(1, -(-total // block_shingles))
     w = (docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("t")).where(F.length("t") > 0)
@@ -74,7 +75,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
         hits = every.join(F.broadcast(keys), "h")
         per_doc = hits.groupBy("doc", "digest").agg(F.first("w").alias("w"), F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"), F.sum("blank").alias("blank"))
         grams = per_doc.select("doc", F.array_distinct(shingles("w", size)).alias("here"),
-                               F.explode(F.concat("own", F.when(F.col("blank") > 0, F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<long>")))).alias("i"))
+                               F.explode(F.concat("own", F.when(F.col("blank") > 0, F.array(F.lit(None).cast(kind))).otherwise(F.array().cast(f"array<{kind}>")))).alias("i"))
         pairs = grams.join(F.broadcast(block.select("item", "grams", "n")), F.col("i").eqNullSafe(F.col("item")))
         found.append(pairs.select("doc", "item", F.size(F.array_intersect("grams", "here")).alias("shared"), "n").where(F.col("shared") >= F.col("n") * threshold - 1e-9))
     share = F.struct((F.col("shared") / F.col("n")).alias("containment"), F.col("shared"), F.col("n"))
