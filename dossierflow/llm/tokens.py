@@ -15,8 +15,10 @@ from functools import lru_cache
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 OTHER_SPACE = re.compile(r"[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 UNITS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
-#: Pieces that a worker keeps; it starts anew beyond.
-KEPT = 300_000
+#: A piece of at most a line break, letters and punctuation of these ranges: each part is one unit to the tokenizer's own pattern.
+PARTS = re.compile(r"(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)?( ?[!-/:-@\[-`{-~]+)?")
+#: Pieces, and parts of pieces, that a worker keeps; it starts anew beyond.
+KEPT = 400_000
 #: Longer pieces are encoded but not kept.
 LONG = 64
 
@@ -46,7 +48,8 @@ class PieceTable:
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = {s: value([i]) for s, i in special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.words, self.units = dict(self.start), dict(self.special)
+        self.words, self.units, self.parts = dict(self.start), dict(self.special), {"": value([])}
+        self.letters = byte_letters()
 
     def of(self, texts: Iterable[str]) -> Iterable[list[object]]:
         """The values of the pieces of each text in turn. Texts are taken in blocks of about a million characters."""
@@ -79,15 +82,14 @@ class PieceTable:
 
     def _values(self, lists: list[list[str]], kind: str, start: dict, whole: Callable[[str], str]) -> list[list[object]]:
         cache = getattr(self, kind)
-        missing = set().union(*lists) - cache.keys()
+        seen = set().union(*lists)
+        missing = [p for p in seen if p not in cache]
         if len(cache) + len(missing) > self.limit:
             cache = dict(start)
             setattr(self, kind, cache)
-            missing = set().union(*lists) - cache.keys()
+            missing = [p for p in seen if p not in cache]
         if missing:
-            missing = list(missing)
-            encoded = self.tokenizer.encode_batch_fast([whole(p) for p in missing], add_special_tokens=False)
-            cache.update(zip(missing, [self.value(e.ids) for e in encoded]))
+            cache.update(zip(missing, self._encoded([whole(p) for p in missing])))
         get = cache.__getitem__
         out = [list(map(get, cut)) for cut in lists]
         for p in missing:
@@ -95,6 +97,31 @@ class PieceTable:
                 del cache[p]
         return out
 
+    def _encoded(self, texts: list[str]) -> list[object]:
+        """Values of pieces. One of letters and punctuation goes to the model part by part, which is much cheaper than a call of the
+        whole tokenizer; any other goes to the tokenizer."""
+        cut = [m.groups("") if (m := PARTS.fullmatch(t)) else None for t in texts]
+        seen = {p for c in cut if c for p in c}
+        new = [p for p in seen if p not in self.parts]
+        if len(self.parts) + len(new) > self.limit:
+            self.parts = {"": self.value([])}
+            new = [p for p in seen if p]
+        if new:
+            model = self.tokenizer.model.tokenize
+            mapped = "\0".join(new).encode().decode("latin-1").translate(self.letters).split(chr(0x100))
+            self.parts.update((p, self.value([t.id for t in model(m)])) for p, m in zip(new, mapped))
+        rest = iter(self.tokenizer.encode_batch_fast([t for t, c in zip(texts, cut) if c is None], add_special_tokens=False))
+        get = self.parts.__getitem__
+        return [get(c[0]) + get(c[1]) + get(c[2]) if c else self.value(next(rest).ids) for c in cut]
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: printable ones stand for themselves, the others, in order, for the
+    letters from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
 
 def id_bytes(path: str, kept: int = KEPT) -> PieceTable:
     """Ids as little-endian unsigned 32-bit integers."""
