@@ -23,66 +23,115 @@ MOST_LABELS = 1000
 SMOOTHING = 0.1
 #: Characters of a word that are scored at once (longer words in parts of so many), and words that a worker keeps.
 PART, KEPT = 48, 400_000
+#: Words whose pieces are held in arrays at once.
+BLOCK = 8192
 UNKNOWN = "und"
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> tuple[dict[str, int], list[int], int, int]:
-    """Pieces and their ids, the ids of the 256 bytes, the longest piece, and the number of ids, of a sentencepiece file."""
+def vocabulary(path: str) -> tuple[dict, list[int], int]:
+    """A sentencepiece file's pieces as a tree by characters (the id stands under ``""``), the ids of the 256 bytes, and the number of ids."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    size = model.get_piece_size()
-    text = {model.id_to_piece(i): i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
-    by_byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-    return text, by_byte, max(map(len, text)), size
-
-
-def cuts(word: str, path: str) -> list[list[tuple[int, list[int]]]]:
-    """For every end in the word the pieces that end there: (start, ids). A character that is no piece is its bytes."""
-    pieces, by_byte, longest, _ = vocabulary(path)
-    out = []
-    for end in range(1, len(word) + 1):
-        here = [(start, [pieces[p]]) for start in range(max(0, end - longest), end) if (p := word[start:end]) in pieces]
-        if not here or here[-1][0] != end - 1:
-            here.append((end - 1, [by_byte[b] for b in word[end - 1].encode("utf-8", "surrogatepass")]))
-        out.append(here)
+    size, tree = model.get_piece_size(), {}
+    for i in range(size):
+        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
+            node = tree
+            for c in model.id_to_piece(i):
+                node = node.setdefault(c, {})
+            node[""] = i
+    return tree, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], size
+
+
+class Segments:
+    """All pieces at all places of many words: for each, the row of its word part, its first and last border, and its id.
+
+    A word starts with the vocabulary's mark of a blank. A longer word goes in parts of ``PART`` characters. A character that is no piece
+    stands as its bytes, with an id of its own beyond the vocabulary (``spelled``)."""
+
+    def __init__(self, words: list[str], path: str):
+        tree, by_byte, size = vocabulary(path)
+        keys, self.word, self.length, spelled = [], [], [], {}
+        for w, word in enumerate(words):
+            for at in range(0, len(word) + 1, PART):
+                part = ("▁" + word)[at:at + PART]
+                row, n = len(self.word), len(part)
+                self.word.append(w)
+                self.length.append(n)
+                for start in range(n):
+                    node, end = tree, start
+                    while end < n and (node := node.get(part[end])) is not None:
+                        end += 1
+                        if "" in node:
+                            keys.append((((end << 32) + row) * 64 + start, node[""]))
+                    if "" not in tree.get(part[start], ()):
+                        i = spelled.setdefault(part[start], size + len(spelled))
+                        keys.append(((((start + 1) << 32) + row) * 64 + start, i))
+        table = np.array(keys, np.int64).reshape(-1, 2)
+        table = table[np.argsort(table[:, 0], kind="stable")]
+        self.start, self.row, self.end, self.id = table[:, 0] & 63, (table[:, 0] >> 6) & 0xFFFFFFFF, table[:, 0] >> 38, table[:, 1]
+        self.spelled = [[by_byte[b] for b in c.encode("utf-8", "surrogatepass")] for c in spelled]
+        self.ends = np.searchsorted(self.end, np.arange(PART + 2))
+
+    def probabilities(self, table: np.ndarray) -> np.ndarray:
+        """Rows of the table by id, those of spelled characters added."""
+        return np.concatenate([table, np.array([table[ids].prod(axis=0) for ids in self.spelled]).reshape(-1, table.shape[1])])
+
+    def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over all segmentations up to each border (rows x borders x languages), scaled up where they get small, and the logarithm
+        of the sum at the end of each row."""
+        alpha, scale = np.zeros((len(self.word), PART + 1, p.shape[1])), np.zeros(len(self.word))
+        alpha[:, 0] = 1
+        for end in range(1, PART + 1):
+            own = slice(self.ends[end], self.ends[end + 1])
+            rows = self.row[own]
+            if not len(rows):
+                continue
+            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            alpha[rows[first], end] = np.add.reduceat(alpha[rows, self.start[own]] * p[self.id[own]], first)
+            small = rows[first][alpha[rows[first], end].max(axis=1) < 1e-100]
+            alpha[small] = np.minimum(alpha[small], 1e200) * 1e100
+            scale[small] += 100 * np.log(10)
+        total = alpha[np.arange(len(self.word)), self.length]
+        return alpha, np.log(np.maximum(total, 1e-300)) - scale[:, None]
+
+
+def likelihoods(words: list[str], table: np.ndarray, path: str) -> np.ndarray:
+    """Log likelihood of words (rows) under every language; ``table`` has the pieces' probabilities by language (ids x languages)."""
+    out = np.zeros((len(words), table.shape[1]))
+    if words:
+        s = Segments(words, path)
+        np.add.at(out, s.word, s.forward(s.probabilities(table))[1])
     return out
 
 
-def parts(word: str) -> list[str]:
-    marked = "▁" + word
-    return [marked[i:i + PART] for i in range(0, len(marked), PART)]
-
-
-def likelihood(word: str, table: np.ndarray, path: str) -> np.ndarray:
-    """Log likelihood of a word under every language; ``table`` has the pieces' probabilities by language (ids x languages)."""
-    total = np.zeros(table.shape[1])
-    for part in parts(word):
-        alpha = [np.ones(table.shape[1])]
-        for ends in cuts(part, path):
-            alpha.append(sum(alpha[start] * (table[ids[0]] if len(ids) == 1 else table[ids].prod(axis=0)) for start, ids in ends))
-        total += np.log(alpha[-1])
-    return total
-
-
-def expected(word: str, path: str) -> list[tuple[int, float]]:
-    """Expected uses of pieces in a word when all pieces are equally probable: each cut weighs 1 / ids to the power of its pieces."""
-    found: Counter = Counter()
-    for part in parts(word):
-        ends, p = cuts(part, path), 1.0 / vocabulary(path)[3]
-        forward, backward = [1.0] + [0.0] * len(ends), [0.0] * len(ends) + [1.0]
-        for k, here in enumerate(ends):
-            forward[k + 1] = sum(forward[start] * p ** len(ids) for start, ids in here)
-        for k in range(len(ends) - 1, -1, -1):
-            for start, ids in ends[k]:
-                backward[start] += backward[k + 1] * p ** len(ids)
-        for k, here in enumerate(ends):
-            for start, ids in here:
-                share = forward[start] * p ** len(ids) * backward[k + 1] / forward[-1]
-                for i in ids:
-                    found[i] += share
-    return list(found.items())
+def expected(words: Counter, path: str) -> np.ndarray:
+    """Expected uses of every piece in words with counts when all pieces are equally probable, by forward and backward sums."""
+    size = vocabulary(path)[2]
+    out = np.zeros(size)
+    texts = list(words)
+    for i in range(0, len(texts), BLOCK):
+        s = Segments(texts[i:i + BLOCK], path)
+        weight = np.array([words[w] for w in texts[i:i + BLOCK]], float)[s.word]
+        p = np.concatenate([np.full(size, 1 / size), [size ** -float(len(ids)) for ids in s.spelled]])
+        # a factor per character keeps the sums near one; it cancels in the shares
+        near = p[s.id] * 40.0 ** (s.end - s.start)
+        forward, backward = np.zeros((len(s.word), PART + 1)), np.zeros((len(s.word), PART + 1))
+        forward[:, 0], backward[np.arange(len(s.word)), s.length] = 1, 1
+        for end in range(1, PART + 1):
+            own = slice(s.ends[end], s.ends[end + 1])
+            np.add.at(forward, (s.row[own], end), forward[s.row[own], s.start[own]] * near[own])
+        for end in range(PART, 0, -1):
+            own = slice(s.ends[end], s.ends[end + 1])
+            np.add.at(backward, (s.row[own], s.start[own]), backward[s.row[own], end] * near[own])
+        total = np.maximum(forward[np.arange(len(s.word)), s.length], 1e-300)
+        share = forward[s.row, s.start] * near * backward[s.row, s.end] / total[s.row] * weight[s.row]
+        found = np.bincount(s.id, share, size + len(s.spelled))
+        out += found[:size]
+        for ids, n in zip(s.spelled, found[size:]):
+            np.add.at(out, ids, n)
+    return out
 
 
 def remainder(doc_id: str) -> Column:
@@ -106,50 +155,47 @@ def learned(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", text:
     sample = usable.where((F.pmod(F.xxhash64("t"), F.lit(1 << 30)) / float(1 << 30)) < part)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {}
+        sums, counted = {}, {}
 
-        def add(own: str, words: Counter) -> None:
-            total = sums.setdefault(own, np.zeros(vocabulary(vocabulary_path)[3]))
-            for word, n in words.items():
-                for i, share in of(word):
-                    total[i] += n * share
+        def settle() -> None:
+            for own, words in counted.items():
+                sums[own] = sums.get(own, 0) + expected(words, vocabulary_path)
+            counted.clear()
 
-        of = lru_cache(maxsize=KEPT)(lambda w: expected(w, vocabulary_path))
         for batch in batches:
-            counted: dict[str, Counter] = {}
             for own, t in zip(*(c.to_pylist() for c in batch.columns)):
                 counted.setdefault(own, Counter()).update(t.lower().split())
-            for own, words in counted.items():
-                add(own, words)
+                if sum(map(len, counted.values())) > KEPT:
+                    settle()
+        settle()
         rows = [(own, int(i), float(total[i])) for own, total in sums.items() for i in np.flatnonzero(total)]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([], [], []), (pa.string(), pa.int64(), pa.float64()))],
                                          names=["lang", "piece", "n"])
 
     counts = sample.mapInArrow(count, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
-    table = np.full((vocabulary(vocabulary_path)[3], len(names)), SMOOTHING)
+    table = np.full((vocabulary(vocabulary_path)[2], len(names)), SMOOTHING)
     table[counts["piece"].to_numpy(np.int64), counts["lang"].map({k: i for i, k in enumerate(names)}).to_numpy(np.int64)] += counts["n"].to_numpy(float)
     return names, table / table.sum(axis=0)
 
 
 class Words:
-    """Rows of log likelihoods by language of the words a worker has seen."""
+    """Log likelihoods by language of the words that a worker has seen."""
 
     def __init__(self, table: np.ndarray, path: str):
-        self.table, self.path = table, path
-        self.rows, self.at = np.zeros((1024, table.shape[1])), {}
-
-    def total(self, words: list[str]) -> np.ndarray:
-        at = self.at
-        new = set(words).difference(at) if len(words) < len(at) else {w for w in set(words) if w not in at}
-        if len(at) + len(new) > KEPT:
-            at = self.at = {}
-            new = set(words)
-        for w in new:
-            if len(at) == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[len(at)] = likelihood(w, self.table, self.path)
-            at[w] = len(at)
-        return self.rows[np.fromiter(map(at.__getitem__, words), np.int64, len(words))].sum(axis=0)
+        self.table, self.path, self.at, self.rows = table, path, {}, np.zeros((0, table.shape[1]))
+
+    def totals(self, texts: list[list[str]]) -> np.ndarray:
+        """Sums over the words of each text."""
+        seen = set().union(*texts)
+        new = [w for w in seen if w not in self.at]
+        if len(self.at) + len(new) > KEPT:
+            self.at, self.rows, new = {}, self.rows[:0], list(seen)
+        if new:
+            blocks = [likelihoods(new[i:i + BLOCK], self.table, self.path) for i in range(0, len(new), BLOCK)]
+            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
+            self.rows = np.concatenate([self.rows, *blocks])
+        get = self.at.__getitem__
+        return np.array([self.rows[np.fromiter(map(get, t), np.int64, len(t))].sum(axis=0) for t in texts]).reshape(-1, self.table.shape[1])
 
 
 def predict(docs: DataFrame, names: list[str], table: np.ndarray, vocabulary_path: str, doc_id: str = "doc_id", text: str = "text",
@@ -162,16 +208,27 @@ def predict(docs: DataFrame, names: list[str], table: np.ndarray, vocabulary_pat
         labels, probabilities = model.value
         words = Words(probabilities, vocabulary_path) if labels else None
         for batch in batches:
-            found, scores = [], []
+            found, scores, block, size = [], [], [], 0
+
+            def settle() -> None:
+                """Predictions of a block of about a million characters."""
+                total = words.totals([t.lower().split() if t else [] for t in block])
+                share = np.exp(total - total.max(axis=1, keepdims=True))
+                for t, k, p in zip(block, total.argmax(axis=1).tolist(), (1 / share.sum(axis=1)).tolist()):
+                    found.append(labels[k] if t else UNKNOWN)
+                    scores.append(p if t else 0.0)
+                block.clear()
+
             for t in batch.column(2).to_pylist():
-                if words is None or not t or not any(map(str.isalpha, t)):
-                    found.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total = words.total(t.lower().split())
-                share = np.exp(total - total.max())
-                found.append(labels[int(total.argmax())])
-                scores.append(float(1 / share.sum()))
+                block.append(t if words and t and any(map(str.isalpha, t)) else "")
+                size += len(block[-1])
+                if words and size > 1 << 20:
+                    settle()
+                    size = 0
+            if words:
+                settle()
+            else:
+                found, scores = [UNKNOWN] * len(block), [0.0] * len(block)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(scores, pa.float64())],
                                              names=["doc_id", "held_out", "lang_pred", "score"])
 

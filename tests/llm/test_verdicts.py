@@ -173,26 +173,36 @@ def test_formats_without_a_keyword_are_found(spark):
 
 # --- operator 10
 
-def test_forward_sums_all_segmentations():
-    pieces, by_byte, _, size = language_id.vocabulary(PIECES)
-    rng = np.random.default_rng(2)
-    table = rng.random((size, 2)) / size
-    for word in ("the", "thesis", "a", "鿿x", "überall"):
-        marked = "▁" + word
-
-        def total(at):
-            if at == len(marked):
-                return np.ones(2)
-            out = np.zeros(2)
-            for end in range(at + 1, len(marked) + 1):
-                if marked[at:end] in pieces:
-                    out = out + table[pieces[marked[at:end]]] * total(end)
-                elif end == at + 1:
-                    out = out + table[[by_byte[b] for b in marked[at].encode()]].prod(axis=0) * total(end)
-            return out
-
-        assert np.allclose(language_id.likelihood(word, table, PIECES), np.log(total(0)))
-        assert sum(n * len(p) for i, n in language_id.expected(word, PIECES) for p in [next((p for p, k in pieces.items() if k == i), "?")] if p != "?") <= len(marked) + 1e-6
+def test_sums_over_all_segmentations():
+    tree, by_byte, size = language_id.vocabulary(PIECES)
+
+    def piece(text):
+        node = tree
+        for c in text:
+            node = node.get(c, {})
+        return node.get("")
+
+    def segmentations(marked):
+        if not marked:
+            yield []
+        for n in range(1, len(marked) + 1):
+            ids = [piece(marked[:n])] if piece(marked[:n]) is not None else [by_byte[b] for b in marked[0].encode()] if n == 1 else None
+            if ids is not None:
+                for rest in segmentations(marked[n:]):
+                    yield ids + rest
+
+    table = np.random.default_rng(2).random((size, 2)) / size
+    words = ["the", "thesis", "a", "鿿x", "überall", ""]
+    got, uses = language_id.likelihoods(words, table, PIECES), np.zeros(size)
+    for row, word in zip(got, words):
+        cuts = list(segmentations("▁" + word))
+        assert np.allclose(row, np.log(sum(table[ids].prod(axis=0) for ids in cuts)))
+        total = sum(size ** -float(len(ids)) for ids in cuts)
+        for ids in cuts:
+            np.add.at(uses, ids, size ** -float(len(ids)) / total * 2)
+    assert np.allclose(language_id.expected(language_id.Counter({w: 2 for w in words}), PIECES), uses)
+    long = language_id.likelihoods(["鿿" * 500, "the" * 100], table, PIECES)
+    assert np.isfinite(long).all() and (long < -1000).any()
 
 
 def test_languages(spark, given):
