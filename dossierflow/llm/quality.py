@@ -27,6 +27,8 @@ P = len(FEATURES)
 UNIT, MOST = 256, 1 << 14
 #: Part of a group's rows that the estimate rests on, steps at most, smallest group with an estimate of its own.
 KEPT_PART, STEPS, LEAST_ROWS = 0.7, 12, 200
+#: Estimates that are broadcast (a few hundred bytes each); more meet the rows in a shuffle join.
+BROADCAST_GROUPS = 100_000
 #: Chance of a row of the estimated normal distribution to be rejected.
 REJECTED = 1e-9
 WINDOW = 8
@@ -127,6 +129,12 @@ def bin_of(d: Column) -> Column:
     return F.floor(64 * F.log2(1 + F.least(d, F.lit(1e12)))).cast("int")
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with the values of their group. ``groups`` is stored, so counting it is cheap; up to ``BROADCAST_GROUPS`` rows it is broadcast,
+    so that a group with a third of all rows stays spread."""
+    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, "g", how)
+
+
 def roots(moments: DataFrame) -> DataFrame:
     """``g, m, w, det``: mean, inverse triangular root and log determinant from ``g, n, s`` (sums) ``, ss`` (sums of products)."""
     floor = np.diag([(UNIT * s) ** 2 for s in FEATURES.values()])
@@ -153,8 +161,8 @@ def estimates(rows: DataFrame, kept_part: float = KEPT_PART, steps: int = STEPS)
     """``g, m, w, det, scale``: the estimate of each group of ``rows`` (stored, with ``g`` and the vector). ``scale`` is what
     brings the median squared distance down to that of a chi-square distribution, 1 at least."""
     xs = [f"x{i}" for i in range(P)]
-    middle = rows.groupBy("g").agg(*[F.percentile(x, 0.5).alias(x) for x in xs])
-    off = rows.join(middle.select("g", *[F.col(x).alias(f"c{x}") for x in xs]), "g").groupBy("g").agg(
+    middle = stored(rows.groupBy("g").agg(*[F.percentile(x, 0.5).alias(x) for x in xs]), "outlier-middle")
+    off = with_groups(rows, middle.select("g", *[F.col(x).alias(f"c{x}") for x in xs])).groupBy("g").agg(
         *[F.percentile(F.abs(F.col(x) - F.col(f"c{x}")), 0.5).alias(f"d{x}") for x in xs])
     zero = F.lit(0.0)
     spread = [F.sqrt(F.pow(F.col(f"d{x}") * 1.4826, 2) + (UNIT * s) ** 2) for x, s in zip(xs, FEATURES.values())]
@@ -165,7 +173,7 @@ def estimates(rows: DataFrame, kept_part: float = KEPT_PART, steps: int = STEPS)
     products = [F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"p{i}_{j}") for i in range(P) for j in range(i + 1)]
     added = [c for c in (*(f"s{i}" for i in range(P)), *(f"p{i}_{j}" for i in range(P) for j in range(i + 1)))]
     for _ in range(steps):
-        bins = rows.join(now.select("g", "m", "w"), "g").groupBy("g", bin_of(distance()).alias("bin")).agg(F.count(F.lit(1)).alias("n"), *sums, *products)
+        bins = with_groups(rows, now.select("g", "m", "w")).groupBy("g", bin_of(distance()).alias("bin")).agg(F.count(F.lit(1)).alias("n"), *sums, *products)
         order = W.partitionBy("g").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
         inner = (bins.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).withColumn("all", F.sum("n").over(W.partitionBy("g")))
                  .where(F.col("before") < kept_part * F.col("all")))
@@ -176,7 +184,7 @@ def estimates(rows: DataFrame, kept_part: float = KEPT_PART, steps: int = STEPS)
         now, done = following, moved is None or moved < 1e-9
         if done:
             break
-    bins = rows.join(now.select("g", "m", "w"), "g").groupBy("g").agg(F.percentile(bin_of(distance()), 0.5).alias("bin"))
+    bins = with_groups(rows, now.select("g", "m", "w")).groupBy("g").agg(F.percentile(bin_of(distance()), 0.5).alias("bin"))
     wide = (F.pow(F.lit(2.0), (F.col("bin") + 1) / 64) - 1) / chi_square(P, 0.5)
     return now.join(bins.select("g", F.greatest(F.lit(1.0), wide).alias("scale")), "g")
 
@@ -192,11 +200,11 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     A null text has no words and fails the base rules, as does an empty one; null languages and sources are values like others; groups
     of fewer than ``least_rows`` rows are judged together by language, then all together, and without an estimate (``distance`` null)
     where all of these are too few, as in a small table. Repeated rows give repeated results, an empty table none."""
-    rows = stored(grouped(statistics(docs, doc_id, text, lang, source), least_rows), "statistics")
+    rows = stored(grouped(stored(statistics(docs, doc_id, text, lang, source), "statistics"), least_rows), "statistics-by-group")
     fit = rows.where(F.col("g").isNotNull() & ~F.col("base_failed"))
-    known = estimates(fit, kept_part)
+    known = stored(estimates(fit, kept_part), "outlier-estimates")
     d = (distance() / F.col("scale")).alias("distance")
-    judged = rows.join(known.select("g", "m", "w", "scale"), "g", "left").select(*rows.columns, d)
+    judged = with_groups(rows, known.select("g", "m", "w", "scale"), "left").select(*rows.columns, d)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          (~F.col("base_failed") & F.coalesce(F.col("distance") <= chi_square(P, 1 - rejected), F.lit(True))).alias("kept"),
                          "distance", "digest")
