@@ -95,17 +95,20 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
 
 
 def grouped(rows: DataFrame, least_rows: int) -> DataFrame:
-    """Adds ``g``: language and source; where these have too few rows that passed the base rules, all such rows of the language
-    together; where those are too few, all of these. Null where even they are too few."""
-    for k, by in enumerate((["lang", "source"], ["lang"], [])):
-        key = F.xxhash64(F.lit(k), *[F.coalesce(F.concat(F.lit("="), by_), F.lit("-")) for by_ in map(F.col, by)])
-        rows = rows.withColumn(f"_g{k}", key)
-    out = rows.withColumn("g", F.lit(None).cast("long"))
-    for k in range(3):
-        open_rows = out.where(F.col("g").isNull() & ~F.col("base_failed"))
-        large = open_rows.groupBy(f"_g{k}").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least_rows).select(f"_g{k}", F.lit(True).alias("_large"))
-        out = out.join(large, f"_g{k}", "left").withColumn("g", F.coalesce("g", F.when(F.col("_large"), F.col(f"_g{k}")))).drop("_large")
-    return out.drop("_g0", "_g1", "_g2")
+    """Adds ``g``, the group whose estimate judges the row: language and source; where these have too few rows that passed the base rules,
+    the language; where that has too few, the table. Null where even it has too few. And ``fits``, the groups whose estimates rest on the
+    row if it passed: its own and those that small groups of its language or of the table borrow, with all their rows."""
+    for k, by in enumerate((["lang", "source"], ["lang"])):
+        rows = rows.withColumn(f"_g{k}", F.xxhash64(F.lit(k), *[F.coalesce(F.concat(F.lit("="), by_), F.lit("-")) for by_ in map(F.col, by)]))
+    sizes = stored(rows.groupBy("_g0", "_g1").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("_n")), "group-sizes")
+    languages = sizes.groupBy("_g1").agg(F.sum("_n").alias("_n1"), F.max(F.col("_n") < least_rows).alias("_lends"))
+    total, short = languages.agg(F.coalesce(F.sum("_n1"), F.lit(0)), F.coalesce(F.max(F.col("_n1") < least_rows), F.lit(False))).first()  # one row
+    every, large, spoken = F.xxhash64(F.lit(2)), F.col("_n") >= least_rows, F.col("_n1") >= least_rows
+    fits = F.array(F.when(large, F.col("_g0")), F.when(spoken & F.col("_lends"), F.col("_g1")), F.when(F.lit(short and total >= least_rows), every))
+    groups = stored(sizes.join(languages, "_g1").select(
+        "_g0", "_g1", F.when(large, F.col("_g0")).when(spoken, F.col("_g1")).when(F.lit(total >= least_rows), every).alias("g"),
+        F.filter(fits, lambda g: g.isNotNull()).alias("fits")), "groups")
+    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, ["_g0", "_g1"]).drop("_g0", "_g1")
 
 
 def chi_square(p: int, below: float) -> float:
@@ -198,10 +201,10 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     chi-square quantile that a row of the group's own distribution passes with chance ``rejected``.
 
     A null text has no words and fails the base rules, as does an empty one; null languages and sources are values like others; groups
-    of fewer than ``least_rows`` rows are judged together by language, then all together, and without an estimate (``distance`` null)
-    where all of these are too few, as in a small table. Repeated rows give repeated results, an empty table none."""
+    of fewer than ``least_rows`` rows are judged by the estimate of all rows of their language, then by that of all rows of the table, and
+    without an estimate (``distance`` null) where even these are too few, as in a small table. Repeated rows give repeated results, an empty table none."""
     rows = stored(grouped(stored(statistics(docs, doc_id, text, lang, source), "statistics"), least_rows), "statistics-by-group")
-    fit = rows.where(F.col("g").isNotNull() & ~F.col("base_failed"))
+    fit = rows.where(~F.col("base_failed")).select(F.explode("fits").alias("g"), *[f"x{i}" for i in range(P)])
     known = stored(estimates(fit, kept_part), "outlier-estimates")
     d = (distance() / F.col("scale")).alias("distance")
     judged = with_groups(rows, known.select("g", "m", "w", "scale"), "left").select(*rows.columns, d)

@@ -78,6 +78,34 @@ def test_junk_goes_and_clean_text_stays(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, *_, junk in rows if not junk}
 
 
+def test_small_groups_borrow_the_estimates_of_large_ones(spark):
+    rng = random.Random(10)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(400)]
+    rows = []
+    for i in range(700):
+        lang, source = ("en", "large") if i < 600 else ("en", "small") if i < 650 else (None, "rare")
+        junk = i >= 600 and i % 5 == 0
+        own = rng.choices(words, k=int(rng.lognormvariate(4.5, 0.4)) + 25)
+        rows.append((i, " ".join(w.upper() + "!!" if junk else w for w in own), lang, source, junk))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, junk boolean")
+    got = {r.doc_id: r for r in quality.quality(docs).collect()}
+    assert len(got) == len(rows) and all(r.distance is not None for r in got.values())
+    assert [i for i, *_, junk in rows if got[i].kept == junk] == []
+
+
+def test_borrowed_estimates_rest_on_all_rows(spark):
+    """By source: large on its own, small by its language, rare by the table; rows that failed take part in the choice, not in the sizes."""
+    rows = [(i, lang, source, failed) for i, (lang, source, failed) in enumerate(
+        [("en", "large", False)] * 20 + [("en", "small", False)] * 5 + [("de", "rare", False)] * 4 + [("en", "failed", True)] * 30 + [("fr", "large", False)] * 20)]
+    out = quality.grouped(spark.createDataFrame(rows, "doc_id long, lang string, source string, base_failed boolean"), 10).collect()
+    own = {(r.lang, r.source): (r.g, set(r.fits)) for r in out}
+    assert len(out) == len(rows) and len(own) == 5
+    en, every = own["en", "small"][0], own["de", "rare"][0]
+    assert own["en", "failed"][0] == en and len({en, every, own["en", "large"][0], own["fr", "large"][0]}) == 4
+    assert own["en", "large"][1] == {own["en", "large"][0], en, every} and own["en", "small"][1] == {en, every}
+    assert own["de", "rare"][1] == {every} and own["fr", "large"][1] == {own["fr", "large"][0], every}
+
+
 def test_estimates_meet_plain_concentration_steps(spark):
     rng = np.random.default_rng(1)
     x = np.rint(rng.normal(0, 300, (500, quality.P)) + rng.normal(0, 200, (500, 1))).astype(int)
