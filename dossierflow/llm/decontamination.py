@@ -51,15 +51,10 @@ def prepared_items(items: DataFrame, item_id: str, text: str, size: int, thresho
     return own.select("item", "grams", n.alias("n"), F.slice("h", F.lit(1), signature_length(n, threshold)).alias("signature"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                  size: int = SHINGLE, threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """``doc_id, item_id, n_shared, n_item, containment`` of all pairs where the document holds at least ``threshold`` of the
-    item's different shingles of ``size`` words, whole texts, exact.
-
-    Signatures find candidates in the pass over the documents, without a shuffle of theirs; only candidates' words are moved, once
-    per document, to count shared shingles. Null and empty texts match nothing. Texts of fewer than ``size`` words are one shingle of
-    them all. Rows of the same id and different texts are searched each and the larger share counts; repeated rows count
-    once; null ids are ids like others. An empty table on either side gives no pair; further columns are left out."""
+def text_pairs(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+               size: int = SHINGLE, threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """``doc, digest, item, shared, n`` of all pairs where a text of the document, told by its hash, holds at least ``threshold`` of the
+    item's different shingles."""
     spark = docs.sparkSession
     ready = stored(prepared_items(items, item_id, item_text, size, threshold), "benchmark-items")
     kind = ready.schema["item"].dataType.simpleString()
@@ -74,17 +69,31 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
         keys = block.select(F.explode("signature").alias("h"), "item").groupBy("h").agg(F.collect_set("item").alias("own"), F.count(F.when(F.col("item").isNull(), 1)).alias("blank"))
         hits = every.join(F.broadcast(keys), "h")
         per_doc = hits.groupBy("doc", "digest").agg(F.first("w").alias("w"), F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"), F.sum("blank").alias("blank"))
-        grams = per_doc.select("doc", F.array_distinct(shingles("w", size)).alias("here"),
+        grams = per_doc.select("doc", "digest", F.array_distinct(shingles("w", size)).alias("here"),
                                F.explode(F.concat("own", F.when(F.col("blank") > 0, F.array(F.lit(None).cast(kind))).otherwise(F.array().cast(f"array<{kind}>")))).alias("i"))
         pairs = grams.join(F.broadcast(block.select("item", "grams", "n")), F.col("i").eqNullSafe(F.col("item")))
-        found.append(pairs.select("doc", "item", F.size(F.array_intersect("grams", "here")).alias("shared"), "n").where(F.col("shared") >= F.col("n") * threshold - 1e-9))
+        found.append(pairs.select("doc", "digest", "item", F.size(F.array_intersect("grams", "here")).alias("shared"), "n").where(F.col("shared") >= F.col("n") * threshold - 1e-9))
+    return reduce(DataFrame.unionByName, found)
+
+
+def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+                  size: int = SHINGLE, threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """``doc_id, item_id, n_shared, n_item, containment`` of all pairs where the document holds at least ``threshold`` of the
+    item's different shingles of ``size`` words, whole texts, exact.
+
+    Signatures find candidates in the pass over the documents, without a shuffle of theirs; only candidates' words are moved, once
+    per document, to count shared shingles. Null and empty texts match nothing. Texts of fewer than ``size`` words are one shingle of
+    them all. Rows of the same id and different texts are searched each and the larger share counts; repeated rows count
+    once; null ids are ids like others. An empty table on either side gives no pair; further columns are left out."""
+    found = text_pairs(docs, items, doc_id, text, item_id, item_text, size, threshold, block_shingles)
     share = F.struct((F.col("shared") / F.col("n")).alias("containment"), F.col("shared"), F.col("n"))
-    best = reduce(DataFrame.unionByName, found).groupBy("doc", "item").agg(F.max(share).alias("best"))
+    best = found.groupBy("doc", "item").agg(F.max(share).alias("best"))
     return best.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("best.shared").cast("long").alias("n_shared"),
                        F.col("best.n").cast("long").alias("n_item"), F.col("best.containment").alias("containment"))
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold a test item; all columns, repeated rows and null texts stay."""
-    dirty = contamination(docs, items, doc_id, **options).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, docs[doc_id].eqNullSafe(dirty["_dirty"]), "left_anti")
+def decontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows whose text holds a test item; all columns, repeated rows and null texts stay, as do other texts of the
+    same id, be it null or not."""
+    dirty = text_pairs(docs, items, doc_id, text, **options).select(F.col("doc").alias("_dirty"), F.col("digest").alias("_digest")).distinct()
+    return docs.join(dirty, docs[doc_id].eqNullSafe(dirty["_dirty"]) & (F.xxhash64(docs[text]) == dirty["_digest"]), "left_anti")

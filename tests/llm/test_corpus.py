@@ -83,6 +83,15 @@ def test_leaks_of_odd_rows(spark, odd_docs, no_docs):
     assert by_id((r.doc_id, r.text) for r in clean.collect()) == by_id((i, t) for i, t in TEXTS if i not in dirty)
 
 
+def test_clean_texts_that_share_an_id_with_a_leak_stay(spark):
+    leak, clean = "one two three four five six seven", "nothing of the items is in here at all"
+    rows = [(None, leak), (None, clean), (None, None), (7, f"before {leak} after"), (7, clean), (7, clean), (8, leak), (9, clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    left = decontamination.decontaminated(docs, items).collect()
+    assert by_id((r.doc_id, r.text) for r in left) == by_id([(None, clean), (None, None), (7, clean), (7, clean), (9, clean)])
+
+
 # --- operator 4
 
 def deduped(rows):
