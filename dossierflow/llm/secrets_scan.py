@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,8 +26,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "format")
-#: Runs that are scored: long enough, with a digit and a letter.
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+#: Runs that are scored if they hold a letter, whole and in parts that begin and end beside a mark of ``PARTED``.
+SHORTEST = 12
+RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
+PARTED = frozenset("+/_.=-")
+#: Format of a character that a base span covers: no automaton goes over it.
+COVERED = "\0"
 #: Labelled values of a kind that an automaton is fitted on (a bounded sample by hash), and the longest of them.
 SAMPLE, LONGEST = 2000, 256
 #: Confidence of the merge test; part of the labelled values whose score is below the threshold of their kind.
@@ -127,6 +132,51 @@ class Automaton:
         return (total + math.log2(self.ends[at] / self.visits[at])) / (len(form) + 1) if self.ends[at] else -math.inf
 
 
+    def parts(self, form: str, least: float) -> list[tuple[int, int]]:
+        """Parts (start, end) of a format that begin at its start or after a mark and stop at its end or before one, have ``SHORTEST``
+        symbols and a letter, and score at least ``least``. Of parts that meet in one state, all that follows is the same, so only the
+        best goes on there: the work is linear in the length. Where any part stops well, one of those that do is given."""
+        out: list[tuple[int, int]] = []
+        young: list[tuple[float, int, int, bool]] = []
+        old: dict[tuple[int, bool], tuple[float, int]] = {}
+        for i, s in enumerate(form):
+            letter = s in "agAG"
+            if s in PARTED:
+                out += self._stops(old, i, least)
+            if not i or form[i - 1] in PARTED:
+                young.append((0.0, i, 0, False))
+            moved: dict[tuple[int, bool], tuple[float, int]] = {}
+            for (at, lettered), (total, start) in old.items():
+                if step := self.moves[at].get(s):
+                    key, now = (step[0], lettered or letter), (total + math.log2(step[1] / self.visits[at]) - least, start)
+                    if key not in moved or now[0] > moved[key][0]:
+                        moved[key] = now
+            growing = []
+            for total, start, at, lettered in young:
+                if step := self.moves[at].get(s):
+                    total, lettered = total + math.log2(step[1] / self.visits[at]) - least, lettered or letter
+                    if i + 1 - start < SHORTEST:
+                        growing.append((total, start, step[0], lettered))
+                    elif (key := (step[0], lettered)) not in moved or total > moved[key][0]:
+                        moved[key] = (total, start)
+            old, young = moved, growing
+        return out + self._stops(old, len(form), least)
+
+    def _stops(self, reached: dict[tuple[int, bool], tuple[float, int]], end: int, least: float) -> list[tuple[int, int]]:
+        return [(start, end) for (at, lettered), (total, start) in reached.items()
+                if lettered and self.ends[at] and total + math.log2(self.ends[at] / self.visits[at]) - least >= -1e-9]
+
+
+def apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that do not overlap, longer ones first, by start."""
+    out: list[tuple[int, int]] = []
+    for span in sorted(set(spans), key=lambda s: (s[0] - s[1], s[0])):
+        k = bisect(out, span)
+        if (not k or out[k - 1][1] <= span[0]) and (k == len(out) or span[1] <= out[k][0]):
+            out.insert(k, span)
+    return out
+
+
 def found(text: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, str]]]:
     """Base spans (start, kind, end, value) by start and kind, and the runs to score (start, value)."""
     lower = text.lower()
@@ -140,7 +190,7 @@ def found(text: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, s
         run = m[0]
         if len(run) >= 16:
             spans += [(m.start() + h.start(), 2, m.start() + h.end(), h[0]) for h in HEX.finditer(run)]
-        if not (run.isalpha() or run.isdigit()) and any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
+        if any(map(str.isalpha, run)):
             runs.append((m.start(), run))
     return sorted(spans), runs
 
@@ -168,7 +218,7 @@ def automata(scanned: DataFrame, sample: int = SAMPLE) -> list[tuple[Automaton,
     out = []
     for kind in range(3):
         rows = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
-        own = [r["value"] for r in rows if any(map(str.isalpha, r["value"])) and any(map(str.isdigit, r["value"]))]
+        own = [r["value"] for r in rows if any(map(str.isalpha, r["value"]))]
         if len(own) >= LEAST:
             machine = Automaton(own)
             scores = sorted(machine.score(symbols(v)) for v in own)
@@ -179,9 +229,10 @@ def automata(scanned: DataFrame, sample: int = SAMPLE) -> list[tuple[Automaton,
 def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of every row.
 
-    Base spans are those of the fixed rules, in code points, ``kind:start:end``. A run of credential characters with a letter and a
-    digit that no base span touches is a further span, of kind ``format``, if some automaton gives its characters a likelihood that 99
-    of 100 labelled values reach. Scores depend on the format alone and are kept by it.
+    Base spans are those of the fixed rules, in code points, ``kind:start:end``. A run of credential characters with a letter is a further
+    span, of kind ``format``, if some automaton gives its characters a likelihood that 99 of 100 labelled values reach; so is a part of it
+    between marks (after a name and ``=``, in a path, before a full stop), the longer before the shorter. No such span touches a
+    base span. Scores depend on the format alone and are kept by it.
 
     Null and empty texts have no spans, a null id stays null, repeated rows give repeated results, an empty table none, and a table with
     fewer than 20 labelled values of each kind has base spans only."""
@@ -190,16 +241,16 @@ def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(maxsize=100_000)
-        def fits(form: str) -> bool:
-            return any(m.score(form) >= least for m, least in machines.value)
+        def fits(form: str) -> list[tuple[int, int]]:
+            if any(m.score(form) >= least for m, least in machines.value):
+                return [(0, len(form))]
+            return apart([p for m, least in machines.value for p in m.parts(form, least)]) if not PARTED.isdisjoint(form) else []
 
         for batch in batches:
             base, every, counts = [], [], []
             for spans, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 own = [(s["start"], s["kind"], s["end"]) for s in spans]
-                more = [(r["start"], 3, r["start"] + len(r["value"])) for r in runs if fits(symbols(r["value"]))]
-                if more and own:
-                    more = untouched(more, own)
+                more = [(start + a, 3, start + b) for start, form in open_forms(runs, own) for a, b in fits(form)]
                 base.append(hashlib.sha256(told(own).encode()).hexdigest())
                 every.append(told(sorted(own + more)))
                 counts.append([sum(k == kind for _, k, _ in own) for kind in range(3)])
@@ -215,13 +266,17 @@ def told(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def untouched(more: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of ``more`` (by start, apart from each other) that overlap none of ``base`` (by start)."""
-    out, k, reach = [], 0, -1
-    for start, kind, end in more:
+def open_forms(runs: list[dict], base: list[tuple[int, int, int]]) -> Iterator[tuple[int, str]]:
+    """Start and format of each run (by start), ``COVERED`` where spans of ``base`` (by start) touch it."""
+    k, covered = 0, []
+    for run in runs:
+        start, form = run["start"], symbols(run["value"])
+        end = start + len(form)
         while k < len(base) and base[k][0] < end:
-            reach = max(reach, base[k][2])
+            covered.append((base[k][0], base[k][2]))
             k += 1
-        if reach <= start:
-            out.append((start, kind, end))
-    return out
+        covered = [c for c in covered if c[1] > start]
+        for a, b in covered:
+            a, b = max(a, start) - start, min(b, end) - start
+            form = form[:a] + COVERED * (b - a) + form[b:]
+        yield start, form

@@ -199,6 +199,36 @@ def test_formats_without_a_keyword_are_found(spark):
     assert got[901] == got[902] == ""
 
 
+def test_parts_of_runs_are_scored(spark):
+    rng = random.Random(13)
+    key = lambda letters="ghjkmnpqrstvwxyz23456789": "".join(rng.choices(letters, k=20))
+    rows = [(i, f'some text token = "{key()}" and more') for i in range(300)]
+    a, b, c, d, e = (key() for _ in range(5))
+    f = key("ghjkmnpqrstvwxyz")
+    rows += [(900, f"auth={a}"), (901, f"https://h.example/v1/{b}/x"), (902, f"it is {c}."), (903, f"now {f} here"), (904, f"x={d}/{e}."), (905, "www.example.com/page-12/a=b"),
+             (906, f"0123456789abcdef/{a} and 5555-1234567890123"), (907, "=./" * 20000)]
+    text = dict(rows)
+    got = {r.doc_id: r.spans for r in secrets_scan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = lambda i, *keys: ",".join(f"format:{text[i].index(k)}:{text[i].index(k) + 20}" for k in keys)
+    assert {i: got[i] for i in range(900, 908)} == {900: at(900, a), 901: at(901, b), 902: at(902, c), 903: at(903, f), 904: at(904, d, e), 905: "",
+                                                    906: "hex:0:16," + at(906, a), 907: ""}
+
+
+def test_parts_meet_all_parts_of_a_run():
+    rng = random.Random(14)
+    machine = secrets_scan.Automaton(["".join(rng.choices("0123456789abcdgh/.", k=rng.randint(12, 18))) for _ in range(300)])
+    least, hits = -3.9, 0
+    for _ in range(300):
+        form = secrets_scan.symbols("".join(rng.choices("12abgh/=.Q", weights=(3, 3, 3, 3, 2, 2, 2, 1, 1, 0.2), k=rng.randint(12, 60))))
+        starts = [i for i in range(len(form)) if not i or form[i - 1] in secrets_scan.PARTED]
+        ends = [i for i in range(1, len(form) + 1) if i == len(form) or form[i] in secrets_scan.PARTED]
+        own = {(i, j) for i in starts for j in ends if j - i >= 12 and any(s in "agAG" for s in form[i:j]) and machine.score(form[i:j]) >= least}
+        got = set(machine.parts(form, least))
+        assert got <= own and {j for _, j in got} == {j for _, j in own}
+        hits += len(own)
+    assert hits > 100
+
+
 # --- operator 10
 
 def test_sums_over_all_segmentations():
