@@ -185,7 +185,7 @@ def _(t):
 m AS (SELECT source, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 1 GROUP BY 1)
 SELECT coalesce(f.source, m.source) AS source, coalesce(n_found, 0)::BIGINT AS n_found, coalesce(n, 0) AS n_matched, CASE WHEN coalesce(n, 0) > 0 THEN 'ok' WHEN coalesce(failed, false) THEN 'error' ELSE 'empty' END AS status FROM f FULL JOIN m ON f.source = m.source""")
 def _(t):
-    log = t.documents.where("n_chars % 7 <> 0").select("source", F.lit(1).alias("n_found"), (F.col("n_chars") < 60).alias("failed"))
+    log = t.documents.select("source", F.lit(1).alias("n_found"), (F.col("n_chars") < 60).alias("failed"))
     kept = t.documents.join(t.labels.where("quality = 1 AND toxic = 1"), "doc_id", "left_semi").select("source")
     return ls.source_health(log, kept)
 

@@ -1,4 +1,6 @@
 """Nothing is capped, cut or decided by size; no job runs while a plan is built."""
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from dossierflow.functions import dates as dt
 from dossierflow.functions import profiles as pf
 from dossierflow.operators import lexicon as lx
 from dossierflow.operators import links as lk
+from dossierflow.operators import listings as ls
 from dossierflow.operators import merge as mg
 from dossierflow.operators import messages as ms
 from dossierflow.queries import load_all
@@ -21,6 +24,16 @@ def one(spark, expr):
     return spark.range(1).select(expr.alias("x")).first()["x"]
 
 
+def other_input(spark, tmp_path, **tables):
+    """The path of an input of the smallest data with some tables replaced."""
+    for p in Path(SF).glob("*.parquet"):
+        if p.stem in tables:
+            tables[p.stem].write.parquet(str(tmp_path / p.name))
+        else:
+            (tmp_path / p.name).symlink_to(p)
+    return str(tmp_path)
+
+
 def test_building_a_query_starts_no_job(spark):
     sc = spark.sparkContext
     started = []
@@ -229,3 +242,17 @@ def test_items_with_several_languages_and_nationality(spark):
     items = po.parse_posting(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t").collect()
     assert {(r["type"], r["language"], r["field"], r["strength"]) for r in items} == {
         ("language", "english", "", "must"), ("language", "arabic", "", "must"), ("nationality", None, "uae", "nice")}
+
+
+def test_source_health_reads_all_documents(spark, tmp_path):
+    docs = [(1, "x" * 70, "en", "a", 70), (2, "x" * 7, "en", "b", 7), (3, "x" * 61, "en", "b", 61), (4, "x" * 77, "en", "c", 77), (5, "x" * 77, "en", "a", 77)]
+    given = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(5, 1, 1), (4, 0, 1)], spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality", "toxic").schema)
+    got = catalog.QUERIES["e4_source_health"](spark, other_input(spark, tmp_path, documents=given, labels=labels)).collect()
+    assert sorted(map(tuple, got)) == [("a", 2, 1, "ok"), ("b", 2, 0, "error"), ("c", 1, 0, "empty")]
+
+
+def test_sources_seen_only_in_results(spark):
+    log = spark.createDataFrame([("a", 3, False)], "source string, n_found int, failed boolean")
+    got = ls.source_health(log, spark.createDataFrame([("z",), ("z",)], "source string")).collect()
+    assert sorted(map(tuple, got)) == [("a", 3, 0, "empty"), ("z", 0, 2, "ok")]
