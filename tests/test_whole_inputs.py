@@ -256,3 +256,10 @@ def test_sources_seen_only_in_results(spark):
     log = spark.createDataFrame([("a", 3, False)], "source string, n_found int, failed boolean")
     got = ls.source_health(log, spark.createDataFrame([("z",), ("z",)], "source string")).collect()
     assert sorted(map(tuple, got)) == [("a", 3, 0, "empty"), ("z", 0, 2, "ok")]
+
+
+def test_phones_of_both_forms_in_every_document(spark, tmp_path):
+    texts = [(1, "call 0049 30 1234567 now"), (2, "or +49 30 7654321."), (3, "no number"), (4, None), (5, "004930 1234567, +4930 7654321")]
+    given = spark.createDataFrame([(*t, "en", "a", 1) for t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = catalog.QUERIES["s21_phones"](spark, other_input(spark, tmp_path, documents=given)).collect()
+    assert {r.doc_id: r.phones for r in got} == {1: "0049 30 1234567", 2: "+49 30 7654321", 3: "", 4: "", 5: "+4930 7654321|004930 1234567"}
