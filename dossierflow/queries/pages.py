@@ -216,7 +216,7 @@ SELECT name, url, score FROM (SELECT *, row_number() OVER (PARTITION BY name ORD
 def _(t):
     bare = F.regexp_replace(ux.host("url"), r"^(?:m|blog)\.", "")
     hits = (t.pages.join(pg.page_fields(t.pages).select("page_id", "title"), "page_id")
-            .select(F.substring(F.split(bare, r"\.")[0], 1, 6).alias("name"), "url", "title"))
+            .select(F.split(bare, r"\.")[0].alias("name"), "url", "title"))
     return pg.pick_official_site(hits).select("name", "url", "score")
 
 

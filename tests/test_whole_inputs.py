@@ -2,6 +2,7 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dossierflow import catalog
@@ -263,3 +264,19 @@ def test_phones_of_both_forms_in_every_document(spark, tmp_path):
     given = spark.createDataFrame([(*t, "en", "a", 1) for t in texts], "doc_id long, text string, lang string, source string, n_chars long")
     got = catalog.QUERIES["s21_phones"](spark, other_input(spark, tmp_path, documents=given)).collect()
     assert {r.doc_id: r.phones for r in got} == {1: "0049 30 1234567", 2: "+49 30 7654321", 3: "", 4: "", 5: "+4930 7654321|004930 1234567"}
+
+
+def test_evidence_in_any_language_counts(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = []
+    for k, lang in enumerate((F.lit("de"), F.lit(None).cast("string"))):
+        (at := tmp_path / str(k)).mkdir()
+        found.append({r.concept for r in catalog.QUERIES["d5_missing_evidence"](spark, other_input(spark, at, documents=docs.withColumn("lang", lang))).collect()})
+    assert found[0] == found[1]
+
+
+def test_hosts_of_one_beginning_are_different_names(spark, tmp_path):
+    first = spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").limit(2)
+    url = F.concat(F.lit("https://acmecorp"), F.row_number().over(Window.orderBy("page_id")).cast("string"), F.lit(".example.com/"))
+    got = catalog.QUERIES["b17_pick_official_site"](spark, other_input(spark, tmp_path, pages=first.withColumn("url", url))).collect()
+    assert {r.name: r.url for r in got} == {f"acmecorp{k}": f"https://acmecorp{k}.example.com/" for k in (1, 2)}
