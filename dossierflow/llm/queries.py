@@ -7,12 +7,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossierflow.llm import centroids as op13
 from dossierflow.llm import decontamination as op1
 from dossierflow.llm import id_files as op8
 from dossierflow.llm import language_id as op10
 from dossierflow.llm import line_dedup as op4
+from dossierflow.llm import mixing as op12
 from dossierflow.llm import packing as op2
 from dossierflow.llm import quality as op5
+from dossierflow.llm import search as op11
 from dossierflow.llm import secrets_scan as op6
 from dossierflow.llm import simhash as op7
 from dossierflow.llm import token_counts as op3
@@ -108,3 +111,51 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.languages(table(spark, sf_dir, "documents"), PIECE_BPE)
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_ranked_search"] = r"""WITH dt AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+it AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+p AS (SELECT doc_id, t, count(*) AS tf FROM dt GROUP BY 1, 2),
+d AS (SELECT doc_id, count(*) AS n FROM dt GROUP BY 1),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS length FROM d),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY 1),
+q AS (SELECT item_id, t, count(*) AS times FROM it GROUP BY 1, 2),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // length))))::BIGINT AS score
+  FROM q JOIN p USING (t) JOIN w USING (t) JOIN d USING (doc_id), c GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10"""
+
+
+@query
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12.taken_report(*op12.mix(table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13.cluster_report(*op13.clusters(table(spark, sf_dir, "embeddings")))
+
+
+def _centroid_sql(rounds: int = 10) -> str:
+    near = """a{r} AS MATERIALIZED (SELECT vec_id, x, h, d[1] AS distance, d[2]::INT AS cluster FROM (SELECT v.vec_id, any_value(v.x) AS x, any_value(v.h) AS h,
+  min([list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT, c.j]) AS d FROM v, c{r} c GROUP BY v.rowid, v.vec_id))"""
+    mean = """c{n} AS MATERIALIZED (SELECT c.j, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (SELECT cluster, list(f ORDER BY i) AS x FROM (
+  SELECT cluster, i, ((sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS f FROM a{r}, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY 1) m
+  ON m.cluster = c.j)"""
+    steps = [near.format(r=r) + ",\n" + mean.format(r=r, n=r + 1) for r in range(rounds)] + [near.format(r=rounds)]
+    return """WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rowid, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x,
+  sha256('3:' || vec_id::VARCHAR) AS h FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS j, x FROM v QUALIFY row_number() OVER (ORDER BY h) <= 8),
+""" + ",\n".join(steps) + f"""
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.j = a.cluster"""
+
+
+ORACLES["op13_centroids"] = _centroid_sql()
