@@ -28,6 +28,8 @@ COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
 #: Ids of a block, and ids of a file before the next one begins (a document is never split).
 BLOCK_IDS, FILE_IDS = 1 << 14, 1 << 22
+#: Files that one task reads back, about.
+TASK_FILES = 4
 IN_WORD = np.array([*COUNTS, 0, 1], np.int64)
 
 
@@ -132,8 +134,9 @@ def write_id_files(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "
     Returns the stored manifest, one row per file: ``part, seq, file, n_docs, n_ids``. A file gets a name of its own for each attempt,
     and only files in the manifest count, so a task that runs again does no harm. A task holds the ids of one file.
 
-    A null text is empty (only ``end_id``), null ids come first, rows of the same id follow each other by text, an empty table gives an
-    empty manifest, and further columns are left out."""
+    Ids are whole numbers of 64 bits, as the format holds them; a text id that is no number stops the job. A null text is empty (only
+    ``end_id``), null ids come first, rows of the same id follow each other by a hash of the text, an empty table gives an empty manifest,
+    texts of any length are one document, and further columns are left out whatever their names."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, part, seq = tokens.id_bytes(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
@@ -161,12 +164,14 @@ def write_id_files(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "
 
     file_system(folder)[0].create_dir(file_system(folder)[1], recursive=True)
     rows = docs.select(F.col(doc_id).cast("long").alias("k"), filled(text).alias("t"))
-    ordered = rows.repartitionByRange("k").sortWithinPartitions("k", "t")
+    order = ["k", F.xxhash64("t"), "t"]  # the hash spreads the rows of one id
+    ordered = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     return stored(ordered.mapInArrow(write, "part long, seq long, file string, n_docs long, n_ids long"), "id-manifest")
 
 
 def read_id_files(manifest: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:
-    """Documents back from the files: ``doc_id, start`` (ids of all documents before it)``, n_tokens, ids_crc32`` and the ``ids``."""
+    """Documents back from the files: ``doc_id, start`` (ids of all documents before it)``, n_tokens, ids_crc32`` and the ``ids``. A task
+    reads about ``TASK_FILES`` files."""
     totals = manifest.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
     inside = F.coalesce(F.sum("n_ids").over(W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = (manifest.withColumn("inside", inside).join(before_parts(totals, [], "part", "n_ids"), "part")
@@ -194,7 +199,7 @@ def read_id_files(manifest: DataFrame, folder: str, with_ids: bool = True) -> Da
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return placed.repartition("file").mapInArrow(read, schema)
+    return placed.repartition(-(-max(1, manifest.count()) // TASK_FILES), "file").mapInArrow(read, schema)
 
 
 def id_file_round_trip(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:

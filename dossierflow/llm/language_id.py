@@ -21,111 +21,187 @@ TRAIN_TEXTS = 4000
 MOST_LABELS = 1000
 #: Added to each piece's expected count.
 SMOOTHING = 0.1
-#: Characters of a word that are scored at once (longer words in parts of so many), and words that a worker keeps.
-PART, KEPT = 48, 400_000
-#: Words whose pieces are held in arrays at once.
-BLOCK = 8192
+#: Characters of a word that are gone through at once (the sums go on over the border), and words that a worker keeps.
+SECTION, KEPT = 256, 1_000_000
+#: Longer words are learned from in parts of so many characters; their prediction sums over the whole word.
+LEARNED_PART = 48
+#: Places of words whose pieces are held in arrays at once.
+BLOCK = 1 << 18
 UNKNOWN = "und"
 
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str) -> tuple[dict, list[int], int]:
-    """A sentencepiece file's pieces as a tree by characters (the id stands under ``""``), the ids of the 256 bytes, and the number of ids."""
-    import sentencepiece
+class Vocabulary:
+    """The pieces of a sentencepiece file as a tree by characters, in arrays: ``step`` goes on by one character for many places at once."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.size = model.get_piece_size()
+        self.by_byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        pieces = [(model.id_to_piece(i), i) for i in range(self.size)
+                  if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+        letters = sorted({c for piece, _ in pieces for c in piece})
+        self.code = np.zeros(0x110000, np.int32)  # 0: in no piece
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.longest, self.width = max((len(p) for p, _ in pieces), default=1), len(letters) + 1
+        nodes, ends = {}, {}
+        for piece, i in pieces:
+            node = 0
+            for c in self.code[[ord(c) for c in piece]].tolist():
+                node = nodes.setdefault(node * self.width + c, len(nodes) + 1)
+            ends[node] = i
+        self.piece = np.full(len(nodes) + 1, -1, np.int64)
+        self.piece[list(ends)] = list(ends.values())
+        keys, child = np.array(list(nodes), np.int64), np.array(list(nodes.values()), np.int64)
+        self.mask = np.int64((1 << (4 * max(1, len(nodes))).bit_length()) - 1)
+        self.keys, self.child = np.full(int(self.mask) + 1, -1, np.int64), np.zeros(int(self.mask) + 1, np.int64)
+        at = self.slot(keys)
+        while len(keys):  # keys whose slot is taken go to the next one
+            free = self.keys[at] < 0
+            self.keys[at[free]], self.child[at[free]] = keys[free], child[free]
+            rest = self.keys[at] != keys
+            keys, child, at = keys[rest], child[rest], (at[rest] + 1) & self.mask
+        self.first = self.step(np.zeros(self.width, np.int64), np.arange(self.width))
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.int64(0x9E3779B1)) >> np.int64(15)) & self.mask
+
+    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The node that a character leads to, or -1."""
+        keys = node * self.width + code
+        at = self.slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.child[at], -1)
+        todo = np.flatnonzero((found != keys) & (found >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            found = self.keys[at[todo]]
+            hit = found == keys[todo]
+            out[todo[hit]] = self.child[at[todo[hit]]]
+            todo = todo[~hit & (found >= 0)]
+        return out
+
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    size, tree = model.get_piece_size(), {}
-    for i in range(size):
-        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
-            node = tree
-            for c in model.id_to_piece(i):
-                node = node.setdefault(c, {})
-            node[""] = i
-    return tree, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], size
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
 
 
 class Segments:
-    """All pieces at all places of many words: for each, the row of its word part, its first and last border, and its id.
-
-    A word starts with the vocabulary's mark of a blank. A longer word goes in parts of ``PART`` characters. A character that is no piece
-    stands as its bytes, with an id of its own beyond the vocabulary (``spelled``)."""
-
-    def __init__(self, words: list[str], path: str):
-        tree, by_byte, size = vocabulary(path)
-        keys, self.word, self.length, spelled = [], [], [], {}
-        for w, word in enumerate(words):
-            for at in range(0, len(word) + 1, PART):
-                part = ("▁" + word)[at:at + PART]
-                row, n = len(self.word), len(part)
-                self.word.append(w)
-                self.length.append(n)
-                for start in range(n):
-                    node, end = tree, start
-                    while end < n and (node := node.get(part[end])) is not None:
-                        end += 1
-                        if "" in node:
-                            keys.append((((end << 32) + row) * 64 + start, node[""]))
-                    if "" not in tree.get(part[start], ()):
-                        i = spelled.setdefault(part[start], size + len(spelled))
-                        keys.append(((((start + 1) << 32) + row) * 64 + start, i))
-        table = np.array(keys, np.int64).reshape(-1, 2)
-        table = table[np.argsort(table[:, 0], kind="stable")]
-        self.start, self.row, self.end, self.id = table[:, 0] & 63, (table[:, 0] >> 6) & 0xFFFFFFFF, table[:, 0] >> 38, table[:, 1]
-        self.spelled = [[by_byte[b] for b in c.encode("utf-8", "surrogatepass")] for c in spelled]
-        self.ends = np.searchsorted(self.end, np.arange(PART + 2))
+    """All pieces at all places of many strings (at most 65,535, none longer than that): for each its row, its first and last border, and its
+    id, by last border and row.
+
+    A character that is no piece stands as its bytes, with an id of its own beyond the vocabulary (``spelled``)."""
+
+    def __init__(self, strings: list[str], path: str):
+        v = vocabulary(path)
+        self.length = np.fromiter(map(len, strings), np.int64, len(strings))
+        points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        code = v.code[points]
+        row = np.repeat(np.arange(len(strings)), self.length)
+        start = np.arange(len(points)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
+        left = self.length[row] - start
+        at, node, found = np.arange(len(points)), v.first[code], []
+        single = np.zeros(len(points), bool)
+        for n in range(1, v.longest + 1):
+            on = node >= 0
+            at, node = at[on], node[on]
+            piece = v.piece[node]
+            own = piece >= 0
+            found.append((at[own], n, piece[own]))
+            if n == 1:
+                single[at[own]] = True
+            on = left[at] > n
+            at, node = at[on], node[on]
+            if not len(at):
+                break
+            node = v.step(node, code[at + n])
+        lone, spelled = np.flatnonzero(~single), {}
+        found.append((lone, 1, np.array([v.size + spelled.setdefault(c, len(spelled)) for c in points[lone].tolist()], np.int64)))
+        at, piece = (np.concatenate([f[i] for f in found]) for i in (0, 2))
+        end = start[at] + np.concatenate([np.full(len(a), n) for a, n, _ in found])
+        order = np.argsort(row[at].astype(np.uint16), kind="stable")
+        order = order[np.argsort(end[order].astype(np.uint16), kind="stable")]
+        self.row, self.start, self.end, self.id = row[at][order], start[at][order], end[order], piece[order]
+        self.width = int(self.length.max(initial=0))
+        self.spelled = [[v.by_byte[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in spelled]
+        self.ends = np.searchsorted(self.end, np.arange(self.width + 2))
 
     def probabilities(self, table: np.ndarray) -> np.ndarray:
         """Rows of the table by id, those of spelled characters added."""
         return np.concatenate([table, np.array([table[ids].prod(axis=0) for ids in self.spelled]).reshape(-1, table.shape[1])])
 
-    def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums over all segmentations up to each border (rows x borders x languages), scaled up where they get small, and the logarithm
-        of the sum at the end of each row."""
-        alpha, scale = np.zeros((len(self.word), PART + 1, p.shape[1])), np.zeros(len(self.word))
-        alpha[:, 0] = 1
-        for end in range(1, PART + 1):
+    def forward(self, p: np.ndarray, alpha: np.ndarray, scale: np.ndarray, begin: int) -> None:
+        """Sums over all segmentations up to each border after ``begin`` (rows x borders x languages), in place. A language's sums are
+        scaled up where they get small; ``scale`` has the logarithm of that."""
+        for end in range(begin + 1, self.width + 1):
             own = slice(self.ends[end], self.ends[end + 1])
             rows = self.row[own]
             if not len(rows):
                 continue
             first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            alpha[rows[first], end] = np.add.reduceat(alpha[rows, self.start[own]] * p[self.id[own]], first)
-            small = rows[first][alpha[rows[first], end].max(axis=1) < 1e-100]
-            alpha[small] = np.minimum(alpha[small], 1e200) * 1e100
-            scale[small] += 100 * np.log(10)
-        total = alpha[np.arange(len(self.word)), self.length]
-        return alpha, np.log(np.maximum(total, 1e-300)) - scale[:, None]
+            sums = np.add.reduceat(alpha[rows, self.start[own]] * p[self.id[own]], first)
+            rows = rows[first]
+            alpha[rows, end] = sums
+            low = sums < 1e-100
+            if low.any():
+                at, k = np.nonzero(low)
+                alpha[rows[at], :, k] = np.minimum(alpha[rows[at], :, k], 1e200) * 1e100
+                scale[rows[at], k] -= 100 * np.log(10)
 
 
 def likelihoods(words: list[str], table: np.ndarray, path: str) -> np.ndarray:
-    """Log likelihood of words (rows) under every language; ``table`` has the pieces' probabilities by language (ids x languages)."""
-    out = np.zeros((len(words), table.shape[1]))
-    if words:
-        s = Segments(words, path)
-        np.add.at(out, s.word, s.forward(s.probabilities(table))[1])
+    """Log likelihood of words (rows) under every language, summed over all segmentations of the word with the vocabulary's mark of a
+    blank before it; ``table`` has the pieces' probabilities by language (ids x languages).
+
+    Words are gone through ``SECTION`` characters at a time; the sums up to the last borders that a piece may begin at go on with the next."""
+    back, languages = vocabulary(path).longest, table.shape[1]
+    out = np.zeros((len(words), languages))
+    order, i = sorted(range(len(words)), key=lambda w: len(words[w])), 0
+    while i < len(order):
+        n, places = 0, 0
+        while i + n < len(order) and n < 1 << 15 and (places := (n + 1) * (min(len(words[order[i + n]]) + 1, SECTION) + back)) <= BLOCK or not n:
+            n += 1
+        live, i, a, lo = np.array(order[i:i + n]), i + n, 0, 0
+        carried, scale = np.ones((n, 1, languages)), np.zeros((n, languages))
+        while len(live):
+            s = Segments([("▁" + words[w])[lo:a + SECTION] for w in live.tolist()], path)
+            alpha = np.zeros((len(live), s.width + 1, languages))
+            alpha[:, :a - lo + 1] = carried
+            s.forward(s.probabilities(table), alpha, scale, a - lo)
+            out[live] = np.log(alpha[np.arange(len(live)), s.length]) + scale
+            on = np.array([len(words[w]) + 1 > a + SECTION for w in live.tolist()])
+            a, was = a + SECTION, lo
+            lo = max(0, a - back + 1)
+            carried, scale, live = alpha[on, lo - was:], scale[on], live[on]
     return out
 
 
 def expected(words: Counter, path: str) -> np.ndarray:
-    """Expected uses of every piece in words with counts when all pieces are equally probable, by forward and backward sums."""
-    size = vocabulary(path)[2]
-    out = np.zeros(size)
-    texts = list(words)
-    for i in range(0, len(texts), BLOCK):
-        s = Segments(texts[i:i + BLOCK], path)
-        weight = np.array([words[w] for w in texts[i:i + BLOCK]], float)[s.word]
+    """Expected uses of every piece in words with counts when all pieces are equally probable, by forward and backward sums. Words go in
+    parts of ``LEARNED_PART`` characters."""
+    size = vocabulary(path).size
+    out, parts = np.zeros(size), Counter()
+    for word, n in words.items():
+        for at in range(0, len(word) + 1, LEARNED_PART):
+            parts[("▁" + word)[at:at + LEARNED_PART]] += n
+    texts, rows = sorted(parts), BLOCK // LEARNED_PART
+    for i in range(0, len(texts), rows):
+        s = Segments(texts[i:i + rows], path)
+        weight = np.array([parts[w] for w in texts[i:i + rows]], float)
         p = np.concatenate([np.full(size, 1 / size), [size ** -float(len(ids)) for ids in s.spelled]])
         # a factor per character keeps the sums near one; it cancels in the shares
         near = p[s.id] * 40.0 ** (s.end - s.start)
-        forward, backward = np.zeros((len(s.word), PART + 1)), np.zeros((len(s.word), PART + 1))
-        forward[:, 0], backward[np.arange(len(s.word)), s.length] = 1, 1
-        for end in range(1, PART + 1):
+        forward, backward = np.zeros((len(s.length), s.width + 1)), np.zeros((len(s.length), s.width + 1))
+        forward[:, 0], backward[np.arange(len(s.length)), s.length] = 1, 1
+        for end in range(1, s.width + 1):
             own = slice(s.ends[end], s.ends[end + 1])
             np.add.at(forward, (s.row[own], end), forward[s.row[own], s.start[own]] * near[own])
-        for end in range(PART, 0, -1):
+        for end in range(s.width, 0, -1):
             own = slice(s.ends[end], s.ends[end + 1])
             np.add.at(backward, (s.row[own], s.start[own]), backward[s.row[own], end] * near[own])
-        total = np.maximum(forward[np.arange(len(s.word)), s.length], 1e-300)
+        total = np.maximum(forward[np.arange(len(s.length)), s.length], 1e-300)
         share = forward[s.row, s.start] * near * backward[s.row, s.end] / total[s.row] * weight[s.row]
         found = np.bincount(s.id, share, size + len(s.spelled))
         out += found[:size]
@@ -173,7 +249,7 @@ def learned(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", text:
                                          names=["lang", "piece", "n"])
 
     counts = sample.mapInArrow(count, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
-    table = np.full((vocabulary(vocabulary_path)[2], len(names)), SMOOTHING)
+    table = np.full((vocabulary(vocabulary_path).size, len(names)), SMOOTHING)
     table[counts["piece"].to_numpy(np.int64), counts["lang"].map({k: i for i, k in enumerate(names)}).to_numpy(np.int64)] += counts["n"].to_numpy(float)
     return names, table / table.sum(axis=0)
 
@@ -185,28 +261,35 @@ class Words:
         self.table, self.path, self.at, self.rows = table, path, {}, np.zeros((0, table.shape[1]))
 
     def totals(self, texts: list[list[str]]) -> np.ndarray:
-        """Sums over the words of each text."""
-        seen = set().union(*texts)
-        new = [w for w in seen if w not in self.at]
-        if len(self.at) + len(new) > KEPT:
-            self.at, self.rows, new = {}, self.rows[:0], list(seen)
+        """Sums over the words of each text. The first ``KEPT`` words stay, frequent ones among them."""
+        new, before = list(set().union(*texts) - self.at.keys()), len(self.at)
         if new:
-            blocks = [likelihoods(new[i:i + BLOCK], self.table, self.path) for i in range(0, len(new), BLOCK)]
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
-            self.rows = np.concatenate([self.rows, *blocks])
+            self.at.update(zip(new, range(before, before + len(new))))
+            self.rows = np.concatenate([self.rows, likelihoods(new, self.table, self.path)])
         get = self.at.__getitem__
-        return np.array([self.rows[np.fromiter(map(get, t), np.int64, len(t))].sum(axis=0) for t in texts]).reshape(-1, self.table.shape[1])
+        out = np.array([self.rows[np.fromiter(map(get, t), np.int64, len(t))].sum(axis=0) for t in texts]).reshape(-1, self.table.shape[1])
+        if len(self.at) > KEPT:
+            for w in new:
+                del self.at[w]
+            self.rows = self.rows[:before]
+        return out
+
+
+@lru_cache(maxsize=1)
+def worker_words(model: bytes, languages: int, path: str) -> Words:
+    """The worker's words for the newest table, for all its tasks."""
+    return Words(np.frombuffer(model).reshape(-1, languages), path)
 
 
 def predict(docs: DataFrame, names: list[str], table: np.ndarray, vocabulary_path: str, doc_id: str = "doc_id", text: str = "text",
             held_out: int = 2) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row by a learned table. ``score`` is the share of the language in the sum of all
     languages' likelihoods."""
-    model = docs.sparkSession.sparkContext.broadcast((names, table))
+    model = docs.sparkSession.sparkContext.broadcast((names, table.tobytes()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, probabilities = model.value
-        words = Words(probabilities, vocabulary_path) if labels else None
+        words = worker_words(probabilities, len(labels), vocabulary_path) if labels else None
         for batch in batches:
             found, scores, block, size = [], [], [], 0
 
@@ -241,6 +324,8 @@ def languages(docs: DataFrame, vocabulary_path: str, doc_id: str = "doc_id", tex
     """Learn from the documents that are not held out and predict every one.
 
     ``und`` (score 0) stands for a null text, a text without a letter, and any text where no language could be learned. A row with a null
-    id is not held out and not learned from. Repeated rows give repeated results, an empty table none; ties go to the first
+    id is not held out and not learned from. More than ``MOST_LABELS`` different values of ``lang`` stop the job: the table that is broadcast has
+    a number for every piece and language, 256 kB a language. Texts of any length and their words are taken whole; further columns
+    are left out whatever their names. Repeated rows give repeated results, an empty table none; ties go to the first
     language in order. Language, source and id are no inputs of a prediction."""
     return predict(docs, *learned(docs, vocabulary_path, doc_id, text, lang, train_texts), vocabulary_path, doc_id, text)

@@ -26,11 +26,13 @@ from dossierflow.llm.shared import before_parts, stored
 #: Words of a block, blocks of a shard, and how often a source may be taken.
 BLOCK_WORDS, SHARD_SLOTS, MOST_TIMES = 2048, 1024, 3
 WEIGHTS = (5, 2, 1)
+#: Shards whose slots one task numbers, about.
+TASK_SHARDS = 16
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources whose names and sizes may reach the driver; a mix by hand-written weights has far fewer.
 MOST_SOURCES = 100_000
 #: Documents of a stream that one task puts in order, about; and equal rows that are written out at once.
-RUN, COPIES = 4096, 4096
+RUN, COPIES = 512, 4096
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES) -> list[Fraction]:
@@ -209,7 +211,7 @@ def drawn_slots(spark, plan: Plan, shard_slots: int = SHARD_SLOTS) -> DataFrame:
                                                  names=["shard", "slot", "source_at", "block", "take"])
 
     numbered = counts.join(before_parts(counts.select("source_at", "shard", "n"), ["source_at"], "shard", "n"), ["source_at", "shard"])
-    return numbered.select("shard", "source_at", "n", "inside", "before").mapInArrow(
+    return numbered.select("shard", "source_at", "n", "inside", "before").repartition(-(-max(1, shards) // TASK_SHARDS), "shard").mapInArrow(
         index, "shard long, slot long, source_at long, block long, take long")
 
 

@@ -122,6 +122,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Every document's pieces with their sequence and offset; sequences have no gaps from 0 on.
 
-    A null text is empty (one piece, the end id), a null id stays null, repeated rows are packed each, an empty table gives none, and
+    Ids are whole numbers of 64 bits; a text id that is no number stops the job. A null text is empty (one piece, the end id), a null id stays null, repeated rows are packed each, an empty table gives none, and
     further columns are left out. Which of equally long pieces goes where depends on the parts of the input."""
     return pack(stored(token_pieces(docs, tokenizer, capacity, end_id, with_ids=with_ids), "pieces"), capacity)

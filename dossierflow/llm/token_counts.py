@@ -54,7 +54,7 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined, sizes = compact.value
         start = {w: n for w, n in zip(joined.split(" "), sizes) if w and n < 255}
-        table = tokens.PieceTable(tokenizer, len, start)
+        table = tokens.PieceTable(tokenizer, lambda ids: len(ids) // 4, start)
         for batch in batches:
             n = [sum(v) for v in table.of(batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])

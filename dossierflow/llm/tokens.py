@@ -7,20 +7,23 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
+import numpy as np
+
 #: White space of the tokenizer's own pattern (the Unicode property), as a character class.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 OTHER_SPACE = re.compile(r"[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 UNITS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
-#: A piece of at most a line break, letters and punctuation of these ranges: each part is one unit to the tokenizer's own pattern.
-PARTS = re.compile(r"(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)?( ?[!-/:-@\[-`{-~]+)?")
-#: Pieces, and parts of pieces, that a worker keeps; it starts anew beyond.
-KEPT = 400_000
+#: Pieces that a worker keeps, for all its tasks. The first to come stay, frequent ones among them; others are encoded block by block.
+KEPT = 1_000_000
 #: Longer pieces are encoded but not kept.
 LONG = 64
+#: Words that go to the library as one text.
+RUN = 50_000
+#: What byte-level tokenizers write for a blank and a line break.
+OPENING = ("\u0120", "\u010a")
 
 
 @lru_cache(maxsize=2)
@@ -38,18 +41,19 @@ def plain(text: str) -> bool:
 
 
 class PieceTable:
-    """Values of pieces by a worker's own cache; ``value`` turns the ids of a piece into what is kept.
+    """Values of pieces by a worker's own cache; ``value`` turns the ids of a piece (as bytes, 32 bits each) into what is kept.
 
     ``start`` holds values of words that stay in the cache. A word stands for itself with the blank before it, or for itself alone if
     it begins with a line break."""
 
-    def __init__(self, path: str, value: Callable[[list[int]], object], start: dict[str, object] | None = None, kept: int = KEPT):
+    def __init__(self, path: str, value: Callable[[bytes], object], start: dict[str, object] | None = None, kept: int = KEPT):
         self.tokenizer, self.value, self.start, self.limit = load(path), value, start or {}, kept + len(start or {})
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.special = {s: value([i]) for s, i in special.items()}
+        self.special = {s: value(id_array([i])) for s, i in special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.words, self.units, self.parts = dict(self.start), dict(self.special), {"": value([])}
-        self.letters = byte_letters()
+        self.words, self.units = dict(self.start), dict(self.special)
+        self.opens = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)  # tokens that begin with a blank or a line break
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t[:1] in OPENING]] = True
 
     def of(self, texts: Iterable[str]) -> Iterable[list[object]]:
         """The values of the pieces of each text in turn. Texts are taken in blocks of about a million characters."""
@@ -76,53 +80,43 @@ class PieceTable:
             else:
                 units.append(UNITS.findall(text))
                 words.append([])
-        first = self._values(units, "units", self.special, lambda p: p)
-        then = self._values(words, "words", self.start, lambda p: p if p[:1] == "\n" else " " + p)
+        first = self._values(units, self.units, lambda new: map(self.value, map(id_array, self._ids(new))))
+        then = self._values(words, self.words, self._run)
         return [a + b for a, b in zip(first, then)]
 
-    def _values(self, lists: list[list[str]], kind: str, start: dict, whole: Callable[[str], str]) -> list[list[object]]:
-        cache = getattr(self, kind)
-        seen = set().union(*lists)
-        missing = [p for p in seen if p not in cache]
-        if len(cache) + len(missing) > self.limit:
-            cache = dict(start)
-            setattr(self, kind, cache)
-            missing = [p for p in seen if p not in cache]
-        if missing:
-            cache.update(zip(missing, self._encoded([whole(p) for p in missing])))
-        get = cache.__getitem__
-        out = [list(map(get, cut)) for cut in lists]
+    def _values(self, lists: list[list[str]], cache: dict, encoded: Callable[[list[str]], Iterable[object]]) -> list[list[object]]:
+        missing = list(set().union(*lists) - cache.keys())
+        cache.update(zip(missing, encoded(missing)))
+        out = [list(map(cache.__getitem__, cut)) for cut in lists]
+        full = len(cache) > self.limit
         for p in missing:
-            if len(p) > LONG:
+            if full or len(p) > LONG:
                 del cache[p]
         return out
 
-    def _encoded(self, texts: list[str]) -> list[object]:
-        """Values of pieces. One of letters and punctuation goes to the model part by part, which is much cheaper than a call of the
-        whole tokenizer; any other goes to the tokenizer."""
-        cut = [m.groups("") if (m := PARTS.fullmatch(t)) else None for t in texts]
-        seen = {p for c in cut if c for p in c}
-        new = [p for p in seen if p not in self.parts]
-        if len(self.parts) + len(new) > self.limit:
-            self.parts = {"": self.value([])}
-            new = [p for p in seen if p]
-        if new:
-            model = self.tokenizer.model.tokenize
-            mapped = "\0".join(new).encode().decode("latin-1").translate(self.letters).split(chr(0x100))
-            self.parts.update((p, self.value([t.id for t in model(m)])) for p, m in zip(new, mapped))
-        rest = iter(self.tokenizer.encode_batch_fast([t for t, c in zip(texts, cut) if c is None], add_special_tokens=False))
-        get = self.parts.__getitem__
-        return [get(c[0]) + get(c[1]) + get(c[2]) if c else self.value(next(rest).ids) for c in cut]
-
-
-def byte_letters() -> dict[int, str]:
-    """The letter that byte-level tokenizers write for each byte: printable ones stand for themselves, the others, in order, for the
-    letters from U+0100 on."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _run(self, words: list[str]) -> Iterable[object]:
+        """Values of words. Each begins with a blank or a line break and has no other, so many of them go to the library as one text, and
+        the tokens that begin with either tell where a word begins."""
+        for i in range(0, len(words), RUN):
+            texts = [p if p[:1] == "\n" else " " + p for p in words[i:i + RUN]]
+            ids = np.array(self._ids(["".join(texts)])[0], "<u4")
+            first = np.flatnonzero(self.opens[ids])
+            if len(first) == len(texts):
+                raw, borders = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
+                yield from (self.value(raw[a:b]) for a, b in zip(borders, borders[1:]))
+            else:
+                yield from map(self.value, map(id_array, self._ids(texts)))
 
 
-def id_bytes(path: str, kept: int = KEPT) -> PieceTable:
+def id_array(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    return PieceTable(path, lambda ids: array("I", ids).tobytes(), kept=kept)
+    return np.array(ids, "<u4").tobytes()
+
+
+@lru_cache(maxsize=2)
+def id_bytes(path: str, kept: int = KEPT) -> PieceTable:
+    """The worker's table of ids as bytes."""
+    return PieceTable(path, bytes, kept=kept)

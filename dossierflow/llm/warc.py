@@ -22,6 +22,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 FILE_BYTES, TRAIN_BYTES, DICTIONARY_BYTES = 16 << 20, 1 << 20, 32 << 10
 #: Smaller payloads are never revisits.
 REVISIT_FROM = 1000
+#: Archives that one task reads back, about.
+TASK_FILES = 4
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, original: int | None, date: str) -> bytes:
@@ -121,7 +123,8 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
 
     Of equal payloads of at least ``revisit_from`` bytes the one with the largest id is the response, the others revisit it. Rows
     that share this largest id are all responses, as are all of a group without any id. A null html is an empty payload; a null or
-    empty url gives a record without target. Each attempt of a task names its own files and only those in the manifest count. A task
+    empty url gives a record without target. Ids are whole numbers of 64 bits; a text id that is no number stops the job. Payloads of any
+    length are one record; an empty table gives an empty manifest; further columns are left out whatever their names. Each attempt of a task names its own files and only those in the manifest count. A task
     holds one file's records."""
     payload = filled(html)
     rows = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).alias("url"), payload.alias("p"), F.sha1(payload.cast("binary")).alias("digest"))
@@ -159,7 +162,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
 
 def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """Records of the manifest's archives: ``page_id, url, payload_bytes, payload_digest, record_type, refers_to`` and the ``payload``
-    of responses. A record whose header or length is wrong stops the read."""
+    of responses. A record whose header or length is wrong stops the read. A task reads about ``TASK_FILES`` archives."""
     types = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(),
              "refers_to": pa.int64()} | ({"payload": pa.binary()} if with_payload else {})
 
@@ -183,7 +186,8 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in types.items()], names=list(types))
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return manifest.select("file").repartition("file").mapInArrow(read, schema + (", payload binary" if with_payload else ""))
+    parts = -(-max(1, manifest.count()) // TASK_FILES)
+    return manifest.select("file").repartition(parts, "file").mapInArrow(read, schema + (", payload binary" if with_payload else ""))
 
 
 def archive_round_trip(pages: DataFrame, with_payload: bool = False) -> DataFrame:

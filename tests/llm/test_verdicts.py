@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 
 import __spark_entry__ as entry
 from dossierflow.llm import language_id, quality, secrets_scan
@@ -232,13 +233,8 @@ def test_parts_meet_all_parts_of_a_run():
 # --- operator 10
 
 def test_sums_over_all_segmentations():
-    tree, by_byte, size = language_id.vocabulary(PIECES)
-
-    def piece(text):
-        node = tree
-        for c in text:
-            node = node.get(c, {})
-        return node.get("")
+    by_byte, size, ids_of = language_id.vocabulary(PIECES).by_byte, language_id.vocabulary(PIECES).size, vocabulary_ids()
+    piece = ids_of.get
 
     def segmentations(marked):
         if not marked:
@@ -263,6 +259,29 @@ def test_sums_over_all_segmentations():
     assert np.isfinite(long).all() and (long < -1000).any()
 
 
+def vocabulary_ids():
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    return {model.id_to_piece(i): i for i in range(model.get_piece_size())
+            if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
+
+
+def test_words_of_any_length_are_summed_whole():
+    ids, by_byte = vocabulary_ids(), language_id.vocabulary(PIECES).by_byte
+    table = np.random.default_rng(3).random((language_id.vocabulary(PIECES).size, 3)) ** 4 / 1000
+    section = language_id.SECTION
+    words = ["x" * n for n in (47, 48, 49, section - 2, section - 1, section, section + 1)] + ["theinthe" * 90, "é鿿ab" * 150, "information" * 200, "\U0001f600"]
+    for word, got in zip(words, language_id.likelihoods(words, table, PIECES)):
+        text = "▁" + word
+        sums = np.full((len(text) + 1, 3), -np.inf)
+        sums[0] = 0
+        for end in range(1, len(text) + 1):
+            for begin in range(max(0, end - 40), end):
+                cut = [ids[text[begin:end]]] if text[begin:end] in ids else [by_byte[b] for b in text[begin:end].encode()] if end == begin + 1 else None
+                if cut:
+                    sums[end] = np.logaddexp(sums[end], sums[begin] + np.log(table[cut]).sum(axis=0))
+        assert np.allclose(got, sums[-1], rtol=1e-12)
+
+
 def test_languages(spark, given):
     got = {r.doc_id: r for r in entry.queries()["op10_language"](spark, SF).collect()}
     truth = {r.doc_id: r.lang for r in given}
