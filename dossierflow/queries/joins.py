@@ -100,7 +100,7 @@ def _(t):
 
 
 @query("d5_missing_evidence", f"""WITH {Q_LEXICON} SELECT concept FROM bench_lex WHERE {tx.q_stem('concept')} NOT IN (
-  SELECT {tx.q_stem('w')} FROM (SELECT unnest({tx.q_words('text')}) AS w FROM documents WHERE lang IN ('de', 'fr')))""")
+  SELECT {tx.q_stem('w')} FROM (SELECT unnest({tx.q_words('text')}) AS w FROM documents))""")
 def _(t):
     tokens = t.documents.select(F.explode(F.array_distinct(tx.words("text"))).alias("token"))
     return lk.missing_evidence(t.lexicon, tokens)

@@ -181,7 +181,7 @@ def _(t):
     return ls.hydrate_top(ranked, details, "page_id", F.length("url") < 45, [F.col("n").desc(), F.col("page_id")]).select("page_id", hx.to_text("html").alias("detail"))
 
 
-@query("e4_source_health", """WITH f AS (SELECT source, count(*) AS n_found, bool_or(n_chars < 60) AS failed FROM documents WHERE n_chars % 7 <> 0 GROUP BY 1),
+@query("e4_source_health", """WITH f AS (SELECT source, count(*) AS n_found, bool_or(n_chars < 60) AS failed FROM documents GROUP BY 1),
 m AS (SELECT source, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 1 GROUP BY 1)
 SELECT coalesce(f.source, m.source) AS source, coalesce(n_found, 0)::BIGINT AS n_found, coalesce(n, 0) AS n_matched, CASE WHEN coalesce(n, 0) > 0 THEN 'ok' WHEN coalesce(failed, false) THEN 'error' ELSE 'empty' END AS status FROM f FULL JOIN m ON f.source = m.source""")
 def _(t):

@@ -29,7 +29,7 @@ def _sent(cue):
     """First sentence with a hit that no veto rules out: hits are marked, and each is judged by what stands before and after it."""
     parts = f"string_split(regexp_replace(s, {q_str(f'({cue.pattern})')}, chr(1) || '\\1' || chr(2), 'g'), chr(1))"
     pre = "replace(array_to_string(list_slice(ps, 1, k), ''), chr(2), '')"
-    post = "array_to_string(list_slice(string_split(array_to_string(list_slice(ps, k + 1, len(ps)), ''), chr(2)), 2, NULL), '')"
+    post = "array_to_string(list_slice(string_split(array_to_string(list_slice(ps, k + 1, len(ps)), ''), chr(2)), 2, 2000000000), '')"
     vetoes = " AND ".join(f"NOT regexp_matches({x}, {q_str(v)})" for x, v in ((pre, cue.veto_before), (post, cue.veto_after)) if v != "(?!)") or "true"
     free = f"len(list_filter(list_transform([{parts}], lambda ps: len(list_filter(range(1, len(ps)), lambda k: {vetoes})) > 0), lambda x: x)) > 0"
     return f"list_filter(ss, lambda s: regexp_matches(s, {q_str(cue.pattern)}) AND {free})[1]"

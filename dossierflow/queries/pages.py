@@ -204,7 +204,7 @@ def _(t):
 
 def _site_sql():
     word = f"regexp_replace(split_part({ux.q_host('url')}, '.', 1), '[^a-z0-9]', '', 'g')"
-    return f"""WITH hits AS (SELECT substring(split_part(regexp_replace({ux.q_host('url')}, '^(?:m|blog)\\.', ''), '.', 1), 1, 6) AS name, url,
+    return f"""WITH hits AS (SELECT split_part(regexp_replace({ux.q_host('url')}, '^(?:m|blog)\\.', ''), '.', 1) AS name, url,
   lower({_title_sql()}) AS title, {word} AS word FROM pages),
 wanted AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS want FROM hits),
 scored AS (SELECT name, url, (CASE WHEN word = want THEN 6 WHEN length(word) >= 4 AND (contains(want, word) OR contains(word, want)) THEN 4

@@ -211,7 +211,13 @@ def _(t):
     return rows.select("s_suppkey", "r.address", "r.asks")
 
 
-@query("s21_phones", r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(\+[0-9][0-9().\x2f \t-]*[0-9])', 1))), '|') AS phones FROM documents WHERE regexp_matches(text, '\+[0-9]')""")
+@query("s21_phones", r"""WITH runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:tel:)?(?:\+|(?:^|[^0-9])00)[0-9](?:[0-9().\x2f \t-]*[0-9])?')) AS raw FROM documents),
+r AS (SELECT doc_id, regexp_replace(raw, '^(?:tel:|[^0-9+]+)+', '') AS r FROM runs),
+parts AS (SELECT doc_id, unnest(CASE WHEN length(regexp_replace(regexp_replace(r, '^(?:\+|00)', ''), '[^0-9]', '', 'g')) > 15 THEN regexp_split_to_array(r, '\s+/\s+') ELSE [r] END) AS p FROM r),
+good AS (SELECT doc_id, trim(regexp_replace(p, '\s+', ' ', 'g')) AS p FROM parts),
+d AS (SELECT doc_id, p, regexp_replace(regexp_replace(p, '^(?:\+|00)', ''), '[^0-9]', '', 'g') AS digits FROM good WHERE regexp_matches(p, '^(?:\+|00)[0-9]')),
+one AS (SELECT doc_id, digits, list_sort(list(DISTINCT p)) AS ps FROM d WHERE length(digits) BETWEEN 8 AND 15 GROUP BY 1, 2)
+SELECT documents.doc_id, coalesce(string_agg(ps[1], '|' ORDER BY ps[1]), '') AS phones FROM documents LEFT JOIN one USING (doc_id) GROUP BY 1""")
 def _(t):
     return t.documents.select("doc_id", F.array_join(F.array_sort(ct.phones("text")), "|").alias("phones"))
 
