@@ -1,7 +1,9 @@
 """Building blocks that keep joins, ranks and first-row picks safe on hot keys."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -52,3 +54,18 @@ def bucketed_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[Co
     return (local.join(before, keys + ["_b"])
             .withColumn(rank, (F.col("_r") + F.col("_before")).cast("int"))
             .drop("_b", "_r", "_before"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return top.rstrip("/")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: what follows neither repeats the work before it nor loses it."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from dossierflow.catalog import query
 from dossierflow.functions import dates as dt
 from dossierflow.functions import text as tx
-from dossierflow.functions.text import q_str
+from dossierflow.functions.text import q_list, q_str
+from dossierflow.operators import ledger as lg
 from dossierflow.operators import listings as ls
 from dossierflow.operators import messages as ms
 from dossierflow.queries.listings import _calendar, _event_rows
@@ -83,6 +84,75 @@ def _(t):
     return ms.fold_stage(ms.replay(items, items.where("event_id % 9 = 0"), "event_id"), ["user_id", "day"], "cls", "ts", F.lit("applied"))
 
 
+# The twin of the ledger is a plain recursion: one message of every record at a time.
+def _stage_after(stage, out, cls):
+    rank = lambda x: f"CASE {x} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in ms.STAGE_RANK.items()) + " END"
+    return f"""CASE WHEN {out} THEN CASE WHEN {stage} IN {q_list(lg.UNSENT)} THEN 'applied' ELSE {stage} END WHEN {stage} IN ('withdrawn', 'rejected') THEN {stage}
+  WHEN {cls} = 'rejection' THEN 'rejected' WHEN {cls} = 'bounce' THEN CASE WHEN {stage} IN ('prepared', 'applied') THEN 'bounced' ELSE {stage} END
+  WHEN {cls} IN {q_list(tuple(ms.FORWARD_RANK))} THEN CASE WHEN {rank(cls)} > {rank(stage)} THEN {cls} ELSE {stage} END
+  WHEN {stage} = 'prepared' OR ({stage} = 'silent' AND {cls} <> 'read') THEN 'applied' ELSE {stage} END"""
+
+
+def _states(name, items, first):
+    return f"""{name} AS (SELECT user_id, 0 AS i, stage, sent, last_inbound, opened, prepared, NULL::BIGINT AS item FROM {first}
+  UNION ALL SELECT e.user_id, e.i, {_stage_after('r.stage', 'e.out', 'e.cls')},
+    CASE WHEN e.out AND (r.stage IN {q_list(lg.UNSENT)} OR r.sent IS NULL OR e.day < r.sent) THEN e.day WHEN NOT e.out AND r.stage = 'prepared' AND r.sent IS NULL THEN coalesce(r.prepared, e.day) ELSE r.sent END,
+    CASE WHEN NOT e.out AND e.cls <> 'read' AND (r.last_inbound IS NULL OR e.day > r.last_inbound) THEN e.day ELSE r.last_inbound END,
+    CASE WHEN NOT e.out AND e.cls = 'read' AND (r.opened IS NULL OR e.day < r.opened) THEN e.day ELSE r.opened END, r.prepared, e.item
+  FROM {name} r JOIN {items} e ON e.user_id = r.user_id AND e.i = r.i + 1)"""
+
+
+def _writes(name, states):
+    one = lambda f: f"SELECT user_id, i, item, '{f}' AS field, lag({f}) OVER o::VARCHAR AS was, {f}::VARCHAR AS became FROM {states} WINDOW o AS (PARTITION BY user_id ORDER BY i)"
+    return f"{name} AS (SELECT * FROM (" + " UNION ALL ".join(one(f) for f in lg.FIELDS) + ") WHERE i > 0 AND was IS DISTINCT FROM became)"
+
+
+Q_LEDGER = f"""WITH RECURSIVE items AS (SELECT event_id, user_id, ts::DATE AS day, ts, {CLS} AS cls, event_type = 'purchase' AS out FROM events),
+e AS (SELECT user_id, event_id AS item, day, cls, out, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM items),
+first AS (SELECT user_id, CASE user_id % 4 WHEN 0 THEN 'prepared' WHEN 1 THEN 'draft' WHEN 2 THEN 'silent' ELSE 'applied' END AS stage, CASE WHEN user_id % 4 = 3 THEN DATE '2024-01-05' END AS sent,
+  NULL::DATE AS last_inbound, NULL::DATE AS opened, CASE WHEN user_id % 8 = 0 THEN DATE '2023-12-30' END AS prepared FROM (SELECT DISTINCT user_id FROM events)),
+{_states('states', 'e', 'first')}, {_writes('writes', 'states')}"""
+
+
+def _ledger_inputs(t):
+    rows = t.events.select("user_id", F.col("event_id").alias("item"), F.expr(CLS).alias("cls"), F.when(F.col("event_type") == "purchase", "out").otherwise("in").alias("dir"),
+                           F.to_date("ts").alias("day"), "ts")
+    items = ms.ordered_replay(rows, ["user_id"], "ts", "item", F.unix_date("day").cast("long")).drop("ts")
+    u = F.col("user_id")
+    none = F.lit(None).cast("date")
+    records = t.events.select("user_id").distinct().select(
+        "user_id", F.element_at(F.array(*map(F.lit, ("prepared", "draft", "silent", "applied"))), (u % 4 + 1).cast("int")).alias("stage"),
+        F.when(u % 4 == 3, F.lit("2024-01-05").cast("date")).alias("sent"), none.alias("last_inbound"), none.alias("opened"), F.when(u % 8 == 0, F.lit("2023-12-30").cast("date")).alias("prepared"))
+    return items, records
+
+
+@query("k5_field_ledger", Q_LEDGER + " SELECT user_id, i::INT AS seq, item, field, was, became FROM writes")
+def _(t):
+    """Every event is a message of its user's record; what each of them changed."""
+    return lg.field_ledger(*_ledger_inputs(t), "user_id")
+
+
+@query("k5_undo_confirm", Q_LEDGER + f""", d AS (SELECT item, user_id, CASE WHEN item % 9 = 7 THEN 'confirm' WHEN item % 9 = 4 THEN 'ignore' ELSE 'undo' END AS action, user_id + 1 AS to_user FROM e WHERE item % 9 IN (0, 4, 7)),
+taken AS (SELECT * FROM d WHERE action <> 'confirm' OR to_user IN (SELECT user_id FROM first)),
+kept AS (SELECT *, lag(became) OVER (PARTITION BY user_id, field ORDER BY i) AS before FROM writes WHERE item NOT IN (SELECT item FROM taken)),
+last AS (SELECT user_id, field, arg_max(became, i) AS v FROM kept GROUP BY ALL),
+receipts AS (SELECT user_id, min(day) AS day FROM e WHERE NOT out AND cls = 'read' AND item NOT IN (SELECT item FROM taken) GROUP BY 1),
+mid AS (SELECT f.user_id, coalesce(s.v, f.stage) AS stage, coalesce(n.v::DATE, f.sent) AS sent, l.v::DATE AS last_inbound, r.day AS opened, prepared FROM first f
+  LEFT JOIN last s ON s.user_id = f.user_id AND s.field = 'stage' LEFT JOIN last n ON n.user_id = f.user_id AND n.field = 'sent' LEFT JOIN last l ON l.user_id = f.user_id AND l.field = 'last_inbound' LEFT JOIN receipts r ON r.user_id = f.user_id),
+e2 AS (SELECT t.to_user AS user_id, e.item, day, cls, out, row_number() OVER (PARTITION BY t.to_user ORDER BY e.item) AS i FROM taken t JOIN e USING (item) WHERE action = 'confirm'),
+{_states('states2', 'e2', 'mid')}, {_writes('writes2', 'states2')},
+n AS (SELECT user_id, count(*) AS n FROM (SELECT user_id FROM kept UNION ALL SELECT user_id FROM writes2) GROUP BY 1)
+SELECT user_id, stage, sent, last_inbound, opened, coalesce(n, 0) AS n_writes FROM (SELECT * FROM states2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1) LEFT JOIN n USING (user_id)""")
+def _(t):
+    """A ninth of the messages each is undone, ignored, or confirmed for the next user's record instead."""
+    items, records = _ledger_inputs(t)
+    action = F.when(F.col("item") % 9 == 7, "confirm").when(F.col("item") % 9 == 4, "ignore").otherwise("undo")
+    decisions = items.where((F.col("item") % 9).isin(0, 4, 7)).select("item", action.alias("action"), (F.col("user_id") + 1).alias("to"), F.col("item").alias("at"))
+    state, ledger = lg.decided(records, items, decisions, "user_id")
+    n = ledger.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_writes"))
+    return state.join(n, "user_id", "left").select("user_id", "stage", "sent", "last_inbound", "opened", F.coalesce("n_writes", F.lit(0)).alias("n_writes"))
+
+
 _IN_WINDOW = "list_filter(r.times, lambda x: e.t - x < 86400000000)"
 
 

@@ -1,7 +1,6 @@
 """Structured Streaming jobs over messages and events."""
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossierflow.operators.intervals import bucketed_last, trailing_rate
+from dossierflow.operators.scale import shared_folder
 
 WATERMARK = "2 days"
 
@@ -85,8 +85,8 @@ def admit_stream(events: DataFrame, key: str, ts: str, ident: str, n: int, secon
 
 def refresh_available(spark: SparkSession, landed: str, schema, sink: Callable[[DataFrame, int], None], checkpoint: str | None = None):
     """Scheduled collection: everything that landed since the last run goes to ``sink`` once, then the job ends.
-    Progress is kept in ``checkpoint``, by default in the shared folder the cluster names (a temporary one where it names none)."""
-    where = checkpoint or f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/refresh"
+    Progress is kept in ``checkpoint``, by default in the shared folder that the session names."""
+    where = checkpoint or f"{shared_folder(spark)}/refresh"
     return (spark.readStream.schema(schema).parquet(landed).writeStream.foreachBatch(sink)
             .option("checkpointLocation", where).trigger(availableNow=True).start())
 
