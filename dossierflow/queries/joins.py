@@ -6,6 +6,7 @@ from dossierflow.functions import text as tx
 from dossierflow.functions.text import q_list, q_str
 from dossierflow.operators import lexicon as lx
 from dossierflow.operators import links as lk
+from dossierflow.operators import roles as rl
 from dossierflow.operators.scale import join_small, keep_first
 from dossierflow.tables import Q_LEXICON, Q_ORDER_ROLES, Q_PARAGRAPHS
 
@@ -181,6 +182,40 @@ def _(t):
     return lk.resolve_same_role(a, b, ["o_custkey", "y"], "title")
 
 
+Q_JOBS = f"""{Q_ORDER_ROLES}, jobs AS (SELECT r.o_custkey AS owner, r.o_orderkey AS id, n_name || CASE (r.o_orderkey // 16) % 4 WHEN 0 THEN '' WHEN 1 THEN ' Trading' WHEN 2 THEN ' Holding LLC' ELSE ' Services — Dubai' END AS employer,
+  o_orderpriority AS title, CASE WHEN r.o_orderkey % 11 = 0 THEN 0 ELSE from_ix // 24 END AS year, to_ix // 12 AS end_year FROM order_roles r JOIN orders o ON r.o_orderkey = o.o_orderkey JOIN nation ON n_nationkey = (r.o_orderkey // 2) % 4),
+keyed AS (SELECT *, trim(regexp_replace(regexp_replace({tx.q_norm("split_part(employer, ' — ', 1)")}, '\\b(?:holdings|holding|limited|group|llc|ltd)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS key, {tx.q_norm('title')} AS t FROM jobs)"""
+
+
+def job_roles(t):
+    """Orders as roles: a nation with a legal form or a line of business as employer, the priority as title; every eleventh has no dates."""
+    form = F.element_at(F.array(*map(F.lit, ("", " Trading", " Holding LLC", " Services — Dubai"))), (F.floor(F.col("o_orderkey") / 16) % 4 + 1).cast("int"))
+    return (t.order_roles.join(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderkey")
+            .join(t.nation, F.col("n_nationkey") == F.floor(F.col("o_orderkey") / 2) % 4)
+            .select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("id"), F.concat("n_name", form).alias("employer"), F.col("o_orderpriority").alias("title"),
+                    F.when(F.col("o_orderkey") % 11 != 0, F.floor(F.col("from_ix") / 24).cast("int")).alias("year"), F.floor(F.col("to_ix") / 12).cast("int").alias("end_year")))
+
+
+def _halves(t):
+    jobs = job_roles(t)
+    return jobs.where("id % 2 = 1").withColumnRenamed("id", "a_id"), jobs.where("id % 2 = 0").withColumnRenamed("id", "b_id")
+
+
+@query("d11_role_candidates", f"""WITH {Q_JOBS}, c AS (SELECT owner, id % 2 AS side, key, year, t, count(*) AS n, min(id) AS first FROM keyed WHERE key <> '' GROUP BY ALL)
+SELECT a.owner, a.first AS a_first, b.first AS b_first, a.n * b.n AS n_pairs FROM c a JOIN c b ON a.owner = b.owner AND a.side = 1 AND b.side = 0
+WHERE (a.key = b.key OR (length(a.key) >= 4 AND length(b.key) >= 4 AND (contains(a.key, b.key) OR contains(b.key, a.key)))) AND CASE WHEN a.year <> 0 AND b.year <> 0 THEN a.year = b.year ELSE a.t = b.t END""")
+def _(t):
+    a, b = _halves(t)
+    pairs = rl.role_candidates(rl.classes(a, "owner", "a_id"), rl.classes(b, "owner", "b_id"), "owner")
+    return pairs.select("owner", F.col("first").alias("a_first"), F.col("b_first"), (F.col("n") * F.col("b_n")).alias("n_pairs"))
+
+
+@query("d11_match_roles")
+def _(t):
+    """One to one by rounds; no SQL twin, a test compares it with plain loops."""
+    return rl.match_roles(*_halves(t), "owner")
+
+
 Q_STEMS = "list_transform({w}, lambda z_: " + tx.q_stem("z_") + ")"
 
 

@@ -5,6 +5,8 @@ from dossierflow.catalog import query
 from dossierflow.functions import text as tx
 from dossierflow.operators import matching as mt
 from dossierflow.operators import merge as mg
+from dossierflow.operators import roles as rl
+from dossierflow.queries.joins import Q_JOBS, job_roles
 from dossierflow.tables import Q_LEXICON, Q_PARAGRAPHS
 
 
@@ -137,3 +139,29 @@ def _(t):
 @query("h12_document_text", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1")
 def _(t):
     return mg.document_text(t.conversations, "conv_id", "turn", "text")
+
+
+_DUTY = "'handled shipments of kind ' || l_returnflag || ' and state ' || l_linestatus || ' for this account'"
+Q_MERGED_ROLES = f"""WITH {Q_JOBS}, ln AS (SELECT l_orderkey AS id, list({_DUTY} || CASE WHEN l_linenumber = 1 THEN ' and its branches' ELSE '' END ORDER BY l_linenumber, l_returnflag, l_linestatus) AS ls FROM lineitem GROUP BY 1),
+r AS (SELECT owner, id, employer, title, end_year, ls, t || '|' || {tx.q_norm('employer')} AS k, CASE WHEN id % 2 = 1 THEN 0 ELSE 1 END AS src FROM keyed JOIN ln USING (id)),
+g AS (SELECT owner, k, min(id) FILTER (src = 0) AS bid, min(id) FILTER (src = 1) AS aid FROM r GROUP BY ALL),
+j AS (SELECT g.owner, bid, aid, coalesce(b.title, a.title) AS title, coalesce(b.employer, a.employer) AS employer, CASE WHEN bid IS NULL THEN a.end_year WHEN bid % 3 = 0 THEN a.end_year ELSE b.end_year END AS end_year, coalesce(b.ls, []) AS bl, coalesce(a.ls, []) AS al
+  FROM g LEFT JOIN r b ON b.id = bid LEFT JOIN r a ON a.id = aid),
+f AS (SELECT *, CASE WHEN bid IS NOT NULL AND aid IS NOT NULL THEN list_filter(al, lambda x, i: len(list_filter(bl, lambda y: contains(x, y) OR contains(y, x))) = 0 AND len(list_filter(al[1:i - 1], lambda y: contains(x, y) OR contains(y, x))) = 0)
+  WHEN bid IS NULL THEN al ELSE [] END AS fresh FROM j)
+SELECT owner, (row_number() OVER (PARTITION BY owner ORDER BY coalesce(end_year, 0) DESC, bid IS NULL, coalesce(bid, aid)))::INT AS ix, title, employer, coalesce(end_year, 0) AS end_year, len(bl) + len(fresh) AS n_lines,
+  md5(array_to_string(list_concat(bl, fresh), chr(10))) AS lines_key, CASE WHEN bid IS NULL THEN 'add' WHEN aid IS NULL THEN 'base' ELSE 'both' END AS origin, CASE WHEN bid IS NULL THEN 0 ELSE len(fresh) END AS gained FROM f"""
+
+
+@query("h3_merge_roles", Q_MERGED_ROLES)
+def _(t):
+    """Odd orders are the base's roles and even ones the second source's; every third has no dates of its own."""
+    text = F.concat(F.lit("handled shipments of kind "), "l_returnflag", F.lit(" and state "), "l_linestatus", F.lit(" for this account"),
+                    F.when(F.col("l_linenumber") == 1, " and its branches").otherwise(""))
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", text.alias("x")))).alias("ls"))
+    undated = (F.col("id") % 3 == 0) & (F.col("id") % 2 == 1)
+    roles = job_roles(t).join(lines, "id").select("owner", F.col("id").alias("pos"), "title", "employer", F.when(undated, "").otherwise(F.col("end_year").cast("string")).alias("dates"),
+                                                  "end_year", F.transform("ls", lambda l: l["x"]).alias("lines"))
+    merged = rl.merged_roles(roles.where("pos % 2 = 1"), roles.where("pos % 2 = 0"), "owner")
+    return merged.select("owner", "ix", "title", "employer", "end_year", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("lines_key"), "origin",
+                         F.col("gained").cast("long").alias("gained"))
