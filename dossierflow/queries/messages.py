@@ -1,4 +1,6 @@
 """Messages, record state and streams (batch form; the stream forms run in the tests)."""
+import uuid
+
 from pyspark.sql import functions as F
 
 from dossierflow.catalog import query
@@ -9,7 +11,8 @@ from dossierflow.operators import ledger as lg
 from dossierflow.operators import listings as ls
 from dossierflow.operators import messages as ms
 from dossierflow.queries.listings import _calendar, _event_rows
-from dossierflow.streaming import jobs
+from dossierflow.operators.scale import shared_folder
+from dossierflow.streaming import jobs, tracker
 
 CLS = """CASE WHEN event_type = 'error' AND value >= 50 THEN 'rejection' WHEN event_type = 'error' THEN 'bounce' WHEN event_type = 'view' THEN 'read' WHEN event_type = 'click' THEN 'ack' WHEN event_type = 'signup' THEN 'info' ELSE 'offer' END"""
 # Patterns made of words that occur in the given conversations.
@@ -153,6 +156,25 @@ def _(t):
     return state.join(n, "user_id", "left").select("user_id", "stage", "sent", "last_inbound", "opened", F.coalesce("n_writes", F.lit(0)).alias("n_writes"))
 
 
+@query("k8_stream_records", Q_LEDGER.replace("e AS (SELECT user_id, event_id AS item, day, cls, out, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM items),",
+  """e AS (SELECT user_id, event_id AS item, day, cls, out, row_number() OVER (PARTITION BY user_id ORDER BY ms, message) AS i FROM (
+  SELECT * FROM (SELECT *, epoch_ms(ts) AS ms, cls || '|' || day::VARCHAR || '|' || (event_id % 3)::VARCHAR AS message FROM items WHERE event_id % 7 <> 3)
+  QUALIFY row_number() OVER (PARTITION BY user_id, message ORDER BY ms) = 1)),""") + """
+SELECT user_id, stage, sent::VARCHAR AS sent, last_inbound::VARCHAR AS last_inbound, opened::VARCHAR AS opened FROM states
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1 AND (max(i) OVER (PARTITION BY user_id)) > 0""")
+def _(t):
+    """The events as a stream of messages over the users' records, from the first to the last state: what it wrote, read back. Class, day and a
+    third of the ids make a message's key; every seventh is left unmatched and read again when it comes again."""
+    _, records = _ledger_inputs(t)
+    key = F.concat_ws("|", F.expr(CLS), F.to_date("ts").cast("string"), (F.col("event_id") % 3).cast("string"))
+    events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parquet*")
+    stream = events.select("user_id", key.alias("message"), F.when(F.col("event_type") == "purchase", "out").otherwise("in").alias("dir"), F.expr(CLS).alias("cls"),
+                           F.when(F.col("event_id") % 7 == 3, "unmatched").otherwise("auto").alias("decision"), F.col("ts").cast("timestamp").alias("ts"))
+    folder = f"{shared_folder(t.spark)}/tracker-{uuid.uuid4().hex}"
+    tracker.run_available(stream, records, "user_id", "ts", folder).awaitTermination()
+    return tracker.latest(t.spark, f"{folder}/records").select(F.col("key").cast("long").alias("user_id"), "stage", "sent", "last_inbound", "opened")
+
+
 _IN_WINDOW = "list_filter(r.times, lambda x: e.t - x < 86400000000)"
 
 
