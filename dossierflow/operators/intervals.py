@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dossierflow.functions import text as tx
 from dossierflow.operators.scale import bucketed_rank, top_k
 
 SPAN = 65_536  # rows of stored positions per rank bucket
@@ -60,6 +61,53 @@ def overlap_counts(roles: DataFrame, key: str, role: str, min_months: int = 2) -
     return long.join(per, [key, "from_ix", "to_ix"]).select(key, role, "from_ix", "to_ix", "n_overlaps")
 
 
+# Words that say a role ran beside another, and titles that always may.
+PARALLEL_WORDS = ("alongside", "at the same time", "concurrent", "concurrently", "en parallèle", "freelance", "in parallel", "nebenberuflich", "non-executive", "parallel",
+                  "parallel zu", "part-time", "simultaneous", "simultaneously", "teilzeit", "zeitgleich")
+PART_TITLES = ("board member", "freelance", "nebenberuflich", "non-executive", "part-time", "teilzeit")
+
+
+def unexplained_overlaps(roles: DataFrame, key: str, role: str, free_words: tuple[str, ...] = ("and", "with", "from")) -> DataFrame:
+    """Per role that shares two months or more with others of its key without a note: ``n_overlaps`` and ``partner``, the smallest id among them.
+
+    ``roles``: key, role, from_ix, to_ix (coarse years already read generously), title, employer, note (what stands beside the dates). A
+    part-time title overlaps nothing. A note, or title, that says the role ran in parallel explains the pair with every role it names, by the
+    employer or by a longer word of the title.
+
+    Two roles share two months if both cover some pair of neighbouring months, so roles meet at such cells, of which a key has as many as
+    its calendar. A cell holds a count and its smallest ids; only roles with a note are paired, with the roles they name."""
+    said = F.concat_ws(" ", "note", "title")
+    names = F.array_distinct(F.concat(F.array(tx.norm("employer")), F.filter(tx.letter_words("title"), lambda w: (F.length(w) >= 4) & ~w.isin(*free_words))))
+    rows = (roles.where((F.col("to_ix") > F.col("from_ix")) & ~tx.has_term(F.coalesce("title", F.lit("")), PART_TITLES))
+            .select(key, F.col(role).alias("id"), "from_ix", "to_ix", F.filter(names, lambda n: n != "").alias("names"), tx.norm(said).alias("said"),
+                    tx.has_term(said, PARALLEL_WORDS).alias("noted")))
+    counts = overlap_counts(rows, key, "id")
+    # notes meet names by the name's first word
+    start = lambda c: F.get(F.split(c, " "), F.lit(0))
+    noted = rows.where("noted").select(key, F.col("id").alias("a"), F.col("from_ix").alias("af"), F.col("to_ix").alias("at"), "said",
+                                       F.explode(F.array_distinct(F.split("said", " "))).alias("w"))
+    named = rows.select(key, F.col("id").alias("b"), "from_ix", "to_ix", F.explode("names").alias("name")).withColumn("w", start(F.col("name")))
+    pairs = (noted.join(named, [key, "w"]).where((F.col("a") != F.col("b")) & (F.least("at", "to_ix") - F.greatest("af", "from_ix") >= 1)
+                                                 & F.contains(F.concat(F.lit(" "), "said", F.lit(" ")), F.concat(F.lit(" "), "name", F.lit(" ")))).select(key, "a", "b"))
+    explained = pairs.unionByName(pairs.select(key, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    spared = explained.groupBy(key, F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("_spared"))
+    open_ = (counts.join(spared, [key, "id"], "left").withColumn("n_overlaps", F.col("n_overlaps") - F.coalesce("_spared", F.lit(0)))
+             .where("n_overlaps > 0").select(key, "id", "from_ix", "to_ix", "n_overlaps", F.col("_spared").isNotNull().alias("_some")))
+    cells = rows.select(key, "id", F.explode(F.sequence("from_ix", F.col("to_ix") - 1)).alias("cell"))
+    least = cells.groupBy(key, "cell").agg(F.min("id").alias("_one"))
+    second = cells.join(least, [key, "cell"]).where(F.col("id") != F.col("_one")).groupBy(key, "cell").agg(F.min("id").alias("_two"))
+    smallest = least.join(second, [key, "cell"])
+    mine = open_.select(key, "id", "_some", F.explode(F.sequence("from_ix", F.col("to_ix") - 1)).alias("cell"))
+    plain = (mine.where("NOT _some").join(smallest, [key, "cell"])
+             .groupBy(key, "id").agg(F.min(F.when(F.col("_one") == F.col("id"), F.col("_two")).otherwise(F.col("_one"))).alias("partner")))
+    # a role that some note explains looks at all that share its cells
+    other = cells.select(key, "cell", F.col("id").alias("b"))
+    careful = (mine.where("_some").join(other, [key, "cell"]).where(F.col("b") != F.col("id")).select(key, F.col("id").alias("a"), "b")
+               .join(explained, [key, "a", "b"], "left_anti").groupBy(key, F.col("a").alias("id")).agg(F.min("b").alias("partner")))
+    return (open_.join(plain.unionByName(careful), [key, "id"])
+            .select(key, F.col("id").alias(role), "from_ix", "to_ix", "n_overlaps", "partner"))
+
+
 def covered_years(roles: DataFrame, key: str, today_ix: int, is_open: Column) -> DataFrame:
     """Career span: first start to today when a role is open, else to the last end; whole years."""
     agg = roles.groupBy(key).agg(F.min("from_ix").alias("_s"), F.max("to_ix").alias("_e"), F.bool_or(is_open).alias("_o"))

@@ -45,27 +45,29 @@ def round_robin(df: DataFrame, source: str, newest_first: Column, bucket: Column
     return join_small(ranked, first, source)
 
 
-def carry_rows(rows: DataFrame, cells: DataFrame, source: str, day: str, max_days: int = 7) -> DataFrame:
-    """The listings of every (source, day): the day's own, or where it has none those of the last good day at most ``max_days``
-    back, flagged ``stale`` with the day they come from. ``cells`` counts the rows of each (source, day)."""
-    carried = carry_forward(cells, source, day, "n", max_days).where("n_rows > 0")
-    shown = carried.select(source, F.col(day).alias("_shown"), "stale", "stale_since", F.coalesce("stale_since", F.col(day)).alias(day))
-    return rows.join(shown, [source, day]).drop(day).withColumnRenamed("_shown", day)
-
-
-def carry_forward(cells: DataFrame, source: str, day: str, count: str, max_days: int = 7) -> DataFrame:
-    """Empty cells take the last good count of the same source at most ``max_days`` back, flagged stale.
-
-    ``cells`` holds one row per (source, day): pre-aggregated, so a source's window is bounded by the calendar."""
-    number = F.datediff(day, F.lit("1970-01-01"))
-    good = F.when(F.col(count) > 0, F.struct(F.col(count).alias("n"), F.col(day).alias("d")))
-    w = W.partitionBy(source).orderBy(number).rangeBetween(-max_days, -1)
-    last = F.last(good, ignorenulls=True).over(w)
-    skipped = F.col("skipped") if "skipped" in cells.columns else F.lit(False)
-    use = (F.col(count) == 0) & ~skipped & last.isNotNull()
-    return cells.select(
-        source, day, F.when(use, last["n"]).otherwise(F.col(count)).alias("n_rows"),
-        use.alias("stale"), F.when(use, last["d"]).alias("stale_since"))
+def carried_days(snapshots: DataFrame, runs: DataFrame, source: str, day: str, max_days: int = 7, skipped: DataFrame | None = None) -> DataFrame:
+    """``source, day, stale_since``: the runs in which a source had no good snapshot, with the day of the last one at most ``max_days`` back.
+
+    ``snapshots``: the (source, day) of good snapshots, distinct; ``runs``: the days a collection ran; ``skipped``: (source, day) that were not
+    asked, which are never carried. Each good snapshot reaches to the next one of its source and no further than ``max_days``, so
+    rows come from the snapshots and not from a grid of sources and days. A source has at most a row a day here."""
+    following = F.lead(day).over(W.partitionBy(source).orderBy(day))
+    reach = F.least(F.date_add(day, max_days), F.date_sub(following, 1))
+    first = F.date_add(day, 1)
+    days = F.when(reach >= first, F.sequence(first, reach))
+    gaps = snapshots.select(source, F.col(day).alias("stale_since"), days.alias("_days")).select(source, "stale_since", F.explode("_days").alias(day))
+    gaps = gaps.join(runs.select(day).distinct(), day, "left_semi")
+    return gaps if skipped is None else gaps.join(skipped.select(source, day), [source, day], "left_anti")
+
+
+def carry_rows(rows: DataFrame, runs: DataFrame, source: str, day: str, max_days: int = 7, skipped: DataFrame | None = None) -> DataFrame:
+    """The listings of every run: a source's own of that day, or where it has none those of the last good day at most ``max_days`` back, flagged
+    ``stale`` with the day they come from."""
+    gaps = carried_days(rows.select(source, day).distinct(), runs, source, day, max_days, skipped)
+    old = rows.join(gaps.withColumnRenamed(day, "_shown").withColumnRenamed("stale_since", day), [source, day])
+    old = old.withColumn("stale_since", F.col(day)).withColumn(day, F.col("_shown")).drop("_shown").withColumn("stale", F.lit(True))
+    fresh = rows.withColumn("stale_since", F.lit(None).cast(rows.schema[day].dataType)).withColumn("stale", F.lit(False))
+    return fresh.unionByName(old)
 
 
 def source_health(log: DataFrame, results: DataFrame) -> DataFrame:

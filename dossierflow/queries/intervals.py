@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from dossierflow.catalog import query
 from dossierflow.functions import dates as dt
+from dossierflow.functions import text as tx
 from dossierflow.operators import intervals as iv
 from dossierflow.operators.scale import join_small
 from dossierflow.tables import Q_ORDER_ROLES
@@ -97,6 +98,31 @@ def _(t):
     return iv.overlap_counts(t.order_roles, "o_custkey", "o_orderkey")
 
 
+_NOTE = "CASE o.o_orderkey % 7 WHEN 0 THEN 'in parallel with high priority work' WHEN 1 THEN 'concurrently for the low desk' WHEN 2 THEN 'part-time' ELSE '' END"
+
+
+@query("d8_unexplained_overlaps", rf"""WITH {Q_ORDER_ROLES}, r AS (SELECT r.o_custkey, r.o_orderkey, CASE WHEN r.o_orderkey % 5 = 0 THEN from_ix // 12 * 12 + 11 ELSE from_ix END AS from_ix,
+  CASE WHEN r.o_orderkey % 5 = 1 THEN (to_ix // 12 + 1) * 12 ELSE to_ix + r.o_orderkey % 9 END AS to_ix, lower(regexp_replace(o_orderpriority, '[0-9]-', '')) || ' desk' AS title, n_name AS employer, {_NOTE} AS note
+  FROM order_roles r JOIN orders o ON r.o_orderkey = o.o_orderkey JOIN nation ON n_nationkey = r.o_orderkey % 25 WHERE r.o_orderkey % 13 <> 0),
+x AS (SELECT *, {tx.q_norm("note || ' ' || title")} AS said, note <> '' AND NOT note LIKE 'x%' AS noted, {tx.q_norm('employer')} AS firm, list_filter(regexp_split_to_array(lower(title), '[^\p{{L}}]+'), lambda w: length(w) >= 4) AS ws FROM r WHERE to_ix > from_ix),
+p AS (SELECT a.o_custkey, a.o_orderkey AS a, b.o_orderkey AS b, (a.noted AND (contains(' ' || a.said || ' ', ' ' || b.firm || ' ') OR len(list_filter(b.ws, lambda w: contains(' ' || a.said || ' ', ' ' || w || ' '))) > 0))
+  OR (b.noted AND (contains(' ' || b.said || ' ', ' ' || a.firm || ' ') OR len(list_filter(a.ws, lambda w: contains(' ' || b.said || ' ', ' ' || w || ' '))) > 0)) AS explained
+  FROM x a JOIN x b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey WHERE least(a.to_ix, b.to_ix) - greatest(a.from_ix, b.from_ix) >= 1)
+SELECT x.o_custkey, x.o_orderkey, x.from_ix::INT AS from_ix, x.to_ix::INT AS to_ix, count(*) AS n_overlaps, min(b) AS partner FROM p JOIN x ON x.o_orderkey = p.a WHERE NOT explained GROUP BY ALL""")
+def _(t):
+    """Orders as roles; a fifth each has a bare start or end year, read as its last or first month; three kinds of note."""
+    k = F.col("o_orderkey")
+    note = F.when(k % 7 == 0, "in parallel with high priority work").when(k % 7 == 1, "concurrently for the low desk").when(k % 7 == 2, "part-time").otherwise("")
+    year = lambda ix: F.floor(F.col(ix) / 12)
+    bare = lambda y: F.struct(y.cast("int").alias("y"), F.lit(None).cast("int").alias("m"), F.lit(False).alias("is_open"))
+    start, end = dt.generous_bounds(bare(year("from_ix")), bare(year("to_ix") + 1), 0)
+    roles = (t.order_roles.join(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderkey").join(t.nation, F.col("n_nationkey") == k % 25).where(k % 13 != 0)
+             .select("o_custkey", "o_orderkey", F.when(k % 5 == 0, start).otherwise(F.col("from_ix")).cast("int").alias("from_ix"),
+                     F.when(k % 5 == 1, end).otherwise(F.col("to_ix") + k % 9).cast("int").alias("to_ix"),
+                     F.concat(F.lower(F.regexp_replace("o_orderpriority", "[0-9]-", "")), F.lit(" desk")).alias("title"), F.col("n_name").alias("employer"), note.alias("note")))
+    return iv.unexplained_overlaps(roles, "o_custkey", "o_orderkey")
+
+
 @query("e15_covered_months", f"""WITH {Q_ORDER_ROLES} SELECT o_custkey, m::INT AS months, (m // 12)::INT AS years FROM (
   SELECT o_custkey, greatest(0, CASE WHEN bool_or(o_orderstatus = 'O') THEN {TODAY} ELSE max(to_ix) END - min(from_ix)) AS m FROM order_roles GROUP BY 1)""")
 def _(t):

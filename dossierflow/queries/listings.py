@@ -72,12 +72,9 @@ def _(t):
     return lx.concept_match(t.documents, ["doc_id"], "text", t.lexicon.select("concept", F.col("concept").alias("form")))
 
 
-def _calendar(t):
-    per_day = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    day = t.events.select(F.to_date("ts").alias("day"))
-    days = F.sequence(day.select(F.min("day")).scalar(), day.select(F.max("day")).scalar())
-    grid = t.events.select("user_id").distinct().select("user_id", F.explode(days).alias("day"))
-    return grid.join(per_day, ["user_id", "day"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+def _runs(t):
+    """Days on which any user has an event: the days a collection ran."""
+    return t.events.select(F.to_date("ts").alias("day")).distinct()
 
 
 @query("f9_carry_forward", """WITH per_day AS (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL),
@@ -87,7 +84,7 @@ w AS (SELECT *, last_value(CASE WHEN n > 0 THEN n END IGNORE NULLS) OVER o AS ln
 SELECT w.user_id, w.day, e.event_id, n = 0 AS stale, CASE WHEN n = 0 THEN ld END AS stale_since FROM w JOIN events e ON e.user_id = w.user_id AND e.ts::DATE = CASE WHEN n = 0 THEN ld ELSE w.day END""")
 def _(t):
     """Events as listings, users as sources: each day's listings, its own or carried."""
-    return ls.carry_rows(_event_rows(t), _calendar(t), "user_id", "day")
+    return ls.carry_rows(_event_rows(t), _runs(t), "user_id", "day")
 
 
 def _event_rows(t):

@@ -10,7 +10,7 @@ from dossierflow.functions.text import q_list, q_str
 from dossierflow.operators import ledger as lg
 from dossierflow.operators import listings as ls
 from dossierflow.operators import messages as ms
-from dossierflow.queries.listings import _calendar, _event_rows
+from dossierflow.queries.listings import _event_rows, _runs
 from dossierflow.operators.scale import shared_folder
 from dossierflow.streaming import jobs, tracker
 
@@ -214,8 +214,8 @@ SELECT u.user_id, e.event_id, t.n IS NULL AS stale, CASE WHEN t.n IS NULL THEN p
 JOIN events e ON e.user_id = u.user_id AND e.ts::DATE = CASE WHEN t.n IS NULL THEN p.day ELSE (SELECT d FROM l) END""")
 def _(t):
     """The last day's collection over the snapshots before it."""
-    return ls.carry_rows(_event_rows(t), _calendar(t), "user_id", "day").where(
-        F.col("day") == t.events.select(F.max(F.to_date("ts"))).scalar()).drop("day")
+    today = _runs(t).agg(F.max("day").alias("day"))  # one row
+    return ls.carry_rows(_event_rows(t), _runs(t), "user_id", "day").join(today, "day", "left_semi").drop("day")
 
 
 @query("k10_incremental_since", """SELECT event_id, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 2 DAY""")
