@@ -135,37 +135,39 @@ def write_id_files(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "
     and only files in the manifest count, so a task that runs again does no harm. A task holds the ids of one file.
 
     Ids are whole numbers of 64 bits, as the format holds them; a text id that is no number stops the job. A null text is empty (only
-    ``end_id``), null ids come first, rows of the same id follow each other by a hash of the text, an empty table gives an empty manifest,
+    ``end_id``), null ids come first, rows of the same id follow each other by the first 64 characters of the text, then by its hash, an empty table gives an empty manifest,
     texts of any length are one document, and further columns are left out whatever their names."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part, seq = tokens.id_bytes(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-        ids_of, lengths, ids = [], [], []
+        table, part, seq = tokens.id_table(tokenizer), TaskContext.get().partitionId(), 0
+        ids_of, lengths, ids, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             fs, root = file_system(folder)
             name = f"part-{part:06d}-{seq:05d}-{uuid.uuid4().hex}.s8b"
-            flat = np.frombuffer(b"".join(ids), "<u4").astype(np.uint64)
+            flat = np.concatenate(ids).astype(np.uint64)
             with fs.open_output_stream(f"{root}/{name}") as f:
                 f.write(to_file(ids_of, lengths, flat))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "seq": pa.array([seq], pa.int64()), "file": [name],
                                                "n_docs": pa.array([len(ids_of)], pa.int64()), "n_ids": pa.array([len(flat)], pa.int64())})
 
         for batch in batches:
-            for key, values in zip(batch.column(0).to_pylist(), table.of(batch.column(1).to_pylist())):
-                ids_of.append(key)
-                ids.append(b"".join([*values, end]))
-                lengths.append(len(ids[-1]) // 4)
-                if sum(lengths) >= file_ids if len(lengths) % 256 == 0 or lengths[-1] > 4096 else False:
+            keys = batch.column(0).to_pylist()
+            for flat, sizes in table.texts(batch.column(1).to_pylist()):
+                ids_of += keys[:len(sizes)]
+                keys = keys[len(sizes):]
+                lengths += (sizes + 1).tolist()
+                ids.append(np.insert(flat, np.cumsum(sizes), end_id))
+                held += len(ids[-1])
+                if held >= file_ids:
                     yield flush()
-                    ids_of, lengths, ids, seq = [], [], [], seq + 1
+                    ids_of, lengths, ids, held, seq = [], [], [], 0, seq + 1
         if ids_of:
             yield flush()
 
     file_system(folder)[0].create_dir(file_system(folder)[1], recursive=True)
     rows = docs.select(F.col(doc_id).cast("long").alias("k"), filled(text).alias("t"))
-    order = ["k", F.xxhash64("t"), "t"]  # the hash spreads the rows of one id
-    ordered = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    order = ["k", F.left("t", F.lit(64)), F.xxhash64("t")]  # the text spreads the rows of one id
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "t")
     return stored(ordered.mapInArrow(write, "part long, seq long, file string, n_docs long, n_ids long"), "id-manifest")
 
 

@@ -73,18 +73,20 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
               ("part", pa.int64()), ("nth", pa.int64())] + [("ids", pa.binary())] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part, seen = tokens.id_bytes(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
+        table, part, seen = tokens.id_table(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows = []
-            for key, values in zip(batch.column(0).to_pylist(), table.of(batch.column(1).to_pylist())):
-                ids = b"".join([*values, end])
-                n = len(ids) // 4
-                borders = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                for k, (a, b) in enumerate(zip(borders, borders[1:])):
-                    own = ids[4 * a:4 * b]
-                    rows.append((key, k, a, b - a, zlib.crc32(own), part, seen[b - a]) + ((own,) if with_ids else ()))
-                    seen[b - a] += 1
+            rows, keys = [], iter(batch.column(0).to_pylist())
+            for flat, sizes in table.texts(batch.column(1).to_pylist()):
+                raw, at = flat.tobytes(), 0
+                for size in sizes.tolist():
+                    key, ids = next(keys), raw[4 * at:4 * (at + size)] + end
+                    at += size
+                    borders = [0, *range(size % capacity + 1, size + 2, capacity)]
+                    for k, (a, b) in enumerate(zip(borders, borders[1:])):
+                        own = ids[4 * a:4 * b]
+                        rows.append((key, k, a, b - a, zlib.crc32(own), part, seen[b - a]) + ((own,) if with_ids else ()))
+                        seen[b - a] += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
 

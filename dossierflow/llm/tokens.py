@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space of the tokenizer's own pattern (the Unicode property), as a character class.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -22,6 +24,8 @@ KEPT = 1_000_000
 LONG = 64
 #: Words that go to the library as one text.
 RUN = 50_000
+#: Characters of the texts that are cut at once.
+TEXT_BLOCK = 1 << 22
 #: What byte-level tokenizers write for a blank and a line break.
 OPENING = ("\u0120", "\u010a")
 
@@ -116,7 +120,80 @@ def id_array(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+class IdTable(PieceTable):
+    """Ids of whole texts at once. Arrow cuts the texts of a block into words and numbers the different ones, so Python looks at each different
+    word of a block once; the ids of all kept pieces lie in one array, and a block's ids are gathered from it."""
+
+    def __init__(self, path: str, kept: int = KEPT):
+        super().__init__(path, bytes, kept=kept)
+        self.numbers, self.count = {"u": 0}, 1
+        self.first, self.length, self.ids, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, "<u4"), 0
+
+    def texts(self, texts: Iterable[str]) -> Iterable[tuple[np.ndarray, np.ndarray]]:
+        """For block after block of texts: all their ids, and how many each text has."""
+        block, size = [], 0
+        for text in texts:
+            block.append(text)
+            size += len(text)
+            if size > TEXT_BLOCK:
+                yield self._ids_of(block)
+                block, size = [], 0
+        if block:
+            yield self._ids_of(block)
+
+    def _ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        count, used = self.count, self.used
+        simple = [not any(s in t for s in self.special) and plain(t) for t in texts]
+        cut = pc.split_pattern(pa.array([t.replace("\n", " \n") if ok else "" for t, ok in zip(texts, simple)], pa.large_string()), " ")
+        offsets = cut.offsets.to_numpy()
+        words = cut.values.dictionary_encode()
+        own = words.dictionary.to_pylist()
+        number = self._numbers(["w" + w for w in own], lambda new: self._run([w[1:] for w in new]))
+        pieces = number[words.indices.to_numpy()]
+        odd = [UNITS.findall(t) if not any(s in t for s in self.special) else [p for part in self.cut.split(t) for p in ([part] if part in self.special else UNITS.findall(part))]
+               for t, ok in zip(texts, simple) if not ok]
+        heads = pc.list_element(cut, 0).to_pylist()  # a text's first word has no blank before it
+        seen = list(set(heads).union(*odd))
+        units = dict(zip(seen, self._numbers(["u" + u for u in seen], lambda new: [self.special.get(u[1:]) or id_array(i) for u, i in
+                                                                                zip(new, self._ids([u[1:] for u in new]))]).tolist()))
+        pieces[offsets[:-1]] = [units[h] for h in heads]
+        parts, rest = [], iter(odd)
+        if all(simple):
+            borders = offsets
+        else:
+            for k, ok in enumerate(simple):
+                parts.append(pieces[offsets[k]:offsets[k + 1]] if ok else np.array([units[u] for u in next(rest)], np.int64))
+            pieces, borders = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        length = self.length[pieces]
+        ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+        at = np.repeat(self.first[pieces] - ends[:-1].astype(np.int32), length)  # a block has far fewer than 2**31 ids
+        at += np.arange(len(at), dtype=np.int32)
+        out = self.ids.take(at), ends[borders[1:]] - ends[borders[:-1]]
+        if self.count > self.limit:  # the first to come stay
+            for key in list(self.numbers)[count:]:
+                del self.numbers[key]
+            self.count, self.used = count, used
+        return out
+
+    def _numbers(self, keys: list[str], encoded: Callable[[list[str]], Iterable[bytes]]) -> np.ndarray:
+        new = [k for k in keys if k not in self.numbers]
+        if new:
+            raw = list(encoded(new))
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+            flat = np.frombuffer(b"".join(raw), "<u4")
+            while self.count + len(new) > len(self.first):
+                self.first, self.length = np.concatenate([self.first, 0 * self.first]), np.concatenate([self.length, 0 * self.length])
+            while self.used + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids, 0 * self.ids])
+            self.first[self.count:self.count + len(new)] = self.used + np.cumsum(sizes) - sizes
+            self.length[self.count:self.count + len(new)] = sizes
+            self.ids[self.used:self.used + len(flat)] = flat
+            self.numbers.update(zip(new, range(self.count, self.count + len(new))))
+            self.count, self.used = self.count + len(new), self.used + len(flat)
+        return np.fromiter(map(self.numbers.__getitem__, keys), np.int64, len(keys))
+
+
 @lru_cache(maxsize=2)
-def id_bytes(path: str, kept: int = KEPT) -> PieceTable:
-    """The worker's table of ids as bytes."""
-    return PieceTable(path, bytes, kept=kept)
+def id_table(path: str, kept: int = KEPT) -> IdTable:
+    """The worker's table of ids."""
+    return IdTable(path, kept)

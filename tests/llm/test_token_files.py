@@ -33,11 +33,23 @@ def given(spark):
 def test_pieces_meet_the_library_on_any_mix():
     rng, parts = random.Random(1), ["a", "b", " ", " ", "\n", "\n", "\t", "'s", "é", "1", "#", "<|endoftext|>", "　", "\x1c", "\x85", "word", "..", "你"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(20000)]
-    table = tokens.id_bytes(PATH, kept=500)
+    table = tokens.PieceTable(PATH, bytes, kept=500)
     for text, values in zip(texts, table.of(texts)):
         assert np.frombuffer(b"".join(values), "<u4").tolist() == ids(text), repr(text)
 
 
+@pytest.mark.parametrize("kept, block", [(500, 1000), (1_000_000, 1 << 22)])
+def test_ids_of_whole_blocks_meet_the_library(monkeypatch, kept, block):
+    monkeypatch.setattr(tokens, "TEXT_BLOCK", block)
+    rng, parts = random.Random(2), ["a", "b", " ", " ", " ", "\n", "\t", "'s", "é", "1", "#", "<|endoftext|>", "\x85", "word", "..", "你"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(5000)]
+    table = tokens.IdTable(PATH, kept)
+    for _ in range(2):
+        flat, sizes = (np.concatenate(x) for x in zip(*table.texts(texts)))
+        wanted = [ids(t) for t in texts]
+        assert sizes.tolist() == [len(w) for w in wanted] and flat.tolist() == sum(wanted, [])
+
+
 def count_rows(rows, limit=1024):
     return by_id((i, len((t or "").encode()), n := len(ids(t)), n > limit) for i, t in rows)
 
