@@ -153,14 +153,19 @@ def write_id_files(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for flat, sizes in table.texts(batch.column(1).to_pylist()):
-                ids_of += keys[:len(sizes)]
-                keys = keys[len(sizes):]
-                lengths += (sizes + 1).tolist()
-                ids.append(np.insert(flat, np.cumsum(sizes), end_id))
-                held += len(ids[-1])
-                if held >= file_ids:
-                    yield flush()
-                    ids_of, lengths, ids, held, seq = [], [], [], 0, seq + 1
+                own, keys, sizes = keys[:len(sizes)], keys[len(sizes):], sizes + 1
+                ends = np.cumsum(sizes)
+                flat, at = np.insert(flat, ends - np.arange(1, len(ends) + 1), end_id), 0
+                while at < len(own):  # up to the document that fills the file
+                    done = ends[at - 1] if at else 0
+                    to = min(len(own), int(np.searchsorted(ends, done + file_ids - held)) + 1)
+                    ids_of += own[at:to]
+                    lengths += sizes[at:to].tolist()
+                    ids.append(flat[done:ends[to - 1]])
+                    held, at = held + len(ids[-1]), to
+                    if held >= file_ids:
+                        yield flush()
+                        ids_of, lengths, ids, held, seq = [], [], [], 0, seq + 1
         if ids_of:
             yield flush()
 
