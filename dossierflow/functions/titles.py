@@ -43,8 +43,6 @@ QUALIFIER = (rf"(?i)\b(?:(?:{listed(NATIONS)})\s+nationals?|native\s+(?:{listed(
 ROLE_NOUN = rf"(?i)\b(?:{listed(ROLE_NOUNS)})\b"
 AGENCY = rf"(?i)\b(?:(?:{'|'.join(AGENCY_STEMS)})\w*|{listed(AGENCY_WORDS)})\b"
 NAMELESS = rf"(?i)^(?:{listed(NAMELESS_WORDS)}|a leading \w+)\b"
-#: Between the parts of a title: a dash or a bar with blanks, or a comma.
-HEAD_SPLIT = r"\s+[–—-]\s+|\s*\|\s*|,\s+"
 LADDER = (("executive", ("chief", "ceo", "coo", "cfo", "cto", "cmo", "cio", "c-level", "managing director", "general manager", "geschäftsführer")),
           ("vp", ("vice president", "vp", "svp", "evp")), ("director", ("director", "direktor", "direktorin")), ("head", ("head of", "leiter", "leiterin", "leitung")),
           ("senior", ("senior", "sr")), ("lead", ("team lead", "lead")), ("manager", ("manager",)), ("junior", ("junior", "jr")),
@@ -53,51 +51,65 @@ LANGUAGE_CUES = ("arabic", "german", "french", "spanish", "russian", "mandarin")
 HEADLINE_MAX = 45
 
 
-def tidy(c) -> Column:
-    """Empty brackets, blanks before punctuation and punctuation at the ends taken off."""
-    edge = r"[\s|,.:;/–—-]+"
-    inner = squeeze(F.regexp_replace(F.regexp_replace(col(c), r"\(\s*\)|\[\s*\]", " "), r"\s+([,.;:])", "$1"))
-    return squeeze(F.regexp_replace(inner, f"^{edge}|{edge}$", ""))
+#: What parts a title: a bar, a comma, or a dash with blanks around it or at the end.
+PARTED = r"\s*\|\s*|,\s*|\s+[–—-]+\s+|\s*[–—-]+\s*$"
+MARK = "\u0001"
+
+
+def marked_title(raw) -> Column:
+    """``text`` of a title without tags, calls and emoji, and the demands on a person (``spans``) that stood in it: all spans are marked in one
+    go, then the text is cut at the marks once."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(squeeze(raw), EMOJI, " "), GENDER, " "), NOISE, " ")
+    cut = lambda s: F.struct(F.array_join(F.split(F.regexp_replace(s, f"({QUALIFIER})", MARK), MARK), " ").alias("text"),
+                             F.transform(F.regexp_extract_all(s, F.lit(f"({QUALIFIER})"), F.lit(1)), lambda q: F.trim(q)).alias("spans"))
+    return let(plain, cut)
+
+
+def title_parts(text: Column) -> Column:
+    """The parts of a title with what parted each from the one before: ``(gap, part)``; empty brackets and stray marks go, empty parts too."""
+    inner = squeeze(F.regexp_replace(F.regexp_replace(text, r"\(\s*\)|\[\s*\]", " "), r"\s+([,.;:])", "$1"))
+    parts = lambda s: F.arrays_zip(F.concat(F.array(F.lit("")), F.regexp_extract_all(s, F.lit(f"({PARTED})"), F.lit(1))).alias("gap"),
+                                   F.transform(F.split(s, PARTED), lambda p: F.regexp_replace(p, r"^[\s.:;/]+|[\s.:;/]+$", "")).alias("part"))
+    return F.filter(let(inner, parts), lambda p: F.coalesce(p["part"], F.lit("")) != "")
 
 
 def clean_role_title(raw, company=None, city=None) -> Column:
     """``title``, ``context`` and ``qualifiers`` of a printed title.
 
-    Gender markers, urgency and emoji go, qualifiers move to an array, an echo of company or city comes off the end
-    (three passes), and a long title keeps the head that names the role."""
-    base = F.regexp_replace(squeeze(raw), EMOJI, " ")
-    bare = F.regexp_replace(F.regexp_replace(base, GENDER, " "), NOISE, " ")
-    quals = F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(QUALIFIER), F.lit(0)), lambda x: F.trim(x)))
-    qual = lambda x: F.when(F.lower(x).rlike("^emiratis?$"), "Emirati national").otherwise(x)
-    quals = F.array_distinct(F.transform(quals, qual))
-    tails = [F.lower(F.trim(col(x))) for x in (company, city) if x is not None]
-    # a city of several parts also comes off part by part
-    tails += [F.lower(F.trim(F.coalesce(F.get(F.split(col(city), ","), F.lit(k)), F.lit("")))) for k in range(3)] if city is not None else []
-
-    def without(tail: Column):
-        def cut(s: Column) -> Column:
-            head = F.left(s, F.greatest(F.lit(0), F.length(s) - F.length(tail)))
-            echo = (F.length(tail) >= 3) & F.lower(s).endswith(tail) & head.rlike(r"[-–—|,]\s*$")
-            return F.when(echo, F.regexp_replace(head, r"\s*[-–—|,]\s*$", "")).otherwise(s)
-
-        return cut
-
-    # three passes: each binds its input once, so the expression stays linear
-    s = squeeze(F.regexp_replace(bare, QUALIFIER, " "))
-    for tail in tails * 3:
-        s = let(s, without(tail))
-
-    def split(t: Column) -> Column:
-        parts = F.split(t, HEAD_SPLIT, 2)
-        head, rest = tidy(F.get(parts, F.lit(0))), tidy(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
-        cut = (F.length(t) > HEADLINE_MAX) & head.rlike(ROLE_NOUN) & (F.length(head) >= 3) & (rest != "")
-        title = F.when(cut, head).otherwise(t)
-        return F.struct(F.coalesce(F.nullif(title, F.lit("")), squeeze(raw)).alias("title"), F.when(cut, rest).otherwise("").alias("context"))
+    Tags, calls and emoji go and qualifiers move to an array. Of the title's parts those at the end that only repeat the company or the city (or
+    a part of either) are dropped; a long title whose first part names a role keeps that part and gives the rest as context."""
+    known = F.lit(MARK)
+    for c in (company, city):
+        if c is not None:
+            known = F.concat_ws("|", known, tidied(c))
+    echoes = F.filter(F.transform(F.split(known, PARTED), tidied), lambda e: F.length(e) >= 3)
+
+    def shown(x: Column) -> Column:
+        # how many parts stay: up to the last one that is no echo
+        last = F.array_max(F.transform(x["parts"], lambda p, i: F.when((i == 0) | ~F.array_contains(x["echoes"], F.lower(p["part"])), i + 1).otherwise(0)))
+        return F.slice(x["parts"], F.lit(1), F.coalesce(last, F.lit(0)))
+
+    def text(parts: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p["part"]).otherwise(F.concat(p["gap"], p["part"]))), "")
 
     def pack(x: Column) -> Column:
-        return let(split(x["t"]), lambda y: F.struct(y["title"].alias("title"), y["context"].alias("context"), x["q"].alias("qualifiers")))
+        def titled(parts: Column) -> Column:
+            whole, head = text(parts), F.get(parts, F.lit(0))["part"]
+            rest = text(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))))
+            cut = F.coalesce((F.length(whole) > HEADLINE_MAX) & head.rlike(ROLE_NOUN) & (F.length(head) >= 3) & (rest != ""), F.lit(False))
+            return F.struct(F.coalesce(F.nullif(F.when(cut, head).otherwise(whole), F.lit("")), squeeze(raw)).alias("title"), F.when(cut, rest).otherwise("").alias("context"),
+                            x["qualifiers"].alias("qualifiers"))
+
+        return let(shown(x), titled)
+
+    named = lambda q: F.when(F.lower(q).rlike("^emiratis?$"), "Emirati national").otherwise(q)
+    return let(marked_title(raw), lambda m: let(F.struct(title_parts(m["text"]).alias("parts"), echoes.alias("echoes"),
+                                                         F.array_distinct(F.transform(m["spans"], named)).alias("qualifiers")), pack))
+
 
-    return let(F.struct(tidy(s).alias("t"), quals.alias("q")), pack)
+def tidied(c) -> Column:
+    """Lower case without blanks and marks at the ends."""
+    return F.regexp_replace(squeeze(F.lower(col(c))), r"^[\s.:;/]+|[\s.:;/]+$", "")
 
 
 def poster(company) -> Column:

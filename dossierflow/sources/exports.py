@@ -21,27 +21,45 @@ ALIASES: dict[str, dict[str, tuple[str, ...]]] = {
     "email": {"address": ("email address", "email"), "confirmed": ("confirmed",), "primary": ("primary",)},
     "phone": {"number": ("number", "phone number"), "type": ("type",)},
 }
-# How a file's name begins, or what it holds, for each kind; and names that look like a kind and are none.
-NAME_STARTS = {"profile": "profile", "skills": "skill", "languages": "language"}
-NAME_HOLDS = {"positions": "position", "education": "education", "certifications": "certification", "email": "email", "phone": "phone"}
-NAME_ORDER = ("profile", "positions", "education", "skills", "languages", "certifications", "email", "phone")
-NOT_NAME_WORDS = ("endorse", "recommend")
-# Files of other people's words, of correspondence, and of what the site itself records: never read. A blank stands for any of
-# blank, underscore and hyphen.
+# One row per kind: the word in the file's name, and whether the name must begin with it.
+FILE_NAMES = (
+    ("profile", "profile", True),
+    ("positions", "position", False),
+    ("education", "education", False),
+    ("skills", "skill", True),
+    ("languages", "language", True),
+    ("certifications", "certification", False),
+    ("email", "email", False),
+    ("phone", "phone", False),
+)
+# Words of names that belong to no kind, and words that make a profile file another one.
+OTHER_NAMES = ("endorse", "recommend")
+PROFILE_EXTRAS = ("summary", "photo")
+# Files of other people's words, of correspondence, and of what the site itself records: never read.
 NEVER_WORDS = ("messages", "connections", "invitations", "contacts", "inbox", "ad targeting", "ads clicked", "inference", "job seeker", "job application", "saved jobs",
                "learning", "search quer", "registration", "receipts", "security", "follows", "reactions", "votes", "endorse", "recommend", "guide", "coach", "hashtag",
                "saved items", "private identity", "causes")
-NEVER_ENDS = ("login", "logins")
+NEVER_NAMES = ("login", "logins")
 NEVER_FOLDERS = ("jobs", "__macosx")
 
 
-def name_pattern(kind: str) -> str:
-    return rf"^{NAME_STARTS[kind]}s?(?:[^a-z]|$)" if kind in NAME_STARTS else NAME_HOLDS[kind]
+def kind_by_name(name: Column) -> Column:
+    """Kind of a file by its name (lower case, words parted by blanks), the first row of ``FILE_NAMES`` that fits."""
+    words = F.split(name, " ")
+    extra = F.contains(name, F.lit("profile")) & F.exists(words, lambda w: w.isin(*PROFILE_EXTRAS))
+    other = F.exists(words, lambda w: sum((w.contains(o).cast("int") for o in OTHER_NAMES), F.lit(0)) > 0)
+    fits = [F.when(F.get(words, F.lit(0)).isin(word, word + "s") if begins else F.contains(name, F.lit(word)), F.lit(kind)) for kind, word, begins in FILE_NAMES]
+    return F.when(~other & ~extra, F.coalesce(*fits))
+
+
+def never_read(path: Column, name: Column) -> Column:
+    """Whether a file is one of those that are never read, by its name or a folder above it."""
+    folders = F.slice(F.split(F.lower(path), "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
+    held = [F.contains(name, F.lit(w)) for w in NEVER_WORDS]
+    named = F.exists(F.split(name, " "), lambda w: w.isin(*NEVER_NAMES))
+    return F.greatest(*held) | named | F.arrays_overlap(folders, F.array(*map(F.lit, NEVER_FOLDERS))) | F.element_at(F.split(path, "/"), -1).startswith("._")
 
 
-NAME_RULES = tuple((kind, name_pattern(kind)) for kind in NAME_ORDER)
-NOT_NAME = rf"{'|'.join(NOT_NAME_WORDS)}|profile.*(?:summary|photo)"
-NEVER_FILE = rf"{'|'.join(w.replace(' ', r'[\s_-]*') for w in NEVER_WORDS)}|\b(?:{'|'.join(NEVER_ENDS)})\b"
 SIGNATURES = (("positions", ("company", "title", "start")), ("education", ("school", "degree")), ("languages", ("name", "level")), ("certifications", ("name", "authority")))
 
 
@@ -72,11 +90,9 @@ def classify_export_files(files: DataFrame) -> DataFrame:
 
     ``files``: path, header (array of column names), n_records."""
     base = F.lower(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?i)\.csv$", ""))
+    name = F.trim(F.regexp_replace(base, r"[^\p{L}\p{N}]+", " "))
     names = F.transform("header", header_name)
-    never = base.rlike(NEVER_FILE) | F.lower("path").rlike(rf"(?:^|/)(?:{'|'.join(NEVER_FOLDERS)})/|(?:^|/)\._")
-    by_name = F.lit(None).cast("string")
-    for kind, pattern in reversed(NAME_RULES):
-        by_name = F.when(base.rlike(pattern) & ~base.rlike(NOT_NAME), F.lit(kind)).otherwise(by_name)
+    never, by_name = never_read(F.col("path"), name), kind_by_name(name)
     by_header = F.lit(None).cast("string")
     for kind, fields in reversed(SIGNATURES):
         every = F.lit(True)
