@@ -1,152 +1,122 @@
-"""Phrases of replies by class and language, and the patterns built from them.
+"""Cues of reply classes: ordered word sets, and the patterns built from them.
 
-Notation of a phrase: ``{name}`` is one of the words of that group, ``{name?}`` the same or nothing, ``...`` up to 40 characters of the
-sentence, ``*`` any letters up to the word's end. A phrase stands between word borders and in any case.
+A cue is a tuple of word sets: a sentence has it if a word (or fixed phrase) of each set stands in it in that order, with at most ``GAP`` other
+words between neighbours. A set of one phrase is a plain phrase. The lists are data; the gap rule is the only logic.
 """
 from __future__ import annotations
 
-import re
+#: Other words that may stand between two sets of a cue.
+GAP = 4
 
-# Word groups.
-GROUPS: dict[str, tuple[str, ...]] = {
-    "glad": ("pleased", "delighted", "happy", "glad"),
-    "an": ("a", "an", "the", "our"),
-    "short": ("a", "an", "a first", "a short", "a brief"),
-    "formal": ("formal", "written"),
-    "letter": ("employment", "formal", "written", "job"),
-    "will_not": ("not", "won't", "won’t", "will not"),
-    "be": ("be",),
-    "moving": ("moving", "taking"),
-    "you": ("you", "your application", "your candidacy", "this"),
-    "onward": ("forward", "further"),
-    "go": ("proceed", "progress", "move forward", "pursue"),
-    "went": ("move forward", "proceed", "continue", "go ahead", "pursue"),
-    "other": ("other", "another", "a different"),
-    "picked": ("successful", "selected", "shortlisted"),
-    "has": ("has", "have"),
-    "was": ("was", "were"),
-    "did": ("has been", "was", "is"),
-    "going": ("progressing", "proceeding", "considered", "moving"),
-    "invite": ("invite", "inviting"),
-    "unable": ("unable", "not able"),
-    "step": ("offer you", "proceed", "move forward", "progress", "take your application"),
-    "now": ("now",),
-    "gone": ("available", "being considered"),
-    "nearer": ("closely", "better", "more"),
-    "meeting": ("interview", "meeting", "call", "conversation", "discussion", "chat", "video call", "teams call", "zoom call"),
-    "arrange": ("schedule", "arrange", "set up", "book", "organise", "organize"),
-    "shift": ("move", "reschedule", "postpone", "rearrange", "change"),
-    "date": ("interview", "meeting", "call", "appointment"),
-    "the": ("the", "our", "your"),
-    "could": ("could", "can", "would"),
-    "please": ("please",),
-    "send": ("send", "share", "provide"),
-    "confirm": ("send", "share", "provide", "confirm"),
-    "us": ("us",),
-    "paper": ("your", "a copy", "copies", "the following", "details"),
-    "we_have": ("we", "we've", "we’ve", "we have", "we have successfully", "we successfully"),
-    "file": ("application", "cv", "resume", "résumé"),
-    "interest": ("applying", "application", "interest"),
-    "your": ("your",),
-    "taken": ("received", "submitted", "successfully submitted"),
-    "we_will": ("we will", "we'll", "we’ll", "we shall"),
-    "reply": ("review", "be in touch", "get back", "contact you", "carefully review"),
-    "leave": ("annual", "sick", "parental", "maternity", "business"),
-    "filled": ("besetzt", "vergeben", "anderweitig besetzt", "anderweitig vergeben"),
-    "already": ("bereits", "schon", "inzwischen"),
-    "post": ("die", "diese", "eine"),
-    "job": ("stelle", "position"),
-    "talk": ("vorstellungsgespräch", "gespräch", "interview"),
-    "trait": ("shortlisted", "selected", "successful", "suitable", "profile", "cv", "application", "experience", "background", "skills", "qualifications"),
-    "whose": ("your", "you are", "you're"),
-    "fit": ("shortlisted", "selected", "successful", "suitable"),
-    "profil": ("profil", "qualifikation", "erfahrung"),
-    "heard": ("do not", "don't", "have not", "haven't", "did not", "didn't"),
-    "hear": ("hear", "receive"),
-}
+# Word sets that several cues use.
+MEETINGS = ("appointment", "call", "chat", "conversation", "discussion", "interview", "interviews", "meeting")
+GLAD = ("delighted", "glad", "happy", "pleased")
+NOT = ("cannot", "can't", "not", "unable", "won't", "won’t")
+ONWARD = ("continue", "forward", "further", "go ahead", "proceed", "proceeding", "progress", "progressing", "pursue")
+OTHERS = ("another", "different", "other")
+CANDIDATES = ("applicant", "applicants", "candidate", "candidates")
+CHOSEN = ("selected", "shortlisted", "successful")
+ARRANGE = ("arrange", "book", "organise", "organize", "schedule", "set up")
+SHIFT = ("change", "move", "postpone", "rearrange", "reschedule")
+INVITE = ("invite", "inviting")
+FILED = ("application", "cv", "resume", "résumé")
+RECEIVED = ("received", "submitted")
+SHARE = ("confirm", "forward", "let us know", "provide", "send", "share", "tell us")
+PAPERS = ("a copy", "certificates", "copies", "details", "documents", "the following", "whether", "your")
+FILLED = ("besetzt", "vergeben")
+TALK = ("gespräch", "interview", "vorstellungsgespräch")
+OTHER_DE = ("andere", "anderen", "anderer")
+CANDIDATES_DE = ("bewerber", "bewerberin", "bewerberinnen", "bewerbern", "kandidat", "kandidaten", "kandidatin", "kandidatinnen")
 
-# Phrases of each class, by language.
-PHRASES: dict[str, dict[str, tuple[str, ...]]] = {
-    "bounce": {"en": ("undeliverable", "undelivered", "delivery status notification", "delivery has failed", "delivery failed", "returned mail", "mail delivery failed",
-                      "mail delivery subsystem", "could not be delivered", "address not found"),
-               "de": ("unzustellbar", "nicht zugestellt"), "fr": ("non remis", "échec de remise", "échec de la remise")},
-    "delay": {"en": ("delay", "delayed", "not been delivered yet"), "de": ("verzögert",), "fr": ("retardé", "retardée")},
-    "away": {"en": ("out of office", "out of the office", "on leave", "on {leave} leave", "away from the office", "away from my desk", "limited access to e-mail",
-                    "limited access to email", "limited access to my e-mail", "limited access to my email", "i will back", "i will be back", "i will returning",
-                    "i will be returning", "back in the office"),
-             "de": ("abwesend", "abwesenheit", "nicht im büro", "im urlaub"), "fr": ("absent du bureau",)},
-    "offer": {"en": ("{glad} to extend {an} offer", "{glad} to extend {an} {formal} offer", "{glad} to extend to you {an} offer", "{glad} to extend to you {an} {formal} offer",
-                     "{glad} to offer you", "offer letter", "{letter} offer", "offer of employment"),
-              "de": ("vertragsangebot", "freuen uns ihnen {post} {job} ... anzubieten", "freuen uns, ihnen {post} {job} ... anzubieten"),
-              "fr": ("proposition d'embauche",), "ar": ("عرض عمل", "عرض وظيفي")},
-    "rejection": {"en": ("regret to inform", "{will_not} {be?} {moving} {you?} {onward}", "decided not to {go}", "decided to {went} with {other}", "decision not to",
-                         "not been {picked}", "{has} been unsuccessful", "{was} not successful", "{was} unsuccessful", "{other} candidate ... {nearer}",
-                         "{other} candidates ... {nearer}", "more closely match", "more closely matches", "more closely matched", "will not be {going}",
-                         "not {be?} {invite} you", "not {go} with your application", "not {go} with your candidacy", "{unable} to {step}",
-                         "position has {now?} been filled", "no longer {gone}"),
-                  "de": ("absage", "absagen", "nicht berücksichtig*", "nicht weiter berücksichtig*", "andere bewerber*", "anderen bewerber*", "anderer bewerber*",
-                         "andere kandidat*", "anderen kandidat*", "anderer kandidat*", "nicht in die engere wahl", "nicht in die engere auswahl", "nicht zu einem {talk}",
-                         "stelle {filled}", "stelle ist {filled}", "stelle wurde {filled}", "stelle ist {already} {filled}", "stelle wurde {already} {filled}",
-                         "stelle {already} {filled}", "bereits besetzt", "bereits vergeben"),
-                  "fr": ("nous ne pouvons pas donner suite", "pas été retenu", "pas été retenue")},
-    "weak_rejection": {"en": ("unfortunately", "we regret"), "de": ("leider",), "fr": ("malheureusement",), "ar": ("نأسف", "للأسف", "نعتذر")},
-    "interview": {"en": ("{invite} you to {short?} {meeting}", "{invite} you for {short?} {meeting}", "{arrange} {short?} {meeting}", "offer you {short?} {meeting}",
-                         "interview invitation", "interview invite", "interview slot", "interview on", "interview with", "interview at", "your availability",
-                         "available for {short?} {meeting}", "assessment centre", "assessment center", "{shift} {the?} {date}"),
-                  "de": ("vorstellungsgespräch*", "kennenlerngespräch", "kennenlernen", "einladung zu {talk}", "einladung zum {talk}", "einladung zur {talk}",
-                         "einladung zu einem {talk}", "einladung für ein {talk}", "terminvorschl*", "termin ... verschieben"),
-                  "fr": ("entretien",), "ar": ("مقابلة",)},
-    "info": {"en": ("{could} you {please?} {confirm} {us?} {paper}", "{could} you {please?} {confirm} {us?} whether", "please {send} {us?} {paper}", "salary expectation",
-                    "salary expectations", "expected salary", "notice period", "current salary", "current package", "current ctc", "earliest start date", "possible start date",
-                    "earliest joining date", "possible joining date", "visa status"),
-             "de": ("gehaltsvorstellung*", "kündigungsfrist*", "eintrittstermin*", "bitte senden sie", "bitte schicken sie", "bitte teilen sie"), "fr": ("pourriez-vous",)},
-    "ack": {"en": ("{we_have} received your {file}", "thanks for {your?} {interest}", "thank you for {your?} {interest}", "your application {did} {taken}", "application received",
-                   "application submitted", "{we_will} {reply}"),
-            "de": ("eingang ihrer bewerbung*", "ihre bewerbung eingegangen", "ihre bewerbung ist eingegangen", "ihre bewerbung bei uns eingegangen",
-                   "ihre bewerbung ist bei uns eingegangen", "vielen dank für ihre bewerbung*"),
-            "fr": ("nous avons reçu votre candidature", "nous avons bien reçu votre candidature"), "ar": ("تم استلام", "شكرا لتقديم", "شكراً لتقديم")},
+# Cues of each class, by language.
+CUES: dict[str, dict[str, tuple[tuple[tuple[str, ...], ...], ...]]] = {
+    "bounce": {
+        "en": ((("undeliverable", "undelivered", "returned mail", "address not found", "delivery status notification", "mail delivery subsystem"),),
+               (("delivery",), ("failed",)), (("could not be",), ("delivered",))),
+        "de": ((("unzustellbar", "nicht zugestellt"),),),
+        "fr": ((("non remis", "échec de remise", "échec de la remise"),),),
+    },
+    "delay": {"en": ((("delay", "delayed", "not been delivered yet"),),), "de": ((("verzögert",),),), "fr": ((("retardé", "retardée"),),)},
+    "away": {
+        "en": ((("out of office", "out of the office", "on leave", "back in the office"),), (("on",), ("annual", "business", "maternity", "parental", "sick"), ("leave",)),
+               (("away from",), ("desk", "office")), (("limited access",), ("e-mail", "email")), (("i will",), ("back", "be back", "be returning", "returning"))),
+        "de": ((("abwesend", "abwesenheit", "im urlaub", "nicht im büro"),),),
+        "fr": ((("absent du bureau",),),),
+    },
+    "offer": {
+        "en": ((GLAD, ("extend",), ("offer",)), (GLAD, ("offer you",)), (("offer letter", "offer of employment", "employment offer", "formal offer", "job offer", "written offer"),)),
+        "de": ((("vertragsangebot",),), (("freuen uns",), ("position", "stelle"), ("anzubieten",))),
+        "fr": ((("proposition d'embauche",),),),
+        "ar": ((("عرض عمل", "عرض وظيفي"),),),
+    },
+    "rejection": {
+        "en": ((("regret to inform", "decision not to"),), (NOT, ("moving", "taking", "move", "take", "be moving", "be taking"), ONWARD), (("decided not to",), ONWARD),
+               (("decided to",), ONWARD, OTHERS), (("not been", "been", "was", "were"), ("not",), CHOSEN), (("not been",), CHOSEN), (("been", "was", "were"), ("unsuccessful",)),
+               (OTHERS, CANDIDATES, ("better", "closely", "more")), (("more closely",), ("match", "matched", "matches")), (("will not be",), (*ONWARD, "considered", "moving")),
+               (("not",), INVITE, ("you",)), (("not",), ONWARD, ("application", "candidacy")), (("not able to", "unable to"), (*ONWARD, "offer you", "take your application")),
+               (("position",), ("been filled",)), (("no longer",), ("available", "being considered"))),
+        "de": ((("absage", "absagen"),), (("nicht",), ("berücksichtigen", "berücksichtigt")), (OTHER_DE, CANDIDATES_DE), (("nicht",), ("engere",), ("auswahl", "wahl")),
+               (("nicht zu",), TALK), (("position", "stelle"), FILLED), (("bereits",), FILLED)),
+        "fr": ((("nous ne pouvons pas donner suite", "pas été retenu", "pas été retenue"),),),
+    },
+    "weak_rejection": {"en": ((("unfortunately", "we regret"),),), "de": ((("leider",),),), "fr": ((("malheureusement",),),), "ar": ((("نأسف", "للأسف", "نعتذر"),),)},
+    "interview": {
+        "en": ((INVITE, ("you",), MEETINGS), (ARRANGE, MEETINGS), (("offer you",), MEETINGS), (("interview",), ("at", "invitation", "invite", "on", "slot", "with")),
+               (("your availability",),), (("available for",), MEETINGS), (("assessment center", "assessment centre"),), (SHIFT, MEETINGS)),
+        "de": ((("kennenlernen", "kennenlerngespräch", "vorstellungsgespräch", "vorstellungsgespräche", "vorstellungsgesprächs", "terminvorschlag", "terminvorschläge"),),
+               (("einladung",), TALK), (("termin",), ("verschieben",))),
+        "fr": ((("entretien",),),),
+        "ar": ((("مقابلة",),),),
+    },
+    "info": {
+        "en": ((("can you", "could you", "please", "would you"), SHARE, PAPERS), (("expected salary", "salary expectation", "salary expectations", "notice period", "visa status"),),
+               (("current",), ("ctc", "package", "salary")), (("earliest", "possible"), ("date",))),
+        "de": ((("gehaltsvorstellung", "gehaltsvorstellungen", "kündigungsfrist", "kündigungsfristen", "eintrittstermin"),), (("bitte",), ("schicken sie", "senden sie", "teilen sie"))),
+        "fr": ((("pourriez-vous",),),),
+    },
+    "ack": {
+        "en": ((("we", "we've", "we’ve"), RECEIVED, FILED), (("thank you for", "thanks for"), ("application", "applying", "interest")), (("your application",), RECEIVED),
+               (("application",), RECEIVED), (("we shall", "we will", "we'll", "we’ll"), ("be in touch", "contact you", "get back", "review"))),
+        "de": ((("eingang ihrer bewerbung", "eingang ihrer bewerbungsunterlagen"),), (("ihre bewerbung",), ("eingegangen",)),
+               (("vielen dank für ihre bewerbung", "vielen dank für ihre bewerbungsunterlagen"),)),
+        "fr": ((("nous avons",), ("reçu votre candidature",)),),
+        "ar": ((("تم استلام", "شكرا لتقديم", "شكراً لتقديم"),),),
+    },
 }
 
 # Subjects that begin with these words.
-RECEIPT_SUBJECTS = ("read", "gelesen", "lu", "lido", "leido", "leído", "letto")
-AWAY_SUBJECTS = ("automatic reply", "auto reply", "auto-reply", "autoreply", "automatic-reply", "out of office", "automatische antwort", "abwesenheitsnotiz",
-                 "réponse automatique", "abwesend")
+RECEIPT_SUBJECTS = ("gelesen", "leido", "leído", "letto", "lido", "lu", "read")
+AWAY_SUBJECTS = ("abwesend", "abwesenheitsnotiz", "auto reply", "auto-reply", "automatic reply", "automatic-reply", "automatische antwort", "autoreply", "out of office",
+                 "réponse automatique")
+
+# What keeps a cue from counting, before it or after it in the same sentence.
+SUITED = ("application", "background", "cv", "experience", "fit", "profile", "qualifications", "selected", "shortlisted", "skills", "successful", "suitable")
+NEGATIONS = ((("cannot", "kein", "keine", "keinen", "never", "nicht", "no", "not", "pas", "unable"),),)
+PAST = ((("after", "attended", "attending", "following", "since", "thank for", "thank you for", "thanks for"),),)
+CONDITIONS = ((("if", "if your", "if you are", "if you're", "in case you are", "in case your", "should you be", "should your"), SUITED), (("only shortlisted",),),
+              (("falls ihr", "falls ihre", "falls sie", "gegebenenfalls", "ggf", "sofern"),), (("sollten sie",), ("ausgewählt", "engere")))
+PERHAPS = ((("arrange", "contact", "invite", "reach out", "schedule"),),)
+CONDITIONS_AFTER = ((("if", "if you are", "if you're", "if your", "once your", "once you are", "when your", "when you are"), SUITED),
+                    (("falls ihr", "falls ihre", "sofern ihr", "sofern ihre", "wenn ihr", "wenn ihre"), ("erfahrung", "profil", "qualifikation")))
+SILENCE = ((("if you", "in case", "in event", "in the event", "should you"), ("did not", "didn't", "do not", "don't", "have not", "haven't", "not")),
+           (("please accept", "please assume", "please consider"),), (("falls sie", "sollten sie"), ("bis", "innerhalb", "keine", "nichts")), (("sans nouvelles", "sans réponse"),))
+WARNINGS = ((("fee", "fees", "fraud", "fraudulent", "never", "pay", "payment", "scam"),),)
+NOT_A_JOB = ((("call", "chance", "interview", "invitation", "meeting", "place", "slot"),), (("opportunity to",), ("interview", "meet", "speak")))
+
 
-# What keeps a phrase of a class from counting, before it or after it in the same sentence.
-NEGATIONS = ("not", "no", "never", "unable", "cannot", "nicht", "kein*", "pas")
-PAST = ("thank for", "thanks for", "thank you for", "after", "following", "since", "attending", "attended")
-CONDITIONS = ("if {fit}", "if {whose} {trait}", "should your application", "should your profile", "should your cv", "should you be shortlisted", "should you be selected",
-              "should you be successful", "only shortlisted", "in case you are", "in case your", "gegebenenfalls", "ggf", "falls sie", "falls ihr", "falls ihre", "sofern",
-              "sollten sie in die engere", "sollten sie ausgewählt")
-PERHAPS = ("invite", "contact", "arrange", "schedule", "reach out")
-CONDITIONS_AFTER = ("if {whose} {trait}", "when {whose} {trait}", "once {whose} {trait}", "if {fit}", "falls ihr {profil}", "falls ihre {profil}", "sofern ihr {profil}",
-                    "sofern ihre {profil}", "wenn ihr {profil}", "wenn ihre {profil}")
-SILENCE = ("if you {heard} {hear}", "please assume", "please accept", "please consider", "in event you do not", "in the event you do not", "in the event that you do not",
-           "in the event we do not", "in the event that we do not", "in case you do not", "in case you don't", "in case we do not", "in case we don't", "in case that you do not",
-           "should you not", "sollten sie innerhalb", "sollten sie bis", "sollten sie nichts", "falls sie nichts", "falls sie keine", "sans réponse", "sans nouvelles")
-WARNINGS = ("never", "fraud", "fraudulent", "scam", "payment", "fee", "fees", "pay")
-NOT_A_JOB = ("interview", "place", "meeting", "call", "slot", "chance", "invitation", "opportunity to interview", "opportunity to meet", "opportunity to speak")
+def words(terms) -> str:
+    return "(?:" + "|".join(t.replace(" ", r"\s+") for t in sorted(terms, key=len, reverse=True)) + ")"
 
 
-def phrase(text: str) -> str:
-    """The pattern of one phrase, without case and word borders."""
-    out = ""
-    for part in re.split(r"(\{\w+\??\}|\.\.\.|\*| )", text):
-        if part.startswith("{"):
-            name, optional = part.strip("{}?"), part.endswith("?}")
-            words = "|".join(re.escape(w) for w in sorted(GROUPS[name], key=len, reverse=True))
-            out += f"(?:(?:{words}) )?" if optional else f"(?:{words})"
-        elif part == " " and out.endswith(" )?"):
-            continue
-        else:
-            out += {"...": r"[^.]{0,40}", "*": r"\p{L}*"}.get(part, re.escape(part))
-    return out.replace(r"\ [^.]{0,40}\ ", r"\b[^.]{0,40}\b")
+def cue(sets) -> str:
+    """The word sets in order, up to ``GAP`` other words between neighbours."""
+    return rf"(?:[^\p{{L}}\p{{N}}.!?\n]+[\p{{L}}\p{{N}}'’-]+){{0,{GAP}}}?[^\p{{L}}\p{{N}}.!?\n]+".join(map(words, sets))
 
 
-def any_of(phrases) -> str:
-    """One of the phrases as whole words, in any case."""
-    return r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(map(phrase, phrases)) + r")(?![\p{L}\p{N}])"
+def any_of(cues) -> str:
+    """One of the cues between word borders, in any case."""
+    return r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(map(cue, cues)) + r")(?![\p{L}\p{N}])"
 
 
 def of_class(name: str) -> str:
-    return any_of(p for own in PHRASES[name].values() for p in own)
+    return any_of(c for own in CUES[name].values() for c in own)
