@@ -1,6 +1,11 @@
 """Linking texts to records, lines to lines, claims to evidence. Every join has an equi key."""
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -239,6 +244,58 @@ def near_duplicate_lines(lines: DataFrame, doc: str, ix: str, line: str) -> Data
     return exact.unionByName(near)
 
 
+LETTERS = regex.compile(r"\p{L}+")
+
+
+def repeats_of(lines: list[str]) -> list[tuple[int, int, str]]:
+    """``(line, partner, kind)`` of the normalised lines of one document that repeat an earlier one.
+
+    A line that differs meets others under the words of its prefix, its rarest words in the document first; of two lines with 80% of their words
+    in common some prefix word is shared. The earliest partner is enough, so a candidate list is left at its first hit."""
+    first, out, sets = {}, [], {}
+    for i, line in enumerate(lines):
+        if line:
+            if line in first:
+                out.append((i, first[line], "exact"))
+            else:
+                first[line] = i
+                words = {w for w in LETTERS.findall(line) if len(w) >= 4}
+                if len(words) >= 5:
+                    sets[i] = words
+    count = Counter(w for words in sets.values() for w in words)
+    held: dict[str, list[int]] = {}
+    for i, words in sets.items():
+        n = len(words)
+        prefix = sorted(words, key=lambda w: (count[w], w))[:n - -(-n * 8 // 10) + 1]
+        near = sorted({j for w in prefix for j in held.get(w, ()) if 10 * min(n, len(sets[j])) >= 8 * max(n, len(sets[j]))})
+        for j in near:
+            shared = len(words & sets[j])
+            if 10 * shared >= 8 * (n + len(sets[j]) - shared):
+                out.append((i, j, "near"))
+                break
+        for w in prefix:
+            if count[w] > 1:
+                held.setdefault(w, []).append(i)
+    return out
+
+
+def repeated_lines(docs: DataFrame, doc: str, lines: str) -> DataFrame:
+    """``doc, line_ix, partner_ix, kind`` as ``near_duplicate_lines`` gives them, where the lines of a document are an array in its row: no
+    shuffle, one Arrow batch of rows at a time."""
+    kind = docs.schema[doc].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [repeats_of(x or []) for x in batch.column(1).to_pylist()]
+            flat = [r for rows in found for r in rows]
+            owner = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int32())
+            columns = [pa.array([r[k] for r in flat], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), *columns], names=[doc, "line_ix", "partner_ix", "kind"])
+
+    rows = docs.select(doc, F.transform(lines, tx.norm).alias("n"))
+    return rows.mapInArrow(find, f"`{doc}` {kind}, line_ix int, partner_ix int, kind string")
+
+
 def contained_lines(long: DataFrame, long_id: list[str], text: str, short: DataFrame, short_id: list[str], other: str,
                     key_words: int = 4, min_chars: int = 40) -> DataFrame:
     """Pairs of lines that are the same duty: equal, or one wholly inside the other (both of 40 characters or more).

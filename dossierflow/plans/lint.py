@@ -7,6 +7,8 @@ of a table run in one pass over it and emit ``doc_id, check_id, sev, path, hit``
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass, field
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -28,12 +30,44 @@ def rule(check: str, fails: Column, path, hit=None, sev: str | Column | None = N
     return (check, F.when(fails, level), path if isinstance(path, Column) else F.lit(path), F.lit("") if hit is None else hit)
 
 
-def instances(df: DataFrame, rules: Iterable[Rule]) -> DataFrame:
-    """Run every rule of one table in one pass."""
-    found = F.array_compact(F.array(*[
+FINDINGS = "array<struct<check_id:string,sev:string,path:string,hit:string>>"
+
+
+@dataclass
+class Findings:
+    """What a family finds in one row: arrays of findings, and columns that they read and that are worked out first."""
+    arrays: list[Column]
+    columns: dict[str, Column] = field(default_factory=dict)
+
+
+def found_by(rules: Iterable[Rule]) -> Column:
+    """The findings of a row, as an array."""
+    return F.array_compact(F.array(*[
         F.when(sev.isNotNull(), F.struct(F.lit(c).alias("check_id"), sev.alias("sev"), path.alias("path"), F.coalesce(hit, F.lit("")).alias("hit")))
         for c, sev, path, hit in rules]))
-    return df.select("doc_id", F.explode(found).alias("i")).select("doc_id", "i.*")
+
+
+def in_one_pass(df: DataFrame, *families: Findings) -> DataFrame:
+    """All families of one table in one projection and one explode."""
+    columns = {name: c for f in families for name, c in f.columns.items()}
+    rows = df.select("*", *[c.alias(name) for name, c in columns.items()]) if columns else df
+    return rows.select("doc_id", F.explode(F.concat(*[a for f in families for a in f.arrays])).alias("i")).select("doc_id", "i.*")
+
+
+def instances(df: DataFrame, rules: Iterable[Rule]) -> DataFrame:
+    """Run every rule of one table in one pass."""
+    return in_one_pass(df, Findings([found_by(rules)]))
+
+
+def row_family(fn):
+    """A family that looks at one row at a time: called with a table it gives instances, ``fn.of(...)`` gives the findings for a shared pass."""
+
+    @wraps(fn)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        return in_one_pass(df, fn(*args, **options))
+
+    run.of = fn
+    return run
 
 
 def term_pattern(terms: Iterable[str]) -> str:
@@ -56,20 +90,16 @@ def term_hits(c, terms: Iterable[str], is_wide: bool = False) -> Column:
     return F.transform(F.regexp_extract_all(wide, F.lit(tx.java_ci(term_pattern(terms))), F.lit(1)), lambda h: F.regexp_replace(h, SEPARATORS + r"\1", "$1"))
 
 
-def term_instances(df: DataFrame, rules: list[tuple[str, str, tuple, Iterable[str], Column | None]], extra: Column | None = None) -> DataFrame:
-    """One instance per hit: (check, severity, (path, text column), terms, condition). Each text is widened once.
-    ``extra`` is an array of further instances of the same row."""
+def term_findings(tag: str, rules: list[tuple[str, str, tuple, Iterable[str], Column | None]]) -> Findings:
+    """One finding per hit: (check, severity, (path, text column), terms, condition). Each text is widened once, in a column that ``tag`` names."""
     texts = {str(col): col for _, _, (_, col), _, _ in rules}
-    name = {k: f"_w{i}" for i, k in enumerate(texts)}
-    wide = df.select("*", *[widened(col).alias(name[k]) for k, col in texts.items()])
+    name = {k: f"_{tag}{i}" for i, k in enumerate(texts)}
     # the cheap test for any hit comes first; a condition such as "no figure" is read only where a term stands
     any_hit = lambda col, terms: tx.col(col).rlike(tx.java_ci(term_pattern(terms)))
     per = [F.transform(F.when(any_hit(col, terms) if cond is None else any_hit(col, terms) & cond, term_hits(name[str(col)], terms, True))
                        .otherwise(F.array().cast("array<string>")), _packer(check, sev, path))
            for check, sev, (path, col), terms, cond in rules]
-    if extra is not None:
-        per.append(extra)
-    return wide.select("doc_id", F.explode(F.concat(*per)).alias("i")).select("doc_id", "i.*")
+    return Findings(per, {name[k]: widened(col) for k, col in texts.items()})
 
 
 def _packer(check: str, sev: str, path):
@@ -96,11 +126,12 @@ def line_path() -> Column:
 
 # ---- families ------------------------------------------------------------------------------------------------
 
-def l1_blank_fields(docs: DataFrame) -> DataFrame:
+@row_family
+def l1_blank_fields() -> Findings:
     digits = F.length(F.regexp_replace(F.coalesce("phone", F.lit("")), r"[^0-9]", ""))
     letters = F.length(F.regexp_replace(F.coalesce("name", F.lit("")), r"[^\p{L}]", ""))
     name_digits = F.length(F.regexp_replace(F.coalesce("name", F.lit("")), r"[^0-9]", ""))
-    return instances(docs, [
+    return Findings([found_by([
         rule("HDR-01", (letters < 2) | F.contains(F.coalesce("name", F.lit("")), F.lit("@")) | (name_digits >= 3), "name"),
         rule("HDR-02", ~F.coalesce(F.trim("email"), F.lit("")).rlike(r"^[^\s@]+@[^\s@]+\.[A-Za-z]{2,}$"), "email"),
         rule("HDR-02", blank("phone") | ~digits.between(7, 15), "phone"),
@@ -110,7 +141,7 @@ def l1_blank_fields(docs: DataFrame) -> DataFrame:
         rule("SUM-01", blank("summary"), "summary"),
         rule("LNG-01", blank("langs"), "langs"),
         rule("EDU-01", blank("edu_b"), "education", sev=F.when(F.col("market") == "dach", "high").otherwise("med")),
-        rule("REF-02", blank("refs") & (F.col("market") != "uk"), "refs")])
+        rule("REF-02", blank("refs") & (F.col("market") != "uk"), "refs")])])
 
 
 def l1_blank_roles(roles: DataFrame, places: Iterable[str] = ()) -> DataFrame:
@@ -122,12 +153,13 @@ def l1_blank_roles(roles: DataFrame, places: Iterable[str] = ()) -> DataFrame:
     return instances(roles, rules)
 
 
-def l2_terms_docs(docs: DataFrame, words: dict[str, Iterable[str]]) -> DataFrame:
+@row_family
+def l2_terms_docs(words: dict[str, Iterable[str]]) -> Findings:
     """Banned terms of headline, summary and skills; ``words`` may replace any list by check id."""
     w = lambda check, default: words.get(check, default)
     head, summ = ("headline", F.coalesce("headline", F.lit(""))), ("summary", F.coalesce("summary", F.lit("")))
     skills = ("skills", F.array_join(F.coalesce("skills", F.array().cast("array<string>")), " ; "))
-    return term_instances(docs, [
+    return term_findings("d", [
         ("HL-03", "high", head, w("HL-03", cat.TARGET_WORDING), None), ("HL-05", "med", head, w("HL-05", cat.HEADLINE_ADJECTIVES), None),
         ("SUM-03", "med", summ, w("SUM-03", cat.PRAISE), None), ("SUM-04", "high", summ, w("SUM-04", cat.TAILORING), None),
         ("SUM-10", "low", summ, w("SUM-10", cat.FIRST_PERSON), None),
@@ -135,15 +167,17 @@ def l2_terms_docs(docs: DataFrame, words: dict[str, Iterable[str]]) -> DataFrame
         ("MKT-01", "low", summ, w("MKT-01", cat.US_SPELLING), (F.col("market") == "uk") & (F.col("doc_lang") == "en"))])
 
 
-def l2_terms_lines(lines: DataFrame, words: dict[str, Iterable[str]]) -> DataFrame:
+@row_family
+def l2_terms_lines(words: dict[str, Iterable[str]]) -> Findings:
     """Qualifiers with no figure behind them, job-description openers and German wording in lines."""
     openers = tuple(words.get("BUL-04", cat.JD_OPENERS))
     opens = tx.norm("text").rlike("^(?:" + "|".join(openers) + ")(?: |$)")
     opener = F.when(opens, F.array(_packer("BUL-04", "low", line_path())(F.lit("")))).otherwise(
-        F.array().cast("array<struct<check_id:string,sev:string,path:string,hit:string>>"))
-    return term_instances(lines, [
+        F.array().cast(FINDINGS))
+    found = term_findings("l", [
         ("BUL-05", "low", (line_path(), F.col("text")), words.get("BUL-05", cat.QUALIFIERS), ~F.col("is_template") & ~tx.has_figure("text")),
-        ("DOC-05", "low", (line_path(), F.col("text")), words.get("DOC-05", ("inklusive",)), F.col("doc_lang") == "de")], opener)
+        ("DOC-05", "low", (line_path(), F.col("text")), words.get("DOC-05", ("inklusive",)), F.col("doc_lang") == "de")])
+    return Findings([*found.arrays, opener], found.columns)
 
 
 def l2_employers_in_summary(docs: DataFrame, roles: DataFrame) -> DataFrame:
@@ -174,24 +208,27 @@ PERSONAL_RULES = (  # check, kind, pattern
 CARD_NUMBER = r"(?:^|[^0-9])([0-9]{13,16})(?:$|[^0-9])"
 
 
-def l3_personal_data(texts: DataFrame, path: Column, text: str, rules=PERSONAL_RULES) -> DataFrame:
+@row_family
+def l3_personal_data(path: Column, text: str, rules=PERSONAL_RULES) -> Findings:
     """Personal details printed in any text: every rule's hits in one pass. ``texts``: doc_id, text."""
     per = []
     for check, kind, pattern in rules:
         per.append(F.transform(F.regexp_extract_all(tx.fold_digits(text), F.lit(tx.java_ci(pattern)), F.lit(1)), _packer(check, "high", path)))
-    return texts.select("doc_id", F.explode(F.concat(*per)).alias("i")).select("doc_id", "i.*")
+    return Findings(per)
 
 
-def l3_contact_patterns(texts: DataFrame, path: Column, text: str) -> DataFrame:
+@row_family
+def l3_contact_patterns(path: Column, text: str) -> Findings:
     """REF-01 and ID-like data that have one exact pattern: addresses, phones, long number strings."""
     mails = F.transform(ct.emails(text), _packer("REF-01", "high", path))
     phones = F.transform(ct.phones(text), _packer("REF-01", "high", path))
     wide = F.regexp_replace(text, r"([^0-9])", "$1$1")
     cards = F.transform(F.array_distinct(F.regexp_extract_all(wide, F.lit(CARD_NUMBER), F.lit(1))), _packer("HDR-12", "high", path))
-    return texts.select("doc_id", F.explode(F.concat(mails, phones, cards)).alias("i")).select("doc_id", "i.*")
+    return Findings([mails, phones, cards])
 
 
-def l4_shapes_lines(lines: DataFrame, title_words=cat.TITLE_WORDS, company_openers=cat.COMPANY_OPENERS) -> DataFrame:
+@row_family
+def l4_shapes_lines(title_words=cat.TITLE_WORDS, company_openers=cat.COMPANY_OPENERS) -> Findings:
     """BUL-03, BUL-07, BUL-08, BUL-09, ATS-01: what a line looks like. ``n_in_role`` lines share the role."""
     w, t = first_word("text"), F.trim("text")
     noun = w.rlike(r"(?:tion|sion|ment|ance|ence|ship|ity|ness)$") | w.isin("the", "a", "an")
@@ -206,9 +243,9 @@ def l4_shapes_lines(lines: DataFrame, title_words=cat.TITLE_WORDS, company_opene
     ats = F.col("text").rlike("\t|[\\x{E000}-\\x{F8FF}]|[\\x{1F300}-\\x{1FAFF}]") | F.col("text").rlike(r"^\s*[•▪►✓➢–]\s") | t.rlike(" {2,}")
     # the language vote is read only where the opener fails
     lang = F.when(opens, tx.lang_of("text"))
-    return instances(lines, [
+    return Findings([found_by([
         rule("BUL-03", opens & (lang == "en"), line_path(), w), rule("BUL-07", fragment, line_path()), rule("BUL-08", header, line_path()),
-        rule("BUL-09", company & ~F.col("is_template"), line_path()), rule("ATS-01", ats, line_path())])
+        rule("BUL-09", company & ~F.col("is_template"), line_path()), rule("ATS-01", ats, line_path())])])
 
 
 DURATION = r"(?i)^\s*[0-9]+\s*\+?\s*(?:years?|yrs?|months?|mos?|jahre?n?|monate?n?|ans?|mois|años|meses)(?:[^\p{L}]|$)"
@@ -233,7 +270,8 @@ def l4_shapes_roles(roles: DataFrame, places: Iterable[str], today_ix: int) -> D
     return instances(roles, rules)
 
 
-def l4_shapes_docs(docs: DataFrame) -> DataFrame:
+@row_family
+def l4_shapes_docs() -> Findings:
     """HDR-03, LNG-03, EDU-02, EDU-04, ATS-02 on document fields."""
     parts = F.filter(F.split(F.coalesce("langs", F.lit("")), r"[·,;|]"), lambda p: tx.has_term(p, cat.LANGUAGE_SKILLS[:15]) & ~tx.has_term(
         p, ("native", "fluent", "bilingual", "mother tongue", "muttersprache", "verhandlungssicher", "fließend", "basic", "good", "advanced", "gut",
@@ -242,15 +280,16 @@ def l4_shapes_docs(docs: DataFrame) -> DataFrame:
     cut = F.contains("edu_b", F.lit("\t")) | ((F.length("edu_b") >= 158) & F.col("edu_b").rlike(r"\p{L}$")) | (
         (F.length(last) >= 3) & (last == F.lower(last)) & (~last.rlike("(?i)[aeiouyäöüéèàáíóúâêôœ]") | last.rlike("[bcdfgkpt]l$")))
     probe = F.regexp_replace(F.trim("city"), r"(\p{L})-(\p{L})", "$1_$2")
-    return instances(docs, [
+    return Findings([found_by([
         rule("HDR-03", ~blank("phone") & ~F.trim("phone").rlike(r"^(?:\+|00)"), "phone", F.col("phone")),
         rule("LNG-03", F.size(parts) > 0, "langs", F.trim(F.get(parts, F.lit(0)))),
         rule("EDU-02", F.coalesce(cut, F.lit(False)), "education.0.b", F.col("edu_b")),
         rule("EDU-04", (F.col("market") == "dach") & ~blank("edu_b") & ~F.concat_ws(" ", "edu_b", "edu_s").rlike(r"(?:19[5-9][0-9]|20[0-3][0-9])"), "education.0.b", F.col("edu_b")),
-        rule("ATS-02", ~blank("city") & probe.rlike(DANGLING), "city", F.col("city"))])
+        rule("ATS-02", ~blank("city") & probe.rlike(DANGLING), "city", F.col("city"))])])
 
 
-def l5_lengths(docs: DataFrame) -> DataFrame:
+@row_family
+def l5_lengths() -> Findings:
     """Length and count bands on one row per document; ``bullets`` is the array of its own lines."""
     n_words, n_sent = tx.word_count("summary"), F.size(tx.sentences("summary"))
     n_head = F.length(F.trim("headline"))
@@ -260,17 +299,16 @@ def l5_lengths(docs: DataFrame) -> DataFrame:
     n_skills = F.size(F.coalesce("skills", F.array().cast("array<string>")))
     total = n_words + F.aggregate("bullets", F.lit(0), lambda acc, b: acc + tx.word_count(b))
     off, far = (n_words < 60) | (n_words > 90) | (n_sent < 3) | (n_sent > 4), (n_words < 45) | (n_words > 120) | (n_sent < 2) | (n_sent > 5)
-    doc = instances(docs, [
+    doc = found_by([
         rule("HL-04", n_head > 90, "headline", sev=F.when(n_head > 120, "med").otherwise("low")),
         rule("SUM-02", ~blank("summary") & off, "summary", sev=F.when(far, "med").otherwise("low")),
         rule("SUM-09", ~blank("summary") & ~tx.has_figure("summary") & ~tx.has_term("summary", ("staff", "team", "division", "founded", "promoted", "companies")), "summary"),
         rule("MET-01", (n >= 3) & (F.floor((200 * figs + n) / (2 * F.greatest(n, F.lit(1)))) < 40), "experience"),
         rule("SKL-03", (n_skills == 0) | ~n_skills.between(5, 12), "skills", sev=F.when(n_skills == 0, "med").otherwise("low")),
         rule("MKT-04", total > F.when(F.col("career_years") >= 8, 950).otherwise(550), "experience")])
-    lines = docs.select("doc_id", F.explode(long_lines).alias("x")).select(
-        "doc_id", F.lit("BUL-02").alias("check_id"), F.when(F.col("x.n") > 260, "med").otherwise("low").alias("sev"),
-        F.concat(F.lit("lines."), F.col("x.ix").cast("string")).alias("path"), F.lit("").alias("hit"))
-    return doc.unionByName(lines)
+    lines = F.transform(long_lines, lambda x: F.struct(F.lit("BUL-02").alias("check_id"), F.when(x["n"] > 260, "med").otherwise("low").alias("sev"),
+                                                       F.concat(F.lit("lines."), x["ix"].cast("string")).alias("path"), F.lit("").alias("hit")))
+    return Findings([doc, lines])
 
 
 def l5_roles(ranked: DataFrame, today_year: int) -> DataFrame:
@@ -298,7 +336,23 @@ def l6_skills_without_evidence(docs: DataFrame, lines: DataFrame) -> DataFrame:
         "doc_id", F.lit("SKL-01").alias("check_id"), F.lit("med").alias("sev"), F.concat(F.lit("skills."), F.col("ix").cast("string")).alias("path"), F.col("skill").alias("hit"))
 
 
-def l6_consistency_docs(docs: DataFrame, dial: dict[str, str], place_country: dict[str, str]) -> DataFrame:
+@row_family
+def l6_evidence_rows() -> Findings:
+    """SUM-07 and SKL-01 against the lines of the same row (``bullets``): a figure of the summary that no line carries before the same word, and
+    a skill that no line shows, by stem."""
+    proofs = F.flatten(F.transform("bullets", lk.figures))
+    shown = lambda f, p: (p["value"] == f["value"]) & ((f["unit"] != "") | F.arrays_overlap(f["next"], p["next"]))
+    loose = F.filter(lk.figures("summary"), lambda f: ~F.exists(F.col("_proofs"), lambda p: F.coalesce(shown(f, p), F.lit(False))))
+    figures = F.transform(loose, lambda f: _packer("SUM-07", "high", "summary")(f["value"]))
+    stems = F.array_distinct(F.flatten(F.transform("bullets", lambda b: F.transform(tx.words(b), tx.stem))))
+    own = F.transform("skills", lambda x, i: F.struct(i.alias("ix"), x.alias("x"), tx.stem(F.lower(x)).alias("s")))
+    skills = F.transform(F.filter(own, lambda o: F.array_contains(F.col("_missing"), o["s"])), lambda o: F.struct(
+        F.lit("SKL-01").alias("check_id"), F.lit("med").alias("sev"), F.concat(F.lit("skills."), o["ix"].cast("string")).alias("path"), o["x"].alias("hit")))
+    return Findings([figures, skills], {"_proofs": proofs, "_missing": F.array_except(F.transform("skills", lambda x: tx.stem(F.lower(x))), stems)})
+
+
+@row_family
+def l6_consistency_docs(dial: dict[str, str], place_country: dict[str, str]) -> Findings:
     """HDR-04 (dial code against city), MET-03 (claim skills with no line), LNG-04 (language of the summary not listed), SUM-06 (years)."""
     p = F.regexp_replace(F.regexp_replace(F.coalesce("phone", F.lit("")), r"[\s-]", ""), "^00", "+")
     by_dial, by_city = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -311,11 +365,11 @@ def l6_consistency_docs(docs: DataFrame, dial: dict[str, str], place_country: di
     unproven = F.filter(F.array_distinct(F.transform(claims, F.lower)), lambda h: ~F.contains(body, h))
     langs = F.filter(F.array_distinct(F.transform(term_hits("summary", cat.LANGUAGE_SKILLS[:15]), F.lower)), lambda h: ~F.contains(F.lower(F.coalesce("langs", F.lit(""))), h))
     years = F.array_max(F.transform(F.regexp_extract_all("summary", F.lit(r"(?i)([0-9]{1,2})\s*\+?\s*(?:years|yrs|jahren?|ans|años)"), F.lit(1)), lambda y: y.cast("int")))
-    return instances(docs, [
+    return Findings([found_by([
         rule("HDR-04", F.coalesce(by_dial != by_city, F.lit(False)), "city", F.col("city")),
         rule("MET-03", F.size(unproven) > 0, "summary", F.get(unproven, F.lit(0))),
         rule("LNG-04", F.size(langs) > 0, "summary", F.get(langs, F.lit(0))),
-        rule("SUM-06", F.coalesce(years > F.col("career_years"), F.lit(False)), "summary", years.cast("string"))])
+        rule("SUM-06", F.coalesce(years > F.col("career_years"), F.lit(False)), "summary", years.cast("string"))])])
 
 
 def title_classes(text) -> Column:
@@ -360,12 +414,13 @@ def l2_date_words(docs: DataFrame, roles: DataFrame) -> DataFrame:
         instances(docs, [rule("DOC-03", F.coalesce(level, F.lit(False)), "langs", F.col("langs"))]))
 
 
-def l3_references(docs: DataFrame) -> DataFrame:
+@row_family
+def l3_references() -> Findings:
     """REF-01 (contact details of a referee) and REF-03 (a referee is named) in the references line."""
     refs = F.coalesce("refs", F.lit(""))
     contact = (F.size(ct.emails(refs)) > 0) | F.regexp_replace(refs, r"[\s-]", "").rlike("[0-9]{7,}") | tx.has_term(refs, ("tel", "phone", "mobile", "telefon", "handy", "whatsapp"))
     name = F.coalesce(F.nullif(F.regexp_extract(refs, cat.HONORIFIC, 1), F.lit("")), F.nullif(F.regexp_extract(refs, cat.NAME_PAIR, 1), F.lit("")))
-    return instances(docs, [rule("REF-01", contact, "refs", refs), rule("REF-03", name.isNotNull(), "refs", name)])
+    return Findings([found_by([rule("REF-01", contact, "refs", refs), rule("REF-03", name.isNotNull(), "refs", name)])])
 
 
 def recent_roles_without_figure(lines: DataFrame) -> DataFrame:
@@ -392,6 +447,13 @@ def l7_lines(lines: DataFrame) -> DataFrame:
                     F.concat(F.lit("lines."), F.col("line_ix").cast("string")).alias("path"), F.col("partner_ix").cast("string").alias("hit"))
 
 
+def l7_bullets(docs: DataFrame) -> DataFrame:
+    """BUL-06 where the lines of a document stand in one row (``bullets``)."""
+    d = lk.repeated_lines(docs, "doc_id", "bullets")
+    return d.select("doc_id", F.lit("BUL-06").alias("check_id"), F.when(F.col("kind") == "exact", "med").otherwise("low").alias("sev"),
+                    F.concat(F.lit("lines."), F.col("line_ix").cast("string")).alias("path"), F.col("partner_ix").cast("string").alias("hit"))
+
+
 def skill_words(skill: Column) -> Column:
     return F.array_distinct(F.filter(tx.letter_words(skill), lambda w: (F.length(w) >= 3) & ~w.isin("and", "und")))
 
@@ -414,7 +476,8 @@ def l7_skills(docs: DataFrame) -> DataFrame:
     return shape(inside, F.concat(F.lit("skills."), F.col("other").cast("string"))).unionByName(shape(lower, F.col("skill")))
 
 
-def l6_language_levels(docs: DataFrame) -> DataFrame:
+@row_family
+def l6_language_levels() -> Findings:
     """LNG-02: a language that is called native in one place and learnt in another, in the languages line or the summary. German is a
     gate, other languages are a question.
 
@@ -438,7 +501,7 @@ def l6_language_levels(docs: DataFrame) -> DataFrame:
 
         both = stated(cat.NATIVE_LEVELS) & stated(cat.LEARNT_LEVELS)
         rules.append(rule("LNG-02", both, "langs", F.lit(group), sev="high" if group == "german" else "med"))
-    return instances(docs, rules)
+    return Findings([found_by(rules)])
 
 
 def lint_all(docs: DataFrame, lines: DataFrame, roles: DataFrame | None = None, words: dict[str, Iterable[str]] | None = None, title_words=cat.TITLE_WORDS,
@@ -446,14 +509,15 @@ def lint_all(docs: DataFrame, lines: DataFrame, roles: DataFrame | None = None,
              alias: DataFrame | None = None, members: DataFrame | None = None, today_ix: int | None = None) -> DataFrame:
     """Instances of every check with a data rule: ``doc_id, check_id, sev, path, hit``.
 
-    ``docs`` and ``lines`` as in the families above; ``docs.raw`` is the whole text for personal data. Checks over roles run where
+    ``docs`` and ``lines`` as in the families above; ``docs.raw`` is the whole text for personal data, ``docs.bullets`` the lines in one row. All
+    checks that look at one row run in one pass per table; only repeated skills meet in a join. Checks over roles run where
     ``roles`` are given (``role_ix, title, employer, dates, pd, doc_lang, langs, recency, n_lines, n_roles, from_ix, to_ix, is_current,
     fmt``), those over places where ``alias`` and ``members`` are."""
-    words, raw = words or {}, docs.select("doc_id", F.col("raw").alias("text"))
-    parts = [l1_blank_fields(docs), l2_terms_docs(docs, words), l2_terms_lines(lines, words), l3_personal_data(raw, F.lit("text"), "text"),
-             l3_contact_patterns(raw, F.lit("text"), "text"), l3_references(docs), l4_shapes_lines(lines, title_words, company_openers), l4_shapes_docs(docs),
-             l5_lengths(docs), l6_orphan_figures(docs, lines), l6_skills_without_evidence(docs, lines), l6_consistency_docs(docs, dial or {}, place_country or {}),
-             l6_language_levels(docs), l7_lines(lines), l7_skills(docs), l9_languages(docs), l10_templates(lines)]
+    words, doc_row = words or {}, F.lit("text")
+    of_docs = in_one_pass(docs, l1_blank_fields.of(), l2_terms_docs.of(words), l3_personal_data.of(doc_row, "raw"), l3_contact_patterns.of(doc_row, "raw"), l3_references.of(),
+                          l4_shapes_docs.of(), l5_lengths.of(), l6_consistency_docs.of(dial or {}, place_country or {}), l6_evidence_rows.of(), l6_language_levels.of(), l9_languages.of())
+    of_lines = in_one_pass(lines, l2_terms_lines.of(words), l4_shapes_lines.of(title_words, company_openers), l10_templates.of())
+    parts = [of_docs, of_lines, l7_bullets(docs), l7_skills(docs)]
     if alias is not None:
         parts.append(l6_orphan_places(docs, lines, alias, members, places))
     if roles is not None:
@@ -480,22 +544,24 @@ def l8_timeline(roles: DataFrame, key: str, today_ix: int, is_open: Column, fmt:
     return gaps.unionByName(mixed)
 
 
-def l9_languages(docs: DataFrame) -> DataFrame:
+@row_family
+def l9_languages() -> Findings:
     """DOC-01 (lines), DOC-02 (summary and its long sentences), EDU-03 over one row per document."""
     known = lambda langs: F.filter(langs, lambda x: x != "unknown")
-    votes = docs.withColumn("_l", known(F.transform("bullets", lambda b: tx.lang_of(b)))).withColumn("_s", tx.lang_of(F.coalesce("summary", F.lit(""))))
+    votes = {"_l": known(F.transform("bullets", lambda b: tx.lang_of(b))), "_s": tx.lang_of(F.coalesce("summary", F.lit("")))}
     target = F.size(F.filter("_l", lambda x: x == F.col("doc_lang")))
     foreign = F.filter(F.filter(tx.sentences("summary"), lambda s: tx.word_count(s) >= 8), lambda s: ~tx.lang_of(s).isin("unknown") & (tx.lang_of(s) != F.col("doc_lang")))
     whole = (F.col("_s") != "unknown") & (F.col("_s") != F.col("doc_lang"))
     german = ("abschlussprüfung", "gesamtnote", "gesamtergebnis", "zeugnis", "bestanden", "berufsschule", "fachrichtung", "ausbildung")
-    return instances(votes, [
+    return Findings([found_by([
         rule("DOC-01", (F.size("_l") >= 3) & (target * 2 < F.size("_l")), "experience"),
         rule("DOC-02", whole | (F.size(foreign) > 0), "summary", F.when(whole, F.col("_s"))),
-        rule("EDU-03", (F.col("doc_lang") == "en") & tx.has_term(F.coalesce("edu_s", F.lit("")), german), "education.0.s")])
+        rule("EDU-03", (F.col("doc_lang") == "en") & tx.has_term(F.coalesce("edu_s", F.lit("")), german), "education.0.s")])], votes)
 
 
-def l10_templates(lines: DataFrame) -> DataFrame:
-    return instances(lines, [rule("ACH-01", F.col("is_template"), line_path())])
+@row_family
+def l10_templates() -> Findings:
+    return Findings([found_by([rule("ACH-01", F.col("is_template"), line_path())])])
 
 
 # ---- scoring -------------------------------------------------------------------------------------------------

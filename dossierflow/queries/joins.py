@@ -159,7 +159,7 @@ Q_NEAR = q_near(Q_PARAGRAPHS, "paragraphs", "line")
 
 @query("d9_near_duplicate_lines", Q_NEAR)
 def _(t):
-    return lk.near_duplicate_lines(t.paragraphs, "doc_id", "line_ix", "line")
+    return lk.repeated_lines(t.documents.select("doc_id", tx.lines("text").alias("ls")), "doc_id", "ls")
 
 
 @query("d10_contained_lines", rf"""WITH {Q_PARAGRAPHS}, a AS (SELECT doc_id, line_ix, {tx.q_norm('line')} AS a FROM paragraphs), b AS (SELECT item_id, b_ix, {tx.q_norm('line')} AS b FROM (
