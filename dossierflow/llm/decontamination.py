@@ -44,11 +44,12 @@ def signature_length(n: Column, threshold: float) -> Column:
 
 
 def prepared_items(items: DataFrame, item_id: str, text: str, size: int, threshold: float) -> DataFrame:
-    """``item, grams, n, signature, block`` of every item with a word; items of the same text and id once."""
+    """``item, grams, n, size, signature`` of every item with a word; items of the same text and id once. An item of fewer than ``size`` words is one
+    shingle of its own size."""
     w = items.select(F.col(item_id).alias("item"), words(text).alias("w")).where(F.size("w") > 0).distinct()
-    own = w.select("item", F.array_distinct(shingles("w", size)).alias("grams"), F.array_sort(F.array_distinct(shingle_hashes("w", size))).alias("h"))
+    own = w.select("item", F.size("w").alias("n_words"), F.array_distinct(shingles("w", size)).alias("grams"), F.array_sort(F.array_distinct(shingle_hashes("w", size))).alias("h"))
     n = F.size("grams")
-    return own.select("item", "grams", n.alias("n"), F.slice("h", F.lit(1), signature_length(n, threshold)).alias("signature"))
+    return own.select("item", "grams", n.alias("n"), F.least("n_words", F.lit(size)).alias("size"), F.slice("h", F.lit(1), signature_length(n, threshold)).alias("signature"))
 
 
 def text_pairs(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -62,14 +63,16 @@ def text_pairs(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     blocks = max(1, -(-total // block_shingles))
     w = (docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("t")).where(F.length("t") > 0)
          .select("doc", F.xxhash64("t").alias("digest"), words("t").alias("w")).where(F.size("w") > 0))
-    every = w.select("doc", "digest", "w", F.explode(shingle_hashes("w", size)).alias("h"))
+    # the sizes of short items, at most size - 1 numbers: their shingles are looked for inside longer texts too
+    short = [r["size"] for r in ready.where(F.col("size") < size).select("size").distinct().collect()]
+    every = w.select("doc", "digest", "w", F.explode(F.concat(shingle_hashes("w", size), *[shingle_hashes("w", k) for k in short])).alias("h"))
     found = []
     for b in range(blocks):
         block = ready.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
         keys = block.select(F.explode("signature").alias("h"), "item").groupBy("h").agg(F.collect_set("item").alias("own"), F.count(F.when(F.col("item").isNull(), 1)).alias("blank"))
         hits = every.join(F.broadcast(keys), "h")
         per_doc = hits.groupBy("doc", "digest").agg(F.first("w").alias("w"), F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"), F.sum("blank").alias("blank"))
-        grams = per_doc.select("doc", "digest", F.array_distinct(shingles("w", size)).alias("here"),
+        grams = per_doc.select("doc", "digest", F.array_distinct(F.concat(shingles("w", size), *[shingles("w", k) for k in short])).alias("here"),
                                F.explode(F.concat("own", F.when(F.col("blank") > 0, F.array(F.lit(None).cast(kind))).otherwise(F.array().cast(f"array<{kind}>")))).alias("i"))
         pairs = grams.join(F.broadcast(block.select("item", "grams", "n")), F.col("i").eqNullSafe(F.col("item")))
         found.append(pairs.select("doc", "digest", "item", F.size(F.array_intersect("grams", "here")).alias("shared"), "n").where(F.col("shared") >= F.col("n") * threshold - 1e-9))

@@ -25,7 +25,7 @@ LONG = 64
 #: Words that go to the library as one text.
 RUN = 50_000
 #: Characters of the texts that are cut at once.
-TEXT_BLOCK = 1 << 22
+TEXT_BLOCK = 1 << 24
 #: What byte-level tokenizers write for a blank and a line break.
 OPENING = ("\u0120", "\u010a")
 

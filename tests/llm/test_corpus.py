@@ -45,8 +45,8 @@ def leaks(docs, items, least=0.8):
     out = set()
     for i, t in docs:
         for j, u in items:
-            own = grams(u)
-            if own and len(own & grams(t)) >= least * len(own) - 1e-9:
+            own, size = grams(u), min(5, len(re.findall(r"[^\W_]+", u or "")))
+            if own and len(own & (grams(t) | grams(t, size))) >= least * len(own) - 1e-9:
                 out.add((i, j))
     return out
 
@@ -70,6 +70,14 @@ def test_leaks_of_random_texts(spark):
         assert {(r.doc_id, r.item_id) for r in decontamination.contamination(d, b, block_shingles=block).collect()} == expected
 
 
+def test_short_items_are_found_inside_long_documents(spark):
+    items = [(1, "capital of France"), (2, "Paris"), (3, "one, two"), (4, "a b c d"), (5, "the capital of France is")]
+    docs = [(1, "What is the Capital of France?"), (2, "of France capital"), (3, "paris " + "word " * 50), (4, "one two"), (5, "two one"), (6, "x a b c d y"), (7, "one")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contamination(d, b).collect()}
+    assert got == leaks(docs, items) == {(1, 1), (3, 2), (4, 3), (6, 4)}
+
+
 def test_leaks_of_odd_rows(spark, odd_docs, no_docs):
     items = [(1, None), (2, ""), (None, "three four five six seven eight NINE, ten"), (3, "a line another"), (4, "sit amet lorem ipsum dolor sit amet"),
              (4, "sit amet lorem ipsum dolor sit amet")]
@@ -77,10 +85,10 @@ def test_leaks_of_odd_rows(spark, odd_docs, no_docs):
     got = decontamination.contamination(odd_docs, b).collect()
     assert {(r.doc_id, r.item_id) for r in got} == leaks(TEXTS, items) and len(got) == len(leaks(TEXTS, items))
     assert decontamination.contamination(no_docs, b).collect() == [] == decontamination.contamination(odd_docs, b.where("false")).collect()
-    dirty = {i for i, _ in leaks(TEXTS, items)}
+    dirty = {row for row in TEXTS if leaks([row], items)}
     clean = decontamination.decontaminated(odd_docs, b)
     assert clean.columns == odd_docs.columns
-    assert by_id((r.doc_id, r.text) for r in clean.collect()) == by_id((i, t) for i, t in TEXTS if i not in dirty)
+    assert by_id((r.doc_id, r.text) for r in clean.collect()) == by_id(row for row in TEXTS if row not in dirty)
 
 
 def test_clean_texts_that_share_an_id_with_a_leak_stay(spark):
