@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dossierflow.functions.text import col, has_term, let, squeeze
+from dossierflow.functions.text import col, has_term, java_ci, let, squeeze
 
 # Marks that say for whom an ad is open, urgency calls, and what an ad asks of a person.
 GENDER_MARKS = ("m/w/d", "w/m/d", "d/m/w", "m/f/d", "m/f/x", "f/m/d", "m/f", "all genders")
@@ -134,16 +134,23 @@ def seniority(title, years=None, ladder=LADDER) -> Column:
     return out.otherwise("none")
 
 
+GERMAN_AD = r"(?i)m\s*/\s*w\s*/\s*d|w\s*/\s*m\s*/\s*d|[äöüß]"
+
+
+def demand_for(lang: str) -> str:
+    """A demand next to a language's name, in lower-case text."""
+    return (rf"(?:fluent|native|business[- ]level|proficient|excellent|very good)\s+(?:in\s+)?{lang}|{lang}[- ]speak|"
+            rf"{lang}\s+(?:(?:and|or)\s+\p{{L}}+\s+)?(?:is\s+|are\s+)?(?:required|essential|mandatory|a must|preferred|skills|speaker|language)|knowledge of {lang}")
+
+
 def required_language(title, text) -> Column:
     """Language a posting asks for: a demand next to the language's name, or an ad written in German; else english.
     A market, a menu entry or a place is no demand."""
     hay = F.lower(F.concat_ws(" ", title, text))
     out = None
     for lang in LANGUAGE_CUES:
-        cue = (rf"(?:fluent|native|business[- ]level|proficient|excellent|very good)\s+(?:in\s+)?{lang}|{lang}[- ]speak|"
-               rf"{lang}\s+(?:(?:and|or)\s+\p{{L}}+\s+)?(?:is\s+|are\s+)?(?:required|essential|mandatory|a must|preferred|skills|speaker|language)|knowledge of {lang}")
-        out = (out if out is not None else F).when(hay.rlike(cue), F.lit(lang))
-    german_ad = col(title).rlike(r"(?i)m\s*/\s*w\s*/\s*d|w\s*/\s*m\s*/\s*d|[äöüß]")
+        out = (out if out is not None else F).when(hay.rlike(demand_for(lang)), F.lit(lang))
+    german_ad = col(title).rlike(java_ci(GERMAN_AD))
     return out.when(german_ad, "german").otherwise("english")
 
 

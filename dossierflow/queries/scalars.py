@@ -7,7 +7,7 @@ from dossierflow.functions import mailboxes as mb
 from dossierflow.functions import profiles as pf
 from dossierflow.functions import text as tx
 from dossierflow.functions import titles as tt
-from dossierflow.functions.text import q_has_term, q_str
+from dossierflow.functions.text import q_has_term, q_list, q_str
 from dossierflow.operators import merge as mg
 from dossierflow.operators import postings as po
 from dossierflow.operators.scale import join_small
@@ -283,3 +283,82 @@ def _(t):
     j = join_small(t.customer, t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     roles = F.array(F.concat("c_mktsegment", F.lit(" Lead!")), F.concat(F.lit("Head of "), "c_mktsegment"), F.concat("c_mktsegment", F.lit("  LEAD")))
     return j.select("c_custkey", F.array_join(tt.role_queries(roles, F.col("n_name")), ";").alias("queries"))
+
+
+# ---- the same functions over whole texts of the given tables
+
+_UNIT = "(?:years?|yrs|jahren?|ans|années|años|anni)"
+_NUMBERS = "MAP {" + ", ".join(f"{q_str(w)}: {n}" for w, n in tx.SPELLED_NUMBERS.items()) + "}"
+_TEXTS = """(SELECT 'd' AS src, doc_id AS id, 0 AS turn, text FROM documents UNION ALL SELECT 'c', conv_id, turn, text FROM conversations UNION ALL SELECT 'p', page_id, 0, html FROM pages)"""
+
+
+def all_texts(t):
+    """Texts of documents, conversations and pages: ``src, id, turn, text``."""
+    one = lambda df, src, key, turn, text: df.select(F.lit(src).alias("src"), F.col(key).cast("long").alias("id"), turn.cast("int").alias("turn"), F.col(text).alias("text"))
+    return one(t.documents, "d", "doc_id", F.lit(0), "text").unionByName(one(t.conversations, "c", "conv_id", F.col("turn"), "text")).unionByName(
+        one(t.pages, "p", "page_id", F.lit(0), "html"))
+
+
+@query("s12_years_claims_texts", rf"""SELECT src, id::BIGINT AS id, turn::INT AS turn, array_to_string(list_sort(list_filter(list_concat(list_concat(
+  list_transform(regexp_extract_all(t, '([0-9]{{1,2}})\s*\+?\s*{_UNIT}(?:[^\p{{L}}]|$)', 1), lambda d: d::INT),
+  list_transform(regexp_extract_all(t, '(\p{{L}}+)\s+{_UNIT}(?:[^\p{{L}}]|$)', 1), lambda w: {_NUMBERS}[w]::INT)),
+  CASE WHEN regexp_matches(t, 'quarter(?:\s+of\s+a)?\s+century|vierteljahrhundert') THEN [25] ELSE [] END), lambda n: n > 0)), ',') AS claims
+FROM (SELECT src, id, turn, lower(text) AS t FROM {_TEXTS})""")
+def _(t):
+    return all_texts(t).select("src", "id", "turn", F.array_join(F.array_sort(pf.years_claims("text")), ",").alias("claims"))
+
+
+_ADDRESS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
+def printed_addresses(t):
+    """Every printed address, and in documents a made-up department box per source beside it: ``src, id, raw``."""
+    found = all_texts(t).select("src", "id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_ADDRESS), F.lit(0)))).alias("raw"))
+    words = sorted(mb.VOCABULARY)
+    pick = lambda k: F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+    k = F.col("doc_id")
+    glue = F.element_at(F.array(*map(F.lit, ("", ".", "-", "24", "x"))), (k % 5 + 1).cast("int"))
+    made = t.documents.select(F.lit("m").alias("src"), k.alias("id"), F.concat(pick(k * 7), glue, pick(k * 13 + 5), F.lit("@"), "source", F.lit(".com"), F.when(k % 3 == 0, ".For").otherwise("")).alias("raw"))
+    return found.unionByName(made)
+
+
+_MADE = f"list_sort([{', '.join(q_str(w) for w in sorted(mb.VOCABULARY))}])"
+Q_ADDRESSES = rf"""words AS (SELECT {_MADE} AS ws), printed AS (SELECT DISTINCT src, id::BIGINT AS id, unnest(regexp_extract_all(text, '{_ADDRESS}')) AS raw FROM {_TEXTS}
+  UNION ALL SELECT 'm', doc_id, ws[(doc_id * 7) % len(ws) + 1] || (['', '.', '-', '24', 'x'])[doc_id % 5 + 1] || ws[(doc_id * 13 + 5) % len(ws) + 1] || '@' || source || '.com' || CASE WHEN doc_id % 3 = 0 THEN '.For' ELSE '' END FROM documents, words),
+clean AS (SELECT src, id, raw, lower(CASE WHEN regexp_matches(a, '^[^@A-Z]+@[^@A-Z]+\.[a-z]{{2,}}\.[A-Z][a-z]+$') THEN regexp_replace(a, '\.[A-Z][a-z]+$', '') ELSE a END) AS address
+  FROM (SELECT *, regexp_replace(raw, '[.,;:)\]]+$', '') AS a FROM printed))""".replace("\\\\", "\\")
+
+
+@query("s19_clean_addresses_texts", f"WITH {Q_ADDRESSES} SELECT src, id, raw, address FROM clean")
+def _(t):
+    return printed_addresses(t).select("src", "id", "raw", mb.clean_address("raw").alias("address"))
+
+
+@query("s18_mailbox_kinds_texts")
+def _(t):
+    """Kind of every printed address; no SQL twin of the word break, a test compares it with plain loops."""
+    return printed_addresses(t).select("src", "id", "raw", mb.mailbox_kind(mb.clean_address("raw")).alias("kind"))
+
+
+@query("s34_required_language_texts", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(hay, {q_str(tt.demand_for(x))}) THEN '{x}'" for x in tt.LANGUAGE_CUES)
+       + f" WHEN regexp_matches(title, {q_str(tt.GERMAN_AD)}) THEN 'german' ELSE 'english' END AS lang FROM (SELECT doc_id, title, lower(concat_ws(' ', title, text)) AS hay FROM (SELECT doc_id, text, coalesce({tx.q_lines('text')}[1], '') AS title FROM documents))")
+def _(t):
+    """Documents as ads: the first line is the title."""
+    d = t.documents.select("doc_id", "text", F.coalesce(F.get(tx.lines("text"), F.lit(0)), F.lit("")).alias("title"))
+    return d.select("doc_id", tt.required_language("title", F.col("text")).alias("lang"))
+
+
+@query("s33_answers_texts", rf"""WITH {Q_PARAGRAPHS} SELECT doc_id, line_ix, regexp_matches(line, '[0-9]') AND NOT (regexp_matches(line, '[%€$£]') OR len(list_filter(ws, lambda w: w IN {q_list(tx.CURRENCY_WORDS)})) > 0)
+  AND len(list_filter(ws, lambda w: length(w) >= 3 AND w NOT IN {q_list(pf.NOT_UNIT)} AND w NOT IN {q_list(tuple(tx.SPELLED_NUMBERS))})) = 0 AS needs FROM (SELECT doc_id, line_ix, line, regexp_split_to_array(lower(line), '[^\p{{L}}]+') AS ws FROM paragraphs)""")
+def _(t):
+    return t.paragraphs.select("doc_id", "line_ix", pf.answer_needs_unit("line").alias("needs"))
+
+
+@query("s32_language_rows_texts", rf"""WITH {Q_PARAGRAPHS}, p AS (SELECT doc_id, line_ix, trim(raw) AS raw FROM paragraphs, unnest(regexp_split_to_array(line, '\s*[·,;|]\s*|
++')) AS u(raw) WHERE trim(raw) <> ''),
+r AS (SELECT *, trim(regexp_extract(raw, '^(.+?)\s*(?:\(\s*(.*?)\s*\)|[:–—-]\s*(.+))?$', 1)) AS name, trim(regexp_extract(raw, '^(.+?)\s*(?:\(\s*(.*?)\s*\)|[:–—-]\s*(.+))?$', 2) || regexp_extract(raw, '^(.+?)\s*(?:\(\s*(.*?)\s*\)|[:–—-]\s*(.+))?$', 3)) AS lvl FROM p)
+SELECT doc_id, line_ix, count(*) AS n_rows, count(*) FILTER (lower(name) IN {q_list(tuple(pf.LANGUAGE_CODES))}) AS n_known, count(*) FILTER (regexp_matches(lvl, '^(?i)[abc][12]$')) AS n_cefr FROM r GROUP BY ALL""")
+def _(t):
+    """Every line read as a languages line."""
+    rows = t.paragraphs.select("doc_id", "line_ix", F.explode(pf.language_rows("line")).alias("r"))
+    return rows.groupBy("doc_id", "line_ix").agg(F.count(F.lit(1)).alias("n_rows"), F.count("r.code").alias("n_known"), F.sum((F.col("r.cefr") != "").cast("long")).alias("n_cefr"))
