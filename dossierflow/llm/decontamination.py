@@ -96,7 +96,8 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose text holds a test item; all columns, repeated rows and null texts stay, as do other texts of the
+    """``docs`` without the rows whose text holds a test item; all columns whatever their names, repeated rows and null texts stay, as do other texts of the
     same id, be it null or not."""
-    dirty = text_pairs(docs, items, doc_id, text, **options).select(F.col("doc").alias("_dirty"), F.col("digest").alias("_digest")).distinct()
-    return docs.join(dirty, docs[doc_id].eqNullSafe(dirty["_dirty"]) & (F.xxhash64(docs[text]) == dirty["_digest"]), "left_anti")
+    dirty = text_pairs(docs, items, doc_id, text, **options).select("doc", "digest").distinct()
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("own"), F.xxhash64(text).alias("text_hash"))
+    return row.join(dirty, row["own"].eqNullSafe(dirty["doc"]) & (row["text_hash"] == dirty["digest"]), "left_anti").select("row.*")

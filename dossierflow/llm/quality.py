@@ -23,13 +23,17 @@ SYMBOLS = b"#*$%&|<>"
 #: text, and a slight difference must not count as far away.
 FEATURES = {"length": 0.5, "word_length": 0.06, "symbols": 0.06, "capitals": 0.05, "repeated_lines": 0.2, "repeated_words": 0.15, "variety": 0.08}
 P = len(FEATURES)
-#: Units of a statistic, and the most of them: products of two then add up in 64 bits for 3e10 rows of a group.
+#: Units of a statistic, and the most of them (64 in the statistic itself, far beyond any rejection): products of two then add up in 64
+#: bits for 3e10 rows of a group.
 UNIT, MOST = 256, 1 << 14
-#: Part of a group's rows that the estimate rests on, steps at most, smallest group with an estimate of its own.
-KEPT_PART, STEPS, LEAST_ROWS = 0.7, 12, 200
+#: Part of a group's rows that the estimate rests on, and steps at most.
+KEPT_PART, STEPS = 0.7, 12
+#: Rows that a group is lent from its language, a language from the table, and the table from a wide guess of ``WIDE`` least deviations: a
+#: group's scatter goes over from theirs to its own with its number of rows.
+LENT_ROWS, WIDE = 200, 8
 #: Estimates that are broadcast (a few hundred bytes each); more meet the rows in a shuffle join.
 BROADCAST_GROUPS = 100_000
-#: Chance of a row of the estimated normal distribution to be rejected.
+#: Chance of a row of the estimated normal distribution to be rejected: less than one clean row of a billion goes.
 REJECTED = 1e-9
 WINDOW = 8
 
@@ -94,21 +98,10 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
     return rows.mapInArrow(measure, schema).withColumn("base_failed", failed)
 
 
-def grouped(rows: DataFrame, least_rows: int) -> DataFrame:
-    """Adds ``g``, the group whose estimate judges the row: language and source; where these have too few rows that passed the base rules,
-    the language; where that has too few, the table. Null where even it has too few. And ``fits``, the groups whose estimates rest on the
-    row if it passed: its own and those that small groups of its language or of the table borrow, with all their rows."""
-    for k, by in enumerate((["lang", "source"], ["lang"])):
-        rows = rows.withColumn(f"_g{k}", F.xxhash64(F.lit(k), *[F.coalesce(F.concat(F.lit("="), by_), F.lit("-")) for by_ in map(F.col, by)]))
-    sizes = stored(rows.groupBy("_g0", "_g1").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("_n")), "group-sizes")
-    languages = sizes.groupBy("_g1").agg(F.sum("_n").alias("_n1"), F.max(F.col("_n") < least_rows).alias("_lends"))
-    total, short = languages.agg(F.coalesce(F.sum("_n1"), F.lit(0)), F.coalesce(F.max(F.col("_n1") < least_rows), F.lit(False))).first()  # one row
-    every, large, spoken = F.xxhash64(F.lit(2)), F.col("_n") >= least_rows, F.col("_n1") >= least_rows
-    fits = F.array(F.when(large, F.col("_g0")), F.when(spoken & F.col("_lends"), F.col("_g1")), F.when(F.lit(short and total >= least_rows), every))
-    groups = stored(sizes.join(languages, "_g1").select(
-        "_g0", "_g1", F.when(large, F.col("_g0")).when(spoken, F.col("_g1")).when(F.lit(total >= least_rows), every).alias("g"),
-        F.filter(fits, lambda g: g.isNotNull()).alias("fits")), "groups")
-    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, ["_g0", "_g1"]).drop("_g0", "_g1")
+def grouped(rows: DataFrame) -> DataFrame:
+    """Adds ``g``, the row's group by language and source, and the groups above it, ``g1`` of its language and ``g2`` of the table."""
+    key = lambda k, *by: F.xxhash64(F.lit(k), *[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in by])
+    return rows.select("*", key(0, "lang", "source").alias("g"), key(1, "lang").alias("g1"), key(2).alias("g2"))
 
 
 def chi_square(p: int, below: float) -> float:
@@ -192,28 +185,67 @@ def estimates(rows: DataFrame, kept_part: float = KEPT_PART, steps: int = STEPS)
     return now.join(bins.select("g", F.greatest(F.lit(1.0), wide).alias("scale")), "g")
 
 
+def shrunk(groups: DataFrame, known: DataFrame, lent_rows: int) -> DataFrame:
+    """``g, m, w``: each group's estimate, drawn towards that of its language as if that lent it ``lent_rows`` rows, and the language's towards
+    the table's likewise. ``groups``: g, g1, g2; ``known``: the estimates of all three levels with their rows ``n``."""
+    low = np.tril_indices(P)
+    least = np.array([UNIT * s for s in FEATURES.values()])
+    levels = ("g2", "g1", "g")
+    for k in levels:
+        groups = groups.join(known.select(F.col("g").alias(k), F.struct("n", "m", "w", "scale").alias(f"_{k}")), k, "left")
+
+    def covariance(e: dict) -> np.ndarray:
+        root = np.zeros((P, P))
+        root[low] = e["w"]
+        root = np.linalg.inv(root)
+        return root @ root.T * e["scale"]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for g, *found in zip(*(c.to_pylist() for c in batch.columns)):
+                if found[0] is None:  # no row of the table passed the base rules
+                    continue
+                mean, cov = np.array(found[0]["m"]), np.diag((WIDE * least) ** 2)
+                for e in found:
+                    if e is not None:
+                        n, own, part = e["n"], np.array(e["m"]), e["n"] / (e["n"] + lent_rows)
+                        away = own - mean
+                        cov = part * covariance(e) + (1 - part) * cov + part * (1 - part) * np.outer(away, away)
+                        mean = part * own + (1 - part) * mean
+                out.append((g, mean.tolist(), np.linalg.inv(np.linalg.cholesky(cov))[low].tolist()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["g", "m", "w"])
+
+    return groups.select("g", *[f"_{k}" for k in levels]).mapInArrow(draw, "g long, m array<double>, w array<double>")
+
+
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", kept_part: float = KEPT_PART,
-            rejected: float = REJECTED, least_rows: int = LEAST_ROWS) -> DataFrame:
+            rejected: float = REJECTED, lent_rows: int = LENT_ROWS) -> DataFrame:
     """The counts and verdict of every row: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     distance, digest``.
 
     Rows that fail the base rules take no part in the estimates. A row is rejected if its squared distance from its group is above the
     chi-square quantile that a row of the group's own distribution passes with chance ``rejected``.
 
-    A null text has no words and fails the base rules, as does an empty one; null languages and sources are values like others; groups
-    of fewer than ``least_rows`` rows are judged by the estimate of all rows of their language, then by that of all rows of the table, and
-    without an estimate (``distance`` null) where even these are too few, as in a small table. Repeated rows give repeated results, an empty table none."""
-    rows = stored(grouped(stored(statistics(docs, doc_id, text, lang, source), "statistics"), least_rows), "statistics-by-group")
-    fit = rows.where(~F.col("base_failed")).select(F.explode("fits").alias("g"), *[f"x{i}" for i in range(P)])
-    known = stored(estimates(fit, kept_part), "outlier-estimates")
-    d = (distance() / F.col("scale")).alias("distance")
-    judged = with_groups(rows, known.select("g", "m", "w", "scale"), "left").select(*rows.columns, d)
+    A null text has no words and fails the base rules, as does an empty one; null languages and sources are values like others. Every group,
+    however small, is judged by its own estimate drawn towards that of its language, and that towards the table's; the fewer its rows, the
+    more. A group without a row that passed has no distance of its own making, only the lent one. Repeated rows give repeated results, an empty
+    table none; texts of any length are measured whole; further columns are left out whatever their names."""
+    rows = stored(grouped(statistics(docs, doc_id, text, lang, source)), "statistics")
+    passed = rows.where(~F.col("base_failed"))
+    fit = passed.select(F.explode(F.array("g", "g1", "g2")).alias("g"), *[f"x{i}" for i in range(P)])
+    sizes = fit.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    known = stored(estimates(fit, kept_part).join(sizes, "g"), "outlier-estimates")
+    final = stored(shrunk(rows.select("g", "g1", "g2").distinct(), known, lent_rows), "outlier-groups")
+    judged = with_groups(rows, final, "left").select(*rows.columns, distance().alias("distance"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          (~F.col("base_failed") & F.coalesce(F.col("distance") <= chi_square(P, 1 - rejected), F.lit(True))).alias("kept"),
                          "distance", "digest")
 
 
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that are rejected; columns as they are, repeated rows stay."""
-    out = quality(docs, doc_id, text, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    return docs.join(out, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_digest")), "left_anti")
+    """``docs`` without the rows that are rejected; columns as they are whatever their names, repeated rows stay."""
+    out = quality(docs, doc_id, text, **options).where(~F.col("kept")).select("doc_id", "digest").distinct()
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("own"), F.xxhash64(text).alias("text_hash"))
+    return row.join(out, row["own"].eqNullSafe(out["doc_id"]) & (row["text_hash"] == out["digest"]), "left_anti").select("row.*")

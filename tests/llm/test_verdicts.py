@@ -73,9 +73,9 @@ def test_junk_goes_and_clean_text_stays(spark):
             own = [w.upper() + "!!" for w in own] if i % 20 else [w + "###" for w in own]
         rows.append((i, " ".join(own), "en" if i % 3 else "de", f"s{i % 2}", junk))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, junk boolean")
-    verdict = {r.doc_id: r.kept for r in quality.quality(docs, least_rows=100).collect()}
+    verdict = {r.doc_id: r.kept for r in quality.quality(docs, lent_rows=100).collect()}
     assert all(verdict[i] != junk for i, *_, junk in rows)
-    kept = quality.kept_documents(docs, least_rows=100)
+    kept = quality.kept_documents(docs, lent_rows=100)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, *_, junk in rows if not junk}
 
 
@@ -94,17 +94,39 @@ def test_small_groups_borrow_the_estimates_of_large_ones(spark):
     assert [i for i, *_, junk in rows if got[i].kept == junk] == []
 
 
-def test_borrowed_estimates_rest_on_all_rows(spark):
-    """By source: large on its own, small by its language, rare by the table; rows that failed take part in the choice, not in the sizes."""
-    rows = [(i, lang, source, failed) for i, (lang, source, failed) in enumerate(
-        [("en", "large", False)] * 20 + [("en", "small", False)] * 5 + [("de", "rare", False)] * 4 + [("en", "failed", True)] * 30 + [("fr", "large", False)] * 20)]
-    out = quality.grouped(spark.createDataFrame(rows, "doc_id long, lang string, source string, base_failed boolean"), 10).collect()
-    own = {(r.lang, r.source): (r.g, set(r.fits)) for r in out}
-    assert len(out) == len(rows) and len(own) == 5
-    en, every = own["en", "small"][0], own["de", "rare"][0]
-    assert own["en", "failed"][0] == en and len({en, every, own["en", "large"][0], own["fr", "large"][0]}) == 4
-    assert own["en", "large"][1] == {own["en", "large"][0], en, every} and own["en", "small"][1] == {en, every}
-    assert own["de", "rare"][1] == {every} and own["fr", "large"][1] == {own["fr", "large"][0], every}
+@pytest.mark.parametrize("n", [0, 1, 5, 50, 5000])
+def test_scatter_goes_over_from_the_language_to_the_group(spark, n):
+    """Mean and covariance by plain matrices, whatever the rows of the group."""
+    rng = np.random.default_rng(n)
+    size, low = quality.P, np.tril_indices(quality.P)
+    known, plain = [], {}
+    for g, rows in (("g2", 900), ("g1", 300), ("g", n)):
+        a = rng.normal(size=(size, size)) * 40
+        cov, mean = a @ a.T + np.eye(size) * 100, rng.normal(size=size) * 100
+        plain[g] = (rows, mean, cov * 1.5)
+        if rows:
+            known.append((("g", "g1", "g2").index(g), rows, mean.tolist(), np.linalg.inv(np.linalg.cholesky(cov))[low].tolist(), 1.5))
+    k = spark.createDataFrame(known, "g long, n long, m array<double>, w array<double>, scale double")
+    got = quality.shrunk(spark.createDataFrame([(0, 1, 2)], "g long, g1 long, g2 long"), k, 200).first()
+    mean, cov = plain["g2"][1], np.diag([(quality.WIDE * quality.UNIT * s) ** 2 for s in quality.FEATURES.values()])
+    for g in ("g2", "g1", "g"):
+        rows, m, c = plain[g]
+        cov = (rows * c + 200 * cov) / (rows + 200) + rows * 200 / (rows + 200) ** 2 * np.outer(m - mean, m - mean)
+        mean = (rows * m + 200 * mean) / (rows + 200)
+    w = np.zeros((size, size))
+    w[low] = got["w"]
+    assert np.allclose(got["m"], mean) and np.allclose(np.linalg.inv(w) @ np.linalg.inv(w).T, cov)
+
+
+def test_small_tables_have_verdicts(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(400)]
+    rows = [(i, " ".join("###" + w.upper() + "!!" if i == 7 else w for w in rng.choices(words, k=60)), "en", f"s{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs = docs.selectExpr("*", "1 AS _id", "2 AS _digest", "3 AS digest", "4 AS own", "5 AS g", "6 AS text_hash")
+    assert {r.doc_id for r in quality.quality(docs).collect() if not r.kept} == {7}
+    kept = quality.kept_documents(docs)
+    assert kept.columns == docs.columns and kept.count() == 29
 
 
 def test_estimates_meet_plain_concentration_steps(spark):
