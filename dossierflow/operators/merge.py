@@ -1,6 +1,10 @@
 """Overlays, upserts, profile merges and version diffs."""
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,3 +127,40 @@ def forget_unmatched(items: DataFrame, key: str, unmatched: Column) -> DataFrame
 def values_at(values: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
     """Values of the stored paths that are asked for; both sides keyed by record and path."""
     return values.join(asked.select(*keys).distinct(), keys)
+
+
+def rising(values: list[int]) -> set[int]:
+    """Places of a longest rising run of the values (the one whose ends are smallest), by patience sorting."""
+    ends, places, before = [], [], []
+    for i, v in enumerate(values):
+        k = bisect_left(ends, v)
+        before.append(places[k - 1] if k else -1)
+        if k == len(ends):
+            ends.append(v)
+            places.append(i)
+        else:
+            ends[k], places[k] = v, i
+    out, at = set(), places[-1] if places else -1
+    while at >= 0:
+        out.add(at)
+        at = before[at]
+    return out
+
+
+def moved_parents(new: DataFrame, old: DataFrame, doc: str, parent: str, pos: str) -> DataFrame:
+    """``doc, parent, moved`` of the parents that both versions have. Of these the longest run that keeps its old order has stayed, whatever
+    was added or removed between; the others have moved. One record's parents stand in one row."""
+    both = new.select(doc, parent, F.col(pos).alias("_new")).join(old.select(doc, parent, F.col(pos).alias("_old")), [doc, parent])
+    rows = both.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("_new", "_old", F.col(parent).alias("p")))).alias("ps")).select(
+        doc, F.transform("ps", lambda x: x["p"]).alias("p"), F.transform("ps", lambda x: x["_old"].cast("long")).alias("old"))
+    doc_type, parent_type = (both.schema[c].dataType.simpleString() for c in (doc, parent))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            order = batch.column(2).to_pylist()
+            stayed = [rising(o) for o in order]
+            owner = pa.array([i for i, o in enumerate(order) for _ in o], pa.int32())
+            moved = pa.array([k not in s for o, s in zip(order, stayed) for k in range(len(o))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).flatten(), moved], names=[doc, parent, "moved"])
+
+    return rows.mapInArrow(compare, f"`{doc}` {doc_type}, `{parent}` {parent_type}, moved boolean")

@@ -165,3 +165,20 @@ def _(t):
     merged = rl.merged_roles(roles.where("pos % 2 = 1"), roles.where("pos % 2 = 0"), "owner")
     return merged.select("owner", "ix", "title", "employer", "end_year", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("lines_key"), "origin",
                          F.col("gained").cast("long").alias("gained"))
+
+
+_SHIFT = "parent + (parent * 7 + doc_id) % 5"
+
+
+@query("h6_moved_parents", f"""WITH RECURSIVE {Q_PARAGRAPHS}, old AS (SELECT DISTINCT doc_id, line_ix // 4 AS parent FROM paragraphs), kept AS (SELECT * FROM old WHERE (parent * 3 + doc_id) % 7 <> 0),
+v AS (SELECT doc_id, list(parent ORDER BY {_SHIFT}, parent) AS vs FROM kept GROUP BY 1),
+r AS (SELECT doc_id, vs, 0 AS i, []::INT[] AS ls FROM v UNION ALL SELECT doc_id, vs, i + 1, list_append(ls, 1 + coalesce(list_max(list_filter(ls, lambda l, j: vs[j] < vs[i + 1])), 0)) FROM r WHERE i < len(vs))
+SELECT doc_id, len(vs) AS n_parents, len(vs) - list_max(ls) AS n_moved FROM r WHERE i = len(vs)""")
+def _(t):
+    """Sections of four lines as roles; the new version drops a seventh of them and pushes others back."""
+    section = F.floor(F.col("line_ix") / 4).cast("int")
+    old = t.paragraphs.select("doc_id", section.alias("parent")).distinct()
+    p = F.col("parent")
+    new = old.where((p * 3 + F.col("doc_id")) % 7 != 0).withColumn("pos", (p + (p * 7 + F.col("doc_id")) % 5) * 1000000 + p)
+    moved = mg.moved_parents(new, old.withColumn("pos", p), "doc_id", "parent", "pos")
+    return moved.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_parents"), F.sum(F.col("moved").cast("long")).alias("n_moved"))
