@@ -4,6 +4,11 @@ A hot key is pre-aggregated on its month values (a bounded domain) before any wi
 """
 from __future__ import annotations
 
+from bisect import bisect
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +16,7 @@ from pyspark.sql import functions as F
 from dossierflow.functions import text as tx
 from dossierflow.operators.scale import bucketed_rank, top_k
 
+NO_WORD, WORDS = regex.compile(r"[^\p{L}\p{N}]"), regex.compile("[^ ]+")
 SPAN = 65_536  # rows of stored positions per rank bucket
 
 
@@ -185,25 +191,46 @@ def first_by_priority(rows: DataFrame, keys: list[str], value: str, priority: st
     return rows.where(F.trim(F.coalesce(value, F.lit(""))) != "").groupBy(*keys).agg(F.min_by(value, priority).alias(value))
 
 
-def strongest_spans(text: str, patterns: list[str]) -> Column:
-    """Non-overlapping pattern hits: longest first, then earliest, then rank. ``patterns`` are lower-case literals.
-    The fold runs over the hits of one text."""
-    low = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", " "), F.lit(" "))
-    def hits(rank: int, term: str) -> Column:
-        parts = F.split(low, f" {term} ")
-        width = len(term)
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("s"))
-        step = lambda acc, p: F.struct((acc["at"] + F.length(p) + width + 2).alias("at"),
-                                       F.concat(acc["s"], F.array(acc["at"] + F.length(p))).alias("s"))
-        starts = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step)["s"]
-        return F.transform(starts, lambda s: F.struct(F.lit(-width).alias("neg_len"), s.alias("start"), F.lit(rank).alias("rank"), (s + width).alias("end")))
-
-    found = [hits(rank, term) for rank, term in enumerate(patterns)]
-    ordered = F.array_sort(F.concat(*found))
-    empty = F.array().cast("array<struct<neg_len:int,start:int,rank:int,end:int>>")
-    kept = F.aggregate(ordered, empty, lambda acc, h: F.when(
-        F.exists(acc, lambda k: (h["start"] < k["end"]) & (k["start"] < h["end"])), acc).otherwise(F.concat(acc, F.array(h))))
-    return F.array_sort(F.transform(kept, lambda k: F.struct(k["start"].alias("start"), k["end"].alias("end"), k["rank"].alias("rank"))))
+def term_hits(text: str, terms: dict[str, list[tuple[str, int]]]) -> list[tuple[int, int, int]]:
+    """``(start, end, rank)`` of every term in a text, in one pass over its words. ``terms``: by first word, the whole terms with their ranks. A
+    term of several words stands with one other character between them."""
+    low, out = text.lower(), []
+    plain = NO_WORD.sub(" ", low)
+    for m in WORDS.finditer(plain):
+        for term, rank in terms.get(m[0], ()):
+            end = m.start() + len(term)
+            if plain.startswith(term, m.start()) and (end == len(plain) or plain[end] == " "):
+                out.append((m.start(), end, rank))
+    return out
+
+
+def apart(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Hits that do not overlap, by start: the longest first, then the earliest, then by rank. What is kept lies in order, so a hit looks at
+    its two neighbours only."""
+    kept: list[tuple[int, int, int]] = []
+    for hit in sorted(hits, key=lambda h: (h[0] - h[1], h[0], h[2])):
+        k = bisect(kept, hit)
+        if (not k or kept[k - 1][1] <= hit[0]) and (k == len(kept) or hit[1] <= kept[k][0]):
+            kept.insert(k, hit)
+    return kept
+
+
+def strongest_in(texts: DataFrame, key: str, text: str, patterns: list[str]) -> DataFrame:
+    """``key, start, end, rank`` of the non-overlapping hits of lower-case terms in each text (``rank``: place in ``patterns``), whatever their
+    number: all terms are looked up in one pass over the words."""
+    by_first: dict[str, list[tuple[str, int]]] = {}
+    for rank, term in enumerate(patterns):
+        by_first.setdefault(term.split(" ")[0], []).append((term, rank))
+    kind = texts.schema[key].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [apart(term_hits(t or "", by_first)) for t in batch.column(1).to_pylist()]
+            owner = pa.array([i for i, hits in enumerate(found) for _ in hits], pa.int32())
+            flat = [h for hits in found for h in hits]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), *[pa.array([h[c] for h in flat], pa.int32()) for c in range(3)]], names=[key, "start", "end", "rank"])
+
+    return texts.select(key, text).mapInArrow(find, f"`{key}` {kind}, start int, end int, rank int")
 
 
 def older_roles(ranked: DataFrame, year: int, from_rank: int = 4, years: int = 15) -> DataFrame:

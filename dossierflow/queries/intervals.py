@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from dossierflow.catalog import query
 from dossierflow.functions import dates as dt
 from dossierflow.functions import text as tx
+from dossierflow.functions.text import q_str
 from dossierflow.operators import intervals as iv
 from dossierflow.operators.scale import join_small
 from dossierflow.tables import Q_ORDER_ROLES
@@ -84,11 +85,29 @@ def _(t):
     return iv.trailing_rate(t.events.select("event_id", "user_id", "ts"), ["user_id"], "ts", "event_id", 3, 86400).drop("ts")
 
 
-@query("f15_strongest_span")
+SPAN_TERMS = ["the", "and the", "in the", "of", "of the", "the on", "le", "de la", "la"]
+
+
+def _spans_sql():
+    """Terms by length, the longest first; none of these can overlap more than one earlier one of its own length."""
+    sizes = sorted({len(p) for p in SPAN_TERMS}, reverse=True)
+    pats = ", ".join(f"({q_str(p)}, {i})" for i, p in enumerate(SPAN_TERMS))
+    over = "k.doc_id = h.doc_id AND h.start < k.end AND k.start < h.end"
+    parts, kept = [], []
+    for n in sizes:
+        free = " AND ".join(f"NOT EXISTS (SELECT 1 FROM k{m} k WHERE {over})" for m in kept) or "true"
+        parts.append(f"c{n} AS MATERIALIZED (SELECT h.* FROM hits h WHERE h.end - h.start = {n} AND {free}), "
+                     f"k{n} AS MATERIALIZED (SELECT h.* FROM c{n} h WHERE NOT EXISTS (SELECT 1 FROM c{n} k WHERE {over} AND k.start < h.start))")
+        kept.append(n)
+    return (f"""WITH low AS (SELECT doc_id, string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]', ' ', 'g'), ' ') AS ws FROM documents), pats(p, rank) AS (VALUES {pats}),
+w AS (SELECT doc_id, w, lead(w) OVER o AS following, (sum(length(w) + 1) OVER o - length(w) - 1)::INT AS s FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM low) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+hits AS MATERIALIZED (SELECT doc_id, s AS start, s + length(p) AS end, rank FROM w JOIN pats ON p = w OR p = w || ' ' || following),
+""" + ",\n".join(parts) + " SELECT doc_id, start::INT AS start, \"end\"::INT AS \"end\", rank FROM (" + " UNION ALL ".join(f"SELECT * FROM k{n}" for n in sizes) + ")").replace("h.end", 'h."end"').replace("k.end", 'k."end"').replace(" AS end,", ' AS "end",').replace("\\\\", "\\")
+
+
+@query("f15_strongest_span", _spans_sql())
 def _(t):
-    """No SQL twin: the keep-or-drop fold is order dependent; a test compares it with brute force."""
-    spans = iv.strongest_spans("text", ["the", "and the", "in the", "of", "of the", "the on", "le", "de la", "la"])
-    return t.documents.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.start", "s.end", "s.rank")
+    return iv.strongest_in(t.documents, "doc_id", "text", SPAN_TERMS)
 
 
 @query("d8_overlapping_intervals", f"""WITH {Q_ORDER_ROLES}, l AS (SELECT * FROM order_roles WHERE to_ix - from_ix >= 1)
