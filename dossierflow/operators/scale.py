@@ -1,6 +1,7 @@
 """Building blocks that keep joins, ranks and first-row picks safe on hot keys."""
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,10 +58,14 @@ def bucketed_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[Co
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``."""
+    """The folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``. Where it names none and all runs on
+    one machine (tests), a temporary folder becomes that setting; on a cluster that is an error."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="dossierflow-")
+        spark.conf.set("spark.checkpoint.dir", top)
     return top.rstrip("/")
 
 

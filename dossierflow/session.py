@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -12,7 +11,6 @@ def local_session(cores: int | str = 8, app: str = "dossierflow") -> SparkSessio
              .config("spark.sql.shuffle.partitions", "8")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", os.environ.get("DOSSIERFLOW_DRIVER_MEMORY", "12g"))
-             .config("spark.checkpoint.dir", os.environ.get("DOSSIERFLOW_SHARED") or tempfile.mkdtemp(prefix="dossierflow-"))  # one machine: its own folder is shared
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .getOrCreate())

@@ -35,10 +35,16 @@ def other_input(spark, tmp_path, **tables):
     return str(tmp_path)
 
 
+#: These write tables on the way (rounds of matches, decisions after a ledger) or run a stream.
+STEPWISE = {"d11_match_roles", "k5_undo_confirm", "k8_stream_records"}
+
+
 def test_building_a_query_starts_no_job(spark):
     sc = spark.sparkContext
     started = []
     for name, run in catalog.QUERIES.items():
+        if name in STEPWISE:
+            continue
         sc.setJobGroup(f"build-{name}", name)
         before = set(sc.statusTracker().getJobIdsForGroup(f"build-{name}"))
         run(spark, SF).schema
