@@ -28,9 +28,9 @@ P = len(FEATURES)
 UNIT, MOST = 256, 1 << 14
 #: Part of a group's rows that the estimate rests on, and steps at most.
 KEPT_PART, STEPS = 0.7, 12
-#: Rows that a group is lent from its language, a language from the table, and the table from a wide guess of ``WIDE`` least deviations: a
-#: group's scatter goes over from theirs to its own with its number of rows.
-LENT_ROWS, WIDE = 200, 8
+#: Rows that a group is lent from its language and a language from the table, so that its scatter goes over from theirs to its own with its
+#: number of rows; and rows (two per statistic) that the table is lent from a guess of ``WIDE`` least deviations.
+LENT_ROWS, GUESS_ROWS, WIDE = 200, 2 * P, 5
 #: Estimates that are broadcast (a few hundred bytes each); more meet the rows in a shuffle join.
 BROADCAST_GROUPS = 100_000
 #: Chance of a row of the estimated normal distribution to be rejected: less than one clean row of a billion goes.
@@ -186,8 +186,8 @@ def estimates(rows: DataFrame, kept_part: float = KEPT_PART, steps: int = STEPS)
 
 
 def shrunk(groups: DataFrame, known: DataFrame, lent_rows: int) -> DataFrame:
-    """``g, m, w``: each group's estimate, drawn towards that of its language as if that lent it ``lent_rows`` rows, and the language's towards
-    the table's likewise. ``groups``: g, g1, g2; ``known``: the estimates of all three levels with their rows ``n``."""
+    """``g, m, w``: each group's estimate, drawn towards that of its language as if that lent it ``lent_rows`` rows, the language's towards the
+    table's likewise, and the table's towards a wide guess that few rows outweigh. ``groups``: g, g1, g2; ``known``: the estimates of all three levels with their rows ``n``."""
     low = np.tril_indices(P)
     least = np.array([UNIT * s for s in FEATURES.values()])
     levels = ("g2", "g1", "g")
@@ -207,9 +207,9 @@ def shrunk(groups: DataFrame, known: DataFrame, lent_rows: int) -> DataFrame:
                 if found[0] is None:  # no row of the table passed the base rules
                     continue
                 mean, cov = np.array(found[0]["m"]), np.diag((WIDE * least) ** 2)
-                for e in found:
+                for lent, e in zip((GUESS_ROWS, lent_rows, lent_rows), found):
                     if e is not None:
-                        n, own, part = e["n"], np.array(e["m"]), e["n"] / (e["n"] + lent_rows)
+                        own, part = np.array(e["m"]), e["n"] / (e["n"] + lent)
                         away = own - mean
                         cov = part * covariance(e) + (1 - part) * cov + part * (1 - part) * np.outer(away, away)
                         mean = part * own + (1 - part) * mean

@@ -17,9 +17,11 @@ BLOCK = 1024
 def scratch(spark: SparkSession, name: str) -> str:
     """A new place below the shared folder that the session names in ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary folder becomes that setting."""
+    Where the session names none and all runs on one machine (tests), a temporary folder becomes that setting; on a cluster that is an error."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="dossierflow-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

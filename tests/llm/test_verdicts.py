@@ -108,11 +108,11 @@ def test_scatter_goes_over_from_the_language_to_the_group(spark, n):
             known.append((("g", "g1", "g2").index(g), rows, mean.tolist(), np.linalg.inv(np.linalg.cholesky(cov))[low].tolist(), 1.5))
     k = spark.createDataFrame(known, "g long, n long, m array<double>, w array<double>, scale double")
     got = quality.shrunk(spark.createDataFrame([(0, 1, 2)], "g long, g1 long, g2 long"), k, 200).first()
-    mean, cov = plain["g2"][1], np.diag([(quality.WIDE * quality.UNIT * s) ** 2 for s in quality.FEATURES.values()])
-    for g in ("g2", "g1", "g"):
+    mean, cov = plain["g2"][1].copy(), np.diag([(quality.WIDE * quality.UNIT * s) ** 2 for s in quality.FEATURES.values()])
+    for g, lent in (("g2", quality.GUESS_ROWS), ("g1", 200), ("g", 200)):
         rows, m, c = plain[g]
-        cov = (rows * c + 200 * cov) / (rows + 200) + rows * 200 / (rows + 200) ** 2 * np.outer(m - mean, m - mean)
-        mean = (rows * m + 200 * mean) / (rows + 200)
+        cov = (rows * c + lent * cov) / (rows + lent) + rows * lent / (rows + lent) ** 2 * np.outer(m - mean, m - mean)
+        mean = (rows * m + lent * mean) / (rows + lent)
     w = np.zeros((size, size))
     w[low] = got["w"]
     assert np.allclose(got["m"], mean) and np.allclose(np.linalg.inv(w) @ np.linalg.inv(w).T, cov)
