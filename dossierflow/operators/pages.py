@@ -250,3 +250,41 @@ def redirect_target(text: Column, skip_host: str) -> Column:
     """First link of a page whose host is not in the skip pattern."""
     kept = F.filter(ux.links(text), lambda u: (ux.host(u) != "") & ~ux.host(u).rlike(skip_host))
     return F.coalesce(F.try_element_at(kept, F.lit(1)), F.lit(""))
+
+
+#: Stands in a rule table for any host.
+ANY_HOST = "*"
+
+
+def _with_rules(rows: DataFrame, host: Column, rules: DataFrame) -> DataFrame:
+    """Rows beside every rule of their host, and those for any host."""
+    keyed = rows.withColumn("rule_host", F.explode(F.array_distinct(F.array(F.lower(host), F.lit(ANY_HOST)))))
+    return keyed.join(rules.withColumn("rule_host", F.lower("host")).drop("host"), "rule_host").drop("rule_host")
+
+
+def cards_by_rules(pages: DataFrame, rules: DataFrame, host: Column) -> DataFrame:
+    """``page_id, pos, rule, fields`` of the repeating cards of each page by a table of rules: the first card of each page, rule and reference that
+    has every field.
+
+    ``rules``: rule, host (or ``*``), card (pattern of a whole card), fields (map of a field's name to a pattern with one group), ref (the name of the
+    field that tells cards apart). Rules are data: a new site is a new row, and pages meet only the rules of their host."""
+    found = _with_rules(pages.select("page_id", "html", host.alias("_h")), F.col("_h"), rules).select(
+        "page_id", "rule", "fields", "ref", F.posexplode(F.expr("regexp_extract_all(html, card, 0)")).alias("pos", "_card"))
+    values = F.expr("transform_values(fields, (name, pattern) -> regexp_extract(_card, pattern, 1))")
+    read = found.select("page_id", "pos", "rule", "ref", values.alias("_raw")).select(
+        "page_id", "pos", "rule", "ref", F.transform_values("_raw", lambda _, v: hx.to_text(v)).alias("fields"))
+    whole = read.where(F.forall(F.map_values("fields"), lambda v: v != "")).withColumn("_ref", F.element_at(F.col("fields"), F.col("ref")))
+    return keep_first(whole, ["page_id", "rule", "_ref"], [F.col("pos")]).select("page_id", "pos", "rule", "fields")
+
+
+def links_by_rules(anchors: DataFrame, rules: DataFrame, host: Column) -> DataFrame:
+    """``extract_by_link_rules`` by a table: of the rules of its host, or of any, an anchor takes the first (by ``rule``) whose pattern its address
+    fits.
+
+    ``rules``: rule, host, source, pattern (one group: the reference), company, place, place_pattern, skip."""
+    met = _with_rules(anchors.withColumn("_h", host), F.col("_h"), rules).where(F.expr("href RLIKE pattern")).drop("_h")
+    first = keep_first(met, ["page_id", "pos"], [F.col("rule")])
+    rows = first.where(F.length("label").between(4, 160) & ~F.expr("label RLIKE skip")).select(
+        "page_id", "pos", "source", F.col("label").alias("title"), F.expr("regexp_extract(href, pattern, 1)").alias("ref"), "company",
+        F.coalesce(F.nullif(F.expr("regexp_extract(label, place_pattern, 1)"), F.lit("")), F.col("place")).alias("location"), F.split("href", r"\?")[0].alias("url"))
+    return keep_first(rows, ["source", "ref"], [F.col("page_id"), F.col("pos")])

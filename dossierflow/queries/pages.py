@@ -304,3 +304,44 @@ def _(t):
          .when(F.col("page_id") % 6 == 3, F.concat(F.lit("https://8.8.8.8:443/"), pid))
          .when(F.col("page_id") % 6 == 4, F.concat(F.lit("http://example.com:8080/"), pid)).otherwise(F.col("url")))
     return t.pages.select("page_id", u.alias("url")).where(ux.is_public_http("url"))
+
+
+def _card_rules(t):
+    """One rule per host of the pages: hosts of odd length have no address field."""
+    hosts = t.pages.select(ux.host("url").alias("host")).where("host <> ''").distinct()
+    fields = lambda names: F.create_map(*[F.lit(x) for n in names for x in (n, CARD_FIELDS[n])])
+    return hosts.select(F.concat(F.lit("cards of "), "host").alias("rule"), "host", F.lit(CARD).alias("card"), F.lit("ref").alias("ref"),
+                        F.when(F.length("host") % 2 == 0, fields(("url", "ref", "title"))).otherwise(fields(("ref", "title"))).alias("fields"))
+
+
+@query("u2_card_rules", f"""WITH rules AS (SELECT DISTINCT {ux.q_host('url')} AS host, {q_str(CARD)} AS card, {q_str(CARD_FIELDS['url'])} AS p_url, {q_str(CARD_FIELDS['ref'])} AS p_ref, {q_str(CARD_FIELDS['title'])} AS p_title FROM pages),
+c AS (SELECT page_id, host, (ix - 1)::INT AS pos, card, p_url, p_ref, p_title FROM (SELECT page_id, host, p_url, p_ref, p_title, regexp_extract_all(html, {q_str(CARD)}) AS cards FROM pages JOIN rules ON {ux.q_host('url')} = host) x, unnest(x.cards) WITH ORDINALITY AS u(card, ix)),
+f AS (SELECT page_id, host, pos, {hx.q_to_text("regexp_extract(card, " + q_str(CARD_FIELDS['url']) + ", 1)")} AS url, {hx.q_to_text("regexp_extract(card, " + q_str(CARD_FIELDS['ref']) + ", 1)")} AS ref, {hx.q_to_text("regexp_extract(card, " + q_str(CARD_FIELDS['title']) + ", 1)")} AS title FROM c)
+SELECT page_id, pos, 'cards of ' || host AS rule, ref, title, CASE WHEN length(host) % 2 = 0 THEN url END AS url FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id, ref ORDER BY pos) AS rn FROM f WHERE host <> '' AND ref <> '' AND title <> '' AND (length(host) % 2 = 1 OR url <> '')) WHERE rn = 1""")
+def _(t):
+    cards = pg.cards_by_rules(t.pages, _card_rules(t), ux.host("url"))
+    return cards.select("page_id", "pos", "rule", *[F.try_element_at("fields", F.lit(n)).alias(n) for n in ("ref", "title", "url")])
+
+
+_BY_HOST = ("^https?://[^/]+/([a-z]{6,})$", "by host", "somewhere", "(?i)(ing)", "(?i)^(?:with)$")
+
+
+def _link_rules(t, anchors):
+    """The two rules for any host, and one for every host that links lead to."""
+    names = ("rule", "host", "source", "pattern", "company", "place", "place_pattern", "skip")
+    fixed = t.spark.createDataFrame([(f"{i}", pg.ANY_HOST, r.source, r.pattern, r.company, r.place, r.place_pattern, r.skip) for i, r in enumerate(LINK_RULES)], ", ".join(f"{n} string" for n in names))
+    hosts = anchors.select(ux.host("href").alias("host")).where("host <> ''").distinct()
+    pattern, company, place, place_pattern, skip = map(F.lit, _BY_HOST)
+    return fixed.unionByName(hosts.select(F.concat(F.lit("h"), "host").alias("rule"), "host", F.col("host").alias("source"), pattern.alias("pattern"), company.alias("company"),
+                                          place.alias("place"), place_pattern.alias("place_pattern"), skip.alias("skip")))
+
+
+@query("u2_link_rules", f"""WITH {Q_LINKS}, rules AS (SELECT * FROM (VALUES {", ".join(f"('{i}', '*', {q_str(r.source)}, {q_str(r.pattern)}, {q_str(r.company)}, {q_str(r.place)}, {q_str(r.place_pattern)}, {q_str(r.skip)})" for i, r in enumerate(LINK_RULES))}) v(rule, host, source, pattern, company, place, place_pattern, skip)
+  UNION ALL SELECT DISTINCT 'h' || {ux.q_host('href')}, {ux.q_host('href')}, {ux.q_host('href')}, {", ".join(map(q_str, _BY_HOST))} FROM links WHERE {ux.q_host('href')} <> ''),
+m AS (SELECT l.*, r.*, row_number() OVER (PARTITION BY page_id, pos ORDER BY rule) AS k FROM (SELECT page_id, pos, href, label, {ux.q_host('href')} AS h FROM links) l JOIN rules r ON (r.host = l.h OR r.host = '*') AND regexp_matches(href, pattern)),
+f AS (SELECT page_id, pos, source, label AS title, regexp_extract(href, pattern, 1) AS ref, company, coalesce(nullif(regexp_extract(label, place_pattern, 1), ''), place) AS location, split_part(href, '?', 1) AS url FROM m WHERE k = 1 AND length(label) BETWEEN 4 AND 160 AND NOT regexp_matches(label, skip))
+SELECT page_id, pos, source, title, ref, company, location, url FROM (SELECT *, row_number() OVER (PARTITION BY source, ref ORDER BY page_id, pos) AS rn FROM f) WHERE rn = 1""")
+def _(t):
+    anchors = pg.extract_anchors(t.pages)
+    return pg.links_by_rules(anchors, _link_rules(t, anchors), ux.host("href"))
