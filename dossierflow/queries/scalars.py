@@ -9,6 +9,7 @@ from dossierflow.functions import text as tx
 from dossierflow.functions import titles as tt
 from dossierflow.functions.text import q_has_term, q_list, q_str
 from dossierflow.operators import merge as mg
+from dossierflow.operators import personal as ps
 from dossierflow.operators import postings as po
 from dossierflow.operators.scale import join_small
 from dossierflow.plans import catalogue as cat
@@ -362,3 +363,9 @@ def _(t):
     """Every line read as a languages line."""
     rows = t.paragraphs.select("doc_id", "line_ix", F.explode(pf.language_rows("line")).alias("r"))
     return rows.groupBy("doc_id", "line_ix").agg(F.count(F.lit(1)).alias("n_rows"), F.count("r.code").alias("n_known"), F.sum((F.col("r.cefr") != "").cast("long")).alias("n_cefr"))
+
+
+@query("s30_personal_spans")
+def _(t):
+    """Personal details of every text; no SQL twin of the overlap sweep, tests compare it with plain loops."""
+    return ps.personal_spans(all_texts(t), ["src", "id", "turn"], "text")
