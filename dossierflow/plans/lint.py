@@ -213,8 +213,8 @@ def l3_personal_data(path: Column, text: str, rules=PERSONAL_RULES) -> Findings:
     """Personal details printed in any text: every rule's hits in one pass. ``texts``: doc_id, text."""
     per = []
     for check, kind, pattern in rules:
-        per.append(F.transform(F.regexp_extract_all(tx.fold_digits(text), F.lit(tx.java_ci(pattern)), F.lit(1)), _packer(check, "high", path)))
-    return Findings(per)
+        per.append(F.transform(F.regexp_extract_all("_folded", F.lit(tx.java_ci(pattern)), F.lit(1)), _packer(check, "high", path)))
+    return Findings(per, {"_folded": tx.fold_digits(text)})
 
 
 @row_family
