@@ -19,13 +19,13 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 OTHER_SPACE = re.compile(r"[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 UNITS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 #: Pieces that a worker keeps, for all its tasks. The first to come stay, frequent ones among them; others are encoded block by block.
-KEPT = 1_000_000
+KEPT = 600_000
 #: Longer pieces are encoded but not kept.
 LONG = 64
 #: Words that go to the library as one text.
 RUN = 50_000
 #: Characters of the texts that are cut at once.
-TEXT_BLOCK = 1 << 24
+TEXT_BLOCK = 1 << 23
 #: What byte-level tokenizers write for a blank and a line break.
 OPENING = ("\u0120", "\u010a")
 
