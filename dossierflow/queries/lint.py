@@ -3,8 +3,10 @@ from pyspark.sql import functions as F
 
 from dossierflow.catalog import ORACLES, query
 from dossierflow.functions import contacts as ct
+from dossierflow.functions import dates as dt
 from dossierflow.functions import text as tx
 from dossierflow.functions.text import q_has_term, q_list, q_str
+from dossierflow.operators import intervals as iv
 from dossierflow.operators.scale import join_small
 from dossierflow.plans import catalogue as cat
 from dossierflow.plans import lint as li
@@ -483,3 +485,44 @@ def _(t):
     targets = p.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "director").otherwise("staff").alias("family"))
     near = t.spark.createDataFrame(list(cat.NEAR_PAIRS), "a string, b string")
     return li.title_mismatch(heads, targets, near)
+
+
+# ---- the whole job, roles and places included
+
+_PLACES = ("dubai", "emirates", "paris", "france", "gulf")
+_ROLE_TITLES = ("Sales Manager", "3 years", "Dubai", "", "Head of Trading", "Trading LLC", "- Clerk", "Deputy Director", "Jan 2019")
+_ROLE_FIRMS = ("{n} Trading LLC", "Dubai", "", "{n}, Lyon", "{n} Group -", "{n} Holding")
+_ROLE_DATES = ("{a}/{y} - {b}/{z}", "{y} – {z}", "{a}/{y} – present", "gestern", "", "{b}/2031 – {a}/2032", "{a}/{z} – {b}/{y}", "{y} -- {z}", "seit {y}", "- {a}/{y}")
+
+
+def roles_of_documents(t):
+    """Orders as roles of the document that has their customer's number, printed in many ways, dates read from what is printed."""
+    k = F.col("o_orderkey")
+    pick = lambda forms, i: F.element_at(F.array(*map(F.lit, forms)), (i % len(forms) + 1).cast("int"))
+    two = lambda ix: F.lpad((F.col(ix) % 12 + 1).cast("string"), 2, "0")
+    year = lambda ix: F.floor(F.col(ix) / 12).cast("string")
+    parts = (("{a}", two("from_ix")), ("{b}", two("to_ix")), ("{y}", year("from_ix")), ("{z}", year("to_ix")))
+    dates = pick(_ROLE_DATES, k * 7 + F.col("o_custkey"))
+    for mark, value in parts:
+        dates = F.replace(dates, F.lit(mark), value)
+    firm = F.replace(pick(_ROLE_FIRMS, k * 5 + F.col("o_custkey")), F.lit("{n}"), F.initcap("n_name"))
+    docs = t.documents.select("doc_id", F.col("lang").alias("doc_lang"), F.col("lang").alias("langs"))
+    raw = (t.order_roles.join(t.nation, F.col("n_nationkey") == k % 25).join(docs, F.col("doc_id") == F.col("o_custkey"))
+           .select("doc_id", "doc_lang", "langs", k.alias("role_ix"), pick(_ROLE_TITLES, k * 11 + F.col("o_custkey")).alias("title"), firm.alias("employer"), dates.alias("dates"),
+                   F.col("n_lines"), dt.parse_range(dates).alias("pd")))
+    early, late = dt.early_ix(F.col("pd.from"), TODAY), dt.late_ix(F.col("pd.to"), TODAY)
+    sized = raw.select("*", early.alias("from_ix"), late.alias("to_ix"), F.coalesce(F.col("pd.to.is_open"), F.lit(False)).alias("is_current"), F.coalesce(F.col("pd.from.fmt"), F.lit("")).alias("fmt"))
+    counts = sized.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_roles"))
+    return iv.recency_rank(sized, "doc_id", "role_ix").join(counts, "doc_id")
+
+
+@query("lint_all_with_roles")
+def _(t):
+    """Every check with a data rule, roles and places given. The families over documents and lines have their SQL in ``lint_all``; a test names the
+    checks that must fire."""
+    alias = t.spark.createDataFrame([("dubai", "uae", None), ("emirates", "uae", None), ("paris", "france", None), ("france", "france", None), ("gulf", None, "gcc")],
+                                    "place string, country string, meta string")
+    members = t.spark.createDataFrame([("gcc", "uae"), ("gcc", "qatar")], "meta string, country string")
+    docs = profile(t).withColumn("summary", F.when(F.col("doc_id") % 9 == 0, F.concat("summary", F.lit(" Offices in Dubai and Paris."))).otherwise(F.col("summary")))
+    docs = docs.withColumn("headline", F.when(F.col("doc_id") % 8 == 0, F.concat("headline", F.lit(" Managing Director"))).otherwise(F.col("headline")))
+    return li.lint_all(docs, bullets(t), roles_of_documents(t), words=WORDS, title_words=TITLES, company_openers=COMPANY, places=_PLACES, alias=alias, members=members, today_ix=TODAY, **DIAL)

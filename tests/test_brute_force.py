@@ -147,3 +147,19 @@ def test_near_duplicates_against_pairs(spark):
         if near:
             want[(d, i)] = (min(near), "near")
     assert got == want
+
+
+def test_carried_days_of_skipped_sources_and_missing_runs(spark):
+    from dossierflow.operators import listings as ls
+    rng = random.Random(8)
+    good = {(s, d) for s in range(6) for d in range(1, 29) if rng.random() < 0.25}
+    runs, skipped = {d for d in range(1, 29) if d % 6}, {(s, d) for s in range(6) for d in range(1, 29) if rng.random() < 0.1}
+    wanted = set()
+    for s in range(6):
+        for d in runs:
+            back = [x for x in range(max(1, d - 7), d) if (s, x) in good]
+            if (s, d) not in good and (s, d) not in skipped and back:
+                wanted.add((s, d, max(back)))
+    day = lambda rows, names: spark.createDataFrame(rows, names).withColumn("day", F.make_date(F.lit(2024), F.lit(1), F.col("n").cast("int"))).drop("n")
+    got = ls.carried_days(day(sorted(good), "source int, n int"), day([(d,) for d in runs], "n int"), "source", "day", 7, day(sorted(skipped), "source int, n int")).collect()
+    assert {(r["source"], r["day"].day, r["stale_since"].day) for r in got} == wanted and len(got) == len(wanted)

@@ -286,3 +286,8 @@ def test_hosts_of_one_beginning_are_different_names(spark, tmp_path):
     url = F.concat(F.lit("https://acmecorp"), F.row_number().over(Window.orderBy("page_id")).cast("string"), F.lit(".example.com/"))
     got = catalog.QUERIES["b17_pick_official_site"](spark, other_input(spark, tmp_path, pages=first.withColumn("url", url))).collect()
     assert {r.name: r.url for r in got} == {f"acmecorp{k}": f"https://acmecorp{k}.example.com/" for k in (1, 2)}
+
+
+def test_checks_over_roles_and_places_fire(spark):
+    found = {r["check_id"] for r in catalog.QUERIES["lint_all_with_roles"](spark, SF).select("check_id").distinct().collect()}
+    assert found >= {"ATS-02", "BUL-01", "DOC-03", "EXP-01", "EXP-02", "EXP-03", "EXP-04", "EXP-05", "EXP-06", "EXP-07", "EXP-08", "EXP-09", "EXP-10", "EXP-12", "HL-02", "MKT-02", "SUM-05", "SUM-08"}
