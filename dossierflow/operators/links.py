@@ -171,15 +171,24 @@ def missing_evidence(skills: DataFrame, tokens: DataFrame, skill: str = "concept
     return skills.withColumn("_s", tx.stem(skill)).join(seen, "_s", "left_anti").drop("_s")
 
 
+#: Zeros that a unit of scale stands for (fixed values).
+SCALES = {"k": 3, "m": 6, "mn": 6, "mio": 6, "million": 6, "bn": 9, "mrd": 9}
+
+
 def figures(c) -> Column:
-    """Array of (value, unit, next): every number not glued to a letter, its unit and the stems of the next two words."""
+    """Array of (value, unit, next): every number not glued to a letter, its unit and the stems of the next two words. A number with a unit of
+    scale is written out: 1.5m and 1,500,000 have the same value."""
+    scales = F.create_map(*[F.lit(x) for word, n in SCALES.items() for x in (word, n)])
     marked = F.regexp_replace(F.concat(F.lit(" "), tx.fold_digits(c)), r"([^\p{L}0-9,.])([0-9])", "$1\u0001$2")
     chunks = F.slice(F.split(marked, "\u0001"), 2, 2_000_000_000)
 
     def read(ch: Column) -> Column:
-        value = F.regexp_replace(F.regexp_extract(ch, r"^([0-9][0-9,.]*)", 1), r"[,.]", "")
+        printed = F.regexp_replace(F.regexp_extract(ch, r"^([0-9][0-9,.]*)", 1), r"[,.]+$", "")
         unit = F.lower(F.regexp_extract(ch, r"(?i)^[0-9][0-9,.]*\s?(%|(?:k|mn|m|bn|mio|mrd|million)(?:[^\p{L}]|$))", 1))
         rest = F.filter(tx.letter_words(F.regexp_replace(ch, r"^[0-9][0-9,.]*", "")), lambda w: ~w.isin(*FIGURE_STOP))
+        digits, zeros = F.regexp_replace(printed, r"[,.]", ""), F.coalesce(F.try_element_at(scales, F.regexp_extract(unit, r"^([a-z]+)", 1)), F.lit(0))
+        decimals = F.length(F.regexp_extract(printed, r"[,.]([0-9]{1,2})$", 1))
+        value = F.when(zeros > 0, F.regexp_replace(F.concat(digits, F.repeat(F.lit("0"), zeros - decimals)), r"^0+([0-9])", "$1")).otherwise(digits)
         return F.struct(value.alias("value"), F.trim(unit).alias("unit"), F.transform(F.slice(rest, 1, 2), tx.stem).alias("next"),
                         F.regexp_extract(ch, r"^[0-9][0-9,.]*(\p{L}?)", 1).alias("glued"))
 

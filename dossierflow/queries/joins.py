@@ -108,8 +108,12 @@ def _(t):
 
 
 def _q_figures(x):
-    chunk_value = "regexp_replace(regexp_extract(ch, '^([0-9][0-9,.]*)', 1), '[,.]', '', 'g')"
+    printed = "regexp_replace(regexp_extract(ch, '^([0-9][0-9,.]*)', 1), '[,.]+$', '')"
+    digits = f"regexp_replace({printed}, '[,.]', '', 'g')"
     unit = r"trim(lower(regexp_extract(ch, '(?i)^[0-9][0-9,.]*\s?(%|(?:k|mn|m|bn|mio|mrd|million)(?:[^\p{L}]|$))', 1)))"
+    zeros = "CASE regexp_extract(" + unit + ", '^([a-z]+)', 1) " + " ".join(f"WHEN '{w}' THEN {n}" for w, n in lk.SCALES.items()) + " ELSE 0 END"
+    chunk_value = (f"CASE WHEN {zeros} > 0 THEN regexp_replace({digits} || repeat('0', {zeros} - length(regexp_extract({printed}, '[,.]([0-9]{{1,2}})$', 1))), '^0+([0-9])', '\\1') "
+                   f"ELSE {digits} END")
     nxt = (f"list_transform(list_filter({tx.q_letter_words(chr(39).join(['regexp_replace(ch, ', '^[0-9][0-9,.]*', ', ', '', ')']))}, "
            f"lambda w2: w2 NOT IN {q_list(lk.FIGURE_STOP)})[1:2], lambda w3: {tx.q_stem('w3')})")
     return rf"""SELECT *, {chunk_value} AS value, {unit} AS unit, {nxt} AS nxt, regexp_extract(ch, '^[0-9][0-9,.]*(\p{{L}}?)', 1) AS glued FROM (
