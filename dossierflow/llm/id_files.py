@@ -28,6 +28,8 @@ COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
 #: Ids of a block, and ids of a file before the next one begins (a document is never split).
 BLOCK_IDS, FILE_IDS = 1 << 14, 1 << 22
+#: Words that a worker keeps, and characters of texts that it cuts at once.
+KEPT_WORDS, TEXT_BLOCK = 800_000, 1 << 23
 #: Files that one task reads back, about.
 TASK_FILES = 4
 IN_WORD = np.array([*COUNTS, 0, 1], np.int64)
@@ -143,7 +145,7 @@ def write_id_files(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "
     ``end_id``), null ids come first, rows of the same id follow each other by the first 64 characters of the text, then by its hash, an empty table gives an empty manifest,
     texts of any length are one document, and further columns are left out whatever their names."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part, seq = tokens.id_table(tokenizer), TaskContext.get().partitionId(), 0
+        table, part, seq = tokens.id_table(tokenizer, KEPT_WORDS, TEXT_BLOCK), TaskContext.get().partitionId(), 0
         ids_of, lengths, ids, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:

@@ -124,8 +124,9 @@ class IdTable(PieceTable):
     """Ids of whole texts at once. Arrow cuts the texts of a block into words and numbers the different ones, so Python looks at each different
     word of a block once; the ids of all kept pieces lie in one array, and a block's ids are gathered from it."""
 
-    def __init__(self, path: str, kept: int = KEPT):
+    def __init__(self, path: str, kept: int = KEPT, block: int | None = None):
         super().__init__(path, bytes, kept=kept)
+        self.block = block or TEXT_BLOCK
         self.numbers, self.count = {"u": 0}, 1
         self.first, self.length, self.ids, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, "<u4"), 0
 
@@ -135,7 +136,7 @@ class IdTable(PieceTable):
         for text in texts:
             block.append(text)
             size += len(text)
-            if size > TEXT_BLOCK:
+            if size > self.block:
                 yield self._ids_of(block)
                 block, size = [], 0
         if block:
@@ -194,6 +195,6 @@ class IdTable(PieceTable):
 
 
 @lru_cache(maxsize=2)
-def id_table(path: str, kept: int = KEPT) -> IdTable:
-    """The worker's table of ids."""
-    return IdTable(path, kept)
+def id_table(path: str, kept: int = KEPT, block: int | None = None) -> IdTable:
+    """The worker's table of ids, with at most ``kept`` words and ``block`` characters of texts at a time (memory against CPU)."""
+    return IdTable(path, kept, block)
