@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dossierflow.functions import contacts as ct
 from dossierflow.functions import text as tx
-from dossierflow.operators.scale import join_small
+from dossierflow.operators.scale import join_small, salted_join
 
 # Title words that mark a rung.
 JUNIOR_WORDS = ("assistant", "asst", "junior", "jr", "intern", "internship", "trainee", "graduate", "receptionist", "secretary",
@@ -65,9 +65,15 @@ def drop_lower_rung(df: DataFrame, title: str, words=LOWER_RUNG_WORDS) -> DataFr
 
 
 def language_gate(df: DataFrame, is_foreign: Column, lang: str, allowed: DataFrame) -> DataFrame:
-    """Drop foreign-language rows unless their language is in ``allowed`` (one column, same name as ``lang``)."""
-    marked = join_small(df, allowed.select(lang).distinct().withColumn("_ok", F.lit(True)), lang, "left")
-    return marked.where(~is_foreign | F.col("_ok").isNotNull()).drop("_ok")
+    """Drop foreign-language rows unless their language is in ``allowed`` (one column, same name as ``lang``).
+
+    The text is read before the join, so that it does not travel unless the caller keeps it, and a language, which many rows share, is dealt
+    over slots. A null language is in no list."""
+    marked = df.withColumn("_foreign", is_foreign)
+    plain = [c for c, kind in df.dtypes if "map<" not in kind]
+    listed = allowed.select(lang).distinct().withColumn("_ok", F.lit(True))
+    out = salted_join(marked, listed, [lang], F.struct(*[F.col(f"`{c}`") for c in plain]), how="left")
+    return out.where(~F.col("_foreign") | F.col("_ok").isNotNull()).select(*[F.col(f"`{c}`") for c in [lang, *(c for c in df.columns if c != lang)]])
 
 
 def region_gate(df: DataFrame, title: str, place: str, host: str, wanted: str, elsewhere: list[str], region_words: list[str],
