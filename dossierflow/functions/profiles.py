@@ -45,16 +45,22 @@ def language_rows(c) -> Column:
     """Array of (name, code, level, cefr, raw) from a languages line; an unknown level stays NULL."""
     parts = F.filter(F.transform(F.split(col(c), r"\s*[·,;|]\s*|\n+"), lambda x: F.trim(x)), lambda x: x != "")
 
-    def read(raw: Column) -> Column:
+    def cut(raw: Column) -> Column:
+        # a part without a bracket, a colon, a dash or odd whitespace is all name
         pattern = r"^(.+?)\s*(?:\(\s*(.*?)\s*\)|[:–—-]\s*(.+))?$"
-        name = F.trim(F.regexp_extract(raw, pattern, 1))
+        marked = raw.rlike(r"[(:–—\t\n\x0B\f\r\x{85}\x{2028}\x{2029}-]")
         lvl = F.trim(F.concat(F.regexp_extract(raw, pattern, 2), F.regexp_extract(raw, pattern, 3)))
-        word = F.regexp_replace(F.lower(lvl), r"^[^\p{L}]+|[^\p{L}]+$", "")
-        cefr = F.when(lvl.rlike(r"^(?i)[abc][12]$"), F.upper(lvl)).otherwise("")
-        return F.struct(name.alias("name"), F.try_element_at(_map(LANGUAGE_CODES), F.lower(name)).alias("code"),
-                        F.try_element_at(_map(LEVEL_WORDS), word).alias("level"), cefr.alias("cefr"), raw.alias("raw"))
+        return F.struct(raw.alias("raw"), F.when(marked, F.trim(F.regexp_extract(raw, pattern, 1))).otherwise(raw).alias("name"),
+                        F.when(marked, lvl).otherwise("").alias("lvl"))
 
-    return F.transform(parts, read)
+    def read(p: Column) -> Column:
+        word = F.regexp_replace(F.lower(p["lvl"]), r"^[^\p{L}]+|[^\p{L}]+$", "")
+        cefr = F.when(p["lvl"].rlike(r"^(?i)[abc][12]$"), F.upper(p["lvl"])).otherwise("")
+        return F.struct(p["name"].alias("name"), F.try_element_at(_map(LANGUAGE_CODES), F.lower(p["name"])).alias("code"),
+                        F.when(p["lvl"] != "", F.try_element_at(_map(LEVEL_WORDS), word)).alias("level"),
+                        F.when(p["lvl"] != "", cefr).otherwise("").alias("cefr"), p["raw"].alias("raw"))
+
+    return F.transform(F.transform(parts, cut), read)
 
 
 def localized(key, table: dict[tuple[str, str], str], lang, fallback: str = "en") -> Column:
