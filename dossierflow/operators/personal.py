@@ -46,6 +46,16 @@ class Kind:
     label: bool
     pattern: str
 
+    def may_be_in(self, low: str, digit: bool) -> bool:
+        """Whether a text, in lower case, has what every hit holds."""
+        words, with_digit = NEEDS.get(self.name, li.PERSONAL_NEEDS.get(self.pattern, (("",), False)))
+        return (digit or not with_digit) and any(w in low for w in words)
+
+
+#: What the hits of the contact kinds hold, as ``lint.PERSONAL_NEEDS`` has it for the rules.
+NEEDS = {"email": (("@",), False), "phone": (("+", "00"), True), "card number": (("",), True)}
+ODD_CASE, DIGIT = regex.compile(li.ODD_CASE), regex.compile("[0-9]")
+
 
 def kinds() -> tuple[Kind, ...]:
     """The rules of the lint, addresses, phones and card numbers, the strongest kind first."""
@@ -106,8 +116,10 @@ def nationality_uses(text: str) -> list[tuple[int, int, str]]:
 
 def candidates(text: str) -> list[tuple[bool, int, int, int, str, str]]:
     """``(no label, rank, start, end, kind, check)`` of every rule's hits; of nationality words those of a personal use."""
-    out = [(not k.label, rank, *m.span(1), k.name, k.check) for rank, k, p in COMPILED for m in p.finditer(text, overlapped=True)]
-    out += [(use != "labelled", len(KINDS), start, end, "nationality", "HDR-06") for start, end, use in nationality_uses(text) if use in PERSONAL_USES]
+    low, digit, odd = text.lower(), DIGIT.search(text) is not None, ODD_CASE.search(text) is not None
+    out = [(not k.label, rank, *m.span(1), k.name, k.check) for rank, k, p in COMPILED if odd or k.may_be_in(low, digit) for m in p.finditer(text, overlapped=True)]
+    if odd or any(w in low for w in NATIONALITY_WORDS):
+        out += [(use != "labelled", len(KINDS), start, end, "nationality", "HDR-06") for start, end, use in nationality_uses(text) if use in PERSONAL_USES]
     return sorted(set(out), key=lambda c: (c[0], c[1], c[2] - c[3], c[2]))
 
 
