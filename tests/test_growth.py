@@ -31,3 +31,33 @@ def test_must_haves_are_found_once_and_only_their_words_are_moved(spark):
     assert "collect_list" in plan(aggregates.report_rows(t))
     assert sorted(map(tuple, lint.zone_tokens(t).collect())) == [(0, "alpha", True), (0, "alpha", True), (0, "beta", True), (0, "beta", True), (0, "delta", True), (0, "gamma", True),
                                                                  (1, "alpha", False), (1, "gamma", True)]
+
+
+def plain_trace(lines, pool):
+    stem = lambda w: re.sub(r"(?:ing|ed|es|s|en|n)$", "", w)
+    out = []
+    for doc, ix, line in lines:
+        found = []
+        if doc is not None and ix is not None:
+            for j, n in {(j, len({stem(w) for w in x.split()})) for d, j, x in pool if d == doc and x is not None}:
+                shared = sum(stem(w) in {stem(v) for v in x.split()} for d, i, y in lines if (d, i) == (doc, ix) and y is not None for w in y.split()
+                             for e, k, x in pool if (e, k) == (doc, j) and x is not None and len({stem(v) for v in x.split()}) == n)
+                if shared:
+                    found.append((-shared, n, j))
+        shared, _, best = min(found, default=(0, 0, None))
+        for have in [x for d, j, x in pool if (d, j) == (doc, best)] if best is not None else [""]:
+            own = None if line is None else [w for w in line.split()[1:] if w not in lk.TRACE_FREE]
+            out.append((doc, ix, best, -shared, None if own is None else sum(stem(w) not in {stem(v) for v in (have or "").split()} for w in own)))
+    return sorted(map(str, out))
+
+
+def test_lines_are_traced_without_a_join(spark):
+    rng = random.Random(7)
+    words = ["selling", "sells", "sell", "the", "and", "houses", "house", "n", "open", "opens", "red"]
+    text = lambda: " ".join(rng.choices(words, k=rng.randint(0, 6)))
+    lines = [(rng.choice([1, 2, 3, None]), rng.choice([0, 1, None]), rng.choice([text(), text(), text(), None])) for _ in range(40)]
+    pool = [(rng.choice([1, 2, 4, None]), rng.choice([0, 1, 2]), rng.choice([text(), text(), text(), None])) for _ in range(40)]
+    got = lk.trace_source(spark.createDataFrame(lines, "d long, line_ix int, line string"), spark.createDataFrame(pool, "d long, pool_ix int, pool_line string"), "d")
+    assert got.columns == ["d", "line_ix", "pool_ix", "shared", "n_added"] and [t for _, t in got.dtypes] == ["bigint", "int", "int", "int", "int"]
+    assert "Join" not in plan(got)
+    assert sorted(str(tuple(r)) for r in got.collect()) == plain_trace(lines, pool)
