@@ -55,11 +55,16 @@ def merge_profiles(base: DataFrame, add: DataFrame, key: str, fill: list[str], l
     normal = lambda c: F.transform(c, lambda x: F.struct(tx.norm(x).alias("k"), x.alias("x")))
     j = j.withColumn("_own", normal(some(lines))).withColumn("_new", normal(some(f"_{lines}")))
     j = j.withColumn("_keys", F.transform("_own", lambda o: o["k"]))
-    # equal lines go by a hash set; what is left of the added lines is searched in the long ones only
+    # equal lines go by a hash set; what is left of the long added lines is searched in all long own ones at once (no line holds a line feed), and
+    # only own lines that lie somewhere in the added ones are tried line by line
+    long = lambda c: F.filter(c, lambda k: F.length(k) >= 40)
     j = (j.withColumn("_left", F.array_except(F.transform("_new", lambda n: n["k"]), F.array_union("_keys", F.array(F.lit("")))))
-         .withColumn("_long", F.filter("_keys", lambda k: F.length(k) >= 40)))
-    j = j.withColumn("_left", F.filter("_left", lambda k: ~F.exists("_long", lambda o: same_duty(o, k))))
-    fresh = F.transform(F.filter("_new", lambda n: F.array_contains("_left", n["k"])), lambda n: n["x"])
+         .withColumn("_long", F.array_distinct(long("_keys"))))
+    inner = tx.let(F.array_join(long("_left"), "\n"), lambda added: F.filter("_long", lambda o: F.contains(added, o)))
+    told = lambda k, own: (F.length(k) >= 40) & (F.contains(own["body"], k) | F.exists(own["inner"], lambda o: F.contains(k, o)))
+    own = F.struct(F.array_join("_long", "\n").alias("body"), inner.alias("inner"))  # bound by let: a plain column would be made again for every line
+    j = j.withColumn("_left", tx.let(own, lambda o: F.filter("_left", lambda k: ~told(k, o))))
+    fresh = tx.let(F.col("_left"), lambda left: F.transform(F.filter("_new", lambda n: F.array_contains(left, n["k"])), lambda n: n["x"]))
     merged_lines = F.concat(some(lines), fresh)
     merged_lines = merged_lines if line_cap is None else F.slice(merged_lines, F.lit(1), F.greatest(F.size(some(lines)), F.lit(line_cap)))
     out = j.select(key, *cols, merged_skills.alias(skills), merged_lines.alias(lines), F.size(some(skills)).alias("_ns"), F.size(some(lines)).alias("_nl"))

@@ -61,3 +61,21 @@ def test_lines_are_traced_without_a_join(spark):
     assert got.columns == ["d", "line_ix", "pool_ix", "shared", "n_added"] and [t for _, t in got.dtypes] == ["bigint", "int", "int", "int", "int"]
     assert "Join" not in plan(got)
     assert sorted(str(tuple(r)) for r in got.collect()) == plain_trace(lines, pool)
+
+
+def test_added_lines_are_told_once(spark):
+    rng = random.Random(3)
+    long = lambda k: " ".join(f"word{rng.randint(0, 9)}" for _ in range(k))
+    own = [long(9) for _ in range(12)] + ["short", "", "Short!"]
+    new = [long(9) for _ in range(4)] + [f"xx {own[0]} yy", own[1][3:50], own[2].upper(), "short", "new", "new", "", own[3][:20]]
+    schema = "k int, h string, s string, sk array<string>, ls array<string>"
+    got = mg.merge_profiles(spark.createDataFrame([(1, "", "", [], own), (2, "", "", [], [])], schema), spark.createDataFrame([(1, "", "", [], new), (2, "", "", [], new)], schema),
+                            "k", ["h"], ["s"], "sk", "ls")
+    norm = lambda x: " ".join(re.findall(r"[a-z0-9]+", x.lower()))
+    same = lambda x, y: x == y or (len(x) >= 40 and len(y) >= 40 and (x in y or y in x))
+    rows = {r["k"]: r for r in got.collect()}
+    for k, base in ((1, own), (2, [])):
+        fresh = [x for x in new if norm(x) and not any(same(norm(o), norm(x)) for o in base)]
+        assert rows[k]["ls"] == base + fresh and rows[k]["gained_lines"] == len(fresh)
+    assert 0 < rows[1]["gained_lines"] < rows[2]["gained_lines"]
+    assert "array_contains(lambda" in plan(got.select("gained_lines"))
