@@ -31,9 +31,16 @@ def employer_key(c) -> Column:
 
 def classes(roles: DataFrame, owner: str, ident: str) -> DataFrame:
     """``owner, key, year, title, n, first``: equal roles folded. ``roles``: owner, id, employer, title, year (null where unknown)."""
-    rows = roles.select(owner, F.col(ident).alias("_id"), employer_key("employer").alias("key"), F.coalesce("year", F.lit(UNKNOWN)).alias("year"),
+    return _folded(_keyed(roles, owner, ident), owner, ident)
+
+
+def _keyed(roles: DataFrame, owner: str, ident: str) -> DataFrame:
+    return roles.select(owner, ident, employer_key("employer").alias("key"), F.coalesce("year", F.lit(UNKNOWN)).alias("year"),
                         tx.norm("title").alias("title")).where("key <> ''")
-    return rows.groupBy(owner, "key", "year", "title").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"))
+
+
+def _folded(keyed: DataFrame, owner: str, ident: str) -> DataFrame:
+    return keyed.groupBy(owner, "key", "year", "title").agg(F.count(F.lit(1)).alias("n"), F.min(ident).alias("first"))
 
 
 def _grams(key: str) -> Column:
@@ -76,7 +83,8 @@ def match_roles(a: DataFrame, b: DataFrame, owner: str, a_id: str = "a_id", b_id
     partner takes the one role it may be at all, if that is free; the first such role in stored order has it.
 
     ``a``/``b``: owner, id, employer, title, year. Roles without an employer's name match nothing."""
-    ca, cb = classes(a, owner, a_id), classes(b, owner, b_id)
+    ka, kb = (saved(_keyed(side, owner, ident), "role-keys") for side, ident in ((a, a_id), (b, b_id)))  # names are read several times below
+    ca, cb = (saved(_folded(side, owner, ident), "role-classes") for side, ident in ((ka, a_id), (kb, b_id)))
     pairs = saved(role_candidates(ca, cb, owner), "role-candidates")
     left = saved(pairs.where("title = b_title AND title <> ''").select("*", F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("b_used")), "role-round")
     mine, theirs = [owner, "key", "year", "title"], [owner, "b_key", "b_year", "b_title"]
@@ -91,10 +99,8 @@ def match_roles(a: DataFrame, b: DataFrame, owner: str, a_id: str = "a_id", b_id
         left = saved(left.withColumn("_a", F.xxhash64(*mine)).withColumn("_b", F.xxhash64(*theirs)).join(spent, "_a", "left").join(b_spent, "_b", "left")
                      .withColumn("used", F.col("used") + F.coalesce("_ma", F.lit(0))).withColumn("b_used", F.col("b_used") + F.coalesce("_mb", F.lit(0)))
                      .where("used < n AND b_used < b_n").select(*left.columns), "role-round")
-    numbered = lambda side, ident: bucketed_rank(
-        side.select(owner, F.col(ident).alias(ident), employer_key("employer").alias("key"), F.coalesce("year", F.lit(UNKNOWN)).alias("year"),
-                    tx.norm("title").alias("title")).where("key <> ''"), mine, F.floor(F.col(ident) / 65536), [F.col(ident)], "_nth")
-    ra, rb = numbered(a, a_id), numbered(b, b_id)
+    numbered = lambda side, ident: saved(bucketed_rank(side, mine, F.floor(F.col(ident) / 65536), [F.col(ident)], "_nth"), "role-numbers")
+    ra, rb = numbered(ka, a_id), numbered(kb, b_id)
     named = lambda df: df.withColumnsRenamed({"key": "b_key", "year": "b_year", "title": "b_title"})
     one = ra.join(rb, owner).where("false").select(a_id, b_id)  # no pair at all
     if done is not None:

@@ -79,3 +79,12 @@ def test_added_lines_are_told_once(spark):
         assert rows[k]["ls"] == base + fresh and rows[k]["gained_lines"] == len(fresh)
     assert 0 < rows[1]["gained_lines"] < rows[2]["gained_lines"]
     assert "array_contains(lambda" in plan(got.select("gained_lines"))
+
+
+def test_names_of_roles_are_read_once(spark, monkeypatch):
+    plans, saved = [], roles.saved
+    monkeypatch.setattr(roles, "saved", lambda df, name: (plans.append(plan(df)), saved(df, name))[1])
+    side = lambda ident, first: spark.createDataFrame([(1, first, "Acme LLC", "Head", 2001), (1, first + 1, "Nord", "Clerk", None)], f"owner long, {ident} long, employer string, title string, year int")
+    got = roles.match_roles(side("a_id", 0), side("b_id", 10), "owner")
+    assert sorted(map(tuple, got.collect())) == [(0, 10, "title"), (1, 11, "title")]
+    assert sum("holding" in p for p in [*plans, plan(got)]) == 2
