@@ -88,3 +88,84 @@ def test_names_of_roles_are_read_once(spark, monkeypatch):
     got = roles.match_roles(side("a_id", 0), side("b_id", 10), "owner")
     assert sorted(map(tuple, got.collect())) == [(0, 10, "title"), (1, 11, "title")]
     assert sum("holding" in p for p in [*plans, plan(got)]) == 2
+
+
+class Handle:
+    """State of one record in memory; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.value, self.map = 0, [], None, {}
+
+    def getValueState(self, *_):
+        return self
+
+    def getMapState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.map
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.map.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.map[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.map[key]
+
+    def iterator(self):
+        self.calls += 1
+        return iter(list(self.map.items()))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+def test_a_trigger_reads_and_writes_blocks_of_keys():
+    handle, job = Handle(), tracker.RecordTracker()
+    job.init(handle)
+
+    def trigger(first, n, day, decision="auto", way="in"):
+        handle.calls = 0
+        rows = pd.DataFrame({"message": [f"m{i}" for i in range(first, first + n)], "dir": way, "cls": "ack", "day": day, "decision": decision, "at": range(n)})
+        return [tuple(r) for out in job.handleInputRows(("1",), iter([rows]), None) for r in out.itertuples(index=False)]
+
+    assert trigger(0, 1000, "2024-01-01", "unmatched") == [] and handle.calls <= 40
+    assert max(len(json.loads(v[0])) for v in handle.map.values()) <= 2 * tracker.BLOCK
+    assert trigger(0, 900, "2024-01-01", "suggested") == [] and handle.calls <= 40
+    assert trigger(0, 900, "2024-01-02", way="out") == []  # all read before
+    assert trigger(900, 101, "2024-01-03", way="out") == [("1", "record", "applied", "2024-01-03", None, None)]
+    assert len(handle.timers) == 1 and trigger(1000, 1, "2024-01-01", way="out") == []
+
+    class At:
+        def __init__(self, day):
+            self.day = day
+
+        def getExpiryTimeInMs(self):
+            return tracker.milliseconds(self.day)
+
+    handle.calls = 0
+    assert len(list(job.handleExpiredTimer(("1",), None, At("2024-01-07")))) == 1 and handle.calls == 1  # nothing is old enough
+    list(job.handleExpiredTimer(("1",), None, At("2024-06-30")))  # the horizon is the second of January
+    assert sum(len(json.loads(v[0])) for v in handle.map.values()) == 101 and job.held()[2:] == (101, "2024-01-03")
+    assert trigger(0, 1, "2024-01-02", way="out") != []  # forgotten, so read again
+
+
