@@ -84,3 +84,17 @@ def test_arrays_are_made_once_before_an_explode(spark, tmp_path):
 def test_rows_behind_one_exchange_are_the_same(spark):
     df = spark.createDataFrame([(1, 1, None), (1, 1, None), (1, None, "a"), (2, 3, "b")], "doc_id int, ix int, t string")
     assert sorted(map(str, worked_out_once(df, "doc_id", "ix").collect())) == sorted(map(str, df.collect()))
+
+
+def test_pairs_dealt_by_message_move_once(spark):
+    a = spark.createDataFrame([(1, 2), (1, 3)], "m int, r int")
+    days = spark.createDataFrame([(1, "x")], "m int, day string")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = lk.evidence_scores([("zeta", a, F.lit(5)), ("beta", a.where("r = 2"), F.lit(20))], "m", "r", ("m",)).join(days, "m")
+        text = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert text.count("Exchange hashpartitioning") == 2
+    assert sorted(map(tuple, df.collect())) == [(1, 2, 25, "beta+zeta", "x"), (1, 3, 5, "zeta", "x")]
