@@ -98,3 +98,32 @@ def test_pairs_dealt_by_message_move_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert text.count("Exchange hashpartitioning") == 2
     assert sorted(map(tuple, df.collect())) == [(1, 2, 25, "beta+zeta", "x"), (1, 3, 5, "zeta", "x")]
+
+
+def test_text_helpers_give_what_their_plain_forms_give(spark):
+    texts = ["Two 3-day trips — and 12% more.", "", "  ", "--- ... x", "aed12 AED the der", "Zwölf und DIE needs s sings lenses", "٣ staff", "a\tb\u00a0c", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain_count = F.size(F.filter(F.split("t", r"\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]")))
+    marked = F.exists(tx.letter_words("t"), lambda w: w.isin(*tx.CURRENCY_WORDS, *tx.SPELLED_FIGURES))
+    rows = df.select("t", plain_count.alias("n"), tx.word_count("t").alias("n2"), F.transform(tx.words("t"), tx.stem).alias("s"), tx.stems("t").alias("s2"), marked.alias("m"),
+                     F.lower("t").rlike(tx.word_pattern(tx.CURRENCY_WORDS + tx.SPELLED_FIGURES)).alias("m2")).collect()
+    assert [(r["n"], r["s"], r["m"]) for r in rows] == [(r["n2"], r["s2"], r["m2"]) for r in rows]
+    assert [r["m"] for r in rows[:6]] == [True, False, False, False, True, True]
+
+
+def test_skills_of_a_document_are_compared_in_its_row(spark):
+    rows = [(1, ["market analysis", "Analysis", "analysis of market", "x"]), (1, ["market analysis", "Analysis", "analysis of market", "x"]), (2, ["alpha", "Alpha", None, "Beta"]),
+            (None, ["one", "one"]), (3, None), (3, ["gamma"]), (4, ["Delta"]), (4, ["Other", "Delta force"])]
+    out = li.l7_skills(spark.createDataFrame(rows, "doc_id int, skills array<string>"))
+    text = plan(out)
+    assert "Join" not in text and text.count("Aggregate") == 1
+    low = [(1, "skills.0", "market analysis"), (1, "skills.2", "analysis of market"), (1, "skills.3", "x")] * 2 + [(2, "skills.0", "alpha"), (3, "skills.0", "gamma"), (None, "skills.0", "one"), (None, "skills.1", "one")]
+    inside = [(1, "skills.0", "skills.2"), (1, "skills.1", "skills.0"), (2, "skills.0", "skills.1"), (4, "skills.0", "skills.1")]
+    assert sorted(map(str, ((r["doc_id"], r["path"], r["hit"]) for r in out.collect()))) == sorted(map(str, low + inside))
+
+
+def test_a_rule_works_out_once_what_fails(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id int, t string")
+    out = li.instances(rows, [li.rule("HDR-01", F.reverse("t") == "a", "p", F.col("t"))])
+    assert plan(out).count("reverse(") == 1
+    assert [tuple(r) for r in out.collect()] == [(1, "HDR-01", "high", "p", "a")]
